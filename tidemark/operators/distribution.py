@@ -277,52 +277,43 @@ def psi(
     return result.withColumn("psi_band", band(F.col("psi"), [(0.1, "moderate"), (0.2, "significant")], "none"))
 
 
-def profile(df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
+def profile(
+    df: DataFrame, features: Sequence[str] | None = None, exact_distinct: bool = True
+) -> DataFrame:
     """Mean, sample deviation, min, max, missing percent and distinct count per column.
 
-    Text columns have nulls for the first four. One pass counts each column's
-    values, which also makes the distinct counts exact without a task per column.
+    Text columns have nulls for the first four. All but the distinct counts come
+    from one aggregation that shuffles a single row per task. Exact distinct
+    counts shuffle the distinct values; ``exact_distinct=False`` replaces them
+    by a sketch in the same aggregation.
     """
     features = list(features or df.columns)
-    numeric = [f for f in features if _is_number(df.schema[f].dataType)]
-    other = [f for f in features if f not in numeric]
-    sums = []
-    if numeric:
-        counts = long_form(df, numeric).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-        sums.append(_profile_counts(counts, True))
-    if other:
-        counts = long_form(df, other, as_text=True).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-        sums.append(_profile_counts(counts, False))
-    return reduce(DataFrame.unionByName, sums)
-
-
-def _profile_counts(counts: DataFrame, numeric: bool) -> DataFrame:
-    here = F.col("value").isNotNull()
-    kept = F.when(here, F.col("n"))
-    rows = F.coalesce(F.sum(kept), F.lit(0))
-    common = [
-        ((F.sum("n") - rows) / F.sum("n") * 100).alias("missing_pct"),
-        F.count("value").alias("unique_count"),
-    ]
-    if not numeric:
-        empty = F.lit(None).cast("double")
-        return counts.groupBy("feature").agg(*common).select(
-            "feature",
-            *[empty.alias(name) for name in ("mean", "std", "min", "max")],
-            "missing_pct",
-            "unique_count",
+    stats = []
+    for name in features:
+        here = present(df, name)
+        number = F.when(here, F.col(name).cast("double")) if _is_number(df.schema[name].dataType) else None
+        missing = F.lit(None).cast("double")
+        stats.append(
+            F.struct(
+                F.lit(name).alias("feature"),
+                (missing if number is None else F.avg(number)).alias("mean"),
+                (missing if number is None else F.stddev_samp(number)).alias("std"),
+                (missing if number is None else F.min(number)).alias("min"),
+                (missing if number is None else F.max(number)).alias("max"),
+                (F.avg((~here).cast("int")) * 100).alias("missing_pct"),
+                (F.lit(0).cast("bigint") if exact_distinct else F.approx_count_distinct(F.when(here, F.col(name)))).alias(
+                    "unique_count"
+                ),
+            )
         )
-    # Moments are taken about a value of the column, so that a large mean does
-    # not swallow a small spread.
-    centre = F.broadcast(counts.groupBy("feature").agg(F.min("value").alias("__c")))
-    shifted = counts.join(centre, "feature").withColumn("__d", F.col("value") - F.col("__c"))
-    first = F.sum(F.col("n") * F.col("__d"))
-    second = F.sum(F.col("n") * F.col("__d") * F.col("__d"))
-    spread = F.greatest(second - first * first / rows, F.lit(0.0))
-    return shifted.groupBy("feature").agg(
-        (F.first("__c", ignorenulls=True) + F.try_divide(first, rows)).alias("mean"),
-        F.when(rows > 1, F.sqrt(F.try_divide(spread, rows - 1))).alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        *common,
+    rows = df.agg(F.array(*stats).alias("__rows")).select(F.explode("__rows").alias("__row")).select("__row.*")
+    if not exact_distinct:
+        return rows
+    distinct = (
+        long_form(df, features, as_text=True)
+        .where(F.col("value").isNotNull())
+        .distinct()
+        .groupBy("feature")
+        .agg(F.count(F.lit(1)).alias("unique_count"))
     )
+    return rows.drop("unique_count").join(distinct, "feature", "left").fillna(0, ["unique_count"])
