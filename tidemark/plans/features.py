@@ -7,7 +7,15 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..features.batch import driver_features, hours_online, preferred_type, rider_features, trip_features
+from ..features.batch import (
+    MONTH,
+    WEEK,
+    driver_features,
+    hours_online,
+    preferred_type,
+    rider_features,
+    trip_features,
+)
 from ..functions import add_days, day_of_week, event_time, haversine_km, is_peak_hour, is_weekend, iso_format
 from ..functions.pricing import stable_jitter, surge_quote
 from ..functions.values import (
@@ -20,6 +28,7 @@ from ..functions.values import (
     ordinal,
 )
 from ..operators.distribution import value_counts
+from ..operators.trailing import Trailing, trailing
 from ..session import shared_dir
 from ..sources.readers import daily_extract, read_day
 from ..sources.writers import write_days
@@ -70,9 +79,6 @@ RIDER_FEATURES_SQL = f"""
 
 def rider_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Average rating over 30 days, cancellation and acceptance rates over 7."""
-    from ..features.batch import MONTH, WEEK
-    from ..operators.trailing import Trailing, trailing
-
     kind = F.col("event_type")
     specs = [
         Trailing("rider_avg_rating", MONTH, "avg", F.col("value")),
@@ -130,7 +136,7 @@ RIDER_PREFERRED_SQL = """
     SELECT rider_id, preferred_type, trips
     FROM (SELECT user_id AS rider_id, event_type AS preferred_type, count(*) AS trips,
                  row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS place
-          FROM events WHERE ts < TIMESTAMP '2024-01-21' GROUP BY ALL)
+          FROM events WHERE ts < TIMESTAMP '2024-01-21' GROUP BY user_id, event_type)
     WHERE place = 1"""
 
 
