@@ -79,6 +79,20 @@ def side_counts(
     )
 
 
+def edges_below(edges: str, value: Column, longest: int) -> Column:
+    """How many of the sorted ``edges``, ``longest`` at most, are below a value.
+
+    A binary search: an array of hundreds of edges costs a few comparisons a row.
+    """
+    steps = [1 << bit for bit in reversed(range(longest.bit_length()))]
+
+    def step(found: Column, width: Column) -> Column:
+        below = F.coalesce(F.get(F.col(edges), found + width - 1) < value, F.lit(False))
+        return F.when(below, found + width).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(w) for w in steps]), F.lit(0), step)
+
+
 def side_totals(counts: DataFrame) -> DataFrame:
     """Rows and distinct values of each feature: one row per feature."""
     return counts.groupBy("feature").agg(
@@ -96,7 +110,7 @@ def cumulative(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
     cut = (
         counts.join(F.broadcast(edges), "feature")
-        .withColumn("__cut", F.size(F.filter("__edges", lambda edge: edge < F.col("value"))).cast("bigint"))
+        .withColumn("__cut", edges_below("__edges", F.col("value"), CUTS).cast("bigint"))
         .drop("__edges")
     )
     totals = {f"cum_{name}": F.col(name) for name in columns}
@@ -213,14 +227,16 @@ def quantile_edges(counts: DataFrame, buckets: int = 10, approximate: bool = Fal
     return found.select("feature", F.array_sort(F.array_distinct("quantiles")).alias("edges"))
 
 
-def bin_counts(counts: DataFrame, edges: DataFrame, open_ends: bool = False) -> DataFrame:
+def bin_counts(
+    counts: DataFrame, edges: DataFrame, open_ends: bool = False, most_edges: int = 1023
+) -> DataFrame:
     """Rows of each side per (feature, bin), every bin present, and rows outside.
 
     Bins are closed on the right, the first also on the left. Values outside the
     edges have a null bin, unless ``open_ends`` counts them in the outer bins.
     """
     bins = F.size("edges") - 1
-    above = F.size(F.filter("edges", lambda edge: edge < F.col("value")))
+    above = edges_below("edges", F.col("value"), most_edges)
     inside = F.col("value").between(F.element_at("edges", 1), F.element_at("edges", -1))
     place = F.greatest(above, F.lit(1))
     if open_ends:
@@ -254,7 +270,7 @@ def psi(
     index. A constant reference has no bins and an index of 0.
     """
     edges = quantile_edges(counts, buckets, approximate)
-    binned = bin_counts(counts, edges, open_ends)
+    binned = bin_counts(counts, edges, open_ends, buckets + 1)
     inside = F.col("bin").isNotNull()
     totals = binned.groupBy("feature").agg(
         F.sum(F.when(inside, F.col("n_ref"))).alias("__ref"),

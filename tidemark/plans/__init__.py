@@ -11,9 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import drift, features, quality, store
+from . import drift, features, governance, quality, serving, store
 
-MODULES = (features, store, quality, drift)
+MODULES = (features, store, quality, drift, serving, governance)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

@@ -50,7 +50,12 @@ def pit_join_single(spark: SparkSession, folder: str) -> DataFrame:
         "user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"), F.col("value").alias("view_value")
     )
     return asof_join(labels, views, ["user_id"], "ts", "view_ts", ["view_id", "view_value"], DAY, feature_ts_as="seen_at").select(
-        "event_id", "user_id", "value", "view_id", "view_value", text_time("seen_at").alias("seen_at")
+        "event_id",
+        "user_id",
+        "value",
+        F.col("view_id").cast("string").alias("view_id"),
+        "view_value",
+        text_time("seen_at").alias("seen_at"),
     )
 
 
@@ -58,7 +63,7 @@ PIT_SINGLE_SQL = f"""
     WITH l AS (SELECT * FROM events WHERE event_type = 'purchase'),
          f AS (SELECT * FROM events WHERE event_type = 'view')
     SELECT l.event_id, l.user_id, l.value,
-           CASE WHEN f.ts >= l.ts - INTERVAL 1 DAY THEN f.event_id END AS view_id,
+           CASE WHEN f.ts >= l.ts - INTERVAL 1 DAY THEN f.event_id::VARCHAR END AS view_id,
            CASE WHEN f.ts >= l.ts - INTERVAL 1 DAY THEN f.value END AS view_value,
            CASE WHEN f.ts >= l.ts - INTERVAL 1 DAY THEN strftime(f.ts, {SQL_TIME}) END AS seen_at
     FROM l ASOF LEFT JOIN f ON l.user_id = f.user_id AND l.ts >= f.ts"""
@@ -213,11 +218,12 @@ def online_lookup(spark: SparkSession, folder: str) -> DataFrame:
     now = F.lit("2024-01-30 12:00:00").cast("timestamp")
     online = slice_to_load(_event_view(spark, folder), None, now)
     requests = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    online = online.withColumn("event_id", F.col("event_id").cast("string"))
     return lookup(requests, online, ["user_id"], ["event_id", "event_type", "value"], now)
 
 
 ONLINE_LOOKUP_SQL = """
-    SELECT c_custkey AS user_id, c_mktsegment, event_id, event_type, value
+    SELECT c_custkey AS user_id, c_mktsegment, event_id::VARCHAR AS event_id, event_type, value
     FROM customer LEFT JOIN (
         SELECT * FROM events WHERE ts <= TIMESTAMP '2024-01-30 12:00:00'
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) l
