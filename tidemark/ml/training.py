@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ids import stable_bucket
 from ..functions.values import (
@@ -143,17 +143,13 @@ def predict_with(
     df: DataFrame, features: Sequence[str], predict: Callable[[pd.DataFrame], Sequence[float]], column: str = "prediction"
 ) -> DataFrame:
     """Score with any function from a frame of features to predictions, in Arrow batches."""
-    schema = df.schema.add(column, "double") if column not in df.columns else df.schema
+    kept = [f for f in df.schema.fields if f.name != column]
+    schema = T.StructType([*kept, T.StructField(column, T.DoubleType())])
     names = list(features)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch[column] = [float(v) for v in predict(batch[names])]
-            yield batch
+            batch[column] = predict(batch[names])
+            yield batch[schema.names]
 
     return df.mapInPandas(score, schema)
-
-
-def vector_columns(df: DataFrame, vector: str = VECTOR) -> DataFrame:
-    """The assembled vector as an array column, for inspection."""
-    return df.withColumn(vector, vector_to_array(vector))

@@ -11,9 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import drift, features, governance, quality, serving, store
+from . import drift, features, governance, quality, serving, store, streams, training
 
-MODULES = (features, store, quality, drift, serving, governance)
+MODULES = (features, store, quality, drift, serving, governance, streams, training)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

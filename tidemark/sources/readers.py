@@ -40,8 +40,9 @@ def on_day(ts: str, day: date) -> Column:
 
 def read_day(spark: SparkSession, root: str, schema: T.StructType, day: date, partition: str = "ds") -> DataFrame:
     """One day of a table partitioned by day; other days are pruned."""
-    table = spark.read.schema(schema.add(partition, T.DateType()) if partition not in schema.fieldNames() else schema)
-    return table.parquet(root).where(F.col(partition) == F.lit(day)).drop(partition)
+    columns = [f for f in schema.fields if f.name != partition]
+    table = spark.read.schema(T.StructType([*columns, T.StructField(partition, T.DateType())])).parquet(root)
+    return table.where(F.col(partition) == F.lit(day)).drop(partition)
 
 
 def daily_extract(table: DataFrame, columns: Sequence[str], ts: str, day: date) -> DataFrame:

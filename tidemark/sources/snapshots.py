@@ -23,7 +23,11 @@ BUCKET = "__bucket"
 
 @dataclass(frozen=True)
 class SnapshotTable:
-    """``order`` decides which of two rows of a key is kept: the greater one."""
+    """``order`` decides which of two rows of a key is kept: the greater one.
+
+    Choose ``buckets`` so that one bucket is the work of one task: a bucket that
+    an upsert touches is written again as a whole.
+    """
 
     spark: SparkSession
     root: str
@@ -68,6 +72,8 @@ class SnapshotTable:
         newest = newest.persist()
         try:
             touched = {r[BUCKET] for r in newest.select(BUCKET).distinct().collect()}
+            if not touched:
+                return
             layout = self._layout(before=version)
             old = self._read({b: v for b, v in layout.items() if b in touched})
             merged = newest
@@ -78,13 +84,12 @@ class SnapshotTable:
                     self.order[0],
                     self.order[1:],
                 )
-            if touched:
-                (
-                    merged.repartition(self.buckets, BUCKET)
-                    .write.mode("overwrite")
-                    .partitionBy(BUCKET)
-                    .parquet(f"{self.root}/data/version={version}")
-                )
+            (
+                merged.repartition(self.buckets, BUCKET)
+                .write.mode("overwrite")
+                .partitionBy(BUCKET)
+                .parquet(f"{self.root}/data/version={version}")
+            )
             entries = [(b, v) for b, v in {**layout, **dict.fromkeys(touched, version)}.items()]
             (
                 self.spark.createDataFrame(entries, "bucket int, data_version bigint")
