@@ -29,12 +29,13 @@ def ks(a, b):
     return np.abs(fa - fb).max()
 
 
-@pytest.mark.parametrize("shift, digits", [(0.0, 6), (0.5, 6), (0.5, 1), (50, 6)])
-def test_ks(spark, shift, digits):
+@pytest.mark.parametrize("large", [True, False])
+@pytest.mark.parametrize("shift, digits", [(0.0, 6), (0.5, 1), (50, 6)])
+def test_ks(spark, shift, digits, large):
     rng = np.random.default_rng(7)
     a, b = rng.normal(0, 1, 900).round(digits), rng.normal(shift, 1.3, 700).round(digits)
     counts = D.side_counts(column(spark, a), column(spark, b), ["x"])
-    assert one(D.ks_statistic(counts), "ks") == pytest.approx(ks(a, b))
+    assert one(D.ks_statistic(counts, large), "ks") == pytest.approx(ks(a, b))
 
 
 def test_ks_of_a_table_with_itself_is_zero_and_nan_is_missing(spark):
@@ -43,12 +44,13 @@ def test_ks_of_a_table_with_itself_is_zero_and_nan_is_missing(spark):
     assert (row.ks, row.ref_rows, row.cur_rows) == (0.0, 4, 4)
 
 
-def test_exact_quantiles(spark, monkeypatch):
+@pytest.mark.parametrize("large", [True, False])
+def test_exact_quantiles(spark, large):
     rng = np.random.default_rng(8)
     for values in (rng.lognormal(3, 2, 800).round(1), np.array([5.0] * 4), np.array([1.0, 2.0])):
         counts = D.side_counts(column(spark, values), column(spark, values), ["x"])
         grid = np.linspace(0, 1, 11)
-        got = one(D.exact_quantiles(counts, list(grid)), "quantiles")
+        got = one(D.exact_quantiles(counts, list(grid), large=large), "quantiles")
         assert got == pytest.approx(list(np.percentile(values, grid * 100)))
 
 
@@ -62,26 +64,28 @@ def psi(a, b, buckets=10):
     return ((q - p) * np.log(q / p)).sum()
 
 
-def test_psi(spark):
+@pytest.mark.parametrize("large", [True, False])
+def test_psi(spark, large):
     rng = np.random.default_rng(9)
     a, b = rng.normal(0, 1, 1000), rng.normal(0.5, 1, 1000)
-    row = D.psi(D.side_counts(column(spark, a), column(spark, b), ["x"])).collect()[0]
+    row = D.psi(column(spark, a), column(spark, b), ["x"], large=large).collect()[0]
     assert row.psi == pytest.approx(psi(a, b)) and row.psi > 0
     assert row.out_of_range == pytest.approx(((b < a.min()) | (b > a.max())).mean())
     assert row.psi_band == "significant"
-    same = D.psi(D.side_counts(column(spark, a), column(spark, a), ["x"])).collect()[0]
+    same = D.psi(column(spark, a), column(spark, a), ["x"], large=large).collect()[0]
     assert same.psi == pytest.approx(0) and same.psi_band == "none"
 
 
 def test_psi_edges(spark):
-    constant = D.psi(D.side_counts(column(spark, [3, 3, 3]), column(spark, [3, 4, 5]), ["x"])).collect()[0]
+    constant = D.psi(column(spark, [3, 3, 3]), column(spark, [3, 4, 5]), ["x"]).collect()[0]
     assert constant.psi == 0
     spread = column(spark, range(100))
-    empty_bin = D.psi(D.side_counts(spread, column(spark, [1, 1, 2, None]), ["x"])).collect()[0]
+    empty_bin = D.psi(spread, column(spark, [1, 1, 2, None]), ["x"]).collect()[0]
     assert math.isfinite(empty_bin.psi) and empty_bin.psi > 1
-    outside = D.side_counts(spread, column(spark, [500, 600]), ["x"])
-    assert D.psi(outside).collect()[0].out_of_range == 1.0
-    assert D.psi(outside, open_ends=True).collect()[0].out_of_range == 0.0
+    outside = column(spark, [500, 600])
+    assert D.psi(spread, outside, ["x"]).collect()[0].out_of_range == 1.0
+    assert D.psi(spread, outside, ["x"], open_ends=True).collect()[0].out_of_range == 0.0
+    assert D.psi(spread, spread, ["x"], approximate=True).collect()[0].psi == pytest.approx(0)
 
 
 def test_chi_squared_and_js(spark):

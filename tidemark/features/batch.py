@@ -43,7 +43,7 @@ def rider_features(
     if rating is not None:
         specs.append(Trailing("rider_avg_rating", MONTH, "avg", rating))
     if cancelled is not None:
-        specs.append(Trailing("rider_cancellation_rate_7d", WEEK, "avg", cancelled.cast("double")))
+        specs.append(Trailing("rider_cancellation_rate_7d", WEEK, "avg", cancelled))
     if fare is not None:
         specs.append(Trailing("rider_avg_fare_30d", MONTH, "avg", fare))
     rows = trailing(activity, [key], ts, specs, include_current=include_current, hot=hot)
@@ -75,7 +75,7 @@ def driver_features(
     if accepted is not None:
         specs.append(Trailing("driver_acceptance_rate_7d", WEEK, "ratio", accepted, requested))
     if cancelled is not None:
-        specs.append(Trailing("driver_cancellation_rate_7d", WEEK, "avg", cancelled.cast("double")))
+        specs.append(Trailing("driver_cancellation_rate_7d", WEEK, "avg", cancelled))
     if distance is not None:
         specs.append(Trailing("driver_avg_trip_distance_7d", WEEK, "avg", distance))
     if duration is not None:

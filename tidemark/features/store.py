@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,12 +13,18 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..operators.asof import asof_join, latest, lookup
 from ..operators.quality import schema_differences
+from ..operators.timeline import HotKeys, find_hot_keys
+from ..session import path_exists
 from ..sources.snapshots import SnapshotTable
 
 
 @dataclass(frozen=True)
 class FeatureView:
-    """Features of one entity: keys, columns, time to live, and the table they are in."""
+    """Features of one entity: keys, columns, time to live, and the table they are in.
+
+    ``hot`` are the source's hot keys if they are known; otherwise a training
+    join looks for them, which reads the keys and times of the source once more.
+    """
 
     name: str
     keys: tuple[str, ...]
@@ -29,13 +34,14 @@ class FeatureView:
     ts_col: str = "event_timestamp"
     created_col: str | None = None
     tags: Mapping[str, str] = field(default_factory=dict)
+    hot: HotKeys | None = None
 
     @property
     def columns(self) -> list[str]:
         return self.schema.fieldNames()
 
-    def over(self, source: DataFrame) -> FeatureView:
-        return replace(self, source=source)
+    def over(self, source: DataFrame, hot: HotKeys | None = None) -> FeatureView:
+        return replace(self, source=source, hot=hot)
 
     def problems(self) -> DataFrame:
         """How the source's schema differs from the declared one."""
@@ -125,12 +131,21 @@ def historical_features(
                 [name for _, name in pairs],
                 view.ttl,
                 "__created" if view.created_col else None,
+                hot=_hot_keys(entities, ts, view) if view.hot is None else view.hot,
             )
         else:
             result = result.withColumns(_nulls(view, pairs))
     return result.select(*entities.columns, *[name for _, _, name in wanted])
 
 
+def _hot_keys(entities: DataFrame, ts: str, view: FeatureView) -> HotKeys:
+    """Hot keys of the entities as given and the view; earlier joins do not add rows."""
+    times = entities.select(*view.keys, F.col(ts).cast("timestamp").alias("__at")).unionByName(
+        view.source.select(*view.keys, F.col(view.ts_col).cast("timestamp").alias("__at"))
+    )
+    return find_hot_keys(times, view.keys, F.unix_micros("__at"))
+
+
 def _nulls(view: FeatureView, pairs: Sequence[tuple[str, str]]) -> dict[str, Column]:
     return {name: F.lit(None).cast(view.schema[c].dataType) for c, name in pairs}
 
@@ -193,11 +208,11 @@ def materialize_incremental(
     The mark is written after the load. A run that is lost in between is repeated
     by the next one with the same version, which changes nothing.
     """
-    try:
+    last = None
+    if path_exists(spark, log):
         marks = spark.read.schema("view string, loaded_to timestamp, version bigint").parquet(log)
-        last = marks.where(F.col("view") == view.name).agg(F.max(F.struct("version", "loaded_to")).alias("m")).first()["m"]
-    except AnalysisException:
-        last = None
+        newest = F.max(F.struct("version", "loaded_to")).alias("mark")
+        last = marks.where(F.col("view") == view.name).agg(newest).first()["mark"]
     version = 1 if last is None else last["version"] + 1
     start = None if last is None else F.lit(last["loaded_to"])
     table.upsert(slice_to_load(view, start, F.lit(end), after=True), version)

@@ -12,7 +12,7 @@ of a table, bound everything that is broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +23,7 @@ from ..functions.values import band
 from .timeline import running_totals
 
 CUTS = 512
+ONE_TASK = 1_000_000
 FLOOR = 0.001
 CATEGORICAL_BELOW = 10
 EPSILON = 1e-10
@@ -62,20 +63,36 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / total)
 
 
+def _per_side() -> list[Column]:
+    return [
+        F.count_if(F.col("side") == REFERENCE).alias("n_ref"),
+        F.count_if(F.col("side") == CURRENT).alias("n_cur"),
+    ]
+
+
+def _sides(
+    reference: DataFrame, current: DataFrame, features: Sequence[str], as_text: bool = False
+) -> DataFrame:
+    """The values of both tables in long form with the side they are from."""
+    return (
+        long_form(reference, features, as_text)
+        .withColumn("side", F.lit(REFERENCE))
+        .unionByName(long_form(current, features, as_text).withColumn("side", F.lit(CURRENT)))
+        .where(F.col("value").isNotNull())
+    )
+
+
 def side_counts(
     reference: DataFrame, current: DataFrame, features: Sequence[str], as_text: bool = False
 ) -> DataFrame:
     """Rows of each side per (feature, value): columns ``n_ref`` and ``n_cur``."""
-    sides = long_form(reference, features, as_text).withColumn("side", F.lit(REFERENCE)).unionByName(
-        long_form(current, features, as_text).withColumn("side", F.lit(CURRENT))
-    )
     return (
-        sides.where(F.col("value").isNotNull())
+        _sides(reference, current, features, as_text)
         .groupBy("feature", "value")
-        .agg(
-            F.count_if(F.col("side") == REFERENCE).alias("n_ref"),
-            F.count_if(F.col("side") == CURRENT).alias("n_cur"),
-        )
+        .agg(*_per_side())
+        # Always true. It makes every use of the counts need both columns, so all
+        # uses within a query are the same plan and share one scan and one shuffle.
+        .where(F.col("n_ref") + F.col("n_cur") > 0)
     )
 
 
@@ -102,8 +119,20 @@ def side_totals(counts: DataFrame) -> DataFrame:
     )
 
 
-def cumulative(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add running sums ``cum_<column>`` over each feature's values in order."""
+def is_large(*tables: DataFrame) -> bool:
+    """Whether a feature may have more values than one task should put in order."""
+    return sum(table.count() for table in tables) > ONE_TASK
+
+
+def cumulative(counts: DataFrame, columns: Sequence[str], large: bool = True) -> DataFrame:
+    """Add running sums ``cum_<column>`` over each feature's values in order.
+
+    ``large`` cuts features into ranges of values, one task each. Pass the result
+    of :func:`is_large` to save that for small tables.
+    """
+    totals = {f"cum_{name}": F.col(name) for name in columns}
+    if not large:
+        return running_totals(counts, ["feature"], [F.col("value")], totals, False)
     percentages = [i / CUTS for i in range(1, CUTS)]
     edges = counts.groupBy("feature").agg(
         F.array_distinct(F.approx_percentile("value", percentages, 2 * CUTS)).alias("__edges")
@@ -113,16 +142,15 @@ def cumulative(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
         .withColumn("__cut", edges_below("__edges", F.col("value"), CUTS).cast("bigint"))
         .drop("__edges")
     )
-    totals = {f"cum_{name}": F.col(name) for name in columns}
     return running_totals(cut, ["feature"], [F.col("value")], totals, True, "__cut").drop("__cut")
 
 
-def ks_statistic(counts: DataFrame) -> DataFrame:
+def ks_statistic(counts: DataFrame, large: bool = True) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic per feature with both sides' rows."""
     totals = F.broadcast(side_totals(counts))
     gap = F.abs(F.col("cum_n_ref") / F.col("ref_rows") - F.col("cum_n_cur") / F.col("cur_rows"))
     return (
-        cumulative(counts, ["n_ref", "n_cur"])
+        cumulative(counts, ["n_ref", "n_cur"], large)
         .join(totals, "feature")
         .where((F.col("ref_rows") > 0) & (F.col("cur_rows") > 0))
         .groupBy("feature")
@@ -173,13 +201,15 @@ def jensen_shannon(counts: DataFrame) -> DataFrame:
     return _shares(counts).groupBy("feature").agg(F.greatest(F.sum(parts), F.lit(0.0)).alias("js"))
 
 
-def exact_quantiles(counts: DataFrame, percentages: Sequence[float], weight: str = "n_ref") -> DataFrame:
+def exact_quantiles(
+    counts: DataFrame, percentages: Sequence[float], weight: str = "n_ref", large: bool = True
+) -> DataFrame:
     """Quantiles with linear interpolation per feature, as an array in the order asked.
 
     A rank falls on exactly one value, so all but a few rows per feature are
     dropped before the final aggregation.
     """
-    rows = cumulative(counts.where(F.col(weight) > 0), [weight])
+    rows = cumulative(counts.where(F.col(weight) > 0), [weight], large)
     total = F.broadcast(counts.groupBy("feature").agg(F.sum(weight).alias("__total")))
     asked = F.array(
         *[
@@ -193,10 +223,12 @@ def exact_quantiles(counts: DataFrame, percentages: Sequence[float], weight: str
     def covers(rank: Column) -> Column:
         return (F.floor(rank) <= last) & (F.ceil(rank) >= first)
 
+    ranks = [F.lit(float(p)) * (F.col("__total") - 1) for p in percentages]
     hits = (
         rows.join(total, "feature")
         .withColumn("__first", first)
         .withColumn("__last", last)
+        .where(reduce(lambda a, b: a | b, [covers(rank) for rank in ranks]))
         .withColumn("__hit", F.explode(F.filter(asked, lambda a: covers(a["rank"]))))
     )
     rank = F.col("__hit.rank")
@@ -213,84 +245,107 @@ def exact_quantiles(counts: DataFrame, percentages: Sequence[float], weight: str
     )
 
 
-def quantile_edges(counts: DataFrame, buckets: int = 10, approximate: bool = False) -> DataFrame:
-    """Sorted distinct edges of equal-share bins of the reference side, per feature."""
+def quantile_edges(
+    reference: DataFrame,
+    features: Sequence[str],
+    buckets: int = 10,
+    approximate: bool = False,
+    large: bool | None = None,
+) -> dict[str, list[float]]:
+    """Sorted distinct edges of equal-share bins of a table, per feature.
+
+    The edges are computed now, once: at most ``buckets + 1`` numbers per column
+    of the table. ``approximate`` takes them from a sketch, without a shuffle of
+    the values.
+    """
     grid = [i / buckets for i in range(buckets + 1)]
+    values = long_form(reference, features).where(F.col("value").isNotNull())
     if approximate:
-        found = (
-            counts.where(F.col("n_ref") > 0)
-            .groupBy("feature")
-            .agg(F.approx_percentile("value", grid).alias("quantiles"))
-        )
+        found = values.groupBy("feature").agg(F.approx_percentile("value", grid).alias("quantiles"))
     else:
-        found = exact_quantiles(counts, grid)
-    return found.select("feature", F.array_sort(F.array_distinct("quantiles")).alias("edges"))
+        counts = values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+        found = exact_quantiles(counts, grid, "n", is_large(reference) if large is None else large)
+    return {row["feature"]: sorted(set(row["quantiles"])) for row in found.collect()}
 
 
 def bin_counts(
-    counts: DataFrame, edges: DataFrame, open_ends: bool = False, most_edges: int = 1023
+    reference: DataFrame, current: DataFrame, edges: Mapping[str, Sequence[float]], open_ends: bool = False
 ) -> DataFrame:
     """Rows of each side per (feature, bin), every bin present, and rows outside.
 
     Bins are closed on the right, the first also on the left. Values outside the
     edges have a null bin, unless ``open_ends`` counts them in the outer bins.
+    Rows are binned where they are read and counted before the shuffle, which
+    moves a row per bin and task.
     """
-    bins = F.size("edges") - 1
-    above = edges_below("edges", F.col("value"), most_edges)
-    inside = F.col("value").between(F.element_at("edges", 1), F.element_at("edges", -1))
-    place = F.greatest(above, F.lit(1))
-    if open_ends:
-        place = F.least(place, bins)
-    else:
-        place = F.when(inside, place)
+
+    def binned(df: DataFrame, side: int) -> DataFrame:
+        pairs = []
+        for name, limits in edges.items():
+            value = F.col(name).cast("double")
+            place = F.greatest(sum((value > limit).cast("int") for limit in limits), F.lit(1))
+            if open_ends:
+                place = F.least(place, F.lit(len(limits) - 1))
+            else:
+                place = F.when(value.between(limits[0], limits[-1]), place)
+            pairs.append(
+                F.struct(F.lit(name).alias("feature"), place.alias("bin"), present(df, name).alias("present"))
+            )
+        rows = df.select(F.explode(F.array(*pairs)).alias("__b")).select("__b.*")
+        return rows.where("present").select("feature", "bin", F.lit(side).alias("side"))
+
     counted = (
-        counts.join(F.broadcast(edges), "feature")
-        .withColumn("bin", place)
+        binned(reference, REFERENCE)
+        .unionByName(binned(current, CURRENT))
         .groupBy("feature", "bin")
-        .agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+        .agg(*_per_side())
     )
-    every = edges.where(bins >= 1).select("feature", F.explode(F.sequence(F.lit(1), bins)).alias("bin"))
-    return (
-        every.join(counted.where(F.col("bin").isNotNull()), ["feature", "bin"], "left")
-        .fillna(0, ["n_ref", "n_cur"])
-        .unionByName(counted.where(F.col("bin").isNull()))
+    all_bins = [(name, i, 0, 0) for name, limits in edges.items() for i in range(1, len(limits))]
+    empty = reference.sparkSession.createDataFrame(all_bins, "feature string, bin int, n_ref bigint, n_cur bigint")
+    return counted.unionByName(empty).groupBy("feature", "bin").agg(
+        F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur")
     )
 
 
 def psi(
-    counts: DataFrame,
+    reference: DataFrame,
+    current: DataFrame,
+    features: Sequence[str],
     buckets: int = 10,
     floor: float = FLOOR,
     open_ends: bool = False,
     approximate: bool = False,
+    large: bool | None = None,
 ) -> DataFrame:
     """Population stability index per feature, with its band and the share left out.
 
     Shares below ``floor`` are raised to it, so that empty bins give a finite
     index. A constant reference has no bins and an index of 0.
     """
-    edges = quantile_edges(counts, buckets, approximate)
-    binned = bin_counts(counts, edges, open_ends, buckets + 1)
+    edges = quantile_edges(reference, features, buckets, approximate, large)
     inside = F.col("bin").isNotNull()
-    totals = binned.groupBy("feature").agg(
-        F.sum(F.when(inside, F.col("n_ref"))).alias("__ref"),
-        F.sum(F.when(inside, F.col("n_cur"))).alias("__cur"),
+    # A few rows per feature from here on.
+    binned = bin_counts(reference, current, edges, open_ends).groupBy("feature").agg(
+        F.collect_list(F.when(inside, F.struct("n_ref", "n_cur"))).alias("bins"),
+        F.coalesce(F.sum(F.when(inside, F.col("n_ref"))), F.lit(0)).alias("__ref"),
+        F.coalesce(F.sum(F.when(inside, F.col("n_cur"))), F.lit(0)).alias("__cur"),
         F.coalesce(F.sum(F.when(~inside, F.col("n_cur"))), F.lit(0)).alias("__out"),
     )
-    p = F.greatest(F.col("n_ref") / F.col("__ref"), F.lit(floor))
-    q = F.greatest(F.coalesce(F.try_divide("n_cur", "__cur"), F.lit(0.0)), F.lit(floor))
-    indexed = (
-        binned.where(inside)
-        .join(F.broadcast(totals), "feature")
-        .groupBy("feature")
-        .agg(
-            F.sum((q - p) * F.log(q / p)).alias("psi"),
-            F.first(F.try_divide("__out", F.col("__out") + F.col("__cur"))).alias("out_of_range"),
-        )
-    )
-    flat = edges.where(F.size("edges") < 2).select("feature")
-    result = indexed.unionByName(flat, allowMissingColumns=True).fillna(0.0, ["psi", "out_of_range"])
-    return result.withColumn("psi_band", band(F.col("psi"), [(0.1, "moderate"), (0.2, "significant")], "none"))
+
+    def share(count: Column, total: str) -> Column:
+        return F.greatest(F.coalesce(F.try_divide(count, F.col(total)), F.lit(0.0)), F.lit(floor))
+
+    def term(pair: Column) -> Column:
+        p, q = share(pair["n_ref"], "__ref"), share(pair["n_cur"], "__cur")
+        return (q - p) * F.log(q / p)
+
+    index = F.aggregate("bins", F.lit(0.0), lambda total, pair: total + term(pair))
+    flat = [name for name, limits in edges.items() if len(limits) < 2]
+    return binned.select(
+        "feature",
+        F.when(F.col("feature").isin(*flat), F.lit(0.0)).otherwise(index).alias("psi"),
+        F.coalesce(F.try_divide("__out", F.col("__out") + F.col("__cur")), F.lit(0.0)).alias("out_of_range"),
+    ).withColumn("psi_band", band(F.col("psi"), [(0.1, "moderate"), (0.2, "significant")], "none"))
 
 
 def profile(
@@ -325,11 +380,16 @@ def profile(
     rows = df.agg(F.array(*stats).alias("__rows")).select(F.explode("__rows").alias("__row")).select("__row.*")
     if not exact_distinct:
         return rows
-    distinct = (
-        long_form(df, features, as_text=True)
+    fractions = [f for f in features if isinstance(df.schema[f].dataType, (T.FloatType, T.DoubleType))]
+    others = [f for f in features if f not in fractions]
+    sets = [
+        long_form(df, names, as_text)
         .where(F.col("value").isNotNull())
         .distinct()
         .groupBy("feature")
         .agg(F.count(F.lit(1)).alias("unique_count"))
-    )
+        for names, as_text in ((fractions, False), (others, True))
+        if names
+    ]
+    distinct = reduce(DataFrame.unionByName, sets)
     return rows.drop("unique_count").join(distinct, "feature", "left").fillna(0, ["unique_count"])

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from .distribution import (
     CATEGORICAL_BELOW,
     chi_squared,
+    is_large,
     ks_p_value,
     ks_statistic,
     profile,
@@ -44,10 +45,11 @@ def feature_drift(
 
     scored = []
     if numeric:
+        large = is_large(reference, current)
         counts = side_counts(reference, current, numeric)
         scored.append(
             side_totals(counts)
-            .join(F.broadcast(ks_statistic(counts).select("feature", "ks")), "feature", "left")
+            .join(F.broadcast(ks_statistic(counts, large).select("feature", "ks")), "feature", "left")
             .join(F.broadcast(chi_squared(counts)), "feature", "left")
             .withColumn("categorical", F.col("ref_distinct") < categorical_below)
         )
@@ -139,7 +141,7 @@ def prediction_drift(
         )
 
     return (
-        ks_statistic(counts)
+        ks_statistic(counts, is_large(reference, current))
         .join(F.broadcast(moments(reference, "reference")), "feature")
         .join(F.broadcast(moments(current, "current")), "feature")
         .select(

@@ -308,6 +308,12 @@ def unexpired(df: DataFrame, column: str, now: Column) -> DataFrame:
 def personal_data_counts(df: DataFrame, text: str, by: Sequence[str] = ()) -> DataFrame:
     """Occurrences of each kind of personal data in whole texts, and texts holding any."""
     counts = {name: F.regexp_count(F.col(text), F.lit(pattern)) for name, pattern in PERSONAL_DATA.items()}
+    # Cheap tests first: no address without its sign, no number without digits.
+    counts["email"] = F.when(F.col(text).contains("@"), counts["email"]).otherwise(F.lit(0))
+    digits = F.col(text).rlike("[0-9][0-9][0-9][-. ][0-9]")
+    for name in ("phone", "ssn"):
+        counts[name] = F.when(digits, counts[name]).otherwise(F.lit(0))
+    counts["ipv4"] = F.when(F.col(text).rlike(r"[0-9]\.[0-9]"), counts["ipv4"]).otherwise(F.lit(0))
     found = df.withColumns(counts)
     some = reduce(lambda a, b: a | b, [F.col(name) > 0 for name in counts])
     return found.groupBy(*by).agg(

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1 / 8192
-HOT_FLOOR = 200_000
+HOT_FLOOR = 1_000_000
 
 SLOT = "__slot"
 CARRY_ORDER = -1
@@ -108,28 +108,29 @@ def running_totals(
     null. Slots must increase along the order.
     """
     terms = {f"__term_{name}": term for name, term in totals.items()}
-    rows = rows.withColumns({**terms, "__carry": F.lit(0)})
-    if hot:
-        per_slot = (
-            rows.where(F.col(slot).isNotNull())
-            .groupBy(*keys, slot)
-            .agg(*[F.sum(name).alias(name) for name in terms])
-        )
-        # One row per slot of a hot key: small whatever the size of the key.
-        before = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
-        carry = per_slot.select(
-            *keys,
-            slot,
-            *[F.sum(name).over(before).cast(rows.schema[name].dataType).alias(name) for name in terms],
-            F.lit(CARRY_ORDER).alias("__carry"),
-        )
-        rows = rows.unionByName(carry, allowMissingColumns=True)
+    rows = rows.withColumns(terms)
+    if not hot:
+        along = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumns({name: F.sum(f"__term_{name}").over(along) for name in totals}).drop(*terms)
+
+    per_slot = (
+        rows.where(F.col(slot).isNotNull()).groupBy(*keys, slot).agg(*[F.sum(name).alias(name) for name in terms])
+    )
+    # One row per slot of a hot key: small whatever the size of the key.
+    before = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_slot.select(
+        *keys,
+        slot,
+        *[F.sum(name).over(before).cast(rows.schema[name].dataType).alias(name) for name in terms],
+        F.lit(CARRY_ORDER).alias("__carry"),
+    )
+    rows = rows.withColumn("__carry", F.lit(0)).unionByName(carry, allowMissingColumns=True)
     along = Window.partitionBy(*keys, slot).orderBy("__carry", *order)
-    sums = {name: F.sum(f"__term_{name}").over(along) for name in totals}
-    result = rows.withColumns(sums)
-    if hot:
-        result = result.where(F.col("__carry") == 0)
-    return result.drop("__carry", *terms)
+    return (
+        rows.withColumns({name: F.sum(f"__term_{name}").over(along) for name in totals})
+        .where(F.col("__carry") == 0)
+        .drop("__carry", *terms)
+    )
 
 
 def row_numbers(

@@ -7,8 +7,10 @@ and *leaves* each of them one window length later, and one running sum over
 entries and departures yields every window in a single ordered pass. Windows are
 closed at both ends, and rows at one time count each other.
 
-Values are summed as decimals, so that what leaves a window cancels exactly what
-entered it and results do not depend on the order in which rows arrive.
+Values are summed as whole numbers, so that what leaves a window cancels exactly
+what entered it and results do not depend on the order in which rows arrive: a
+fractional value as its whole part and its fraction, in units of ``UNIT``. A sum
+beyond the range of a 64-bit number is an error, not a wrong result.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import safe_ratio
 from .timeline import SLOT, HotKeys, find_hot_keys, running_totals, with_slots
 
-EXACT = "decimal(28,10)"
+UNIT = 1e-9
 
 
 @dataclass(frozen=True)
@@ -46,27 +49,47 @@ def _micros(length: timedelta) -> int:
     return (length.days * 86400 + length.seconds) * 1_000_000 + length.microseconds
 
 
-def _exact(value: Column) -> Column:
-    value = value.cast("double")
-    return F.when(~F.isnan(value), value.try_cast(EXACT))
+def _whole_parts(value: Column, data_type: T.DataType) -> list[Column]:
+    """A value as whole numbers, and in the last place whether there is one."""
+    if isinstance(data_type, (T.BooleanType, T.IntegralType)):
+        return [value.cast("bigint"), _flag(value.isNotNull())]
+    number = value.cast("double")
+    number = F.when(~F.isnan(number), number)
+    whole = F.floor(number)
+    fraction = F.rint((number - whole) / UNIT).cast("bigint")
+    return [whole, fraction, _flag(number.isNotNull())]
 
 
 def _flag(condition: Column) -> Column:
     return F.coalesce(condition.cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def _parts(spec: Trailing) -> list[Column]:
-    """What a row adds to the window: one term, or two for quotients."""
+def _parts(spec: Trailing, df: DataFrame) -> list[Column]:
+    """The whole numbers that a row adds to the window."""
     one = F.lit(1).cast("bigint")
     if spec.kind == "count":
         return [one if spec.value is None else _flag(spec.value)]
     if spec.kind in ("sum", "avg"):
-        return [_exact(spec.value), _flag(_exact(spec.value).isNotNull())]
+        return _whole_parts(spec.value, df.select(spec.value.alias("v")).schema["v"].dataType)
     if spec.kind == "ratio":
         return [_flag(spec.value), one if spec.base is None else _flag(spec.base)]
     raise ValueError(f"unknown kind of trailing aggregate: {spec.kind}")
 
 
+def _result(spec: Trailing, totals: list[Column]) -> Column:
+    if spec.kind == "count":
+        return F.coalesce(totals[0], F.lit(0).cast("bigint"))
+    if spec.kind == "ratio":
+        return safe_ratio(*totals)
+    whole, *fraction, present = totals
+    total = whole.cast("double")
+    if fraction:
+        total = total + fraction[0] * F.lit(UNIT)
+    if spec.kind == "avg":
+        total = total / present
+    return F.when(present > 0, total)
+
+
 def trailing(
     df: DataFrame,
     keys: Sequence[str],
@@ -91,7 +114,7 @@ def trailing(
     columns: dict[str, list[str]] = {}
     for spec in specs:
         names = []
-        for number, term in enumerate(_parts(spec)):
+        for number, term in enumerate(_parts(spec, df)):
             text = f"{number}:{term}"
             names.append(parts.setdefault(text, (f"__p{len(parts)}", term))[0])
         columns[spec.name] = names
@@ -135,21 +158,10 @@ def trailing(
     if day_count:
         rows = _with_day_count(rows, folded, keys, ts, day_count, hot)
 
-    def total(spec: Trailing, part: int) -> Column:
-        name = columns[spec.name][part]
-        return F.col(f"__t{_micros(spec.length)}{name}")
-
-    outputs = []
-    for spec in specs:
-        if spec.kind == "count":
-            value = F.coalesce(total(spec, 0), F.lit(0).cast("bigint"))
-        elif spec.kind == "sum":
-            value = F.when(total(spec, 1) > 0, total(spec, 0).cast("double"))
-        elif spec.kind == "avg":
-            value = F.try_divide(total(spec, 0).cast("double"), total(spec, 1).cast("double"))
-        else:
-            value = safe_ratio(total(spec, 0), total(spec, 1))
-        outputs.append(value.alias(spec.name))
+    outputs = [
+        _result(spec, [F.col(f"__t{_micros(spec.length)}{name}") for name in columns[spec.name]]).alias(spec.name)
+        for spec in specs
+    ]
     day = [F.col(day_count)] if day_count else []
     return rows.select(*keys, ts, *extra, *day, *outputs)
 
@@ -165,7 +177,8 @@ def _with_day_count(
     """
     day = F.to_date(F.col(ts).cast("timestamp"))
     rows = rows.withColumn("__day", day)
-    rows = rows.withColumn(name, F.sum("__rows").over(Window.partitionBy(*keys, SLOT, "__day")))
+    slot = [SLOT] if hot else []
+    rows = rows.withColumn(name, F.sum("__rows").over(Window.partitionBy(*keys, *slot, "__day")))
     if not hot:
         return rows
     days = (

@@ -32,12 +32,18 @@ def _numeric_counts(spark: SparkSession, folder: str) -> DataFrame:
     return D.side_counts(*_sides(spark, folder), NUMERIC)
 
 
+def _large(spark: SparkSession, folder: str) -> bool:
+    return D.is_large(*_sides(spark, folder))
+
+
 def _text_counts(spark: SparkSession, folder: str) -> DataFrame:
     return D.side_counts(*_sides(spark, folder), TEXT, as_text=True)
 
 
 def drift_ks(spark: SparkSession, folder: str) -> DataFrame:
-    return D.ks_statistic(_numeric_counts(spark, folder)).select("feature", F.round("ks", 8).alias("ks"), "ref_rows", "cur_rows")
+    return D.ks_statistic(_numeric_counts(spark, folder), _large(spark, folder)).select(
+        "feature", F.round("ks", 8).alias("ks"), "ref_rows", "cur_rows"
+    )
 
 
 def drift_chi2(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,8 +52,8 @@ def drift_chi2(spark: SparkSession, folder: str) -> DataFrame:
 
 def drift_js(spark: SparkSession, folder: str) -> DataFrame:
     """Over categories, and over the reference's quantile bins for numbers."""
-    numeric = _numeric_counts(spark, folder)
-    bins = D.bin_counts(numeric, D.quantile_edges(numeric), open_ends=True)
+    reference, current = _sides(spark, folder)
+    bins = D.bin_counts(reference, current, D.quantile_edges(reference, NUMERIC), open_ends=True)
     return (
         D.jensen_shannon(_text_counts(spark, folder))
         .unionByName(D.jensen_shannon(bins))
@@ -56,14 +62,15 @@ def drift_js(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def drift_psi(spark: SparkSession, folder: str) -> DataFrame:
-    return D.psi(_numeric_counts(spark, folder)).select(
+    return D.psi(*_sides(spark, folder), NUMERIC).select(
         "feature", F.round("psi", 8).alias("psi"), F.round("out_of_range", 8).alias("out_of_range"), "psi_band"
     )
 
 
 def quantiles(spark: SparkSession, folder: str) -> DataFrame:
     """Exact deciles of the reference side, one row each."""
-    found = D.exact_quantiles(_numeric_counts(spark, folder), [i / 10 for i in range(11)])
+    grid = [i / 10 for i in range(11)]
+    found = D.exact_quantiles(_numeric_counts(spark, folder), grid, large=_large(spark, folder))
     return found.select("feature", F.posexplode("quantiles").alias("decile", "value")).withColumn(
         "value", F.round("value", 6)
     )

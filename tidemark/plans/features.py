@@ -82,7 +82,7 @@ def rider_rates(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.col("event_type")
     specs = [
         Trailing("rider_avg_rating", MONTH, "avg", F.col("value")),
-        Trailing("rider_cancellation_rate_7d", WEEK, "avg", (kind == "error").cast("double")),
+        Trailing("rider_cancellation_rate_7d", WEEK, "avg", kind == "error"),
         Trailing("acceptance_rate_7d", WEEK, "ratio", kind == "purchase", kind.isin("view", "purchase")),
     ]
     rows = trailing(rides(spark, folder), ["rider_id"], "event_timestamp", specs)

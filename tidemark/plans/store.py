@@ -24,6 +24,7 @@ from ..features.store import (
 )
 from ..functions import haversine_km
 from ..operators.asof import asof_join, latest, lookup
+from ..operators.timeline import HotKeys, find_hot_keys
 from ..session import shared_dir
 from ..sources.snapshots import SnapshotTable
 from .tables import (
@@ -98,13 +99,23 @@ def _views(spark: SparkSession, folder: str) -> dict[str, FeatureView]:
         F.when(priority == "1-URGENT", "heavy").when(priority == "5-LOW", "light").alias("traffic_level"),
         F.when(F.col("o_orderstatus") == "F", "fog").otherwise("clear").alias("weather_condition"),
     )
+    # Looked for in the tables that entities and features come from, not in what is
+    # computed from them. A trip has one row.
+    entities = _entities(spark, folder)
+    hot_riders = _hot(entities, orders.select(F.col("o_custkey").alias("rider_id"), "event_timestamp"), "rider_id")
+    hot_drivers = _hot(entities, activity, "driver_id")
     return {
-        "rider_features": RIDER_VIEW.over(riders),
-        "driver_features": DRIVER_VIEW.over(drivers),
-        "trip_features": TRIP_VIEW.over(trips),
+        "rider_features": RIDER_VIEW.over(riders, hot_riders),
+        "driver_features": DRIVER_VIEW.over(drivers, hot_drivers),
+        "trip_features": TRIP_VIEW.over(trips, HotKeys()),
     }
 
 
+def _hot(entities: DataFrame, activity: DataFrame, key: str) -> HotKeys:
+    times = entities.select(key, "event_timestamp").unionByName(activity.select(key, "event_timestamp"))
+    return find_hot_keys(times, [key], F.unix_micros("event_timestamp"))
+
+
 def _entities(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("trip_id"),

@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.asof import latest
+from ..session import path_exists
 
 BUCKET = "__bucket"
 
@@ -39,12 +39,10 @@ class SnapshotTable:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def _commits(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("bucket int, data_version bigint, version bigint").parquet(
-                f"{self.root}/commits"
-            )
-        except AnalysisException:
+        folder = f"{self.root}/commits"
+        if not path_exists(self.spark, folder):
             return None
+        return self.spark.read.schema("bucket int, data_version bigint, version bigint").parquet(folder)
 
     def _layout(self, before: int | None = None) -> dict[int, int]:
         """Bucket -> version of the last commit. One row per bucket."""
