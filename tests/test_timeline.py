@@ -8,9 +8,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import timeline
 from tidemark.operators.asof import asof_join, latest, lookup
-from tidemark.operators.timeline import find_hot_keys, next_in_time, row_numbers
+from tidemark.operators.timeline import SLOT, find_hot_keys, next_in_time, row_numbers, with_slots
 from tidemark.operators.trailing import Trailing, trailing
 
 START = datetime(2024, 1, 1)
@@ -33,16 +32,13 @@ def make_events(seed: int, rows: int = 400):
 
 
 @pytest.fixture(params=["cold", "hot"])
-def heat(request, monkeypatch):
-    """Run with the real threshold, and with one that makes the large key hot."""
-    if request.param == "hot":
-        monkeypatch.setattr(timeline, "find_hot_keys", None)
-        return dict(share=0.05, floor=40)
-    return dict()
+def heat(request):
+    """Run with the real threshold, and with one that makes the large keys hot."""
+    return dict(share=0.05, floor=20) if request.param == "hot" else dict()
 
 
-def hot_for(df, heat, ts="ts", keys=("k",)):
-    found = find_hot_keys(df, list(keys), F.unix_micros(ts), **heat)
+def hot_for(df, heat, shifts=(0,)):
+    found = find_hot_keys(df, ["k"], F.unix_micros("ts"), shifts, **heat)
     assert bool(found) == bool(heat)
     return found
 
@@ -57,7 +53,8 @@ def test_trailing_matches_brute_force(spark, heat):
         Trailing("a5", timedelta(days=5), "avg", F.col("v")),
         Trailing("r5", timedelta(days=5), "ratio", F.col("ok")),
     ]
-    got = trailing(df, ["k"], "ts", specs, day_count="today", hot=hot_for(df, heat)).collect()
+    hot = hot_for(df, heat, [0, *(days * 86_400_000_000 for days in (2, 5))])
+    got = trailing(df, ["k"], "ts", specs, day_count="today", hot=hot).collect()
     assert len(got) == len({(k, ts) for k, ts, *_ in data})
     for row in got:
         def frame(days):
@@ -150,6 +147,20 @@ def test_latest_and_lookup(spark):
     assert {(r.k, r.f) for r in got.collect()} == {("a", 3), ("b", None), ("c", None), (None, None)}
 
 
+def test_slots_of_a_burst_are_even(spark):
+    """Nine tenths of a hot key's rows fall into an hour of a month."""
+    rows = [("a", START + timedelta(seconds=4 * i)) for i in range(900)]
+    rows += [("a", START + timedelta(hours=7 * i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp")
+    axis = F.unix_micros("ts")
+    week = 7 * 86_400_000_000
+    hot = find_hot_keys(df, ["k"], axis, [0, week], share=0.05, floor=50)
+    moves = df.withColumn("at", F.explode(F.array(axis, axis + week))).where(F.col("at") <= axis + week)
+    moves = with_slots(moves, ["k"], F.col("at"), hot, unseen=F.col("at") > axis)
+    sizes = [r["count"] for r in moves.groupBy(SLOT).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 3 * sum(sizes) / len(sizes)
+
+
 def test_hot_keys_are_few_and_optional(spark):
     df = spark.range(1000).select((F.col("id") % 10).alias("k"), F.col("id").alias("at"))
     assert not find_hot_keys(df, ["k"], F.col("at"))

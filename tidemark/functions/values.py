@@ -45,3 +45,17 @@ def band(value: Column, steps: Sequence[tuple[float, str]], below: str, strict:
         reached = value > limit if strict else value >= limit
         result = F.when(reached, F.lit(label)).otherwise(result)
     return result
+
+
+def edges_below(edges: Column, value: Column, longest: int) -> Column:
+    """How many of the sorted ``edges``, ``longest`` at most, are below a value.
+
+    A binary search: an array of hundreds of edges costs a few comparisons a row.
+    """
+    steps = [1 << bit for bit in reversed(range(longest.bit_length()))]
+
+    def step(found: Column, width: Column) -> Column:
+        below = F.coalesce(F.get(edges, found + width - 1) < value, F.lit(False))
+        return F.when(below, found + width).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(w) for w in steps]), F.lit(0), step)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import band
+from ..functions.values import band, edges_below
 from .timeline import running_totals
 
 CUTS = 512
@@ -96,20 +96,6 @@ def side_counts(
     )
 
 
-def edges_below(edges: str, value: Column, longest: int) -> Column:
-    """How many of the sorted ``edges``, ``longest`` at most, are below a value.
-
-    A binary search: an array of hundreds of edges costs a few comparisons a row.
-    """
-    steps = [1 << bit for bit in reversed(range(longest.bit_length()))]
-
-    def step(found: Column, width: Column) -> Column:
-        below = F.coalesce(F.get(F.col(edges), found + width - 1) < value, F.lit(False))
-        return F.when(below, found + width).otherwise(found)
-
-    return F.aggregate(F.array(*[F.lit(w) for w in steps]), F.lit(0), step)
-
-
 def side_totals(counts: DataFrame) -> DataFrame:
     """Rows and distinct values of each feature: one row per feature."""
     return counts.groupBy("feature").agg(
@@ -139,7 +125,7 @@ def cumulative(counts: DataFrame, columns: Sequence[str], large: bool = True) ->
     )
     cut = (
         counts.join(F.broadcast(edges), "feature")
-        .withColumn("__cut", edges_below("__edges", F.col("value"), CUTS).cast("bigint"))
+        .withColumn("__cut", edges_below(F.col("__edges"), F.col("value"), CUTS).cast("bigint"))
         .drop("__edges")
     )
     return running_totals(cut, ["feature"], [F.col("value")], totals, True, "__cut").drop("__cut")

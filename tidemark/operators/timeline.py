@@ -8,7 +8,9 @@ depend on which keys are hot or on how their time lines are cut.
 
 A key is hot when it holds more than ``HOT_SHARE`` of the rows, so there are at
 most ``1 / HOT_SHARE`` hot keys: a bound that does not grow with the data, which
-is what allows them to be collected and broadcast.
+is what allows them to be collected and broadcast. Slots are cut at approximate
+quantiles of a hot key's own times, so they hold similar numbers of rows however
+its activity is spread.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1 / 8192
+from ..functions.values import edges_below
+
+HOT_SHARE = 1 / 4096
 HOT_FLOOR = 1_000_000
+MOST_CUTS = 1024
 
 SLOT = "__slot"
 CARRY_ORDER = -1
@@ -28,70 +33,83 @@ CARRY_ORDER = -1
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Hot keys with the start of their time line and the width of their slots.
+    """Hot keys with the last position on their time line and the edges of their slots.
 
     ``table`` is None when no key is hot.
     """
 
     table: DataFrame | None = None
     rows: int = 0
+    cuts: int = 0
 
     def __bool__(self) -> bool:
         return self.table is not None
 
 
+def _same_key(keys: Sequence[str], prefix: str) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys]
+
+
 def find_hot_keys(
     df: DataFrame,
     keys: Sequence[str],
     axis: Column,
+    shifts: Sequence[int] = (0,),
     share: float = HOT_SHARE,
     floor: int = HOT_FLOOR,
 ) -> HotKeys:
     """Keys with more than ``max(floor, share * rows)`` rows, and slots for each.
 
-    ``axis`` is the integer position of a row on its key's time line. Slots are
-    as wide as it takes for a hot key to have about that many rows in each if
-    they are spread evenly.
+    ``axis`` is the integer position of a row on its key's time line. ``shifts``
+    are the distances from it at which the row is going to be placed. A table
+    with no more than ``floor`` rows costs a count, one without hot keys a count
+    per key, and only the rows of hot keys are read a third time.
     """
     total = df.count()
     limit = max(floor, int(share * total))
     if total <= limit:
         return HotKeys()
+    rows = df.select(*keys, axis.alias("__axis"))
     hot = (
-        df.select(*keys, axis.alias("__axis"))
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("__rows"),
-            F.min("__axis").alias("__from"),
-            F.max("__axis").alias("__to"),
-        )
+        rows.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__rows"), F.max("__axis").alias("__to"))
         .where(F.col("__rows") > limit)
-        .withColumn("__slots", F.ceil(F.col("__rows") / F.lit(limit)))
-        .withColumn(
-            "__width",
-            F.greatest(F.lit(1), F.ceil((F.col("__to") - F.col("__from") + 1) / F.col("__slots"))).cast("bigint"),
-        )
-        .select(*keys, "__from", "__width")
     )
     # Fewer than total / limit <= 1 / share rows: safe on the driver and to broadcast.
     found = hot.collect()
     if not found:
         return HotKeys()
-    return HotKeys(df.sparkSession.createDataFrame(found, hot.schema), len(found))
+    spark = df.sparkSession
+    small = spark.createDataFrame(found, hot.schema).select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__to")
+    cuts = min(MOST_CUTS, -(-max(r["__rows"] for r in found) * len(shifts) // limit))
+    places = F.array(*[(F.col("__axis") + F.lit(s)).cast("bigint") for s in shifts])
+    edges = (
+        rows.join(F.broadcast(small), _same_key(keys, "__h_"))
+        .select(*keys, "__to", F.explode(places).alias("__at"))
+        .where(F.col("__at") <= F.col("__to"))
+        .groupBy(*keys, "__to")
+        .agg(F.approx_percentile("__at", [i / (cuts + 1) for i in range(1, cuts + 1)]).alias("__edges"))
+        .withColumn("__edges", F.array_sort(F.array_distinct("__edges")))
+    )
+    return HotKeys(spark.createDataFrame(edges.collect(), edges.schema), len(found), cuts)
 
 
-def with_slots(df: DataFrame, keys: Sequence[str], axis: Column, hot: HotKeys) -> DataFrame:
-    """Add the slot of each row; the one slot of a key that is not hot is null."""
+def with_slots(
+    df: DataFrame, keys: Sequence[str], axis: Column, hot: HotKeys, unseen: Column | None = None
+) -> DataFrame:
+    """Add the slot of each row; the one slot of a key that is not hot is null.
+
+    Rows marked ``unseen`` matter only to rows after them: those placed behind
+    the end of a hot key's time line are dropped.
+    """
     if not hot:
         return df.withColumn(SLOT, F.lit(None).cast("bigint"))
-    small = hot.table.select(*[F.col(k).alias(f"__hot_{k}") for k in keys], "__from", "__width")
-    same_key = [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys]
-    slot = F.floor((axis - F.col("__from")) / F.col("__width")).cast("bigint")
-    return (
-        df.join(F.broadcast(small), same_key, "left")
-        .withColumn(SLOT, slot)
-        .drop(*small.columns)
-    )
+    small = hot.table.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__to", "__edges")
+    slot = F.when(F.col("__edges").isNotNull(), edges_below(F.col("__edges"), axis, hot.cuts).cast("bigint"))
+    joined = df.join(F.broadcast(small), _same_key(keys, "__h_"), "left")
+    if unseen is not None:
+        joined = joined.where(~F.coalesce(unseen & (axis > F.col("__to")), F.lit(False)))
+    return joined.withColumn(SLOT, slot).drop(*small.columns)
 
 
 def running_totals(

@@ -106,8 +106,9 @@ def trailing(
     ``day_count`` names a further column: the rows of the same key and UTC day.
     """
     axis = F.unix_micros(F.col(ts).cast("timestamp"))
+    lengths = sorted({_micros(s.length) for s in specs})
     if hot is None:
-        hot = find_hot_keys(df, keys, axis)
+        hot = find_hot_keys(df, keys, axis, [0, *lengths])
 
     # Equal rows are folded before the shuffle, so repeats of one instant cost nothing.
     parts: dict[str, Column] = {}
@@ -127,7 +128,6 @@ def trailing(
         )
     )
 
-    lengths = sorted({_micros(s.length) for s in specs})
     enter, probe, leave = 0, 1, 2
     if include_current:
         # An entering row also reads the sums: it sees its peers.
@@ -144,7 +144,7 @@ def trailing(
         .withColumns({"__at": F.col("__axis") + F.col("__move.shift"), "__step": F.col("__move.step"), "__shift": F.col("__move.shift")})
         .drop("__axis", "__move")
     )
-    moves = with_slots(moves, keys, F.col("__at"), hot)
+    moves = with_slots(moves, keys, F.col("__at"), hot, unseen=F.col("__step") == leave)
 
     totals: dict[str, Column] = {}
     for spec in specs:

@@ -56,18 +56,28 @@ def match_trips(
     end_ts: str,
     within: str,
     delay: str = WATERMARK,
+    salts: int = 8,
 ) -> DataFrame:
-    """Starts joined with ends of the same trip at most ``within`` later.
+    """Ends joined with the start of the same trip at most ``within`` before.
 
-    The time bound lets a stream forget starts that can no longer be matched.
+    A trip has one start, of which repeats are dropped, so there is at most one
+    row per end. The time bound lets a stream forget starts that can no longer be
+    matched. The ends of one trip are spread over ``salts`` groups, each with a
+    copy of the start.
     """
-    left = starts.withWatermark(start_ts, delay).alias("s")
-    right = ends.withWatermark(end_ts, delay).alias("e")
+    first = starts.withWatermark(start_ts, delay)
+    first = first.dropDuplicatesWithinWatermark([key]) if starts.isStreaming else first.dropDuplicates([key])
+    left = first.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("s")
+    spread = F.pmod(F.xxhash64(*ends.columns), F.lit(salts)).cast("int")
+    right = ends.withWatermark(end_ts, delay).withColumn("__salt", spread).alias("e")
+    same = (F.col(f"s.{key}") == F.col(f"e.{key}")) & (F.col("s.__salt") == F.col("e.__salt"))
     bound = (F.col(f"e.{end_ts}") >= F.col(f"s.{start_ts}")) & (
         F.col(f"e.{end_ts}") <= F.col(f"s.{start_ts}") + F.expr(f"INTERVAL {within}")
     )
-    joined = left.join(right, (F.col(f"s.{key}") == F.col(f"e.{key}")) & bound)
-    return joined.select("s.*", *[F.col(f"e.{c}") for c in ends.columns if c != key])
+    joined = left.join(right, same & bound)
+    return joined.select(
+        *[F.col(f"s.{c}") for c in starts.columns], *[F.col(f"e.{c}") for c in ends.columns if c != key]
+    )
 
 
 def running_counts(

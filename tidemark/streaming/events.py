@@ -135,9 +135,19 @@ def trip_entities(trips: DataFrame) -> DataFrame:
     )
 
 
-def once(stream: DataFrame, key: str, ts: str, delay: str = WATERMARK) -> DataFrame:
-    """Drop repeats of an event id that arrive within the watermark."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def once(
+    stream: DataFrame, key: str, ts: str, delay: str = WATERMARK, spread: Column | None = None
+) -> DataFrame:
+    """Drop repeats of an event id that arrive within the watermark.
+
+    If one id may be repeated very often, ``spread`` (say, a hash of the row's
+    origin into a few values) first drops repeats among rows of one value, so
+    that few rows of the id are left to meet in one task.
+    """
+    watched = stream.withWatermark(ts, delay)
+    if spread is not None:
+        watched = watched.withColumn("__spread", spread).dropDuplicatesWithinWatermark([key, "__spread"]).drop("__spread")
+    return watched.dropDuplicatesWithinWatermark([key])
 
 
 def online_rows(features: DataFrame, entity_type: str, key: str, ts: str, ttl: Column) -> DataFrame:
