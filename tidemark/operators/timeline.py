@@ -88,7 +88,7 @@ def find_hot_keys(
         .select(*keys, "__to", F.explode(places).alias("__at"))
         .where(F.col("__at") <= F.col("__to"))
         .groupBy(*keys, "__to")
-        .agg(F.approx_percentile("__at", [i / (cuts + 1) for i in range(1, cuts + 1)]).alias("__edges"))
+        .agg(F.approx_percentile("__at", [i / (cuts + 1) for i in range(1, cuts + 1)], 10 * cuts).alias("__edges"))
         .withColumn("__edges", F.array_sort(F.array_distinct("__edges")))
     )
     return HotKeys(spark.createDataFrame(edges.collect(), edges.schema), len(found), cuts)
