@@ -166,3 +166,26 @@ def test_orphans_and_coordinates(spark):
     points = spark.createDataFrame([(0.0, 0.0), (90.0, 180.0), (90.1, 0.0), (0.0, -181.0), (None, 0.0)], "a double, b double")
     got = [r.v for r in points.select(Q.valid_coordinates(F.col("a"), F.col("b")).alias("v")).collect()]
     assert got == [True, True, False, False, False]
+
+
+def test_promotion_and_rollback(spark):
+    passed = spark.createDataFrame([("m", "3")], "model_name string, version string")
+    log = spark.createDataFrame(
+        [("m", "1", "Production", T0, 0, False), ("m", "2", "Production", T0 + DAY, 0, False)],
+        "model_name string, version string, stage string, ts timestamp, seq bigint, archive_existing boolean",
+    )
+    assert [r.version for r in G.previous_production(log).collect()] == ["1"]
+    log = log.unionByName(G.promotion_events(passed, F.lit(T0 + 2 * DAY)))
+    assert {r.version: r.stage for r in G.stage_state(log).collect()} == {"1": "Archived", "2": "Archived", "3": "Production"}
+    assert [r.version for r in G.previous_production(log).collect()] == ["2"]
+
+
+def test_approval_events_and_all_metrics(spark):
+    ids = spark.createDataFrame([("a1", T0)], "i string, t timestamp")
+    ask = ids.select(*G.approval_event("requested", F.col("i"), F.col("t"), F.lit("ann"), model_name=F.lit("m"), stage=F.lit("production")))
+    yes = ids.select(*G.approval_event("approved", F.col("i"), F.col("t") + F.lit(DAY), F.lit("bob"), F.lit("fine")))
+    row = G.approval_state(ask.unionByName(yes)).first()
+    assert (row.status, row.approved_by, row.comments, row.model_name, row.stage) == ("approved", "bob", "fine", "m", "production")
+    with pytest.raises(ValueError):
+        G.approval_event("shipped", F.lit("i"), F.lit(T0), F.lit("u"))
+    assert G.compare_runs(runs(spark)).columns == ["run_id", "run_name", "start_time", "accuracy", "loss"]

@@ -161,3 +161,27 @@ def test_preferred_type_ties_and_nulls(spark):
     assert {r.rider_id: r.preferred_type for r in batch.preferred_type(trips, "rider_id", "kind").collect()} == {"r": "sedan", "t": "suv"}
     early = batch.preferred_type(trips, "rider_id", "kind", "ts", F.lit(2))
     assert {r.rider_id: r.preferred_type for r in early.collect()} == {"r": "suv", "t": "suv"}
+
+
+def test_daily_job_reads_its_history_and_stops_on_bad_data(spark):
+    from tidemark.features.daily import HISTORY, check_day, read_history, run_day
+    from tidemark.operators.quality import QualityError, between
+
+    root = shared_dir(spark, "daily")
+    days = [T0 + timedelta(days=d, hours=1) for d in range(0, 40, 2)]
+    rows = spark.createDataFrame([("r", t) for t in days], "rider_id string, event_timestamp timestamp")
+    rows = rows.withColumn("ds", F.to_date("event_timestamp"))
+    writers.append_days(rows, f"{root}/in")
+    day = days[-1].date()
+    compute = lambda df: batch.rider_features(df)
+    seen = run_day(spark, f"{root}/in", f"{root}/out", rows.schema, day, compute)
+    assert check_day(seen) == 1
+    row = spark.read.parquet(f"{root}/out").first()
+    assert (row.rider_trips_7d, row.rider_trips_30d, row.ds) == (4, 16, day)
+    history = read_history(spark, f"{root}/in", rows.schema, day, HISTORY)
+    assert history.count() == 16
+    bad = run_day(spark, f"{root}/in", f"{root}/out", rows.schema, day, compute, expectations=[between("rider_trips_30d", 0, 3)])
+    with pytest.raises(QualityError):
+        check_day(bad)
+
+

@@ -136,6 +136,19 @@ def test_asof_edges(spark):
     assert got == {1: 1, 2: 2, 3: None, 4: None, 5: None, 6: 1, 7: None, 8: None, 9: None}
 
 
+def test_asof_reads_only_what_labels_can_see(spark, tmp_path):
+    features = spark.createDataFrame([("a", START + i * HOUR, i) for i in range(100)], "k string, fts timestamp, f int")
+    features.write.parquet(str(tmp_path / "f"))
+    stored = spark.read.parquet(str(tmp_path / "f"))
+    labels = spark.createDataFrame([("a", START + 50 * HOUR)], "k string, ts timestamp")
+    joined = asof_join(labels, stored, ["k"], "ts", "fts", ["f"], timedelta(hours=3))
+    assert joined.collect()[0].f == 50
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(fts" in plan.replace("...l(fts", "GreaterThanOrEqual(fts") and "fts,2024-01-02 23:00:00" in plan
+    none = asof_join(labels.limit(0), stored, ["k"], "ts", "fts", ["f"], timedelta(hours=3))
+    assert none.collect() == []
+
+
 def test_latest_and_lookup(spark):
     rows = [("a", START, 1), ("a", START + HOUR, 2), ("a", START + HOUR, 3), ("b", START, None)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, f int")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..operators.asof import asof_join, latest, lookup
+from ..operators.asof import asof_join, latest, lookup, time_range
 from ..operators.quality import schema_differences
 from ..operators.timeline import HotKeys, find_hot_keys
 from ..session import path_exists
@@ -111,6 +111,7 @@ def historical_features(
     null columns.
     """
     wanted = _wanted(service, entities.columns, full_names)
+    asked_between = time_range(entities, ts)
     result = entities
     for view_name, _ in service.parts:
         view = views[view_name]
@@ -132,6 +133,7 @@ def historical_features(
                 view.ttl,
                 "__created" if view.created_col else None,
                 hot=_hot_keys(entities, ts, view) if view.hot is None else view.hot,
+                asked_between=asked_between,
             )
         else:
             result = result.withColumns(_nulls(view, pairs))

@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from .timeline import SLOT, HotKeys, find_hot_keys, with_slots
 
 
+def time_range(df: DataFrame, ts: str) -> tuple[int, int] | None:
+    """The least and the greatest time in microseconds, or None if there is none."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    found = df.agg(F.min(at).alias("first"), F.max(at).alias("last")).first()
+    return None if found["first"] is None else (found["first"], found["last"])
+
+
 def asof_join(
     labels: DataFrame,
     features: DataFrame,
@@ -22,6 +29,7 @@ def asof_join(
     created: str | None = None,
     feature_ts_as: str | None = None,
     hot: HotKeys | None = None,
+    asked_between: tuple[int, int] | None = None,
 ) -> DataFrame:
     """All label rows, each with the latest feature row of its key at or before its time.
 
@@ -31,8 +39,15 @@ def asof_join(
     stay null. ``feature_ts_as`` also returns the time of the chosen row.
 
     Both sides go through one shuffle on the key, as one union, and one ordered
-    pass that remembers the last feature row.
+    pass that remembers the last feature row. With a ``ttl`` only feature rows
+    that some label can see are read: ``asked_between`` is the range of label
+    times (see :func:`time_range`), which is looked up if not given.
     """
+    if ttl is not None and asked_between is None:
+        asked_between = time_range(labels, label_ts)
+    if ttl is not None and asked_between is not None:
+        first, last = (F.timestamp_micros(F.lit(t)) for t in asked_between)
+        features = features.where(F.col(feature_ts).between(first - F.lit(ttl), last))
     chosen = F.struct(*[F.col(c) for c in columns])
     newest = F.max_by(chosen, F.struct(F.col(created), chosen)) if created else F.max(chosen)
     known = (

@@ -83,6 +83,35 @@ def approval_state(log: DataFrame) -> DataFrame:
     )
 
 
+def approval_event(
+    event: str,
+    approval_id: Column,
+    ts: Column,
+    user_id: Column,
+    comments: Column | None = None,
+    model_name: Column | None = None,
+    model_version: Column | None = None,
+    stage: Column | None = None,
+    seq: Column | None = None,
+) -> list[Column]:
+    """The columns of a row of the approval log; a decision need not repeat the model.
+
+    ``seq`` orders events of one time.
+    """
+    if event not in ("requested", "approved", "rejected", "revoked"):
+        raise ValueError(f"unknown approval event: {event}")
+    nothing = F.lit(None).cast("string")
+    texts = {"comments": comments, "model_name": model_name, "model_version": model_version, "stage": stage}
+    return [
+        approval_id.alias("approval_id"),
+        F.lit(event).alias("event"),
+        ts.alias("ts"),
+        (F.lit(0) if seq is None else seq).cast("bigint").alias("seq"),
+        user_id.alias("user_id"),
+        *[(nothing if c is None else c).alias(name) for name, c in texts.items()],
+    ]
+
+
 def by_id(df: DataFrame, column: str, value: object) -> DataFrame:
     """The row of an id: a filter that reaches the scan, and one row at most."""
     return df.where(F.col(column) == value).limit(1)
@@ -118,6 +147,32 @@ def stage_state(log: DataFrame) -> DataFrame:
     )
 
 
+def promotion_events(
+    passed: DataFrame, ts: Column, stage: str = "Production", archive_existing: bool = True
+) -> DataFrame:
+    """Stage-log rows that promote the (model_name, version) of each given row."""
+    return passed.select(
+        "model_name",
+        "version",
+        F.lit(stage).alias("stage"),
+        ts.alias("ts"),
+        F.lit(0).cast("bigint").alias("seq"),
+        F.lit(archive_existing).alias("archive_existing"),
+    )
+
+
+def previous_production(log: DataFrame) -> DataFrame:
+    """The version of each model to roll back to: in Production before the current one."""
+    entered = (
+        log.where(F.col("stage") == "Production")
+        .groupBy("model_name", "version")
+        .agg(F.max(F.struct("ts", "seq")).alias("at"))
+    )
+    last = entered.groupBy("model_name").agg(F.max(F.struct("at", "version")).alias("last"))
+    earlier = entered.join(last, "model_name").where(F.struct("at", "version") < F.col("last"))
+    return earlier.groupBy("model_name").agg(F.max_by("version", F.struct("at", "version")).alias("version"))
+
+
 def in_production(state: DataFrame) -> DataFrame:
     """The version of each model that reached Production last."""
     live = state.where(F.col("stage") == "Production")
@@ -172,10 +227,16 @@ def best_run(runs: DataFrame, metric: str, ascending: bool = False, by: Sequence
 
 
 def compare_runs(
-    runs: DataFrame, metrics: Sequence[str], run_ids: Sequence[str] | None = None
+    runs: DataFrame, metrics: Sequence[str] | None = None, run_ids: Sequence[str] | None = None
 ) -> DataFrame:
-    """One row per run with a column per metric; a metric the run lacks is null."""
+    """One row per run with a column per metric; a metric the run lacks is null.
+
+    Without ``metrics`` the names in use among the runs become the columns, which
+    takes a pass of its own.
+    """
     chosen = runs if run_ids is None else runs.where(F.col("run_id").isin(*run_ids))
+    if metrics is None:
+        metrics = sorted(row["metric"] for row in metric_names(chosen).collect())
     return chosen.select(
         "run_id",
         "run_name",
@@ -234,6 +295,50 @@ def audit_event(
     ]
 
 
+def training_start_event(
+    ts: Column, model_name: Column, model_version: Column, dataset_id: Column, user_id: Column, **more: Column
+) -> list[Column]:
+    details = {"dataset_id": dataset_id, **more}
+    kind, action = F.lit("model_training_start"), F.lit("train_model")
+    return audit_event(kind, ts, user_id, action, model_name, model_version, details)
+
+
+def deployment_event(
+    ts: Column,
+    model_name: Column,
+    model_version: Column,
+    environment: Column,
+    deployed_by: Column,
+    approval_id: Column | None = None,
+    **more: Column,
+) -> list[Column]:
+    details = {"environment": environment, **more}
+    if approval_id is not None:
+        details["approval_id"] = approval_id
+    kind, action = F.lit("model_deployment"), F.lit("deploy_model")
+    return audit_event(kind, ts, deployed_by, action, model_name, model_version, details)
+
+
+def data_access_event(
+    ts: Column, dataset_id: Column, user_id: Column, access_type: Column, purpose: Column, **more: Column
+) -> list[Column]:
+    details = {"dataset_id": dataset_id, "purpose": purpose, **more}
+    return audit_event(F.lit("data_access"), ts, user_id, access_type, details=details)
+
+
+def prediction_event(
+    ts: Column,
+    model_name: Column,
+    model_version: Column,
+    request_id: Column,
+    features_hash: Column,
+    user_id: Column,
+    **more: Column,
+) -> list[Column]:
+    details = {"request_id": request_id, "features_hash": features_hash, **more}
+    return audit_event(F.lit("prediction_request"), ts, user_id, F.lit("predict"), model_name, model_version, details)
+
+
 def audit_trail(
     logs: DataFrame,
     model_name: str | None = None,

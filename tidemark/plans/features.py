@@ -27,11 +27,14 @@ from ..functions.values import (
     WEATHER_DEFAULT,
     ordinal,
 )
+from ..features.daily import check_day, run_day
+from ..operators.asof import latest
 from ..operators.distribution import value_counts
+from ..operators.quality import between, not_null
 from ..operators.trailing import Trailing, trailing
 from ..session import shared_dir
 from ..sources.readers import daily_extract, read_day
-from ..sources.writers import write_days
+from ..sources.writers import append_days, write_days
 from .tables import (
     SQL_TIME,
     drives,
@@ -49,6 +52,7 @@ from .tables import (
 )
 
 DAY = date(1997, 5, 28)
+JOB_DAYS = (date(2024, 1, 25), date(2024, 1, 26))
 
 
 def rider_features_daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -361,6 +365,42 @@ def features_daily_overwrite(spark: SparkSession, folder: str) -> DataFrame:
     return one_month.unionByName(rest)
 
 
+def daily_job(spark: SparkSession, folder: str) -> DataFrame:
+    """Two days of rider features, each from its own month of partitions, then materialized."""
+    root = shared_dir(spark, "job")
+    activity = rides(spark, folder).withColumn("ds", F.to_date("event_timestamp"))
+    append_days(activity, f"{root}/activity")
+
+    def compute(rows: DataFrame) -> DataFrame:
+        features = rider_features(rows, fare=F.col("value"))
+        return features.withColumn("rider_avg_fare_30d", F.round("rider_avg_fare_30d", 8))
+
+    rules = [not_null("rider_id"), between("is_peak_hour", 0, 1)]
+    for day in JOB_DAYS:
+        check_day(run_day(spark, f"{root}/activity", f"{root}/features", activity.schema, day, compute, expectations=rules))
+    written = spark.read.parquet(f"{root}/features")
+    newest = latest(written, ["rider_id"], "event_timestamp")
+    return newest.select(
+        "rider_id",
+        text_time("event_timestamp").alias("event_timestamp"),
+        "rider_trips_7d",
+        "rider_trips_30d",
+        "rider_avg_fare_30d",
+        "day_of_week",
+    )
+
+
+DAILY_JOB_SQL = f"""
+    WITH f AS (
+        SELECT user_id, ts, count(*) OVER w7 AS n7, count(*) OVER w30 AS n30, avg(value) OVER w30 AS fare FROM events
+        WINDOW w7 AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW),
+               w30 AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW))
+    SELECT user_id AS rider_id, strftime(ts, {SQL_TIME}) AS event_timestamp, n7 AS rider_trips_7d, n30 AS rider_trips_30d,
+           round(fare, 8) AS rider_avg_fare_30d, (isodow(ts) - 1)::INT AS day_of_week
+    FROM f WHERE ts::DATE IN ({", ".join(f"DATE '{d}'" for d in JOB_DAYS)})
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"""
+
+
 QUERIES = {
     "rider_features_daily": rider_features_daily,
     "rider_rates": rider_rates,
@@ -375,6 +415,7 @@ QUERIES = {
     "categorical_encode": categorical_encode,
     "daily_extract": daily_extract_query,
     "features_daily_overwrite": features_daily_overwrite,
+    "daily_job": daily_job,
     "value_counts": lambda spark, folder: value_counts(table(spark, folder, "orders"), "o_orderpriority").select(
         "value", "n", F.round("share", 8).alias("share")
     ),
@@ -395,6 +436,7 @@ ORACLE = {
     "daily_extract": f"""
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders
         WHERE o_orderdate::DATE = DATE '{DAY}'""",
+    "daily_job": DAILY_JOB_SQL,
     "features_daily_overwrite": """
         SELECT DISTINCT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""",
     "value_counts": """

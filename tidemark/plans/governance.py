@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import features_hash
 from ..operators import governance as G
 from ..operators.evaluation import bias_scores, fairness_gaps, group_rates
 from ..operators.monitoring import metric_map
@@ -50,7 +52,7 @@ BEST_RUN_SQL = """
 
 
 def compare_runs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = G.compare_runs(_runs(spark, folder), ["accuracy", "loss"])
+    rows = G.compare_runs(_runs(spark, folder))
     return rows.withColumn("start_time", text_time("start_time"))
 
 
@@ -160,6 +162,51 @@ def production_versions(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("transitioned_at", text_time("transitioned_at"))
 
 
+def rollback_versions(spark: SparkSession, folder: str) -> DataFrame:
+    return G.previous_production(_stage_log(spark, folder))
+
+
+ROLLBACK_SQL = f"""
+    WITH {STAGE_SQL},
+    p AS (SELECT model_name, version, max((ts, seq)) AS entered FROM log WHERE stage = 'Production' GROUP BY ALL)
+    SELECT model_name, version FROM p QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY entered DESC) = 2"""
+
+
+def audit_of_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Training, deployment, access and prediction events from the events of four types."""
+    rows = events(spark, folder)
+    model, version = F.concat(F.lit("model"), F.col("user_id") % 3), F.lit("1")
+    user, item = F.concat(F.lit("user"), F.col("user_id")), F.col("event_id").cast("string")
+    parts = {
+        "signup": G.training_start_event(F.col("ts"), model, version, item, user),
+        "purchase": G.deployment_event(F.col("ts"), model, version, F.lit("production"), user, item),
+        "view": G.data_access_event(F.col("ts"), item, user, F.lit("read"), F.lit("training")),
+        "click": G.prediction_event(F.col("ts"), model, version, item, features_hash(["value", "event_type"]), user),
+    }
+    logs = reduce(
+        DataFrame.unionByName, [rows.where(F.col("event_type") == kind).select(*cs) for kind, cs in parts.items()]
+    )
+    return logs.select(
+        "event_type",
+        "user_id",
+        "model_name",
+        "action",
+        F.coalesce(*[F.col("details")[k] for k in ("dataset_id", "approval_id", "request_id")]).alias("item"),
+        F.col("details")["features_hash"].alias("features_hash"),
+    )
+
+
+AUDIT_KINDS_SQL = """
+    SELECT CASE event_type WHEN 'signup' THEN 'model_training_start' WHEN 'purchase' THEN 'model_deployment'
+                WHEN 'view' THEN 'data_access' ELSE 'prediction_request' END AS event_type,
+           'user' || user_id AS user_id, CASE WHEN event_type <> 'view' THEN 'model' || (user_id % 3) END AS model_name,
+           CASE event_type WHEN 'signup' THEN 'train_model' WHEN 'purchase' THEN 'deploy_model' WHEN 'view' THEN 'read'
+                ELSE 'predict' END AS action, event_id::VARCHAR AS item,
+           CASE WHEN event_type = 'click'
+                THEN sha256(concat_ws(chr(31), 'event_type', event_type, 'value', value::VARCHAR)) END AS features_hash
+    FROM events WHERE event_type <> 'error'"""
+
+
 def model_versions(spark: SparkSession, folder: str) -> DataFrame:
     registered = table(spark, folder, "orders").select(
         (F.col("o_custkey") % 97).alias("model_name"),
@@ -380,10 +427,12 @@ QUERIES = {
     "approval_lookup": approval_lookup,
     "stage_state": stage_state,
     "production_versions": production_versions,
+    "rollback_versions": rollback_versions,
     "model_versions": model_versions,
     "audit_trail": audit_trail,
     "audit_counts": audit_counts,
     "audit_from_events": audit_from_events,
+    "audit_of_kinds": audit_of_kinds,
     "lineage_retention": lineage_retention,
     "lineage_impact": lambda spark, folder: G.lineage_impact(_lineage(spark, folder)),
     "expired_rows": expired_rows,
@@ -406,6 +455,7 @@ ORACLE = {
         WITH {STAGE_SQL}
         SELECT model_name, version, strftime(ts, {SQL_TIME}) AS transitioned_at FROM state WHERE stage = 'Production'
         QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY ts DESC, seq DESC) = 1""",
+    "rollback_versions": ROLLBACK_SQL,
     "model_versions": MODEL_VERSIONS_SQL,
     "audit_trail": f"""
         {AUDIT_SQL} WHERE user_id % 3 = 1 AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'
@@ -416,6 +466,7 @@ ORACLE = {
         FROM events GROUP BY 1, 2, 3""",
     "audit_from_events": f"""
         SELECT *, sha256(concat_ws(chr(31), log_id, event_type, action)) AS replay_id FROM ({AUDIT_SQL})""",
+    "audit_of_kinds": AUDIT_KINDS_SQL,
     "lineage_retention": LINEAGE_SQL,
     "lineage_impact": """
         SELECT data_source, count(DISTINCT lang) AS models, count(DISTINCT doc_id) AS datasets

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import event_struct
 from ..operators.evaluation import passes_gate, regression_metrics
-from ..operators.governance import unexpired
+from ..operators.governance import promotion_events, unexpired
 from ..operators.monitoring import (
     canary_arm,
     canary_health,
@@ -263,9 +263,9 @@ def model_gate(spark: SparkSession, folder: str) -> DataFrame:
         guesses.withColumn("guess", F.col("price") + F.col("guess") / 10000).withColumn("candidate", F.lit("near"))
     )
     passed = passes_gate(regression_metrics(candidates, "price", "guess", ["candidate"]))
-    return passed.select(
-        F.col("candidate").alias("model_name"), F.lit("Production").alias("stage"), F.round("mae", 4).alias("mae"), "rows"
-    )
+    numbered = passed.select(F.col("candidate").alias("model_name"), F.col("rows").cast("string").alias("version"))
+    events = promotion_events(numbered, F.lit("2024-02-01").cast("timestamp"))
+    return events.select("model_name", "version", "stage", text_time("ts").alias("ts"), "archive_existing")
 
 
 MODEL_GATE_SQL = """
@@ -273,7 +273,9 @@ MODEL_GATE_SQL = """
         SELECT 'linear' AS model_name, avg(abs(l_extendedprice - l_quantity * 1000)) AS mae, count(*) AS n FROM lineitem
         UNION ALL
         SELECT 'near', avg(l_quantity / 10), count(*) FROM lineitem)
-    SELECT model_name, 'Production' AS stage, round(mae, 4) AS mae, n AS "rows" FROM c WHERE mae < 5"""
+    SELECT model_name, n::VARCHAR AS version, 'Production' AS stage, '2024-02-01 00:00:00.000000' AS ts,
+           true AS archive_existing
+    FROM c WHERE mae < 5"""
 
 QUERIES = {
     "event_routing": event_routing,

@@ -36,9 +36,9 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as JSON text; those of some users arrive cut short."""
+    """Events as JSON text; those with a large value arrive cut short."""
     value = F.to_json("record")
-    broken = F.col("user_id") % 10 == 3
+    broken = F.col("value") > 100
     cut = value.substr(F.lit(1), F.length(value) - 5)
     return event_records(_events(spark, folder)).select(F.when(broken, cut).otherwise(value).alias("value"))
 
@@ -138,9 +138,9 @@ def stream_dead_letter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 DEAD_LETTER_SQL = """
-    SELECT CASE WHEN user_id % 10 = 3 THEN 'broken' WHEN event_type = 'error' THEN 'unknown' ELSE 'unhandled' END
+    SELECT CASE WHEN value > 100 THEN 'broken' WHEN event_type = 'error' THEN 'unknown' ELSE 'unhandled' END
                AS problem, event_id::VARCHAR AS event_id
-    FROM events WHERE user_id % 10 = 3 OR event_type IN ('error', 'signup')"""
+    FROM events WHERE value > 100 OR event_type IN ('error', 'signup')"""
 
 
 def stream_event_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,7 +191,7 @@ EVENT_FEATURES_SQL = f"""
            CASE WHEN event_type = 'view' THEN 'available' END AS driver_status,
            CASE WHEN event_type = 'purchase' THEN value END AS actual_fare,
            CASE WHEN event_type = 'purchase' THEN value / 2 END AS actual_duration
-    FROM events WHERE user_id % 10 <> 3 AND event_type IN ('click', 'view', 'purchase')"""
+    FROM events WHERE value <= 100 AND event_type IN ('click', 'view', 'purchase')"""
 
 
 def stream_trip_counters(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,7 +206,7 @@ def stream_trip_counters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 TRIP_COUNTERS_SQL = f"""
-    WITH t AS (SELECT * FROM events WHERE event_type = 'purchase' AND user_id % 10 <> 3),
+    WITH t AS (SELECT * FROM events WHERE event_type = 'purchase' AND value <= 100),
     e AS (SELECT 'rider' AS entity_type, user_id::VARCHAR AS entity_id, ts FROM t
           UNION ALL SELECT 'driver', (user_id % 20)::VARCHAR, ts FROM t)
     SELECT entity_type, entity_id, strftime(date_trunc('day', ts), {SQL_TIME}) AS window_start, count(*) AS n
@@ -234,7 +234,7 @@ ONLINE_STORE_SQL = f"""
     SELECT 'rider' AS entity_type, user_id::VARCHAR AS entity_id, strftime(ts, {SQL_TIME}) AS updated_at,
            strftime(ts + INTERVAL 24 HOURS, {SQL_TIME}) AS expires_at, event_id::VARCHAR AS event_id,
            (isodow(ts) - 1)::VARCHAR AS day_of_week
-    FROM events WHERE event_type = 'click' AND user_id % 10 <> 3
+    FROM events WHERE event_type = 'click' AND value <= 100
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"""
 
 
@@ -317,7 +317,7 @@ ORACLE = {
         FROM events""",
     "stream_health": HEALTH_SQL,
     "stream_outcomes": """
-        SELECT CASE WHEN user_id % 10 = 3 THEN 'broken' WHEN event_type = 'error' THEN 'unknown'
+        SELECT CASE WHEN value > 100 THEN 'broken' WHEN event_type = 'error' THEN 'unknown'
                     WHEN event_type = 'signup' THEN 'unhandled' ELSE 'ok' END AS outcome, count(*) AS n
         FROM events GROUP BY ALL""",
 }

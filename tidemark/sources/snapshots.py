@@ -9,7 +9,6 @@ it wrote before: the same batch applied twice changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,20 +73,15 @@ class SnapshotTable:
                 return
             layout = self._layout(before=version)
             old = self._read({b: v for b, v in layout.items() if b in touched})
-            merged = newest
+            rows = newest
             if old is not None:
-                merged = latest(
-                    newest.unionByName(old.drop("version"), allowMissingColumns=True),
-                    (*self.keys, BUCKET),
-                    self.order[0],
-                    self.order[1:],
-                )
-            (
-                merged.repartition(self.buckets, BUCKET)
-                .write.mode("overwrite")
-                .partitionBy(BUCKET)
-                .parquet(f"{self.root}/data/version={version}")
-            )
+                rows = rows.unionByName(old.drop("version"), allowMissingColumns=True)
+            # Both sides have one row per key, so bringing buckets together is the only
+            # shuffle: the merge and the write both work bucket by bucket.
+            merged = rows.repartition(self.buckets, BUCKET)
+            if old is not None:
+                merged = latest(merged, (*self.keys, BUCKET), self.order[0], self.order[1:])
+            merged.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/data/version={version}")
             entries = [(b, v) for b, v in {**layout, **dict.fromkeys(touched, version)}.items()]
             (
                 self.spark.createDataFrame(entries, "bucket int, data_version bigint")
