@@ -48,7 +48,7 @@ def stream_rider_counts(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "sliding")
     counts = counters.sliding_counts(_events(spark, folder), ["user_id"], "ts", days=7)
     target = SnapshotTable(spark, f"{root}/table", ("user_id", "window_start", "window_end"), ("batch",))
-    sinks.run_versioned_upserts(counts, target, root)
+    sinks.run_versioned_upserts(counts, target, root, partitions=sinks.one_per_core(spark))
     return target.read().select(
         "user_id", text_time("window_start").alias("window_start"), text_time("window_end").alias("window_end"), "n"
     )
@@ -67,7 +67,7 @@ def stream_gap_counter(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "gaps")
     sinks.merge_sessions_early(spark)
     counts = counters.gap_counts(_events(spark, folder), ["user_id"], "ts", "1 day", "1 hour")
-    sinks.run_to_files(counts, root)
+    sinks.run_to_files(counts, root, partitions=sinks.one_per_core(spark))
     rows = spark.read.parquet(f"{root}/data")
     return rows.select(
         "user_id", text_time("session_start").alias("session_start"), text_time("session_end").alias("session_end"), "n"
@@ -94,7 +94,7 @@ def stream_dedup_latest(spark: SparkSession, folder: str) -> DataFrame:
         seen = batch.groupBy("user_id").agg(F.sum("seen").alias("seen"))
         counted.upsert(latest(batch.drop("seen"), ["user_id"], "ts", ["event_id"]).join(seen, "user_id"), number)
 
-    sinks.run_batches(single, root, handle)
+    sinks.run_batches(single, root, handle, partitions=sinks.one_per_core(spark))
     return counted.read().select(
         "user_id", text_time("ts").alias("ts"), "event_id", "event_type", "seen",
         text_time(F.col("ts") + F.expr("INTERVAL 24 HOURS")).alias("expires_at"),
@@ -117,7 +117,7 @@ def stream_trip_pairs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_orderkey").alias("trip_id"), F.col("l_shipdate").cast("timestamp").alias("ended_at"), "l_linenumber"
     )
     pairs = counters.match_trips(starts, ends, "trip_id", "started_at", "ended_at", "120 DAYS")
-    sinks.run_to_files(pairs, root)
+    sinks.run_to_files(pairs, root, partitions=sinks.one_per_core(spark))
     days = F.datediff("ended_at", "started_at").cast("bigint")
     return spark.read.parquet(f"{root}/data").select("trip_id", "l_linenumber", "o_totalprice", days.alias("days"))
 
@@ -132,7 +132,7 @@ def stream_dead_letter(spark: SparkSession, folder: str) -> DataFrame:
     """Records that cannot be processed, with the reason."""
     root = shared_dir(spark, "dead")
     parsed = sinks.observe_outcomes(E.parse(_texts(spark, folder)))
-    sinks.run_to_files(E.dead_letters(parsed), root)
+    sinks.run_to_files(E.dead_letters(parsed), root, partitions=sinks.one_per_core(spark))
     letters = spark.read.parquet(f"{root}/data")
     return letters.select("problem", F.regexp_extract("value", '"event_id":"([0-9]+)"', 1).alias("event_id"))
 
@@ -161,7 +161,7 @@ def stream_event_features(spark: SparkSession, folder: str) -> DataFrame:
         finally:
             batch.unpersist()
 
-    sinks.run_batches(parsed, root, handle)
+    sinks.run_batches(parsed, root, handle, partitions=sinks.one_per_core(spark))
     riders, drivers, trips = (spark.read.parquet(f"{root}/{route}") for route in views)
     riders = riders.select(
         F.lit("rider").alias("route"), "event_id", "hour_of_day", "is_peak_hour", "trip_distance_km", "rider_rating"
@@ -201,7 +201,7 @@ def stream_trip_counters(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["entity_type", "entity_id"]
     counts = counters.sliding_counts(ended, keys, "event_ts", days=1)
     target = SnapshotTable(spark, f"{root}/table", (*keys, "window_start"), ("batch",))
-    sinks.run_versioned_upserts(counts, target, root)
+    sinks.run_versioned_upserts(counts, target, root, partitions=sinks.one_per_core(spark))
     return target.read().select(*keys, text_time("window_start").alias("window_start"), "n")
 
 
@@ -219,7 +219,7 @@ def stream_online_store(spark: SparkSession, folder: str) -> DataFrame:
     features = E.rider_event_features(E.parse(_texts(spark, folder)))
     rows = E.online_rows(features, "rider", "rider_id", "event_ts", F.lit(timedelta(hours=24)))
     target = SnapshotTable(spark, f"{root}/table", ("entity_type", "entity_id"), ("updated_at", "features"))
-    sinks.run_upserts(rows, target, root)
+    sinks.run_upserts(rows, target, root, partitions=sinks.one_per_core(spark))
     return target.read().select(
         "entity_type",
         "entity_id",
@@ -243,7 +243,7 @@ def stream_running_count(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "running")
     state = SnapshotTable(spark, f"{root}/state", ("user_id",), ("n",))
     rows = _events(spark, folder).select("event_id", "user_id", "ts")
-    out = sinks.run_running_counts(rows, state, root, ["user_id"], "ts", ["event_id"])
+    out = sinks.run_running_counts(rows, state, root, ["user_id"], "ts", ["event_id"], partitions=sinks.one_per_core(spark))
     totals = state.read().select("user_id", F.col("n").alias("total"))
     return spark.read.parquet(out).join(totals, "user_id").select("event_id", "user_id", "running_count", "total")
 
@@ -261,7 +261,7 @@ def stream_health(spark: SparkSession, folder: str) -> DataFrame:
     )
     measured = health_windows(log.withWatermark("ts", E.WATERMARK), max_latency_ms=150.0)
     target = SnapshotTable(spark, f"{root}/table", ("window_start", "model_name"), ("batch",))
-    sinks.run_versioned_upserts(measured, target, root)
+    sinks.run_versioned_upserts(measured, target, root, partitions=sinks.one_per_core(spark))
     return target.read().select(
         text_time("window_start").alias("window_start"),
         "model_name",
@@ -284,7 +284,7 @@ def stream_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "outcomes")
     counts = E.outcome_counts(E.parse(_texts(spark, folder)))
     target = SnapshotTable(spark, f"{root}/table", ("route", "outcome"), ("batch",))
-    sinks.run_versioned_upserts(counts, target, root)
+    sinks.run_versioned_upserts(counts, target, root, partitions=sinks.one_per_core(spark))
     return target.read().select("outcome", "n").groupBy("outcome").agg(F.sum("n").alias("n"))
 
 

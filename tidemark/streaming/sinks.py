@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,53 +14,87 @@ from ..sources.snapshots import SnapshotTable
 from .counters import running_counts
 
 
-def run_to_files(stream: DataFrame, root: str, mode: str = "append") -> None:
+def one_per_core(spark: SparkSession) -> int:
+    """A number of state partitions: no more than the cores that can work on them."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+@contextmanager
+def _state_partitions(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Start a query with so many state partitions; its checkpoint keeps the number."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if partitions is not None:
+        spark.conf.set(name, str(partitions))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def run_to_files(stream: DataFrame, root: str, mode: str = "append", partitions: int | None = None) -> None:
     """Process what is available into parquet files, then stop.
 
     The file sink keeps a log of the files of each batch, so readers see every
     row once.
     """
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
         .option("checkpointLocation", f"{root}/checkpoint")
         .option("path", f"{root}/data")
         .trigger(availableNow=True)
-        .start()
     )
+    with _state_partitions(stream.sparkSession, partitions):
+        query = writer.start()
     query.awaitTermination()
 
 
 def run_batches(
-    stream: DataFrame, root: str, handle: Callable[[DataFrame, int], None], mode: str = "append"
+    stream: DataFrame,
+    root: str,
+    handle: Callable[[DataFrame, int], None],
+    mode: str = "append",
+    partitions: int | None = None,
 ) -> None:
     """Hand each micro-batch and its number to ``handle``, then stop."""
-    query = (
+    writer = (
         stream.writeStream.foreachBatch(handle)
         .outputMode(mode)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
-        .start()
     )
+    with _state_partitions(stream.sparkSession, partitions):
+        query = writer.start()
     query.awaitTermination()
 
 
-def run_upserts(stream: DataFrame, table: SnapshotTable, root: str, mode: str = "append") -> None:
+def run_upserts(
+    stream: DataFrame, table: SnapshotTable, root: str, mode: str = "append", partitions: int | None = None
+) -> None:
     """Merge each micro-batch into a keyed table, under the batch's own number."""
-    run_batches(stream, root, lambda batch, number: table.upsert(batch, number), mode)
+    run_batches(stream, root, lambda batch, number: table.upsert(batch, number), mode, partitions)
 
 
-def run_versioned_upserts(stream: DataFrame, table: SnapshotTable, root: str) -> None:
+def run_versioned_upserts(
+    stream: DataFrame, table: SnapshotTable, root: str, partitions: int | None = None
+) -> None:
     """Merge changed aggregates into a table ordered by a ``batch`` column, the newest kept."""
 
     def handle(batch: DataFrame, number: int) -> None:
         table.upsert(batch.withColumn("batch", F.lit(number).cast("bigint")), number)
 
-    run_batches(stream, root, handle, "update")
+    run_batches(stream, root, handle, "update", partitions)
 
 
 def run_running_counts(
-    stream: DataFrame, state: SnapshotTable, root: str, keys: Sequence[str], ts: str, tie: Sequence[str]
+    stream: DataFrame,
+    state: SnapshotTable,
+    root: str,
+    keys: Sequence[str],
+    ts: str,
+    tie: Sequence[str],
+    partitions: int | None = None,
 ) -> str:
     """Write every event with its key's running count; returns the folder.
 
@@ -76,7 +111,7 @@ def run_running_counts(
         finally:
             batch.unpersist()
 
-    run_batches(stream, root, handle)
+    run_batches(stream, root, handle, partitions=partitions)
     return f"{root}/events"
 
 
