@@ -181,29 +181,26 @@ def _verified(width: int, percent: int):
     return run
 
 
-def near_groups(
+def _row_hash(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _groups(
     docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = WORDS,
-    percent: int = PERCENT,
+    id_col: str,
+    text_col: str,
+    width: int,
+    percent: int,
     most_matches: int = MOST_MATCHES,
     growth: int = GROWTH,
     class_bits: int = CLASS_BITS,
 ) -> DataFrame:
-    """Groups of documents connected by links. One row per input row: identifier, ``n_shingles``, ``component_id``.
-
-    Letters A-Z count as lower case. Two documents link if the shingles they share are at least ``percent`` hundredths
-    of those that either has. ``component_id`` is the smallest identifier that links lead to, the own one included;
-    nulls count only where a group has no other. A text with fewer words than a shingle is one shingle; null texts and
-    texts without words have none and link with nothing, not even each other. Repeated rows are one document with one
-    result each. An empty table gives an empty result. Other columns are not read.
-    """
+    """Rows (row, id, n, first): ``first`` is the smallest (none, id, row) of the document's group."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.xxhash64(F.col(id_col), text).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
+    texts = docs.select(_row_hash(id_col, text_col).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
 
     held = spark.sparkContext.broadcast(frequencies(texts, width, class_bits))  # 8 * 2 ** class_bits bytes
     found = texts.mapInArrow(
@@ -218,7 +215,7 @@ def near_groups(
         found.where("n > 0")
         .groupBy("one", "two", "n")
         .agg(F.min(least).alias("least"), F.min("matches").alias("matches"), F.min("base").alias("base"), F.min("prefix").alias("prefix"))
-        .select(F.monotonically_increasing_id().alias("node"), "one", "two", "n", "matches", "base", "prefix", F.col("least.id").alias("id"), F.col("least.row").alias("row"))
+        .select(F.monotonically_increasing_id().alias("node"), "one", "two", "n", "matches", "base", "prefix", "least", F.col("least.row").alias("row"))
     )
     nodes = scratch.write(nodes, "nodes")
 
@@ -284,11 +281,34 @@ def near_groups(
         known = nodes.withColumn("comp", F.col("node"))
     else:
         known = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    known = scratch.write(known.select("one", "two", "n", "comp", "id"), "known")
-    smallest = known.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = known.join(smallest, "comp").select("one", "two", "n", "component_id", F.lit(True).alias("named"))
+    known = scratch.write(known.select("one", "two", "n", "comp", "least"), "known")
+    smallest = known.groupBy("comp").agg(F.min("least").alias("first"))
+    named = known.join(smallest, "comp").select("one", "two", "n", "first")
     return found.join(named, ["one", "two", "n"], "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("named"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        "row", "id", "n", F.coalesce("first", row_key(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     )
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, **how) -> DataFrame:
+    """Groups of documents connected by links. One row per input row: identifier, ``n_shingles``, ``component_id``.
+
+    Letters A-Z count as lower case. Two documents link if the shingles they share are at least ``percent`` hundredths
+    of those that either has. ``component_id`` is the smallest identifier that links lead to, the own one included;
+    nulls count only where a group has no other. A text with fewer words than a shingle is one shingle; null texts and
+    texts without words have none and link with nothing, not even each other. Repeated rows are one document with one
+    result each. An empty table gives an empty result. Other columns are not read.
+    """
+    found = _groups(docs, id_col, text_col, width, percent, **how)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, **how) -> DataFrame:
+    """One document of each group of ``near_groups``, that with the smallest identifier, with all its columns.
+
+    Documents without words stay. Of repeated rows one stays.
+    """
+    found = _groups(docs, id_col, text_col, width, percent, **how)
+    kept = found.where(F.col("row") == F.col("first.row")).select(F.col("row").alias("__row_key"))
+    marked = docs.withColumn("__row_key", _row_hash(id_col, text_col))
+    marked = marked.join(kept, "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return marked.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -205,3 +205,23 @@ def mix(
             (F.col("copies") * F.col("size") + whole * F.col("size") + cut).alias("taken"),
         )
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: each document as often as ``mix`` takes it, with all its columns.
+
+    The text of a cut copy is its first ``cut_words`` words, joined by one space.
+    """
+    key = [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source")]
+    plan = mix(docs, id_col, text_col, source_col, **how).where("copies > 0 OR cut_words > 0")
+    plan = plan.select(
+        row_key(*key, "size").alias("__mix_key"), F.col("copies").alias("__copies"), F.col("cut_words").alias("__cut")
+    ).dropDuplicates(["__mix_key"])
+    taken = docs.withColumn("__mix_key", row_key(*key, word_count(F.col(text_col)).alias("size"))).join(plan, "__mix_key")
+    taken = taken.withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies") + (F.col("__cut") > 0).cast("long")))
+    )
+    words = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(f"({WORD})"))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("__cut").cast("int")), " ")
+    text = F.when(F.col("__copy") > F.col("__copies"), cut).otherwise(F.col(text_col))
+    return taken.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
