@@ -57,7 +57,7 @@ def main() -> None:
     names = sys.argv[2:] or list(QUERIES)
     spark = create_session(
         "check",
-        **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
+        **{"spark.master": f"local[{__import__('os').environ.get('CHECK_CPUS', '8')}]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)

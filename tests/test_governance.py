@@ -121,6 +121,19 @@ def test_bias_and_fairness(spark):
     assert (row.demographic_parity_score, row.equal_opportunity_score, row.bias_detected) == (pytest.approx(1 / 3), 0.5, True)
     gaps = {r.protected_group: r.positive_rate_gap for r in V.fairness_gaps(rates).collect()}
     assert gaps == {"a": 0.0, "b": 0.5}
+    assert {r.fairness_score for r in V.fairness_gaps(rates).collect()} == {0.5}
+
+
+def test_a_group_without_positive_labels_shows_no_bias(spark):
+    rows = [("a", 1, 1), ("a", 0, 0), ("b", 0, 1), ("b", 0, 0)]
+    rates = V.group_rates(spark.createDataFrame(rows, "g string, y int, p int"), "g", F.col("y"), F.col("p"))
+    assert {r.protected_group: r.true_positive_rate for r in rates.collect()} == {"a": 1.0, "b": None}
+    row = V.bias_scores(rates).first()
+    assert (row.demographic_parity_score, row.equal_opportunity_score, row.bias_detected) == (1.0, 1.0, False)
+    gaps = {r.protected_group: (r.true_positive_rate_gap, r.fairness_score) for r in V.fairness_gaps(rates).collect()}
+    assert gaps == {"a": (0.0, 1.0), "b": (None, 1.0)}
+    empty = V.bias_scores(rates.limit(0)).first()
+    assert (empty.demographic_parity_score, empty.bias_detected) == (None, False)
 
 
 def test_regression_metrics(spark):

@@ -115,9 +115,10 @@ def test_running_counts_over_batches_and_replay(spark):
         expected[i] = sum(1 for other, _, j in sum(batches(), []) if other == k and j <= i)
     assert {r.id: r.running_count for r in spark.read.parquet(out).collect()} == expected
     last = spark.createDataFrame(batches()[2], KEYED)
-    numbered, counts = counters.running_counts(last, state.read(before=2), ["k"], "ts", ["id"])
+    (writer,) = state.last_commit().writers
+    numbered, counts = counters.running_counts(last, state.read(2, writer), ["k"], "ts", ["id"])
     assert {r.id: r.running_count for r in numbered.collect()} == {i: n for i, n in expected.items() if i >= 70}
-    state.upsert(counts, 2)
+    assert not state.upsert(counts, 2, writer)
     assert {r.k: r.n for r in state.read().collect()} == {"a": 72, "b": 18}
 
 

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns, day_of_week
 from ..functions.geo import haversine_km
+from ..functions.pricing import surge_quote
+from ..operators.asof import asof_join
 from ..operators.timeline import HotKeys, next_in_time
 from ..operators.trailing import Trailing, trailing
 
 WEEK = timedelta(days=7)
 MONTH = timedelta(days=30)
+CITY_SPEED = 30.0
 
 
 def rider_features(
@@ -143,3 +146,37 @@ def trip_features(
         .join(drivers, driver_key, "left")
         .withColumn("trip_distance_km", distance)
     )
+
+
+def trip_features_at_start(
+    trips: DataFrame,
+    riders: DataFrame,
+    drivers: DataFrame,
+    started: str,
+    rider_ts: str,
+    driver_ts: str,
+    rider_key: str = "rider_id",
+    driver_key: str = "driver_id",
+    ttl: timedelta | None = None,
+    km_per_hour: float = CITY_SPEED,
+) -> DataFrame:
+    """Trips with all declared trip columns, and their rider's and driver's features as of the start.
+
+    ``riders`` and ``drivers`` are feature histories; all their columns but key and
+    time are added. Distance, duration, surge and fare are estimated from the
+    coordinates and the start; weather and traffic come with the trip.
+    """
+    rider_columns = [c for c in riders.columns if c not in (rider_key, rider_ts)]
+    driver_columns = [c for c in drivers.columns if c not in (driver_key, driver_ts)]
+    known = asof_join(trips, riders, [rider_key], started, rider_ts, rider_columns, ttl)
+    known = asof_join(known, drivers, [driver_key], started, driver_ts, driver_columns, ttl)
+    distance = haversine_km(F.col("pickup_lat"), F.col("pickup_lng"), F.col("dropoff_lat"), F.col("dropoff_lng"))
+    known = known.withColumn("trip_distance_km", distance)
+    quote = surge_quote(F.col(started), F.col("trip_distance_km"), F.lit(0.0))
+    return known.withColumns(
+        {
+            "estimated_duration_minutes": F.col("trip_distance_km") / km_per_hour * 60,
+            "estimated_fare": quote["estimated_fare"],
+            "surge_multiplier": quote["surge_multiplier"],
+        }
+    )

@@ -179,16 +179,19 @@ def online_features(
     return result.select(*requests.columns, *[name for _, _, name in wanted])
 
 
-def slice_to_load(view: FeatureView, start: Column | None, end: Column, after: bool = False) -> DataFrame:
+def slice_to_load(
+    view: FeatureView, start: Column | None, end: Column, after: bool = False, by: str | None = None
+) -> DataFrame:
     """The latest row of each key with a time in [start, end], with its expiry.
 
     ``after`` leaves the start itself out, for loads that continue an earlier one.
-    The time filter reaches the scan.
+    ``by`` names the column that decides, if it is not the time of the event. The
+    filter reaches the scan.
     """
-    ts = F.col(view.ts_col)
-    rows = view.source.where(ts <= end)
+    at = F.col(by or view.ts_col)
+    rows = view.source.where(at <= end)
     if start is not None:
-        rows = rows.where(ts > start if after else ts >= start)
+        rows = rows.where(at > start if after else at >= start)
     columns = [*view.keys, view.ts_col, *view.columns]
     if view.created_col:
         columns.append(view.created_col)
@@ -199,7 +202,7 @@ def slice_to_load(view: FeatureView, start: Column | None, end: Column, after: b
 
 def materialize(view: FeatureView, table: SnapshotTable, start: Column, end: Column, version: int) -> None:
     """Load the time slice [start, end] of a view into its online table."""
-    table.upsert(slice_to_load(view, start, end), version)
+    table.upsert(slice_to_load(view, start, end), version, f"slice:{view.name}")
 
 
 def materialize_incremental(
@@ -207,8 +210,10 @@ def materialize_incremental(
 ) -> int:
     """Load what is new since the last load of the view, and note the new mark in ``log``.
 
-    The mark is written after the load. A run that is lost in between is repeated
-    by the next one with the same version, which changes nothing.
+    What is new is decided by the view's time of creation if it has one, so that
+    rows which arrive late are loaded too, and by event time otherwise. The mark is
+    written after the load. A run that is lost in between is repeated by the next
+    one under the same number, which changes nothing.
     """
     last = None
     if path_exists(spark, log):
@@ -217,7 +222,8 @@ def materialize_incremental(
         last = marks.where(F.col("view") == view.name).agg(newest).first()["mark"]
     version = 1 if last is None else last["version"] + 1
     start = None if last is None else F.lit(last["loaded_to"])
-    table.upsert(slice_to_load(view, start, F.lit(end), after=True), version)
+    rows = slice_to_load(view, start, F.lit(end), after=True, by=view.created_col)
+    table.upsert(rows, version, f"incremental:{view.name}")
     mark = spark.createDataFrame([(view.name, end, version)], "view string, loaded_to timestamp, version bigint")
     mark.coalesce(1).write.mode("append").parquet(log)
     return version

@@ -23,6 +23,7 @@ from ..functions.values import (
     ordinal,
 )
 from ..operators.evaluation import regression_metrics
+from ..session import shared_dir
 
 VECTOR = "__features"
 
@@ -84,6 +85,10 @@ class BoostedTrees:
     seed: int = 42
 
     def fit(self, train: DataFrame, validation: DataFrame | None = None) -> TrainedTrees:
+        context = train.sparkSession.sparkContext
+        if not context.getCheckpointDir():
+            # Many rounds would else grow the lineage without end.
+            context.setCheckpointDir(shared_dir(train.sparkSession, "trees"))
         columns = [*self.features, self.label]
         rows = train.select(*columns).withColumn("__validation", F.lit(False))
         if validation is not None:

@@ -43,15 +43,37 @@ def present(df: DataFrame, name: str) -> Column:
     return F.col(name).isNotNull()
 
 
-def long_form(df: DataFrame, features: Sequence[str], as_text: bool = False) -> DataFrame:
-    """One row (feature, value) per feature of a row; missing values are null."""
-    target = "string" if as_text else "double"
+def is_comparable(data_type: T.DataType) -> bool:
+    """Whether drift can be measured: text, numbers, flags, days and times, not nested or binary values."""
+    return isinstance(data_type, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)) or _is_number(data_type)
+
+
+def is_whole(data_type: T.DataType) -> bool:
+    """Whether values are compared as 64-bit whole numbers, since a double does not hold them all: ids and times."""
+    return isinstance(data_type, (T.LongType, T.TimestampType, T.TimestampNTZType))
+
+
+def as_number(df: DataFrame, name: str, target: str = "double") -> Column:
+    """A column's value as a number: days and microseconds since 1970 for days and times."""
+    kind, value = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.DateType):
+        value = F.unix_date(value)
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        value = F.unix_micros(value.cast("timestamp"))
+    return value.cast(target)
+
+
+def long_form(df: DataFrame, features: Sequence[str], as_text: bool = False, whole: bool = False) -> DataFrame:
+    """One row (feature, value) per feature of a row; missing values are null.
+
+    Values are text, 64-bit whole numbers, or else doubles.
+    """
+
+    def value(name: str) -> Column:
+        return F.col(name).cast("string") if as_text else as_number(df, name, "bigint" if whole else "double")
+
     pairs = [
-        F.struct(
-            F.lit(name).alias("feature"),
-            F.when(present(df, name), F.col(name).cast(target)).alias("value"),
-        )
-        for name in features
+        F.struct(F.lit(name).alias("feature"), F.when(present(df, name), value(name)).alias("value")) for name in features
     ]
     return df.select(F.explode(F.array(*pairs)).alias("__pair")).select("__pair.*")
 
@@ -71,23 +93,23 @@ def _per_side() -> list[Column]:
 
 
 def _sides(
-    reference: DataFrame, current: DataFrame, features: Sequence[str], as_text: bool = False
+    reference: DataFrame, current: DataFrame, features: Sequence[str], as_text: bool = False, whole: bool = False
 ) -> DataFrame:
     """The values of both tables in long form with the side they are from."""
     return (
-        long_form(reference, features, as_text)
+        long_form(reference, features, as_text, whole)
         .withColumn("side", F.lit(REFERENCE))
-        .unionByName(long_form(current, features, as_text).withColumn("side", F.lit(CURRENT)))
+        .unionByName(long_form(current, features, as_text, whole).withColumn("side", F.lit(CURRENT)))
         .where(F.col("value").isNotNull())
     )
 
 
 def side_counts(
-    reference: DataFrame, current: DataFrame, features: Sequence[str], as_text: bool = False
+    reference: DataFrame, current: DataFrame, features: Sequence[str], as_text: bool = False, whole: bool = False
 ) -> DataFrame:
     """Rows of each side per (feature, value): columns ``n_ref`` and ``n_cur``."""
     return (
-        _sides(reference, current, features, as_text)
+        _sides(reference, current, features, as_text, whole)
         .groupBy("feature", "value")
         .agg(*_per_side())
         # Always true. It makes every use of the counts need both columns, so all
@@ -268,7 +290,7 @@ def bin_counts(
     def binned(df: DataFrame, side: int) -> DataFrame:
         pairs = []
         for name, limits in edges.items():
-            value = F.col(name).cast("double")
+            value = as_number(df, name)
             place = F.greatest(sum((value > limit).cast("int") for limit in limits), F.lit(1))
             if open_ends:
                 place = F.least(place, F.lit(len(limits) - 1))
@@ -306,9 +328,27 @@ def psi(
     """Population stability index per feature, with its band and the share left out.
 
     Shares below ``floor`` are raised to it, so that empty bins give a finite
-    index. A constant reference has no bins and an index of 0.
+    index. A constant reference has no bins and an index of 0. A feature without
+    reference values has no index; its band is ``no_reference``.
     """
     edges = quantile_edges(reference, features, buckets, approximate, large)
+    unknown = [name for name in features if name not in edges]
+    rows = _psi(reference, current, edges, floor, open_ends) if edges else None
+    if unknown:
+        listed = F.explode(F.array(*[F.lit(name) for name in unknown])).alias("feature")
+        empty = reference.sparkSession.range(1).select(
+            listed,
+            F.lit(None).cast("double").alias("psi"),
+            F.lit(0.0).alias("out_of_range"),
+            F.lit("no_reference").alias("psi_band"),
+        )
+        rows = empty if rows is None else rows.unionByName(empty)
+    return rows
+
+
+def _psi(
+    reference: DataFrame, current: DataFrame, edges: Mapping[str, Sequence[float]], floor: float, open_ends: bool
+) -> DataFrame:
     inside = F.col("bin").isNotNull()
     # A few rows per feature from here on.
     binned = bin_counts(reference, current, edges, open_ends).groupBy("feature").agg(

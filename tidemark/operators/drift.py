@@ -12,9 +12,12 @@ from pyspark.sql import types as T
 from .distribution import (
     CATEGORICAL_BELOW,
     chi_squared,
+    is_comparable,
     is_large,
+    is_whole,
     ks_p_value,
     ks_statistic,
+    present,
     profile,
     side_counts,
     side_totals,
@@ -35,18 +38,30 @@ def feature_drift(
 
     Text features, and features with fewer than ``categorical_below`` distinct
     reference values, are compared by chi-squared, others by Kolmogorov-Smirnov.
-    A feature without values on one side scores 0. A feature that the current
-    table lacks is listed with ``checked`` false.
+    Days and times count as numbers; long ids and times are compared as whole
+    numbers, without rounding. A feature without values on one side scores 0. A
+    feature that the current table lacks, or whose type cannot be compared (nested
+    and binary values, or text on one side only), is listed with ``checked`` false.
     """
     features = list(features or reference.columns)
-    shared = [f for f in features if f in current.columns]
+
+    def comparable(f: str) -> bool:
+        if f not in current.columns:
+            return False
+        kinds = [df.schema[f].dataType for df in (reference, current)]
+        return all(map(is_comparable, kinds)) and len({isinstance(k, T.StringType) for k in kinds}) == 1
+
+    shared = [f for f in features if comparable(f)]
     text = [f for f in shared if isinstance(reference.schema[f].dataType, T.StringType)]
-    numeric = [f for f in shared if f not in text]
+    whole = [f for f in shared if f not in text and all(is_whole(df.schema[f].dataType) for df in (reference, current))]
+    numeric = [f for f in shared if f not in text and f not in whole]
 
     scored = []
-    if numeric:
-        large = is_large(reference, current)
-        counts = side_counts(reference, current, numeric)
+    large = is_large(reference, current) if numeric or whole else False
+    for names, as_whole in ((numeric, False), (whole, True)):
+        if not names:
+            continue
+        counts = side_counts(reference, current, names, whole=as_whole)
         scored.append(
             side_totals(counts)
             .join(F.broadcast(ks_statistic(counts, large).select("feature", "ks")), "feature", "left")
@@ -120,40 +135,42 @@ def prediction_drift(
     model_name: str,
     threshold: float = PREDICTION_THRESHOLD,
 ) -> DataFrame:
-    """One row: statistic, p-value, means and population deviations of both sides.
+    """One row: statistic, p-value, means and population deviations of both sides, and a message if it has none.
 
-    Without a reference the row only says so.
+    NaN counts as missing. Where a side is absent or has no values there is no
+    statistic and no drift, and the message says which.
     """
-    if reference is None:
-        return current.sparkSession.range(1).select(
-            F.lit(model_name).alias("model_name"),
-            F.lit(False).alias("drift_detected"),
-            F.lit("No reference data").alias("message"),
-        )
-    counts = side_counts(reference, current, [column])
+    measured = [
+        F.lit(model_name).alias("model_name"),
+        F.coalesce(F.col("ks") > threshold, F.lit(False)).alias("drift_detected"),
+        F.col("ks").alias("drift_score"),
+        F.when(F.col("ks").isNotNull(), ks_p_value(F.col("ks"), F.col("ref_rows"), F.col("cur_rows"))).alias("p_value"),
+        "reference_mean",
+        "current_mean",
+        "reference_std",
+        "current_std",
+        F.when(F.col("reference_mean").isNull(), "No reference data")
+        .when(F.col("current_mean").isNull(), "No current data")
+        .alias("message"),
+    ]
 
     def moments(df: DataFrame, side: str) -> DataFrame:
-        value = F.col(column).cast("double")
+        value = F.when(present(df, column), F.col(column).cast("double"))
         return df.agg(
             F.lit(column).alias("feature"),
             F.avg(value).alias(f"{side}_mean"),
             F.stddev_pop(value).alias(f"{side}_std"),
         )
 
+    known = current.limit(0) if reference is None else reference
+    large = False if reference is None else is_large(reference, current)
+    statistic = ks_statistic(side_counts(known, current, [column]), large)
+    # One row each.
     return (
-        ks_statistic(counts, is_large(reference, current))
-        .join(F.broadcast(moments(reference, "reference")), "feature")
+        moments(known, "reference")
         .join(F.broadcast(moments(current, "current")), "feature")
-        .select(
-            F.lit(model_name).alias("model_name"),
-            (F.col("ks") > threshold).alias("drift_detected"),
-            F.col("ks").alias("drift_score"),
-            ks_p_value(F.col("ks"), F.col("ref_rows"), F.col("cur_rows")).alias("p_value"),
-            "reference_mean",
-            "current_mean",
-            "reference_std",
-            "current_std",
-        )
+        .join(F.broadcast(statistic), "feature", "left")
+        .select(*measured)
     )
 
 

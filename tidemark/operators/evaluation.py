@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import safe_ratio
-
 MAX_MAE = 5.0
 MIN_PARITY = 0.8
 
@@ -41,42 +39,53 @@ def passes_gate(metrics: DataFrame, max_mae: float = MAX_MAE) -> DataFrame:
 
 
 def group_rates(df: DataFrame, group: str, label: Column, prediction: Column) -> DataFrame:
-    """Per group: rows, rate of positive predictions, and true and false positive rates."""
+    """Per group: rows, rate of positive predictions, and true and false positive rates.
+
+    A rate that a group has no rows for is null: a group without positive labels has no true positive rate.
+    """
     positive = F.coalesce(prediction.cast("boolean"), F.lit(False))
     actual = F.coalesce(label.cast("boolean"), F.lit(False))
     return df.groupBy(F.col(group).alias("protected_group")).agg(
         F.count(F.lit(1)).alias("rows"),
-        safe_ratio(F.count_if(positive), F.count(F.lit(1))).alias("positive_rate"),
-        safe_ratio(F.count_if(positive & actual), F.count_if(actual)).alias("true_positive_rate"),
-        safe_ratio(F.count_if(positive & ~actual), F.count_if(~actual)).alias("false_positive_rate"),
+        F.try_divide(F.count_if(positive), F.count(F.lit(1))).alias("positive_rate"),
+        F.try_divide(F.count_if(positive & actual), F.count_if(actual)).alias("true_positive_rate"),
+        F.try_divide(F.count_if(positive & ~actual), F.count_if(~actual)).alias("false_positive_rate"),
     )
 
 
 def bias_scores(rates: DataFrame, min_parity: float = MIN_PARITY) -> DataFrame:
-    """Least over greatest rate among the groups: 1 is parity, and no groups have it."""
+    """Least over greatest rate among the groups that have one: 1 is parity, null says that no group has one."""
 
     def parity(rate: str) -> Column:
-        return F.when(F.max(rate) > 0, F.min(rate) / F.max(rate)).otherwise(F.lit(1.0))
+        return F.when(F.max(rate) > 0, F.min(rate) / F.max(rate)).when(F.max(rate) == 0, F.lit(1.0))
 
     scores = rates.agg(
         parity("positive_rate").alias("demographic_parity_score"),
         parity("true_positive_rate").alias("equal_opportunity_score"),
     )
     low = F.least("demographic_parity_score", "equal_opportunity_score") < min_parity
-    return scores.withColumn("bias_detected", low)
+    return scores.withColumn("bias_detected", F.coalesce(low, F.lit(False)))
 
 
 def fairness_gaps(rates: DataFrame) -> DataFrame:
-    """Each group's gaps to the best group, and the worst gap over all as the score."""
+    """Each group's gaps to the best group, and a score for all: 1 less the worst gap.
+
+    A group without a rate has no gap in it. Without any gap the score is 1.
+    """
     rates = rates.withColumn("__all", F.lit(1))
     best = rates.groupBy("__all").agg(
-        F.max("positive_rate").alias("__p"), F.max("true_positive_rate").alias("__t")
+        F.max("positive_rate").alias("__p"),
+        F.max("true_positive_rate").alias("__t"),
+        F.greatest(
+            F.max("positive_rate") - F.min("positive_rate"), F.max("true_positive_rate") - F.min("true_positive_rate")
+        ).alias("__worst"),
     )
     # One row: the greatest rates.
     gaps = rates.join(F.broadcast(best), "__all").withColumns(
         {
             "positive_rate_gap": F.col("__p") - F.col("positive_rate"),
             "true_positive_rate_gap": F.col("__t") - F.col("true_positive_rate"),
+            "fairness_score": 1 - F.coalesce("__worst", F.lit(0.0)),
         }
     )
-    return gaps.drop("__all", "__p", "__t")
+    return gaps.drop("__all", "__p", "__t", "__worst")

@@ -20,6 +20,7 @@ RETENTION_DAYS = 90
 
 # What is searched for as personal data. Patterns are plain enough
 # to mean the same in every regular-expression engine.
+MOST_COLUMNS = 1000
 PERSONAL_DATA = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "phone": r"[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}",
@@ -232,11 +233,15 @@ def compare_runs(
     """One row per run with a column per metric; a metric the run lacks is null.
 
     Without ``metrics`` the names in use among the runs become the columns, which
-    takes a pass of its own.
+    takes a pass of its own. More than ``MOST_COLUMNS`` of them are refused: name
+    the ones to compare.
     """
     chosen = runs if run_ids is None else runs.where(F.col("run_id").isin(*run_ids))
     if metrics is None:
-        metrics = sorted(row["metric"] for row in metric_names(chosen).collect())
+        found = metric_names(chosen).limit(MOST_COLUMNS + 1).collect()
+        if len(found) > MOST_COLUMNS:
+            raise ValueError(f"the runs have more than {MOST_COLUMNS} metrics; name the ones to compare")
+        metrics = sorted(row["metric"] for row in found)
     return chosen.select(
         "run_id",
         "run_name",
@@ -412,6 +417,15 @@ def unexpired(df: DataFrame, column: str, now: Column) -> DataFrame:
 
 def personal_data_counts(df: DataFrame, text: str, by: Sequence[str] = ()) -> DataFrame:
     """Occurrences of each kind of personal data in whole texts, and texts holding any."""
+    return with_personal_data_counts(df, text).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("texts"),
+        F.count_if("has_personal_data").alias("texts_with_personal_data"),
+        *[F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name) for name in PERSONAL_DATA],
+    )
+
+
+def with_personal_data_counts(df: DataFrame, text: str) -> DataFrame:
+    """Add the number of matches of each kind, and whether there is any."""
     counts = {name: F.regexp_count(F.col(text), F.lit(pattern)) for name, pattern in PERSONAL_DATA.items()}
     # Cheap tests first: no address without its sign, no number without digits.
     counts["email"] = F.when(F.col(text).contains("@"), counts["email"]).otherwise(F.lit(0))
@@ -421,11 +435,7 @@ def personal_data_counts(df: DataFrame, text: str, by: Sequence[str] = ()) -> Da
     counts["ipv4"] = F.when(F.col(text).rlike(r"[0-9]\.[0-9]"), counts["ipv4"]).otherwise(F.lit(0))
     found = df.withColumns(counts)
     some = reduce(lambda a, b: a | b, [F.col(name) > 0 for name in counts])
-    return found.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("texts"),
-        F.count_if(some).alias("texts_with_personal_data"),
-        *[F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name) for name in counts],
-    )
+    return found.withColumn("has_personal_data", some)
 
 
 def unaudited(models: DataFrame, logs: DataFrame, keys: Sequence[str] = ("model_name", "model_version")) -> DataFrame:

@@ -6,11 +6,11 @@ and what earlier slots contribute is handed to a slot as one extra *carry* row
 that sorts before its rows. Other keys have a single slot. The results do not
 depend on which keys are hot or on how their time lines are cut.
 
-A key is hot when it holds more than ``HOT_SHARE`` of the rows, so there are at
-most ``1 / HOT_SHARE`` hot keys: a bound that does not grow with the data, which
-is what allows them to be collected and broadcast. Slots are cut at approximate
-quantiles of a hot key's own times, so they hold similar numbers of rows however
-its activity is spread.
+A key is hot when it has more rows than one task should put in order, ``HOT_ROWS``,
+whatever the size of the table. Slots are cut at approximate quantiles of a hot
+key's own times, as many as its rows need, so they hold similar numbers of rows
+however its activity is spread. The table of hot keys is broadcast while it has
+no more than ``SMALL_KEYS`` rows; beyond that it is joined like any other table.
 """
 
 from __future__ import annotations
@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 from ..functions.values import edges_below
 
-HOT_SHARE = 1 / 4096
-HOT_FLOOR = 1_000_000
-MOST_CUTS = 1024
+HOT_ROWS = 1_000_000
+SMALL_KEYS = 10_000
 
 SLOT = "__slot"
 CARRY_ORDER = -1
@@ -55,43 +54,50 @@ def find_hot_keys(
     keys: Sequence[str],
     axis: Column,
     shifts: Sequence[int] = (0,),
-    share: float = HOT_SHARE,
-    floor: int = HOT_FLOOR,
+    floor: int = HOT_ROWS,
+    share: float | None = None,
 ) -> HotKeys:
-    """Keys with more than ``max(floor, share * rows)`` rows, and slots for each.
+    """Keys with more than ``floor`` rows, and slots of about that many for each.
 
     ``axis`` is the integer position of a row on its key's time line. ``shifts``
-    are the distances from it at which the row is going to be placed. A table
-    with no more than ``floor`` rows costs a count, one without hot keys a count
-    per key, and only the rows of hot keys are read a third time.
+    are the distances from it at which the row is going to be placed. ``share``
+    raises the limit to that share of all rows. A table without hot keys costs a
+    count per key, and only the rows of hot keys are read a second time.
     """
-    total = df.count()
-    limit = max(floor, int(share * total))
-    if total <= limit:
-        return HotKeys()
     rows = df.select(*keys, axis.alias("__axis"))
-    hot = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__rows"), F.max("__axis").alias("__to"))
-        .where(F.col("__rows") > limit)
-    )
-    # Fewer than total / limit <= 1 / share rows: safe on the driver and to broadcast.
-    found = hot.collect()
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.max("__axis").alias("__to"))
+    limit = floor if share is None else max(floor, int(share * (counts.agg(F.sum("__rows")).first()[0] or 0)))
+    hot = counts.where(F.col("__rows") > limit)
+    # A key's slots are rounded up to a power of two, so that keys of all sizes need few kinds of quantiles.
+    bits = F.ceil(F.log2(F.ceil(F.col("__rows") * len(shifts) / limit))).cast("int")
+    hot = hot.withColumn("__bits", F.greatest(bits, F.lit(1)))
+    spark = df.sparkSession
+    found = hot.limit(SMALL_KEYS + 1).collect()
     if not found:
         return HotKeys()
-    spark = df.sparkSession
-    small = spark.createDataFrame(found, hot.schema).select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__to")
-    cuts = min(MOST_CUTS, -(-max(r["__rows"] for r in found) * len(shifts) // limit))
+    small = len(found) <= SMALL_KEYS
+    if small:
+        held, number, kinds = spark.createDataFrame(found, hot.schema), len(found), sorted({r["__bits"] for r in found})
+    else:
+        held = hot.checkpoint()
+        number, kinds = held.count(), sorted(r[0] for r in held.select("__bits").distinct().collect())
+    renamed = held.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__to", "__bits")
     places = F.array(*[(F.col("__axis") + F.lit(s)).cast("bigint") for s in shifts])
+    # One kind for each power of two of slots: a few tens at most.
+    cuts = [
+        F.approx_percentile(F.when(F.col("__bits") == b, F.col("__at")), [i / (1 << b) for i in range(1, 1 << b)], 10 << b)
+        for b in kinds
+    ]
     edges = (
-        rows.join(F.broadcast(small), _same_key(keys, "__h_"))
-        .select(*keys, "__to", F.explode(places).alias("__at"))
+        rows.join(F.broadcast(renamed) if small else renamed, _same_key(keys, "__h_"))
+        .select(*keys, "__to", "__bits", F.explode(places).alias("__at"))
         .where(F.col("__at") <= F.col("__to"))
         .groupBy(*keys, "__to")
-        .agg(F.approx_percentile("__at", [i / (cuts + 1) for i in range(1, cuts + 1)], 10 * cuts).alias("__edges"))
+        .agg(F.coalesce(*cuts).alias("__edges"))
         .withColumn("__edges", F.array_sort(F.array_distinct("__edges")))
     )
-    return HotKeys(spark.createDataFrame(edges.collect(), edges.schema), len(found), cuts)
+    table = spark.createDataFrame(edges.collect(), edges.schema) if small else edges.checkpoint()
+    return HotKeys(table, number, 1 << max(kinds))
 
 
 def with_slots(
@@ -106,7 +112,7 @@ def with_slots(
         return df.withColumn(SLOT, F.lit(None).cast("bigint"))
     small = hot.table.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__to", "__edges")
     slot = F.when(F.col("__edges").isNotNull(), edges_below(F.col("__edges"), axis, hot.cuts).cast("bigint"))
-    joined = df.join(F.broadcast(small), _same_key(keys, "__h_"), "left")
+    joined = df.join(F.broadcast(small) if hot.rows <= SMALL_KEYS else small, _same_key(keys, "__h_"), "left")
     if unseen is not None:
         joined = joined.where(~F.coalesce(unseen & (axis > F.col("__to")), F.lit(False)))
     return joined.withColumn(SLOT, slot).drop(*small.columns)

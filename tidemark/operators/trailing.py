@@ -7,10 +7,11 @@ and *leaves* each of them one window length later, and one running sum over
 entries and departures yields every window in a single ordered pass. Windows are
 closed at both ends, and rows at one time count each other.
 
-Values are summed as whole numbers, so that what leaves a window cancels exactly
-what entered it and results do not depend on the order in which rows arrive: a
-fractional value as its whole part and its fraction, in units of ``UNIT``. A sum
-beyond the range of a 64-bit number is an error, not a wrong result.
+Values are summed exactly, so that what leaves a window cancels what entered it
+and results do not depend on the order in which rows arrive: whole numbers as
+such, decimals as such, and fractional values as two decimals, the whole part and
+the fraction with ``FRACTION_DIGITS`` digits. A sum beyond 38 digits is an error,
+not a wrong result. Infinite values count as missing, like NaN.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from ..functions.values import safe_ratio
 from .timeline import SLOT, HotKeys, find_hot_keys, running_totals, with_slots
 
-UNIT = 1e-9
+FRACTION_DIGITS = 28
 
 
 @dataclass(frozen=True)
@@ -50,14 +51,19 @@ def _micros(length: timedelta) -> int:
 
 
 def _whole_parts(value: Column, data_type: T.DataType) -> list[Column]:
-    """A value as whole numbers, and in the last place whether there is one."""
+    """A value as exact numbers, and in the last place whether there is one."""
     if isinstance(data_type, (T.BooleanType, T.IntegralType)):
         return [value.cast("bigint"), _flag(value.isNotNull())]
+    if isinstance(data_type, T.DecimalType):
+        return [value, _flag(value.isNotNull())]
     number = value.cast("double")
-    number = F.when(~F.isnan(number), number)
-    whole = F.floor(number)
-    fraction = F.rint((number - whole) / UNIT).cast("bigint")
-    return [whole, fraction, _flag(number.isNotNull())]
+    number = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    fraction = number % F.lit(1.0)
+    return [
+        (number - fraction).cast("decimal(38,0)"),
+        fraction.cast(f"decimal({FRACTION_DIGITS},{FRACTION_DIGITS})"),
+        _flag(number.isNotNull()),
+    ]
 
 
 def _flag(condition: Column) -> Column:
@@ -65,7 +71,7 @@ def _flag(condition: Column) -> Column:
 
 
 def _parts(spec: Trailing, df: DataFrame) -> list[Column]:
-    """The whole numbers that a row adds to the window."""
+    """The exact numbers that a row adds to the window."""
     one = F.lit(1).cast("bigint")
     if spec.kind == "count":
         return [one if spec.value is None else _flag(spec.value)]
@@ -84,7 +90,7 @@ def _result(spec: Trailing, totals: list[Column]) -> Column:
     whole, *fraction, present = totals
     total = whole.cast("double")
     if fraction:
-        total = total + fraction[0] * F.lit(UNIT)
+        total = total + fraction[0].cast("double")
     if spec.kind == "avg":
         total = total / present
     return F.when(present > 0, total)

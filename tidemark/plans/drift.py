@@ -243,7 +243,76 @@ PREDICTION_SQL = """
            round(sa, 6) AS reference_std, round(sb, 6) AS current_std
     FROM d, n, p"""
 
+# Every column of events and orders, split in the middle of their times.
+COLUMNS = {
+    "events": ("ts", "2024-01-16", {"event_id": "n", "ts": "t", "user_id": "n", "event_type": "s", "value": "n", "props": "s"}),
+    "orders": (
+        "o_orderdate",
+        "1998-01-01",
+        {"o_orderkey": "n", "o_custkey": "n", "o_orderstatus": "s", "o_totalprice": "n", "o_orderdate": "t", "o_orderpriority": "s"},
+    ),
+}
+
+
+def drift_all_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """All columns of two tables, ids and times included, by default."""
+    reports = []
+    for name, (ts, middle, _) in COLUMNS.items():
+        rows = table(spark, folder, name)
+        early = F.col(ts) < F.lit(middle).cast("timestamp_ntz")
+        reports.append(feature_drift(rows.where(early), rows.where(~early)))
+    return reports[0].unionByName(reports[1]).withColumn("score", F.round("score", 8))
+
+
+def _column_sql(name: str, ts: str, middle: str, column: str, kind: str) -> str:
+    value = {"n": f"{column}::DOUBLE", "t": f"epoch_us({column})::DOUBLE", "s": "NULL::DOUBLE"}[kind]
+    text = f"{column}::VARCHAR" if kind == "s" else "NULL::VARCHAR"
+    return f"SELECT '{column}' AS feature, {value} AS value, {text} AS word, {ts} >= TIMESTAMP '{middle}' AS cur FROM {name}"
+
+
+ALL_COLUMNS_SQL = f"""
+    WITH long AS (SELECT * FROM ({" UNION ALL ".join(
+        _column_sql(name, ts, middle, column, kind)
+        for name, (ts, middle, columns) in COLUMNS.items() for column, kind in columns.items()
+    )}) WHERE value IS NOT NULL OR word IS NOT NULL),
+    n AS (SELECT feature, bool_or(word IS NOT NULL) AS is_text, count(*) FILTER (NOT cur) AS a, count(*) FILTER (cur) AS b FROM long GROUP BY feature),
+    counts AS (SELECT feature, value, word, count(*) FILTER (NOT cur) AS r, count(*) FILTER (cur) AS c FROM long GROUP BY ALL),
+    cdf AS (SELECT feature, sum(r) OVER w AS r, sum(c) OVER w AS c FROM counts WINDOW w AS (PARTITION BY feature ORDER BY value)),
+    ks AS (SELECT feature, max(abs(r / a::DOUBLE - c / b::DOUBLE)) AS ks FROM cdf JOIN n USING (feature) WHERE a > 0 AND b > 0 GROUP BY feature),
+    chi AS (SELECT feature, least(sum((r / a::DOUBLE - c / b::DOUBLE) ** 2 / (r / a::DOUBLE + 1e-10)), 1) AS chi2, count(*) FILTER (r > 0) AS different
+            FROM counts JOIN n USING (feature) GROUP BY feature),
+    report AS (SELECT feature, CASE WHEN is_text OR different < 10 THEN 'chi_squared' ELSE 'ks' END AS method,
+                      CASE WHEN is_text OR different < 10 THEN chi2 ELSE ks END AS score
+               FROM n JOIN chi USING (feature) LEFT JOIN ks USING (feature))
+    SELECT feature, true AS checked, method, round(coalesce(score, 0), 8) AS score, coalesce(score, 0) > 0.1 AS drifted FROM report"""
+
+
+def prediction_drift_no_reference(spark: SparkSession, folder: str) -> DataFrame:
+    """One row each, of one schema: no reference table, one without rows, and no current rows."""
+    rows = events(spark, folder)
+    none = rows.where("event_id < 0")
+    found = [
+        prediction_drift(None, rows, "value", "no table"),
+        prediction_drift(none, rows, "value", "no rows"),
+        prediction_drift(rows, none, "value", "no current"),
+    ]
+    rounded = ["drift_score", "p_value", "reference_mean", "current_mean", "reference_std", "current_std"]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select(
+        "model_name", "drift_detected", "message", *[F.round(c, 6).alias(c) for c in rounded]
+    )
+
+
+NO_REFERENCE_SQL = """
+    WITH m AS (SELECT round(avg(value), 6) AS m, round(stddev_pop(value), 6) AS s FROM events),
+    r AS (SELECT 'no table' AS model_name, 'No reference data' AS message, NULL::DOUBLE AS reference_mean, m AS current_mean,
+                 NULL::DOUBLE AS reference_std, s AS current_std FROM m
+          UNION ALL SELECT 'no rows', 'No reference data', NULL, m, NULL, s FROM m
+          UNION ALL SELECT 'no current', 'No current data', m, NULL, s, NULL FROM m)
+    SELECT *, false AS drift_detected, NULL::DOUBLE AS drift_score, NULL::DOUBLE AS p_value FROM r"""
+
 QUERIES = {
+    "drift_all_columns": drift_all_columns,
+    "prediction_drift_no_reference": prediction_drift_no_reference,
     "drift_ks": drift_ks,
     "drift_chi2": drift_chi2,
     "drift_psi": drift_psi,
@@ -257,6 +326,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "drift_all_columns": ALL_COLUMNS_SQL,
+    "prediction_drift_no_reference": NO_REFERENCE_SQL,
     "drift_ks": f"WITH {KS_SQL} SELECT feature, round(ks, 8) AS ks, ref_rows, cur_rows FROM ks",
     "drift_chi2": f"""
         WITH {SHARES_SQL}

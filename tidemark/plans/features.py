@@ -15,6 +15,7 @@ from ..features.batch import (
     preferred_type,
     rider_features,
     trip_features,
+    trip_features_at_start,
 )
 from ..functions import add_days, day_of_week, event_time, haversine_km, is_peak_hour, is_weekend, iso_format
 from ..functions.pricing import stable_jitter, surge_quote
@@ -241,6 +242,46 @@ TRIP_FEATURES_SQL = f"""
          LEFT JOIN supplier ON l_suppkey = s_suppkey"""
 
 
+def trip_features_at_start_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as trips at the order's time, with the customer's and the supplier's history as features."""
+    orders = table(spark, folder, "orders")
+    lines = table(spark, folder, "lineitem")
+    starts = orders.select(F.col("o_orderkey").alias("trip_id"), F.col("o_custkey").alias("rider_id"), F.col("o_orderdate").cast("timestamp").alias("started"))
+    trips = lines.select(F.col("l_orderkey").alias("trip_id"), "l_linenumber", F.col("l_suppkey").alias("driver_id"), "l_returnflag", "l_linestatus")
+    trips = trips.join(starts, "trip_id").select(
+        "trip_id", "l_linenumber", "rider_id", "driver_id", "started",
+        latitude("rider_id").alias("pickup_lat"), longitude("rider_id").alias("pickup_lng"),
+        latitude("driver_id").alias("dropoff_lat"), longitude("driver_id").alias("dropoff_lng"),
+        F.when(F.col("l_returnflag") == "R", "rain").otherwise("clear").alias("weather_condition"),
+        F.when(F.col("l_linestatus") == "F", "heavy").otherwise("light").alias("traffic_level"),
+    )
+    riders = orders.select(F.col("o_custkey").alias("rider_id"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_totalprice").alias("rider_last_fare"))
+    drivers = lines.select(F.col("l_suppkey").alias("driver_id"), F.col("l_shipdate").cast("timestamp").alias("at"), F.col("l_quantity").alias("driver_last_distance"))
+    rows = trip_features_at_start(trips, riders, drivers, "started", "at", "at", ttl=MONTH)
+    rounded = ["pickup_lat", "pickup_lng", "dropoff_lat", "dropoff_lng", "trip_distance_km", "estimated_duration_minutes"]
+    return rows.select(
+        "trip_id", "l_linenumber", "rider_last_fare", "driver_last_distance", "estimated_fare", "surge_multiplier",
+        "weather_condition", "traffic_level", *[F.round(c, 4).alias(c) for c in rounded],
+    )
+
+
+_START_KM = sql_haversine(sql_latitude("o_custkey"), sql_longitude("o_custkey"), sql_latitude("l_suppkey"), sql_longitude("l_suppkey"))
+TRIP_AT_START_SQL = f"""
+    WITH r AS (SELECT o_custkey AS k, o_orderdate AS at, max(o_totalprice) AS rider_last_fare FROM orders GROUP BY ALL),
+    d AS (SELECT l_suppkey AS k, l_shipdate AS at, max(l_quantity) AS driver_last_distance FROM lineitem GROUP BY ALL),
+    t AS (SELECT *, {_START_KM} AS km FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT l_orderkey AS trip_id, l_linenumber, rider_last_fare,
+           CASE WHEN d.at >= t.o_orderdate - INTERVAL 30 DAYS THEN driver_last_distance END AS driver_last_distance,
+           round(8.0::DOUBLE + km * 2.5::DOUBLE, 2) AS estimated_fare, 1.0::DOUBLE AS surge_multiplier,
+           CASE WHEN l_returnflag = 'R' THEN 'rain' ELSE 'clear' END AS weather_condition,
+           CASE WHEN l_linestatus = 'F' THEN 'heavy' ELSE 'light' END AS traffic_level,
+           round({sql_latitude("o_custkey")}, 4) AS pickup_lat, round({sql_longitude("o_custkey")}, 4) AS pickup_lng,
+           round({sql_latitude("l_suppkey")}, 4) AS dropoff_lat, round({sql_longitude("l_suppkey")}, 4) AS dropoff_lng,
+           round(km, 4) AS trip_distance_km, round(km / 30.0::DOUBLE * 60, 4) AS estimated_duration_minutes
+    FROM t JOIN r ON r.k = t.o_custkey AND r.at = t.o_orderdate
+    ASOF LEFT JOIN d ON d.k = t.l_suppkey AND d.at <= t.o_orderdate"""
+
+
 def _places(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with a pickup and, unless pending, a destination."""
     known = F.col("o_orderstatus") != "P"
@@ -401,7 +442,34 @@ DAILY_JOB_SQL = f"""
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"""
 
 
+def trailing_small_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums and averages over a week of values far below one, far above, and of exact decimals."""
+    value = F.col("value")
+    specs = [
+        Trailing("small", WEEK, "avg", value * 1e-12),
+        Trailing("small_sum", WEEK, "sum", value * 1e-12),
+        Trailing("large", WEEK, "avg", value * 1e15),
+        Trailing("cents", WEEK, "sum", F.round(value, 2).cast("decimal(18,2)")),
+    ]
+    rows = trailing(rides(spark, folder), ["rider_id"], "event_timestamp", specs)
+    shown = {"small": 1e12, "small_sum": 1e12, "large": 1e-15, "cents": 1.0}
+    return rows.select(
+        "rider_id",
+        text_time("event_timestamp").alias("event_timestamp"),
+        *[F.round(F.col(name).cast("double") * factor, 6).alias(name) for name, factor in shown.items()],
+    )
+
+
+SMALL_VALUES_SQL = f"""
+    SELECT DISTINCT user_id AS rider_id, strftime(ts, {SQL_TIME}) AS event_timestamp,
+           round(avg(value) OVER w7, 6) AS small, round(sum(value) OVER w7, 6) AS small_sum, round(avg(value) OVER w7, 6) AS large,
+           round(sum(round(value, 2)::DECIMAL(18, 2)) OVER w7::DOUBLE, 6) AS cents
+    FROM events WINDOW w7 AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)"""
+
+
 QUERIES = {
+    "trip_features_at_start": trip_features_at_start_query,
+    "trailing_small_values": trailing_small_values,
     "rider_features_daily": rider_features_daily,
     "rider_rates": rider_rates,
     "rider_counts_before": rider_counts_before,
@@ -422,6 +490,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "trip_features_at_start": TRIP_AT_START_SQL,
+    "trailing_small_values": SMALL_VALUES_SQL,
     "rider_features_daily": RIDER_FEATURES_SQL,
     "rider_rates": RIDER_RATES_SQL,
     "rider_counts_before": RIDER_COUNTS_BEFORE_SQL,

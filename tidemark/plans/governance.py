@@ -346,45 +346,60 @@ def compliance_soc2(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def compliance_result(spark: SparkSession, folder: str) -> DataFrame:
-    """One result from unaudited models and retention that has ended."""
-    kinds = compliance_soc2(spark, folder).select(F.lit("unaudited").alias("kind")).unionByName(
+    """One result per check: personal data and retention, unaudited models, and a check that finds nothing."""
+    texts = G.with_personal_data_counts(table(spark, folder, "documents").select("text"), "text")
+    unaudited = compliance_soc2(spark, folder).select(F.lit("unaudited").alias("kind"))
+    gdpr = texts.where("has_personal_data").select(F.lit("personal_data").alias("kind")).unionByName(
         lineage_retention(spark, folder).select(F.lit("retention").alias("kind"))
     )
-    row = G.compliance_result(kinds, "gdpr", "auditor", F.lit("2024-05-01").cast("timestamp"))
-    return row.select(
+    logs = events(spark, folder).select(F.col("user_id").alias("model_name"))
+    logged = G.unaudited(logs.distinct(), logs, ["model_name"]).select(F.lit("unaudited").alias("kind"))
+    at = F.lit("2024-05-01").cast("timestamp")
+    rows = [G.compliance_result(kinds, check, "auditor", at) for check, kinds in (("gdpr", gdpr), ("soc2", unaudited), ("logged", logged))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select(
         "check_type",
         "status",
         "remediation_required",
         "violations",
-        *[F.col("findings")[k].alias(k) for k in ("retention", "unaudited")],
+        *[F.coalesce(F.try_element_at("findings", F.lit(k)), F.lit(0)).alias(k) for k in ("personal_data", "retention", "unaudited")],
         "checked_by",
     )
 
 
-RESULT_SQL = """
-    WITH v AS (
-        SELECT count(*) AS unaudited FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)),
-    r AS (SELECT count(*) AS retention FROM documents
-          WHERE TIMESTAMP '2024-01-01' + to_days((length(text) % 120)::INT) + INTERVAL 90 DAYS <= TIMESTAMP '2024-05-01')
-    SELECT 'gdpr' AS check_type, 'non_compliant' AS status, true AS remediation_required,
-           retention + unaudited AS violations, retention, unaudited, 'auditor' AS checked_by
-    FROM v, r WHERE retention + unaudited > 0"""
+RESULT_SQL = f"""
+    WITH u AS (SELECT nullif(count(*), 0) AS unaudited FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)),
+    r AS (SELECT nullif(count(*), 0) AS retention FROM documents
+          WHERE TIMESTAMP '2024-01-01' + to_days((length(text) % 120)::INT) + INTERVAL 90 DAYS <= TIMESTAMP '2024-05-01'),
+    p AS (SELECT nullif(count(*), 0) AS personal_data FROM documents
+          WHERE {' OR '.join(f"regexp_matches(text, '{x}')" for x in G.PERSONAL_DATA.values())}),
+    c AS (SELECT 'gdpr' AS check_type, personal_data, retention, NULL::BIGINT AS unaudited FROM p, r
+          UNION ALL SELECT 'soc2', NULL, NULL, unaudited FROM u
+          UNION ALL SELECT 'logged', NULL, NULL, (SELECT nullif(count(*), 0) FROM (SELECT user_id FROM events EXCEPT SELECT user_id FROM events))),
+    v AS (SELECT *, (coalesce(personal_data, 0) + coalesce(retention, 0) + coalesce(unaudited, 0))::BIGINT AS violations FROM c)
+    SELECT check_type, CASE WHEN violations > 0 THEN 'non_compliant' ELSE 'compliant' END AS status,
+           violations > 0 AS remediation_required, violations, coalesce(personal_data, 0) AS personal_data,
+           coalesce(retention, 0) AS retention, coalesce(unaudited, 0) AS unaudited, 'auditor' AS checked_by
+    FROM v"""
 
 
 def _rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Languages as protected groups; a long text is predicted to be of quality."""
+    """Languages and, as a group of their own, texts of poor quality; a long text is predicted to be of quality.
+
+    The group of poor texts has no positive label.
+    """
     labelled = table(spark, folder, "documents").select("doc_id", "lang", "n_chars").join(
         table(spark, folder, "labels"), "doc_id"
     )
-    return group_rates(labelled, "lang", F.col("quality") == 1, F.col("n_chars") > 1000)
+    poor = labelled.where("quality = 0").withColumn("lang", F.lit("poor"))
+    return group_rates(labelled.unionByName(poor), "lang", F.col("quality") == 1, F.col("n_chars") > 1000)
 
 
 RATES_SQL = """
-    g AS (SELECT lang, (quality = 1) AS y, (n_chars > 1000) AS p FROM documents JOIN labels USING (doc_id)),
+    g AS (SELECT lang, (quality = 1) AS y, (n_chars > 1000) AS p FROM documents JOIN labels USING (doc_id)
+          UNION ALL SELECT 'poor', false, (n_chars > 1000) FROM documents JOIN labels USING (doc_id) WHERE quality = 0),
     rates AS (SELECT lang AS protected_group, count(*) AS n, count(*) FILTER (p) / count(*)::DOUBLE AS positive_rate,
-                     coalesce(count(*) FILTER (p AND y) / nullif(count(*) FILTER (y), 0)::DOUBLE, 0) AS true_positive_rate,
-                     coalesce(count(*) FILTER (p AND NOT y) / nullif(count(*) FILTER (NOT y), 0)::DOUBLE, 0)
-                         AS false_positive_rate
+                     count(*) FILTER (p AND y) / nullif(count(*) FILTER (y), 0)::DOUBLE AS true_positive_rate,
+                     count(*) FILTER (p AND NOT y) / nullif(count(*) FILTER (NOT y), 0)::DOUBLE AS false_positive_rate
               FROM g GROUP BY lang)"""
 
 
@@ -408,7 +423,9 @@ BIAS_SQL = f"""
 
 def compliance_fairness(spark: SparkSession, folder: str) -> DataFrame:
     gaps = fairness_gaps(_rates(spark, folder))
-    rates = ["positive_rate", "true_positive_rate", "false_positive_rate", "positive_rate_gap", "true_positive_rate_gap"]
+    rates = [
+        "positive_rate", "true_positive_rate", "false_positive_rate", "positive_rate_gap", "true_positive_rate_gap", "fairness_score",
+    ]
     return gaps.select("protected_group", F.col("rows").alias("n"), *[F.round(c, 8).alias(c) for c in rates])
 
 
@@ -417,7 +434,9 @@ FAIRNESS_SQL = f"""
     SELECT protected_group, n, round(positive_rate, 8) AS positive_rate, round(true_positive_rate, 8) AS true_positive_rate,
            round(false_positive_rate, 8) AS false_positive_rate,
            round(max(positive_rate) OVER () - positive_rate, 8) AS positive_rate_gap,
-           round(max(true_positive_rate) OVER () - true_positive_rate, 8) AS true_positive_rate_gap
+           round(max(true_positive_rate) OVER () - true_positive_rate, 8) AS true_positive_rate_gap,
+           round(1 - (SELECT greatest(max(positive_rate) - min(positive_rate), max(true_positive_rate) - min(true_positive_rate)) FROM rates), 8)
+               AS fairness_score
     FROM rates"""
 
 QUERIES = {

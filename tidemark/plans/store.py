@@ -276,10 +276,9 @@ def _online_table(spark: SparkSession, root: str) -> SnapshotTable:
     return SnapshotTable(spark, root, ("user_id",), ("ts", "event_id"))
 
 
-def _shown(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        "user_id", text_time("ts").alias("ts"), "event_id", "event_type", "value", text_time("expires_at").alias("expires_at")
-    )
+def _shown(rows: DataFrame, *more: str) -> DataFrame:
+    expires = text_time("expires_at").alias("expires_at")
+    return rows.select("user_id", text_time("ts").alias("ts"), "event_id", "event_type", "value", expires, *more)
 
 
 def materialize_slice(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,14 +298,22 @@ def materialize_twice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def online_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """Two batches merged by key, the second one twice."""
+    """Two batches merged by key, the second one twice; then a writer that starts anew, with one column more."""
     view = _event_view(spark, folder)
     online = _online_table(spark, shared_dir(spark, "snapshot"))
-    middle, end = (F.lit(t).cast("timestamp") for t in ("2024-01-20", "2024-02-01"))
+    middle, late, end = (F.lit(t).cast("timestamp") for t in ("2024-01-15", "2024-01-22", "2024-02-01"))
     online.upsert(slice_to_load(view, None, middle), 0)
     for _ in range(2):
-        online.upsert(slice_to_load(view, middle, end, after=True), 1)
-    return _shown(online.read())
+        online.upsert(slice_to_load(view, middle, late, after=True), 1)
+    last = slice_to_load(view, late, end, after=True).withColumn("note", F.lit("late"))
+    online.upsert(last, 0, "restarted")
+    try:
+        replace(online, buckets=online.buckets * 2).read()
+    except ValueError:
+        refused = True
+    else:
+        refused = False
+    return _shown(online.read(), "note").withColumn("refused", F.lit(refused))
 
 
 def _latest_sql(condition: str) -> str:
@@ -340,5 +347,7 @@ ORACLE = {
     "online_service": ONLINE_SERVICE_SQL,
     "materialize_slice": _latest_sql("ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-17'"),
     "materialize_incremental": _latest_sql("ts <= TIMESTAMP '2024-01-25'"),
-    "online_snapshot": _latest_sql("ts <= TIMESTAMP '2024-02-01'"),
+    "online_snapshot": f"""
+        SELECT *, CASE WHEN ts > '2024-01-22 00:00:00.000000' THEN 'late' END AS note, true AS refused
+        FROM ({_latest_sql("ts <= TIMESTAMP '2024-02-01'")})""",
 }

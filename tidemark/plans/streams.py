@@ -1,4 +1,9 @@
-"""Streams over the given tables' files, run until all is processed, and what their sinks hold."""
+"""Streams over the given tables, run until all is processed, and what their sinks hold.
+
+A table is written to a working folder in parts, in the order of time, and read a
+part per micro-batch, so that state, watermarks and the merging of batches are
+part of every query.
+"""
 
 from __future__ import annotations
 
@@ -26,13 +31,26 @@ from .tables import (
 )
 
 
-def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    schema = table(spark, folder, name).schema
-    return read_parquet_stream(spark, folder, schema, f"{name}.parquet")
+# Micro-batches per query, files of a micro-batch, and state partitions sized for the given tables.
+BATCHES = 3
+FILES = 2
+STATE = 8
+
+
+def _parts(spark: SparkSession, folder: str, name: str, ts: str, again: bool = False) -> DataFrame:
+    """A table as a stream of ``BATCHES`` parts in the order of ``ts``; the first part arrives ``again`` at the end."""
+    rows = table(spark, folder, name)
+    axis = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = rows.agg(F.approx_percentile(axis, [i / BATCHES for i in range(1, BATCHES)])).first()[0] or [0] * (BATCHES - 1)
+    part = sum(((axis > cut).cast("int") for cut in cuts), F.lit(0))
+    root = shared_dir(spark, name)
+    for number in [*range(BATCHES), *([0] if again else [])]:
+        rows.where(part == number).repartition(FILES).write.mode("append").parquet(root)
+    return read_parquet_stream(spark, root, rows.schema, max_files=FILES)
 
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return _stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+def _events(spark: SparkSession, folder: str, again: bool = False) -> DataFrame:
+    return _parts(spark, folder, "events", "ts", again).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,33 +61,42 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return event_records(_events(spark, folder)).select(F.when(broken, cut).otherwise(value).alias("value"))
 
 
+DAYS = (1, 7, 30)
+
+
 def stream_rider_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Seven-day counts per user, every day; changed windows are merged into a table."""
+    """Counts per user over 1, 7 and 30 days, every day: daily counts are merged into a table and added up when read."""
     root = shared_dir(spark, "sliding")
-    counts = counters.sliding_counts(_events(spark, folder), ["user_id"], "ts", days=7)
-    target = SnapshotTable(spark, f"{root}/table", ("user_id", "window_start", "window_end"), ("batch",))
-    sinks.run_versioned_upserts(counts, target, root, partitions=sinks.one_per_core(spark))
-    return target.read().select(
-        "user_id", text_time("window_start").alias("window_start"), text_time("window_end").alias("window_end"), "n"
+    counts = counters.daily_counts(_events(spark, folder), ["user_id"], "ts")
+    target = SnapshotTable(spark, f"{root}/table", ("user_id", "day"), ("batch",))
+    sinks.run_versioned_upserts(counts, target, root, partitions=STATE)
+    daily = target.read().select("user_id", "day", "n")
+    rows = [
+        counters.windows_of_days(daily, ["user_id"], days).withColumn("days", F.lit(days)) for days in DAYS
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select(
+        "user_id", "days", text_time("window_start").alias("window_start"), text_time("window_end").alias("window_end"), "n"
     )
 
 
-RIDER_COUNTS_SQL = f"""
-    SELECT user_id, strftime(w - INTERVAL 7 DAYS, {SQL_TIME}) AS window_start, strftime(w, {SQL_TIME}) AS window_end,
+RIDER_COUNTS_SQL = " UNION ALL ".join(
+    f"""
+    SELECT user_id, {days} AS days, strftime(w - INTERVAL {days} DAYS, {SQL_TIME}) AS window_start, strftime(w, {SQL_TIME}) AS window_end,
            count(*) AS n
-    FROM (SELECT user_id, unnest(generate_series(ts::DATE + INTERVAL 1 DAY, ts::DATE + INTERVAL 7 DAYS, INTERVAL 1 DAY)) AS w
+    FROM (SELECT user_id, unnest(generate_series(ts::DATE + INTERVAL 1 DAY, ts::DATE + INTERVAL {days} DAYS, INTERVAL 1 DAY)) AS w
           FROM events)
     GROUP BY user_id, w"""
+    for days in DAYS
+)
 
 
 def stream_gap_counter(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts that start again after a day of silence; only closed ones are emitted."""
+    """Counts that start again after a day of silence, those still open included: the newest state of each session."""
     root = shared_dir(spark, "gaps")
-    sinks.merge_sessions_early(spark)
-    counts = counters.gap_counts(_events(spark, folder), ["user_id"], "ts", "1 day", "1 hour")
-    sinks.run_to_files(counts, root, partitions=sinks.one_per_core(spark))
-    rows = spark.read.parquet(f"{root}/data")
-    return rows.select(
+    target = SnapshotTable(spark, f"{root}/table", ("user_id", "session_start"), ("batch",))
+    rows = _events(spark, folder).select("user_id", "ts")
+    sinks.run_sessions(rows, target, root, ["user_id"], "ts", "1 day", partitions=STATE)
+    return target.read().where("n > 0").select(
         "user_id", text_time("session_start").alias("session_start"), text_time("session_end").alias("session_end"), "n"
     )
 
@@ -79,23 +106,32 @@ GAP_COUNTER_SQL = f"""
     s AS (SELECT *, count(*) FILTER (goes_on IS NOT true) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM m)
     SELECT user_id, strftime(min(ts), {SQL_TIME}) AS session_start,
            strftime(max(ts) + INTERVAL 1 DAY, {SQL_TIME}) AS session_end, count(*) AS n
-    FROM s GROUP BY user_id, session
-    HAVING max(ts) + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 HOUR"""
+    FROM s GROUP BY user_id, session"""
 
 
 def stream_dedup_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event arrives twice; the latest of each user is kept, with an expiry."""
+    """Every event arrives twice, and the first part once more, late; the latest of each user is kept, with an expiry."""
     root = shared_dir(spark, "dedup")
-    twice = _events(spark, folder).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    single = E.once(twice, "event_id", "ts").withColumn("seen", F.lit(1).cast("bigint"))
-    counted = SnapshotTable(spark, f"{root}/table", ("user_id",), ("ts", "event_id"))
+    twice = _events(spark, folder, again=True).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    single = E.once(twice, "event_id", "ts")
+    newest = SnapshotTable(spark, f"{root}/newest", ("user_id",), ("ts", "event_id"))
+    counted = SnapshotTable(spark, f"{root}/counted", ("user_id",), ("seen",))
 
     def handle(batch: DataFrame, number: int) -> None:
-        seen = batch.groupBy("user_id").agg(F.sum("seen").alias("seen"))
-        counted.upsert(latest(batch.drop("seen"), ["user_id"], "ts", ["event_id"]).join(seen, "user_id"), number)
+        writer = sinks.writer_name(batch)
+        batch = batch.persist()
+        try:
+            newest.upsert(latest(batch, ["user_id"], "ts", ["event_id"]), number, writer)
+            seen = batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("seen"))
+            before = counted.read(number, writer)
+            if before is not None:
+                seen = seen.unionByName(before).groupBy("user_id").agg(F.sum("seen").alias("seen"))
+            counted.upsert(seen, number, writer)
+        finally:
+            batch.unpersist()
 
-    sinks.run_batches(single, root, handle, partitions=sinks.one_per_core(spark))
-    return counted.read().select(
+    sinks.run_batches(single, root, handle, partitions=STATE)
+    return newest.read().join(counted.read(), "user_id").select(
         "user_id", text_time("ts").alias("ts"), "event_id", "event_type", "seen",
         text_time(F.col("ts") + F.expr("INTERVAL 24 HOURS")).alias("expires_at"),
     )
@@ -110,14 +146,14 @@ DEDUP_SQL = f"""
 def stream_trip_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as trip starts joined with line items shipped within 120 days as their ends."""
     root = shared_dir(spark, "pairs")
-    starts = _stream(spark, folder, "orders").select(
+    starts = _parts(spark, folder, "orders", "o_orderdate").select(
         F.col("o_orderkey").alias("trip_id"), F.col("o_orderdate").cast("timestamp").alias("started_at"), "o_totalprice"
     )
-    ends = _stream(spark, folder, "lineitem").select(
+    ends = _parts(spark, folder, "lineitem", "l_shipdate").select(
         F.col("l_orderkey").alias("trip_id"), F.col("l_shipdate").cast("timestamp").alias("ended_at"), "l_linenumber"
     )
     pairs = counters.match_trips(starts, ends, "trip_id", "started_at", "ended_at", "120 DAYS")
-    sinks.run_to_files(pairs, root, partitions=sinks.one_per_core(spark))
+    sinks.run_to_files(pairs, root, partitions=STATE)
     days = F.datediff("ended_at", "started_at").cast("bigint")
     return spark.read.parquet(f"{root}/data").select("trip_id", "l_linenumber", "o_totalprice", days.alias("days"))
 
@@ -132,7 +168,7 @@ def stream_dead_letter(spark: SparkSession, folder: str) -> DataFrame:
     """Records that cannot be processed, with the reason."""
     root = shared_dir(spark, "dead")
     parsed = sinks.observe_outcomes(E.parse(_texts(spark, folder)))
-    sinks.run_to_files(E.dead_letters(parsed), root, partitions=sinks.one_per_core(spark))
+    sinks.run_to_files(E.dead_letters(parsed), root, partitions=STATE)
     letters = spark.read.parquet(f"{root}/data")
     return letters.select("problem", F.regexp_extract("value", '"event_id":"([0-9]+)"', 1).alias("event_id"))
 
@@ -161,7 +197,7 @@ def stream_event_features(spark: SparkSession, folder: str) -> DataFrame:
         finally:
             batch.unpersist()
 
-    sinks.run_batches(parsed, root, handle, partitions=sinks.one_per_core(spark))
+    sinks.run_batches(parsed, root, handle, partitions=STATE)
     riders, drivers, trips = (spark.read.parquet(f"{root}/{route}") for route in views)
     riders = riders.select(
         F.lit("rider").alias("route"), "event_id", "hour_of_day", "is_peak_hour", "trip_distance_km", "rider_rating"
@@ -199,10 +235,10 @@ def stream_trip_counters(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "trips")
     ended = E.trip_entities(E.trip_event_features(E.parse(_texts(spark, folder))))
     keys = ["entity_type", "entity_id"]
-    counts = counters.sliding_counts(ended, keys, "event_ts", days=1)
-    target = SnapshotTable(spark, f"{root}/table", (*keys, "window_start"), ("batch",))
-    sinks.run_versioned_upserts(counts, target, root, partitions=sinks.one_per_core(spark))
-    return target.read().select(*keys, text_time("window_start").alias("window_start"), "n")
+    counts = counters.daily_counts(ended, keys, "event_ts")
+    target = SnapshotTable(spark, f"{root}/table", (*keys, "day"), ("batch",))
+    sinks.run_versioned_upserts(counts, target, root, partitions=STATE)
+    return target.read().select(*keys, text_time("day").alias("window_start"), "n")
 
 
 TRIP_COUNTERS_SQL = f"""
@@ -219,7 +255,7 @@ def stream_online_store(spark: SparkSession, folder: str) -> DataFrame:
     features = E.rider_event_features(E.parse(_texts(spark, folder)))
     rows = E.online_rows(features, "rider", "rider_id", "event_ts", F.lit(timedelta(hours=24)))
     target = SnapshotTable(spark, f"{root}/table", ("entity_type", "entity_id"), ("updated_at", "features"))
-    sinks.run_upserts(rows, target, root, partitions=sinks.one_per_core(spark))
+    sinks.run_upserts(rows, target, root, partitions=STATE)
     return target.read().select(
         "entity_type",
         "entity_id",
@@ -243,7 +279,7 @@ def stream_running_count(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "running")
     state = SnapshotTable(spark, f"{root}/state", ("user_id",), ("n",))
     rows = _events(spark, folder).select("event_id", "user_id", "ts")
-    out = sinks.run_running_counts(rows, state, root, ["user_id"], "ts", ["event_id"], partitions=sinks.one_per_core(spark))
+    out = sinks.run_running_counts(rows, state, root, ["user_id"], "ts", ["event_id"], partitions=STATE)
     totals = state.read().select("user_id", F.col("n").alias("total"))
     return spark.read.parquet(out).join(totals, "user_id").select("event_id", "user_id", "running_count", "total")
 
@@ -251,9 +287,7 @@ def stream_running_count(spark: SparkSession, folder: str) -> DataFrame:
 def stream_health(spark: SparkSession, folder: str) -> DataFrame:
     """Health of predictions per five minutes and model, as windows change."""
     root = shared_dir(spark, "health")
-    schema = table(spark, folder, "events").schema
-    raw = read_parquet_stream(spark, folder, schema, "events.parquet")
-    log = raw.select(
+    log = _parts(spark, folder, "events", "ts").select(
         F.when(F.col("user_id") % 2 == 0, "eta").otherwise("surge").alias("model_name"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("value").alias("latency_ms"),
@@ -261,7 +295,7 @@ def stream_health(spark: SparkSession, folder: str) -> DataFrame:
     )
     measured = health_windows(log.withWatermark("ts", E.WATERMARK), max_latency_ms=150.0)
     target = SnapshotTable(spark, f"{root}/table", ("window_start", "model_name"), ("batch",))
-    sinks.run_versioned_upserts(measured, target, root, partitions=sinks.one_per_core(spark))
+    sinks.run_versioned_upserts(measured, target, root, partitions=STATE)
     return target.read().select(
         text_time("window_start").alias("window_start"),
         "model_name",
@@ -284,7 +318,7 @@ def stream_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "outcomes")
     counts = E.outcome_counts(E.parse(_texts(spark, folder)))
     target = SnapshotTable(spark, f"{root}/table", ("route", "outcome"), ("batch",))
-    sinks.run_versioned_upserts(counts, target, root, partitions=sinks.one_per_core(spark))
+    sinks.run_versioned_upserts(counts, target, root, partitions=STATE)
     return target.read().select("outcome", "n").groupBy("outcome").agg(F.sum("n").alias("n"))
 
 

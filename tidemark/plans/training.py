@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..features.store import ETA_PREDICTION, historical_features, slice_to_load
@@ -59,50 +59,83 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _trained(spark: SparkSession, folder: str) -> tuple[TrainedTrees, DataFrame]:
-    """A small model: the depth and rounds of a check, not those of a deployment."""
+def _trained(spark: SparkSession, folder: str) -> tuple[TrainedTrees, DataFrame, DataFrame]:
+    """The model as it is deployed: depth 8, up to 200 rounds, ended by validation. Training and test rows with it."""
     train, test = split(_lines(spark, folder), F.col("l_orderkey"))
     fit, validation = split(train, F.col("l_orderkey"), seed=7)
-    spec = BoostedTrees(INPUTS, "l_extendedprice", max_depth=4, rounds=5)
-    return spec.fit(fit, validation), test
+    return BoostedTrees(INPUTS, "l_extendedprice").fit(fit, validation), train, test
 
 
 def gbt_train_score(spark: SparkSession, folder: str) -> DataFrame:
-    model, test = _trained(spark, folder)
-    return model.predict(test).select("l_orderkey", "l_linenumber", "l_extendedprice", "prediction")
+    """Every test row with whether it got a finite prediction. The predictions themselves have no SQL form."""
+    model, _, test = _trained(spark, folder)
+    value = F.col("prediction")
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return model.predict(test).select("l_orderkey", "l_linenumber", "l_extendedprice", finite.alias("finite"))
+
+
+TEST_SQL = f"{sql_bucket('l_orderkey', 100, '42')} < 20"
+GBT_SCORE_SQL = f"""
+    SELECT l_orderkey, l_linenumber, l_extendedprice, true AS finite FROM lineitem WHERE {TEST_SQL}"""
 
 
 def gbt_evaluate(spark: SparkSession, folder: str) -> DataFrame:
-    model, test = _trained(spark, folder)
-    checked = validate_model(model.predict(test), test)
-    metrics = model.evaluate(test).withColumn("k", F.lit(1))
-    # Both sides are one row.
-    return metrics.join(F.broadcast(checked.withColumn("k", F.lit(1)).drop("rows")), "k").drop("k")
+    """The model's checks, and whether its error is below that of predicting the training mean."""
+    model, train, test = _trained(spark, folder)
+    mean = train.agg(F.avg("l_extendedprice").alias("mean")).withColumn("k", F.lit(1))
+    checked = validate_model(model.predict(test), test).withColumn("k", F.lit(1))
+    metrics = model.evaluate(test).select("rmse", F.lit(1).alias("k"))
+    off = F.col("l_extendedprice") - F.col("mean")
+    # Each side but the test rows is one row.
+    by_mean = test.withColumn("k", F.lit(1)).join(F.broadcast(mean), "k").groupBy("k").agg(F.sqrt(F.avg(off * off)).alias("mean_rmse"))
+    joined = by_mean.join(F.broadcast(checked), "k").join(F.broadcast(metrics), "k")
+    return joined.select(
+        "predictions", "finite", "valid", F.round("mean_rmse", 2).alias("mean_rmse"), (F.col("rmse") < F.col("mean_rmse")).alias("better")
+    )
+
+
+GBT_EVALUATE_SQL = f"""
+    WITH m AS (SELECT avg(l_extendedprice) AS mean FROM lineitem WHERE NOT {TEST_SQL})
+    SELECT count(*) AS predictions, count(*) AS finite, true AS valid, round(sqrt(avg((l_extendedprice - mean) ** 2)), 2) AS mean_rmse, true AS better
+    FROM lineitem, m WHERE {TEST_SQL}"""
 
 
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    model, test = _trained(spark, folder)
-    return model.importance(test, top=5)
+    """The five features by rank, the first one's name, and the sum of all importances."""
+    model, _, test = _trained(spark, folder)
+    ranked = model.importance(test).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+    total = F.sum("importance").over(Window.partitionBy())
+    first = F.when(F.col("rank") == 1, F.col("feature"))
+    rows = ranked.select("rank", first.alias("first"), F.round(total, 6).alias("total"))
+    return rows.where(F.col("rank") <= 5)
+
+
+IMPORTANCE_SQL = """
+    SELECT i::INT AS rank, CASE WHEN i = 1 THEN 'l_quantity' END AS first, 1.0::DOUBLE AS total FROM generate_series(1, 5) g(i)"""
 
 
 def _search(spark: SparkSession, folder: str) -> DataFrame:
     train, test = split(_lines(spark, folder), F.col("l_orderkey"))
+    fit_rows, validation = split(train, F.col("l_orderkey"), seed=7)
 
     def fit(params: dict[str, object]) -> dict[str, float]:
-        spec = BoostedTrees(
-            INPUTS, "l_extendedprice", max_depth=params["max_depth"], step_size=params["step_size"], rounds=2
-        )
-        found = spec.fit(train).evaluate(test).first()
+        spec = BoostedTrees(INPUTS, "l_extendedprice", max_depth=params["max_depth"], step_size=params["step_size"])
+        found = spec.fit(fit_rows, validation).evaluate(test).first()
         return {"loss": found["rmse"], "mae": found["mae"]}
 
-    space = {"step_size": log_uniform(0.05, 0.5), "max_depth": choice([2, 3])}
-    return random_search(spark, fit, space, samples=3, parallel=3)
+    space = {"step_size": log_uniform(0.01, 0.3), "max_depth": choice(range(4, 9))}
+    return random_search(spark, fit, space)
 
 
 def random_search_query(spark: SparkSession, folder: str) -> DataFrame:
-    """The trial with the least loss."""
-    best = best_trial(_search(spark, folder), "loss")
-    return best.select("trial", F.col("metrics")["loss"].alias("loss"), F.map_keys("params").alias("params"))
+    """Twenty trials, four at a time: their number, and whether the best one's loss is the least of all."""
+    trials = _search(spark, folder)
+    best = best_trial(trials, "loss").select(F.col("metrics")["loss"].alias("best"), F.map_keys("params").alias("params"), F.lit(1).alias("k"))
+    least = trials.agg(F.count(F.lit(1)).alias("trials"), F.min(F.col("metrics")["loss"]).alias("least"), F.lit(1).alias("k"))
+    # One row each.
+    return least.join(F.broadcast(best), "k").select(
+        "trials", (F.col("best") == F.col("least")).alias("best_is_least"), F.concat_ws(",", F.array_sort("params")).alias("params")
+    )
 
 
 def batch_scoring(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,6 +177,10 @@ QUERIES = {
 }
 
 ORACLE = {
+    "gbt_train_score": GBT_SCORE_SQL,
+    "gbt_evaluate": GBT_EVALUATE_SQL,
+    "feature_importance": IMPORTANCE_SQL,
+    "random_search": "SELECT 20::BIGINT AS trials, true AS best_is_least, 'max_depth,step_size' AS params",
     "training_set": TRAINING_SET_SQL,
     "train_split": f"""
         SELECT o_orderkey, CASE WHEN {sql_bucket("o_orderkey", 100, "42")} < 20 THEN 'test' ELSE 'train' END AS side

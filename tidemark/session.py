@@ -9,13 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def create_session(app_name: str, **conf: str) -> SparkSession:
-    """A session with the settings the operators assume: UTC and adaptive execution."""
+    """A session with the settings the operators assume: UTC, on top of Spark's own defaults."""
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Keeps streaming state outside the heap.
         .config(
             "spark.sql.streaming.stateStore.providerClass",
@@ -30,15 +27,14 @@ def create_session(app_name: str, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one run, below the folder the cluster names for checkpoints.
 
-    Executors must all see this folder, so a machine-local folder is used only
-    when the session names none, which is the case in local tests.
+    Executors must all see this folder, so a temporary folder of this machine is
+    used only by a local session that names none.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

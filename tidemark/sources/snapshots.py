@@ -1,18 +1,25 @@
 """A keyed table with upserts on plain parquet files.
 
-Rows are spread over a fixed number of buckets by key. An upsert writes a new
-version of the buckets it touches and then one small commit that names, for
-every bucket, the version to read. Readers only follow commits, so a writer that
-is lost half way leaves nothing visible, and repeating a version replaces what
-it wrote before: the same batch applied twice changes nothing.
+Rows are spread over a fixed number of buckets by key. An upsert writes the
+buckets it touches to a new folder and then one small commit, numbered by the
+table itself, that names for every bucket the folder to read, the number of
+buckets, the schema, and the last batch of each writer. Readers follow the newest
+commit only, so a writer that is lost half way leaves nothing visible.
+
+A writer that gives its name and a batch number may repeat a batch: what is
+already committed is recognised and left alone. A writer with another name, such
+as a stream that starts again with a new checkpoint, goes on from what is there.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.asof import latest
 from ..session import path_exists
@@ -20,12 +27,42 @@ from ..session import path_exists
 BUCKET = "__bucket"
 
 
+@dataclass(frozen=True)
+class Commit:
+    """What a table holds as of one upsert."""
+
+    number: int
+    buckets: int
+    schema: T.StructType
+    layout: dict[int, str]
+    writers: dict[str, int]
+
+    def dumps(self) -> str:
+        return json.dumps(
+            {
+                "number": self.number,
+                "buckets": self.buckets,
+                "schema": self.schema.jsonValue(),
+                "layout": self.layout,
+                "writers": self.writers,
+            }
+        )
+
+    @classmethod
+    def loads(cls, text: str) -> Commit:
+        held = json.loads(text)
+        layout = {int(b): folder for b, folder in held["layout"].items()}
+        return cls(held["number"], held["buckets"], T.StructType.fromJson(held["schema"]), layout, held["writers"])
+
+
 @dataclass(frozen=True)
 class SnapshotTable:
     """``order`` decides which of two rows of a key is kept: the greater one.
 
     Choose ``buckets`` so that one bucket is the work of one task: a bucket that
-    an upsert touches is written again as a whole.
+    an upsert touches is written again as a whole. The number belongs to the table
+    and is refused if it differs from the stored one. ``keep`` commits and the
+    data they name are kept for readers that are still at an older one.
     """
 
     spark: SparkSession
@@ -33,61 +70,135 @@ class SnapshotTable:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     buckets: int = 16
+    keep: int = 10
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def _commits(self) -> DataFrame | None:
-        folder = f"{self.root}/commits"
-        if not path_exists(self.spark, folder):
-            return None
-        return self.spark.read.schema("bucket int, data_version bigint, version bigint").parquet(folder)
-
-    def _layout(self, before: int | None = None) -> dict[int, int]:
-        """Bucket -> version of the last commit. One row per bucket."""
-        commits = self._commits()
-        if commits is None:
-            return {}
-        if before is not None:
-            commits = commits.where(F.col("version") < before)
-        newest = commits.agg(F.max("version")).scalar()
-        return {r["bucket"]: r["data_version"] for r in commits.where(F.col("version") == newest).collect()}
-
-    def _read(self, layout: dict[int, int]) -> DataFrame | None:
-        paths = [f"{self.root}/data/version={v}/{BUCKET}={b}" for b, v in sorted(layout.items())]
-        return self.spark.read.option("basePath", f"{self.root}/data").parquet(*paths) if paths else None
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """The table as of the last commit (or the last one before a version); None if none."""
-        rows = self._read(self._layout(before))
-        return None if rows is None else rows.drop(BUCKET, "version")
-
-    def upsert(self, batch: DataFrame, version: int) -> None:
-        """Merge a batch as ``version``; versions must increase, except to repeat one."""
+    # Commits
+
+    def _files(self):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _names(self, folder: str) -> list[str]:
+        if not path_exists(self.spark, f"{self.root}/{folder}"):
+            return []
+        return sorted(entry.getPath().getName() for entry in self._files().listStatus(self._path(folder)))
+
+    def _numbers(self) -> list[int]:
+        return [int(name.removesuffix(".json")) for name in self._names("commits") if name.endswith(".json")]
+
+    def _commit(self, number: int) -> Commit:
+        text = self.spark.read.option("wholetext", True).text(f"{self.root}/commits/{number:012d}.json").first()[0]
+        found = Commit.loads(text)
+        if found.buckets != self.buckets:
+            raise ValueError(f"{self.root} has {found.buckets} buckets, not {self.buckets}")
+        return found
+
+    def last_commit(self) -> Commit | None:
+        numbers = self._numbers()
+        return self._commit(numbers[-1]) if numbers else None
+
+    def _publish(self, commit: Commit) -> None:
+        """Make a commit visible; fails if another writer has taken its number."""
+        files = self._files()
+        hidden = self._path(f"commits/_{uuid.uuid4().hex}")
+        out = files.create(hidden)
+        out.write(commit.dumps().encode("utf-8"))
+        out.close()
+        target = self._path(f"commits/{commit.number:012d}.json")
+        if files.exists(target) or not files.rename(hidden, target):
+            files.delete(hidden, False)
+            raise RuntimeError(f"another writer has committed {commit.number} to {self.root}")
+
+    def _expire(self) -> None:
+        """Drop commits beyond ``keep``, and data that no kept commit names and no writer is writing."""
+        numbers = self._numbers()
+        if len(numbers) <= self.keep:
+            return
+        kept = [self._commit(n) for n in numbers[-self.keep :]]
+        used = {folder for commit in kept for folder in commit.layout.values()}
+        for number in numbers[: -self.keep]:
+            self._files().delete(self._path(f"commits/{number:012d}.json"), False)
+        for folder in self._names("data"):
+            if folder not in used and int(folder.split("-")[0]) <= kept[0].number:
+                self._files().delete(self._path(f"data/{folder}"), True)
+
+    # Reading
+
+    def _read(self, commit: Commit, buckets: set[int] | None = None) -> DataFrame | None:
+        paths = [
+            f"{self.root}/data/{folder}/{BUCKET}={b}"
+            for b, folder in sorted(commit.layout.items())
+            if buckets is None or b in buckets
+        ]
+        # The stored schema: files that are older than a column have nulls for it.
+        return self.spark.read.schema(commit.schema).parquet(*paths) if paths else None
+
+    def read(self, before: int | None = None, writer: str = "batch") -> DataFrame | None:
+        """The table as of the newest commit; None if there is none.
+
+        ``before`` is a batch of a writer: the table as it was when that batch was
+        first applied, or as it is if it has not been.
+        """
+        if before is None:
+            commit = self.last_commit()
+            return None if commit is None else self._read(commit)
+        for number in reversed(self._numbers()):
+            commit = self._commit(number)
+            if commit.writers.get(writer, -1) < before:
+                return self._read(commit)
+        return None
+
+    # Writing
+
+    def upsert(self, batch: DataFrame, number: int | None = None, writer: str = "batch") -> bool:
+        """Merge a batch; False if this writer's batch is already in the table.
+
+        Without a ``number`` the batch is always merged. A number below the
+        writer's last one is refused.
+        """
+        last = self.last_commit()
+        done = -1 if last is None else last.writers.get(writer, -1)
+        if number is not None and number <= done:
+            if number < done:
+                raise ValueError(f"{writer} gave batch {number} after {done}")
+            return False
         newest = latest(batch, self.keys, self.order[0], self.order[1:]).withColumn(BUCKET, self._bucket())
         # The batch is needed twice, to see which buckets it touches and to merge it.
         newest = newest.persist()
         try:
             touched = {r[BUCKET] for r in newest.select(BUCKET).distinct().collect()}
-            if not touched:
-                return
-            layout = self._layout(before=version)
-            old = self._read({b: v for b, v in layout.items() if b in touched})
-            rows = newest
-            if old is not None:
-                rows = rows.unionByName(old.drop("version"), allowMissingColumns=True)
-            # Both sides have one row per key, so bringing buckets together is the only
-            # shuffle: the merge and the write both work bucket by bucket.
-            merged = rows.repartition(self.buckets, BUCKET)
-            if old is not None:
-                merged = latest(merged, (*self.keys, BUCKET), self.order[0], self.order[1:])
-            merged.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/data/version={version}")
-            entries = [(b, v) for b, v in {**layout, **dict.fromkeys(touched, version)}.items()]
-            (
-                self.spark.createDataFrame(entries, "bucket int, data_version bigint")
-                .coalesce(1)
-                .write.mode("overwrite")
-                .parquet(f"{self.root}/commits/version={version}")
-            )
+            layout = {} if last is None else dict(last.layout)
+            schema = batch.schema if last is None else last.schema
+            following = 1 if last is None else last.number + 1
+            if touched:
+                old = None if last is None else self._read(last, touched)
+                rows = newest
+                if old is not None:
+                    rows = rows.unionByName(old.withColumn(BUCKET, self._bucket()), allowMissingColumns=True)
+                # Both sides have one row per key, so bringing buckets together is the only
+                # shuffle: the merge and the write both work bucket by bucket.
+                merged = rows.repartition(self.buckets, BUCKET)
+                if old is not None:
+                    merged = latest(merged, (*self.keys, BUCKET), self.order[0], self.order[1:])
+                folder = f"{following:012d}-{uuid.uuid4().hex}"
+                merged.write.partitionBy(BUCKET).parquet(f"{self.root}/data/{folder}")
+                layout |= dict.fromkeys(touched, folder)
+                known = [*schema.fields, *[f for f in merged.drop(BUCKET).schema.fields if f.name not in schema.names]]
+                schema = T.StructType([T.StructField(f.name, f.dataType) for f in known])
+            elif number is None:
+                return True
+            writers = {} if last is None else dict(last.writers)
+            if number is not None:
+                writers[writer] = number
+            commit = Commit(following, self.buckets, schema, layout, writers)
+            self._publish(commit)
+            self._expire()
+            return True
         finally:
             newest.unpersist()

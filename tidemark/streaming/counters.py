@@ -4,13 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.timeline import row_numbers
 from .events import WATERMARK
 
 
+def daily_counts(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = WATERMARK) -> DataFrame:
+    """Events per key and UTC day: the only state that counts over several days need.
+
+    Counting is combined before the shuffle, so a busy key costs its state one
+    row per day and task.
+    """
+    return (
+        stream.withWatermark(ts, delay)
+        .groupBy(F.window(ts, "1 day").alias("__w"), *keys)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(*keys, F.col("__w.start").alias("day"), "n")
+    )
+
+
+def windows_of_days(daily: DataFrame, keys: Sequence[str], days: int) -> DataFrame:
+    """Counts in windows of ``days``, one ending after every day that has events in it, from daily counts.
+
+    A day's count is added to the windows it lies in; events are not touched again.
+    """
+    day = F.expr("INTERVAL 1 DAY")
+    spread = F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
+    return (
+        daily.withColumn("__back", spread)
+        .withColumn("window_start", F.col("day") - F.col("__back") * day)
+        .groupBy(*keys, "window_start")
+        .agg(F.sum("n").alias("n"))
+        .select(*keys, "window_start", (F.col("window_start") + days * day).alias("window_end"), "n")
+    )
+
+
 def sliding_counts(
     stream: DataFrame,
     keys: Sequence[str],
@@ -21,8 +51,8 @@ def sliding_counts(
 ) -> DataFrame:
     """Events per key in windows of ``days``, one ending every ``slide``.
 
-    Counting is combined before the shuffle, so a busy key costs its state one
-    row per window and task.
+    Each event enters as many windows as overlap. For several days prefer
+    :func:`daily_counts`, added up by :func:`windows_of_days` when read.
     """
     return (
         stream.withWatermark(ts, delay)
@@ -35,8 +65,9 @@ def sliding_counts(
 def gap_counts(
     stream: DataFrame, keys: Sequence[str], ts: str, gap: str, delay: str = WATERMARK
 ) -> DataFrame:
-    """Events per key since the last silence of at least ``gap``.
+    """Events per key since the last silence of at least ``gap``, when it is closed.
 
+    For the value of counters that are still open see ``sinks.run_sessions``.
     Let the session merge sessions before the shuffle for busy keys:
     ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition``.
     """
@@ -48,6 +79,36 @@ def gap_counts(
     )
 
 
+def merge_sessions(new: DataFrame, known: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Sessions of a batch merged with those known before that they touch.
+
+    Both have ``session_start``, ``session_end`` (excluded) and ``n``. A known
+    session that becomes part of one that starts earlier comes back with ``n`` 0.
+    """
+    if known is None:
+        return new
+    reach = new.groupBy(*keys).agg(F.min("session_start").alias("__from"), F.max("session_end").alias("__to"))
+    touched = (
+        known.join(reach, list(keys))
+        .where((F.col("session_start") < F.col("__to")) & (F.col("session_end") > F.col("__from")))
+        .drop("__from", "__to")
+    )
+    along = Window.partitionBy(*keys).orderBy("session_start", "session_end")
+    before = F.max("session_end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    rows = new.unionByName(touched.select(new.columns))
+    # A key's sessions near the batch's events, not its events.
+    numbered = rows.withColumn("__fresh", (before.isNull() | (F.col("session_start") >= before)).cast("int")).withColumn(
+        "__number", F.sum("__fresh").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    )
+    merged = (
+        numbered.groupBy(*keys, "__number")
+        .agg(F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"), F.sum("n").alias("n"))
+        .drop("__number")
+    )
+    gone = touched.join(merged, [*keys, "session_start"], "left_anti").withColumn("n", F.lit(0).cast("bigint"))
+    return merged.unionByName(gone.select(merged.columns))
+
+
 def match_trips(
     starts: DataFrame,
     ends: DataFrame,
@@ -56,14 +117,14 @@ def match_trips(
     end_ts: str,
     within: str,
     delay: str = WATERMARK,
-    salts: int = 8,
+    salts: int = 1,
 ) -> DataFrame:
     """Ends joined with the start of the same trip at most ``within`` before.
 
     A trip has one start, of which repeats are dropped, so there is at most one
     row per end. The time bound lets a stream forget starts that can no longer be
-    matched. The ends of one trip are spread over ``salts`` groups, each with a
-    copy of the start.
+    matched. Where one trip may have very many ends, they can be spread over
+    ``salts`` groups, each with a copy of the start.
     """
     first = starts.withWatermark(start_ts, delay)
     first = first.dropDuplicatesWithinWatermark([key]) if starts.isStreaming else first.dropDuplicates([key])

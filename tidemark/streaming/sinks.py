@@ -3,51 +3,66 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from ..sources.snapshots import SnapshotTable
-from .counters import running_counts
+from .counters import gap_counts, merge_sessions, running_counts
 
-
-def one_per_core(spark: SparkSession) -> int:
-    """A number of state partitions: no more than the cores that can work on them."""
-    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+_STARTS = threading.Lock()
 
 
 @contextmanager
 def _state_partitions(spark: SparkSession, partitions: int | None) -> Iterator[None]:
-    """Start a query with so many state partitions; its checkpoint keeps the number."""
+    """Start a query with so many state partitions; its checkpoint keeps the number.
+
+    Starts are taken one at a time, so that none sees the other's number.
+    """
+    if partitions is None:
+        yield
+        return
     name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    if partitions is not None:
+    with _STARTS:
+        before = spark.conf.get(name)
         spark.conf.set(name, str(partitions))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+        try:
+            yield
+        finally:
+            spark.conf.set(name, before)
+
+
+def _run(writer: DataStreamWriter, spark: SparkSession, every: str | None, partitions: int | None) -> StreamingQuery:
+    """Start a query: until what is available is processed, or every so often until it is stopped."""
+    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    with _state_partitions(spark, partitions):
+        query = writer.start()
+    if every is None:
+        query.awaitTermination()
+    return query
 
 
-def run_to_files(stream: DataFrame, root: str, mode: str = "append", partitions: int | None = None) -> None:
-    """Process what is available into parquet files, then stop.
+def run_to_files(
+    stream: DataFrame, root: str, mode: str = "append", partitions: int | None = None, every: str | None = None
+) -> StreamingQuery:
+    """Write a stream to parquet files.
 
     The file sink keeps a log of the files of each batch, so readers see every
-    row once.
+    row once. ``partitions`` is the number of state partitions, to be sized for
+    the state: the checkpoint keeps it for ever. Without ``every`` the query ends
+    when what is available is processed; with it, it goes on and is returned.
     """
     writer = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
         .option("checkpointLocation", f"{root}/checkpoint")
         .option("path", f"{root}/data")
-        .trigger(availableNow=True)
     )
-    with _state_partitions(stream.sparkSession, partitions):
-        query = writer.start()
-    query.awaitTermination()
+    return _run(writer, stream.sparkSession, every, partitions)
 
 
 def run_batches(
@@ -56,35 +71,76 @@ def run_batches(
     handle: Callable[[DataFrame, int], None],
     mode: str = "append",
     partitions: int | None = None,
-) -> None:
-    """Hand each micro-batch and its number to ``handle``, then stop."""
+    every: str | None = None,
+) -> StreamingQuery:
+    """Hand each micro-batch and its number to ``handle``; see :func:`run_to_files`."""
     writer = (
-        stream.writeStream.foreachBatch(handle)
-        .outputMode(mode)
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
+        stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
     )
-    with _state_partitions(stream.sparkSession, partitions):
-        query = writer.start()
-    query.awaitTermination()
+    return _run(writer, stream.sparkSession, every, partitions)
+
+
+def writer_name(batch: DataFrame) -> str:
+    """The streaming query that a micro-batch is from: the same after a restart from its checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
 
 
 def run_upserts(
-    stream: DataFrame, table: SnapshotTable, root: str, mode: str = "append", partitions: int | None = None
-) -> None:
-    """Merge each micro-batch into a keyed table, under the batch's own number."""
-    run_batches(stream, root, lambda batch, number: table.upsert(batch, number), mode, partitions)
+    stream: DataFrame,
+    table: SnapshotTable,
+    root: str,
+    mode: str = "append",
+    partitions: int | None = None,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Merge each micro-batch into a keyed table; one that is repeated changes nothing."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, number, writer_name(batch))
+
+    return run_batches(stream, root, handle, mode, partitions, every)
 
 
 def run_versioned_upserts(
-    stream: DataFrame, table: SnapshotTable, root: str, partitions: int | None = None
-) -> None:
-    """Merge changed aggregates into a table ordered by a ``batch`` column, the newest kept."""
+    stream: DataFrame, table: SnapshotTable, root: str, partitions: int | None = None, every: str | None = None
+) -> StreamingQuery:
+    """Merge changed aggregates into a table ordered by a ``batch`` column, the newest kept.
+
+    ``batch`` counts on from the table's commits, so that aggregates of a query
+    with a new checkpoint replace those of the one before.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        last = table.last_commit()
+        following = 1 if last is None else last.number + 1
+        table.upsert(batch.withColumn("batch", F.lit(following).cast("bigint")), number, writer_name(batch))
+
+    return run_batches(stream, root, handle, "update", partitions, every)
+
+
+def run_sessions(
+    stream: DataFrame,
+    table: SnapshotTable,
+    root: str,
+    keys: Sequence[str],
+    ts: str,
+    gap: str,
+    partitions: int | None = None,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Keep the counts of every key's sessions, open ones included, in a table by key and ``session_start``.
+
+    A micro-batch is counted by itself and merged with the sessions it touches.
+    Rows with ``n`` 0 are sessions that have become part of another.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
-        table.upsert(batch.withColumn("batch", F.lit(number).cast("bigint")), number)
+        writer = writer_name(batch)
+        new = gap_counts(batch, keys, ts, gap)
+        merged = merge_sessions(new, table.read(number, writer), keys)
+        table.upsert(merged.withColumn("batch", F.lit(number).cast("bigint")), number, writer)
 
-    run_batches(stream, root, handle, "update", partitions)
+    return run_batches(stream, root, handle, partitions=partitions, every=every)
 
 
 def run_running_counts(
@@ -95,6 +151,7 @@ def run_running_counts(
     ts: str,
     tie: Sequence[str],
     partitions: int | None = None,
+    every: str | None = None,
 ) -> str:
     """Write every event with its key's running count; returns the folder.
 
@@ -103,15 +160,16 @@ def run_running_counts(
     """
 
     def handle(batch: DataFrame, number: int) -> None:
+        writer = writer_name(batch)
         batch = batch.persist()
         try:
-            numbered, counts = running_counts(batch, state.read(before=number), keys, ts, tie)
+            numbered, counts = running_counts(batch, state.read(number, writer), keys, ts, tie)
             numbered.write.mode("overwrite").parquet(f"{root}/events/batch={number}")
-            state.upsert(counts, number)
+            state.upsert(counts, number, writer)
         finally:
             batch.unpersist()
 
-    run_batches(stream, root, handle, partitions=partitions)
+    run_batches(stream, root, handle, partitions=partitions, every=every)
     return f"{root}/events"
 
 
