@@ -93,6 +93,11 @@ def join_small(df: DataFrame, small: DataFrame, rows: int, on: list[str], how: s
     return df.join(F.broadcast(small) if rows <= SMALL_ROWS else small, on, how)
 
 
+def join_hint(narrow: DataFrame) -> DataFrame:
+    """A table of narrow rows for a join with wide ones: counted, and broadcast up to ``SMALL_ROWS``."""
+    return F.broadcast(narrow) if narrow.count() <= SMALL_ROWS else narrow
+
+
 def row_key(*columns: str | Column) -> Column:
     """A key that equals itself also where columns are null: a struct is never null."""
     return F.struct(*columns)

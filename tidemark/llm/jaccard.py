@@ -14,7 +14,9 @@ enough of the hub's prefix and are not connected to it yet. A family of n near c
 a few of them; that links most of it, after about n comparisons instead of n * n. Each pair that shares enough is
 compared when the first of the two becomes a hub unless it is connected by then, so no link between groups is lost.
 
-Every candidate pair is verified on the whole texts. Shingles are compared by 64-bit hashes.
+Before a pair leaves the join its *parity sketches* are compared: every shingle flips one of ``SKETCH`` bits, so the bits
+in which two sketches differ are no more than the shingles that only one of the sets has. A pair with more such bits than
+a link allows is no link. Every pair that is left is verified on the whole texts. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, _spans, mix, row_key, signed, slices, window_hashes
+from .common import Scratch, Words, _spans, join_hint, mix, row_key, shuffles_removed, signed, slices, window_hashes
 from .components import components
 
 WORDS = 3
@@ -36,7 +38,10 @@ MOST_MATCHES = 4
 VERIFY_COST = 20
 CLASS_BITS = 20
 BLOCK_BITS = 14
-GROWTH = 8
+GROWTH = 16
+SKETCH = 256
+LANES = SKETCH // 64
+SKETCHES = [f"s{i}" for i in range(LANES)]
 _OTHER_BASE = 0xA0761D6478BD642F | 1
 
 
@@ -106,7 +111,7 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _prefix_rows(width: int, percent: int, most: int, held):
-    """Rows (row, id, one, two, n, matches, base, prefix): prefixes for ``most`` matches, rare shingles first."""
+    """Rows (row, id, one, two, n, matches, base, s0.., prefix): prefixes for ``most`` matches, rare shingles first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = held.value
@@ -138,14 +143,18 @@ def _prefix_rows(width: int, percent: int, most: int, held):
                 inside = np.arange(len(values)) - begins[owner] < kept[owner]
                 offsets = np.concatenate(([0], np.cumsum(kept))).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(values[inside])))
+                bits_of = owner * SKETCH + (values & np.uint64(SKETCH - 1)).astype(np.int64)
+                odd = (np.bincount(bits_of, minlength=found.texts * SKETCH) & 1).astype(np.uint8).reshape(-1, SKETCH)
+                sketch = np.packbits(odd, axis=1).view(np.int64)
                 rows = slice(first, last)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row")[rows], batch.column("id")[rows],
                         pa.array(signed(one)), pa.array(signed(two)), pa.array(n.astype(np.int64)),
-                        pa.array(matches.astype(np.int32)), pa.array(base.astype(np.int64)), prefix,
+                        pa.array(matches.astype(np.int32)), pa.array(base.astype(np.int64)),
+                        *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(LANES)], prefix,
                     ],
-                    ["row", "id", "one", "two", "n", "matches", "base", "prefix"],
+                    ["row", "id", "one", "two", "n", "matches", "base", *SKETCHES, "prefix"],
                 )
 
     return run
@@ -181,6 +190,38 @@ def _verified(width: int, percent: int):
     return run
 
 
+def _candidates(tokens: DataFrame, draw, low: float, high: float, percent: int) -> DataFrame:
+    """Pairs (a, b, comp_a, comp_b) of a hub of this round and a later node that may link and are not connected."""
+    hubs = tokens.where((draw >= low) & (draw < high) & (F.col("level") <= F.col("matches"))).select(
+        "token", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("matches").alias("least"), F.col("comp").alias("hub_comp"),
+        draw.alias("hub_draw"), *[F.col(c).alias(f"hub_{c}") for c in SKETCHES],
+    )
+    later = (draw > F.col("hub_draw")) | ((draw == F.col("hub_draw")) & (F.col("node") > F.col("hub")))
+    alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub_{c}"))) for c in SKETCHES)
+    # With I shared of n and m shingles, 100 I >= percent (n + m - I); n + m - 2 I are in one set only.
+    may_link = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("hub_n"))
+    return (
+        tokens.where(draw >= low)
+        .join(hubs, "token")
+        .where(later & alike & may_link & (F.col("level") <= F.col("least")) & (F.col("comp") != F.col("hub_comp")))
+        .groupBy("hub", "node", "least", "hub_comp", "comp")
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .where("shared >= least")
+        .select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_comp").alias("comp_a"), F.col("comp").alias("comp_b"))
+    )
+
+
+def _links(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the whole texts of both."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = wanted.join(nodes.select("node", "row"), "node").select("node", "row")
+    held = texts.select("row", "text").join(join_hint(rows), "row").dropDuplicates(["node"]).select("node", "text")
+    a = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    b = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return pairs.select("a", "b").join(b, "b").join(a, "a").mapInArrow(_verified(width, percent), "a long, b long")
+
+
 def _row_hash(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
@@ -205,61 +246,43 @@ def _groups(
     held = spark.sparkContext.broadcast(frequencies(texts, width, class_bits))  # 8 * 2 ** class_bits bytes
     found = texts.mapInArrow(
         _prefix_rows(width, percent, most_matches, held),
-        f"row long, id {id_type}, one long, two long, n long, matches int, base long, prefix array<long>",
+        f"row long, id {id_type}, one long, two long, n long, matches int, base long, {', '.join(f'{c} long' for c in SKETCHES)}, prefix array<long>",
     )
     found = scratch.write(found, "documents")
 
     # Documents with equal words are one node, known by its row number in a written table.
     least = row_key(F.col("id").isNull().alias("none"), "id", "row")
+    same = ["matches", "base", *SKETCHES, "prefix"]
     nodes = (
         found.where("n > 0")
         .groupBy("one", "two", "n")
-        .agg(F.min(least).alias("least"), F.min("matches").alias("matches"), F.min("base").alias("base"), F.min("prefix").alias("prefix"))
-        .select(F.monotonically_increasing_id().alias("node"), "one", "two", "n", "matches", "base", "prefix", "least", F.col("least.row").alias("row"))
+        .agg(F.min(least).alias("least"), *[F.min(c).alias(c) for c in same])
+        .select(F.monotonically_increasing_id().alias("node"), "one", "two", "n", "least", F.col("least.row").alias("row"), *same)
     )
     nodes = scratch.write(nodes, "nodes")
+    found = scratch.write(found.select("row", "id", "one", "two", "n"), "listed")
+    scratch.drop("documents")
 
     level = F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2).cast("int")
-    tokens = nodes.select("node", "n", "matches", "base", F.posexplode("prefix").alias("pos", "token")).select(
-        "token", "node", "n", "matches", level.alias("level")
-    )
+    tokens = nodes.select("node", "base", F.posexplode("prefix").alias("pos", "token")).select("token", "node", level.alias("level"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
-    tokens = tokens.join(shared.select("token"), "token").withColumn("comp", F.col("node"))
-    tokens = scratch.write(tokens, "tokens-0")
+    tokens = scratch.write(tokens.join(shared.select("token"), "token"), "shared")
     longest = tokens.groupBy("token").count().agg(F.max("count").alias("n")).first()["n"] or 0
-
-    # The whole texts of the nodes that share a token with another.
-    wanted = tokens.select("node").distinct().join(nodes.select("node", "row"), "node")
-    held_texts = texts.join(wanted, "row").dropDuplicates(["node"]).select("node", "text")
-    held_texts = scratch.write(held_texts, "texts")
+    tokens = tokens.join(nodes.select("node", "n", "matches", *SKETCHES), "node").withColumn("comp", F.col("node"))
+    tokens = scratch.write(tokens, "tokens-0")
+    scratch.drop("shared")
 
     draw = F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53)
     labels, low, step = None, 0.0, 0
     while longest > 1 and low < 1.0:
         high = 2.0 * growth**step / longest
         high = high if high < 0.5 else 1.1
-        hubs = tokens.where((draw >= low) & (draw < high) & (F.col("level") <= F.col("matches"))).select(
-            "token", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("matches").alias("least"), F.col("comp").alias("hub_comp"), draw.alias("hub_draw")
-        )
-        later = (draw > F.col("hub_draw")) | ((draw == F.col("hub_draw")) & (F.col("node") > F.col("hub")))
-        alike = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-        pairs = (
-            tokens.where(draw >= low)
-            .join(hubs, "token")
-            .where(later & alike & (F.col("level") <= F.col("least")) & (F.col("comp") != F.col("hub_comp")))
-            .groupBy("hub", "node", "least", "hub_comp", "comp")
-            .agg(F.count(F.lit(1)).alias("shared"))
-            .where("shared >= least")
-            .select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_comp").alias("comp_a"), F.col("comp").alias("comp_b"))
-        )
-        pairs = scratch.write(pairs, f"pairs-{step}")
-        a = held_texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        b = held_texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        links = pairs.select("a", "b").join(b, "b").join(a, "a").mapInArrow(_verified(width, percent), "a long, b long")
+        pairs = scratch.write(_candidates(tokens, draw, low, high, percent), f"pairs-{step}")
+        links = _links(texts, nodes, pairs, width, percent)
         links = scratch.write(links.join(pairs, ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), f"links-{step}")
         scratch.drop(f"pairs-{step}")
+        low, step = high, step + 1
         if links.isEmpty():
-            low, step = high, step + 1
             continue
         merged = scratch.write(components(scratch, links, f"round-{step}"), f"merged-{step}")
         to = merged.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
@@ -270,12 +293,12 @@ def _groups(
             fresh = to.join(labels.select(F.col("node").alias("comp")), "comp", "left_anti")
             following = old.unionAll(fresh.select(F.col("comp").alias("node"), F.col("new").alias("comp")))
         labels = scratch.write(following, f"labels-{step}")
+        if low >= 1.0:
+            break
         moved = tokens.join(to, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
-        # Tokens whose nodes are all connected have nothing more to tell.
+        # Tokens whose nodes are all connected have nothing more to tell, nor have nodes that all later hubs come before.
         open_tokens = moved.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-        tokens = scratch.write(moved.join(open_tokens, "token"), f"tokens-{step + 1}")
-        scratch.drop(f"tokens-{step}", f"links-{step}")
-        low, step = high, step + 1
+        tokens = scratch.write(moved.where(draw >= low).join(open_tokens, "token"), f"tokens-{step}")
 
     if labels is None:
         known = nodes.withColumn("comp", F.col("node"))
@@ -298,7 +321,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts without words have none and link with nothing, not even each other. Repeated rows are one document with one
     result each. An empty table gives an empty result. Other columns are not read.
     """
-    found = _groups(docs, id_col, text_col, width, percent, **how)
+    with shuffles_removed(docs.sparkSession):
+        found = _groups(docs, id_col, text_col, width, percent, **how)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"))
 
 
@@ -307,7 +331,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents without words stay. Of repeated rows one stays.
     """
-    found = _groups(docs, id_col, text_col, width, percent, **how)
+    with shuffles_removed(docs.sparkSession):
+        found = _groups(docs, id_col, text_col, width, percent, **how)
     kept = found.where(F.col("row") == F.col("first.row")).select(F.col("row").alias("__row_key"))
     marked = docs.withColumn("__row_key", _row_hash(id_col, text_col))
     marked = marked.join(kept, "__row_key", "left_semi").dropDuplicates(["__row_key"])
