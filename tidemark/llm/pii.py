@@ -1,6 +1,6 @@
 """Personal data replaced by format-preserving pseudonyms from a keyed Feistel permutation.
 
-A value is found by its form, checked by its rules (Luhn's sum for cards, remainder 97 for account numbers, ranges for
+A value is found by its form, checked by its rules (issuer digit and Luhn's sum for cards, remainder 97 for account numbers, ranges for
 addresses and social security numbers, the calendar for dates), and mapped to another value of the same form that
 passes the same rules. The map is a permutation of all values of the form, so equal values get equal pseudonyms in all
 documents, different values different ones, and the key's holder can undo it. Separators stay where they are: a number
@@ -33,7 +33,7 @@ FORMS = re.compile(
     r"|(?P<date>(?<![\d./-])(?:(?:19|20)\d\d([-/.])\d{1,2}\5\d{1,2}|\d{1,2}([-/.])\d{1,2}\6(?:19|20)\d\d)(?![\d]|[./-]\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d))"
     r"|(?P<card>(?<!\d)(?<!\d[.-])(?:\d{13,19}|\d{4}([ -])\d{4}\9\d{4}\9\d{4}|\d{4}([ -])\d{6}\10\d{5})(?!\d))"
-    r"|(?P<phone>(?<![\w+(])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+(])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?!\d))"
+    r"|(?P<phone>(?<![\w+(])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?!\d))"
 )
 SPECIAL_DATES = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()
 
@@ -124,7 +124,7 @@ class Pseudonyms:
 
     def card(self, text: str) -> str | None:
         digits = "".join(c for c in text if c.isdigit())
-        if luhn(digits[:-1]) != int(digits[-1]) or digits[0] == "0":
+        if luhn(digits[:-1]) != int(digits[-1]) or digits[0] not in "23456":
             return None
         body = digits[0] + _in_radix(digits[1:-1], self._map("card" + digits[0]))
         return _laid_out(text, f"{body}{luhn(body)}")
