@@ -33,11 +33,14 @@ def test_scores_do_not_depend_on_neighbours():
 def test_every_part_of_a_text_counts():
     """A byte sequence that a filter answers to raises the score wherever it stands."""
     n = network()
+    n.values["bytes"][0xF0:] *= 30
+    for name in ("hidden", "out"):
+        n.values[name] = np.abs(n.values[name])
     base = b"the of and " * 400
     mark = b"\xff\xfe\xfd\xfc" * 8
     scores = [float(n.score(*flat([base[:i] + mark + base[i + len(mark) :]]))[0]) for i in range(0, len(base) - 64, 64)]
     plain = float(n.score(*flat([base]))[0])
-    assert all(s != plain for s in scores)
+    assert all(s > plain for s in scores)
 
 
 def test_gradients_match_differences():

@@ -6,7 +6,8 @@ notice which responses a segment has and lacks (junk that repeats itself lacks m
 combined into one probability. There is no length limit: a document is a run of as many chunks as it needs.
 
 The network is trained in one task on a bounded sample of labelled documents (``Settings.train_docs`` documents of at most
-``Settings.train_bytes`` bytes each, spread evenly over longer ones). Scoring is a map over all whole documents without a
+``Settings.train_bytes`` bytes each, spread evenly over longer ones). Junk is rarer than text and counts
+``Settings.junk_weight`` times, which puts unsure documents in the middle of the scale. Scoring is a map over all whole documents without a
 shuffle; the model of some thousand numbers travels with the task.
 """
 
@@ -34,7 +35,7 @@ PAD = 0
 
 @dataclass(frozen=True)
 class Settings:
-    train_docs: int = 4000
+    train_docs: int = 5000
     train_bytes: int = 8_192
     width: int = 8
     filters: int = 32
@@ -43,6 +44,8 @@ class Settings:
     batch: int = 32
     rate: float = 4e-3
     decay: float = 1e-4
+    junk_weight: float = 5.0
+    jitter: int = 32
     seed: int = 7
 
 
@@ -106,13 +109,19 @@ class Network:
         return {"rows": rows, "pooled": pooled, "halves": halves, "segments": segments, "hidden": hidden, "docs": docs, "logit": logit}
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(Layout(data, at))["logit"].astype(np.float64), -30, 30)))
+        """Probabilities, rounded to what does not depend on which texts are multiplied together."""
+        logit = self.forward(Layout(data, at))["logit"].astype(np.float64)
+        return np.round(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 6)
 
-    def gradients(self, layout: Layout, labels: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean log loss; max-pooling passes a gradient to the place the maximum came from."""
+    def gradients(self, layout: Layout, labels: np.ndarray, junk_weight: float = 1.0) -> dict[str, np.ndarray]:
+        """Of the mean log loss, in which a row of label 0 counts ``junk_weight`` times.
+
+        Max-pooling passes a gradient to the place the maximum came from.
+        """
         v, s = self.values, self.forward(layout)
         n, width = len(labels), v["bytes"].shape[1]
-        d_logit = ((1 / (1 + np.exp(-np.clip(s["logit"], -30, 30))) - labels) / n).astype(np.float32)
+        weight = np.where(labels > 0.5, 1.0, junk_weight) / n
+        d_logit = ((1 / (1 + np.exp(-np.clip(s["logit"], -30, 30))) - labels) * weight).astype(np.float32)
         out = {"out": s["docs"].T @ d_logit, "out_bias": d_logit.sum(keepdims=True)}
 
         # Where each document's maxima of the hidden layer are.
@@ -161,9 +170,11 @@ class Network:
             order = rng.permutation(len(texts))
             for start in range(0, len(order), settings.batch):
                 chosen = order[start : start + settings.batch]
-                parts = [np.frombuffer(texts[i], np.uint8) for i in chosen]
+                # Another alignment of text and chunks each time.
+                cuts = rng.integers(0, settings.jitter + 1, len(chosen))
+                parts = [np.frombuffer(texts[i], np.uint8)[c if len(texts[i]) > 4 * c else 0 :] for i, c in zip(chosen, cuts, strict=True)]
                 at = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
-                grads = self.gradients(Layout(np.concatenate(parts), at), labels[chosen])
+                grads = self.gradients(Layout(np.concatenate(parts), at), labels[chosen], settings.junk_weight)
                 step += 1
                 rate = settings.rate * min(1.0, step / 20) * (1 - step / (steps + 1))
                 for k, x in self.values.items():
