@@ -10,7 +10,8 @@ occurs once itself. Neighbouring windows share anchors, which leaves one row for
 3. find each hash's first place, and so the windows that also start earlier;
 4. merge what these windows cover into maximal intervals, and cut the intervals out.
 
-All joins on hashes are between a table of places and a table with one row per hash, so a passage that a third of all
+A place is one number: that of the document, in the order of identifiers, and the start in it; so the shuffles of step 3
+carry two numbers a window. All joins on hashes are between a table of places and a table with one row per hash, so a passage that a third of all
 documents share is spread by adaptive execution's handling of skewed joins, and no group of places is ever collected.
 Places are collected per document only. Hashes have 64 bits: two different windows among n are taken for equal with a
 probability of about n * n / 2 ** 65.
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, row_key, signed, slices, window_hashes
+from .common import Scratch, Words, numbered, signed, slices, window_hashes
 
 WINDOW = 20
 ANCHOR_WORDS = 8
+START_BITS = 28
 
 
 class _Windows:
@@ -77,7 +79,7 @@ def _anchor_rows(width: int, anchor_words: int):
 def _window_rows(width: int, anchor_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids, places = batch.column("row").to_numpy(), batch.column("id"), batch.column("places")
+            numbers, places = batch.column("number").to_numpy(), batch.column("places")
             for first, last, data, at in slices(batch.column("text")):
                 found = _Windows(data, at, width, anchor_words)
                 some = places.slice(first, last - first)
@@ -86,15 +88,15 @@ def _window_rows(width: int, anchor_words: int):
                 repeated[found.words.first[texts] + some.flatten().to_numpy()] = True
                 starts = found.starts[repeated[found.anchors]]
                 if len(starts):
-                    texts = found.text_of[starts] + first
+                    at_words = found.place(starts).astype(np.int64)
+                    if at_words.max() >= 1 << START_BITS:
+                        raise ValueError(f"a text has more than {1 << START_BITS} words")
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(signed(window_hashes(found.hashes, width)[starts])),
-                            ids.take(pa.array(texts)),
-                            pa.array(keys[texts]),
-                            pa.array(found.place(starts)),
+                            pa.array((numbers[found.text_of[starts] + first] << START_BITS) + at_words),
                         ],
-                        ["window", "id", "row", "start"],
+                        ["window", "place"],
                     )
 
     return run
@@ -144,11 +146,13 @@ def remove_repeated(
 ) -> DataFrame:
     """Remove each word covered by a window of ``width`` words whose word sequence also starts earlier.
 
-    Earlier is a smaller identifier (null before all others), or an earlier start under the same identifier. Windows are
+    Earlier is a smaller identifier (null before all others), or an earlier start in the same document. Windows are
     judged on the input. Returns one row per input row: the identifier, ``n_words``, ``n_removed``, ``removed`` (the
     maximal intervals of word numbers, start inclusive, end exclusive) and ``kept_text`` (the words left, joined by one
     space). Null and empty texts have no words; texts shorter than a window keep all. Rows repeated with one identifier
-    and text are one document and get the same result, none removing the other. Other columns are not read.
+    and text are one document and get the same result, none removing the other; rows with one identifier and different
+    texts are different documents, in an order of their own. An empty table gives an empty result. Other columns are not
+    read. A text may have up to ``2 ** START_BITS`` words, which is half a gigabyte at least.
     """
     if not 0 < anchor_words <= width:
         raise ValueError("anchor_words must be between 1 and width")
@@ -164,15 +168,17 @@ def remove_repeated(
     places = scratch.write(places, "places")
     scratch.drop("anchors")
 
-    windows = texts.join(places, "row").mapInArrow(
-        _window_rows(width, anchor_words), f"window long, id {id_type}, row long, start int"
-    )
-    windows = scratch.write(windows, "windows")
-    at = row_key(F.col("id").isNotNull().alias("some"), "id", "start")
-    firsts = windows.groupBy("window").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last")
-    later = windows.join(firsts.select("window", "first"), "window").where(at > F.col("first"))
-    starts = scratch.write(later.groupBy("row").agg(F.collect_set("start").alias("starts")), "starts")
-    scratch.drop("places", "windows")
+    held = texts.select("row", "id").join(places.select("row"), "row", "left_semi").distinct()
+    order = [F.col("id").isNotNull(), F.col("id"), F.col("row")]
+    numbers = scratch.write(numbered(scratch, held, order, "ordered").select("row", "number"), "numbers")
+    windows = texts.drop("id").join(places.join(numbers, "row"), "row")
+    windows = scratch.write(windows.mapInArrow(_window_rows(width, anchor_words), "window long, place long"), "windows")
+    firsts = windows.groupBy("window").agg(F.min("place").alias("first"))
+    later = windows.join(firsts, "window").where("place > first")
+    start = F.col("place").bitwiseAND(F.lit((1 << START_BITS) - 1)).cast("int")
+    starts = later.groupBy(F.shiftright("place", START_BITS).alias("number")).agg(F.collect_set(start).alias("starts"))
+    starts = scratch.write(starts.join(numbers, "number").select("row", "starts"), "starts")
+    scratch.drop("places", "ordered", "numbers", "windows")
 
     cut = texts.join(starts, "row", "left").drop("row").mapInArrow(
         _cut(width),
