@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.features import batch, store
 from tidemark.operators.quality import not_null
-from tidemark.session import shared_dir
+from tidemark.session import path_exists, shared_dir
 from tidemark.sources import readers, writers
 from tidemark.sources.snapshots import SnapshotTable
 
@@ -93,6 +93,28 @@ def test_snapshot_upserts(spark):
     assert {r.k for r in t.read(before=1).collect()} == {"a", "b"}
 
 
+def test_snapshot_writers_buckets_columns_and_retention(spark):
+    t = table(spark, buckets=2, keep=2)
+    frame = lambda rows, more="": spark.createDataFrame(rows, f"k string, ts int, v string{more}")
+    assert t.upsert(frame([("a", 1, "a1")]), 5, "old") and not t.upsert(frame([("a", 9, "again")]), 5, "old")
+    with pytest.raises(ValueError, match="after 5"):
+        t.upsert(frame([("a", 9, "again")]), 4, "old")
+    # A writer that starts anew goes on from what is there.
+    assert t.upsert(frame([("b", 1, "b1")]), 0, "new")
+    assert rows_of(t) == {"a": (1, "a1"), "b": (1, "b1")}
+    t.upsert(frame([("c", 1, "c1", 7)], ", w int"), 1, "new")
+    assert {r.k: r.w for r in t.read().collect()} == {"a": None, "b": None, "c": 7}
+    other = SnapshotTable(spark, t.root, ("k",), ("ts",), buckets=3)
+    for use in (other.read, lambda: other.upsert(frame([("d", 1, "d1")]))):
+        with pytest.raises(ValueError, match="2 buckets"):
+            use()
+    for n in range(6):
+        t.upsert(frame([("a", 10 + n, f"n{n}")]))
+    assert len(t._names("commits")) == 2 and rows_of(t)["a"] == (15, "n5")
+    assert len(t._names("data")) <= 4
+    assert {r.k for r in t.read(0, "unknown").collect()} == {"a", "b", "c"}
+
+
 def test_materialize_incremental(spark):
     rows = [("r1", T0, 1), ("r1", T0 + HOUR, 2), ("r2", T0 + 3 * HOUR, 3)]
     view = rider_view(spark, rows)
@@ -183,5 +205,12 @@ def test_daily_job_reads_its_history_and_stops_on_bad_data(spark):
     bad = run_day(spark, f"{root}/in", f"{root}/out", rows.schema, day, compute, expectations=[between("rider_trips_30d", 0, 3)])
     with pytest.raises(QualityError):
         check_day(bad)
+    # The day that failed is not published, and a day that becomes empty loses its rows.
+    assert [r.rider_trips_7d for r in spark.read.parquet(f"{root}/out").collect()] == [4]
+    none = run_day(spark, f"{root}/in", f"{root}/out", rows.schema, day, lambda df: compute(df).where("false"), allow_empty=True)
+    assert check_day(none, allow_empty=True) == 0
+    with pytest.raises(QualityError):
+        check_day(none)
+    assert path_exists(spark, f"{root}/out") and not path_exists(spark, f"{root}/out/ds={day}")
 
 

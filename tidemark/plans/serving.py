@@ -19,7 +19,7 @@ from ..operators.monitoring import (
 from ..operators.timeline import row_numbers
 from ..schemas import ANY_EVENT
 from ..session import shared_dir
-from ..sources.writers import append_days, prediction_records, publish_counts, split_messages, to_messages
+from ..sources.writers import append_batch, prediction_records, publish_counts, split_messages, to_messages
 from .tables import (
     PREDICTIONS_SQL,
     SQL_TIME,
@@ -213,12 +213,13 @@ CANARY_SQL = f"""
 
 
 def prediction_log_append(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions of two models appended to the log; what has not expired is read."""
+    """Predictions of two models appended to the log, each batch twice; what has not expired is read."""
     root = shared_dir(spark, "predictions")
     rows = events(spark, folder)
     for model in ("eta", "surge"):
         own = rows.where((F.col("user_id") % 2 == 0) == (model == "eta"))
-        append_days(prediction_records(own, model, "ts", "value", ["event_id", "event_type"]), root)
+        for _ in range(2):
+            append_batch(prediction_records(own, model, "ts", "value", ["event_id", "event_type"]), root, model)
     log = unexpired(spark.read.parquet(root), "expires_at", F.lit("2024-01-25").cast("timestamp"))
     return log.select(
         "model_name", text_time("ts").alias("ts"), "prediction", "features_hash", text_day("ds").alias("ds")

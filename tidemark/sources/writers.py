@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import timedelta
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import iso_format
@@ -37,10 +37,31 @@ def write_days(
     return observation
 
 
+def replace_days(spark: SparkSession, staged: str, root: str, days: Sequence[date], partition: str = "ds") -> None:
+    """Publish days written aside: each named day becomes what ``staged`` has of it, which may be nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(root))
+    for day in days:
+        source, target = path(f"{staged}/{partition}={day}"), path(f"{root}/{partition}={day}")
+        files.delete(target, True)
+        if files.exists(source) and not files.rename(source, target):
+            raise RuntimeError(f"{source} could not be moved to {target}")
+
+
 def append_days(df: DataFrame, root: str, partition: str = "ds") -> None:
     df.hint("rebalance", F.col(partition)).write.mode("append").partitionBy(partition).parquet(root)
 
 
+def append_batch(df: DataFrame, root: str, batch: str, partition: str = "ds") -> None:
+    """Add a named batch to a log; a batch that is written again takes its own place.
+
+    Readers of ``root`` see a further column ``batch``.
+    """
+    rows = df.hint("rebalance", F.col(partition))
+    rows.write.mode("overwrite").partitionBy(partition).parquet(f"{root}/batch={batch}")
+
+
 def to_messages(records: DataFrame, record: str, key: Column | None = None) -> DataFrame:
     """Event records as topic, key and JSON value, ready for a ``kafka`` write.
 
