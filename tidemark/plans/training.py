@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..features.store import ETA_PREDICTION, historical_features, slice_to_load
@@ -105,11 +105,14 @@ GBT_EVALUATE_SQL = f"""
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     """The five features by rank, the first one's name, and the sum of all importances."""
     model, _, test = _trained(spark, folder)
-    ranked = model.importance(test).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
-    total = F.sum("importance").over(Window.partitionBy())
-    first = F.when(F.col("rank") == 1, F.col("feature"))
-    rows = ranked.select("rank", first.alias("first"), F.round(total, 6).alias("total"))
-    return rows.where(F.col("rank") <= 5)
+    # One row per feature of the model.
+    ranked = model.importance(test).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("less"), "feature"))).alias("features"),
+        F.round(F.sum("importance"), 6).alias("total"),
+    )
+    rows = ranked.select(F.posexplode("features").alias("pos", "found"), "total").where("pos < 5")
+    first = F.when(F.col("pos") == 0, F.col("found.feature"))
+    return rows.select((F.col("pos") + 1).alias("rank"), first.alias("first"), "total")
 
 
 IMPORTANCE_SQL = """
