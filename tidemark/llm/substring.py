@@ -163,22 +163,25 @@ def remove_repeated(
 
     anchors = texts.drop("id").mapInArrow(_anchor_rows(width, anchor_words), "anchor long, row long, place int")
     anchors = scratch.write(anchors, "anchors")
+    # What repeats is written first: only a join of two plain tables is split where a key is hot.
     repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    repeated = scratch.write(repeated, "repeated")
     places = anchors.join(repeated, "anchor").groupBy("row").agg(F.collect_set("place").alias("places"))
     places = scratch.write(places, "places")
-    scratch.drop("anchors")
+    scratch.drop("anchors", "repeated")
 
     held = texts.select("row", "id").join(places.select("row"), "row", "left_semi").distinct()
     order = [F.col("id").isNotNull(), F.col("id"), F.col("row")]
     numbers = scratch.write(numbered(scratch, held, order, "ordered").select("row", "number"), "numbers")
     windows = texts.drop("id").join(places.join(numbers, "row"), "row")
     windows = scratch.write(windows.mapInArrow(_window_rows(width, anchor_words), "window long, place long"), "windows")
-    firsts = windows.groupBy("window").agg(F.min("place").alias("first"))
+    firsts = windows.groupBy("window").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = scratch.write(firsts.drop("n"), "firsts")
     later = windows.join(firsts, "window").where("place > first")
     start = F.col("place").bitwiseAND(F.lit((1 << START_BITS) - 1)).cast("int")
     starts = later.groupBy(F.shiftright("place", START_BITS).alias("number")).agg(F.collect_set(start).alias("starts"))
     starts = scratch.write(starts.join(numbers, "number").select("row", "starts"), "starts")
-    scratch.drop("places", "ordered", "numbers", "windows")
+    scratch.drop("places", "ordered", "numbers", "windows", "firsts")
 
     cut = texts.join(starts, "row", "left").drop("row").mapInArrow(
         _cut(width),
