@@ -23,12 +23,15 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     before = None
     for step in range(1, ROUNDS + 1):
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Minima are written first: only a join of two plain tables is split where a node is hot.
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        least = scratch.write(least, f"{name}-{step}-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.write(large, f"{name}-{step}-large")
+        smallest = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{step}-smallest")
         small = large.join(smallest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = scratch.write(small.where("u <> v").distinct(), f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}")
+        scratch.drop(f"{name}-{step - 1}", f"{name}-{step}-least", f"{name}-{step}-large", f"{name}-{step}-smallest")
         now = links.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))
         ).first()

@@ -266,7 +266,9 @@ def _groups(
     level = F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2).cast("int")
     tokens = nodes.select("node", "base", F.posexplode("prefix").alias("pos", "token")).select("token", "node", level.alias("level"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
-    tokens = scratch.write(tokens.join(shared.select("token"), "token"), "shared")
+    # Written first: only a join of two plain tables is split where a token is hot.
+    shared = scratch.write(shared.select("token"), "repeated")
+    tokens = scratch.write(tokens.join(shared, "token"), "shared")
     longest = tokens.groupBy("token").count().agg(F.max("count").alias("n")).first()["n"] or 0
     tokens = tokens.join(nodes.select("node", "n", "matches", *SKETCHES), "node").withColumn("comp", F.col("node"))
     tokens = scratch.write(tokens, "tokens-0")
@@ -298,6 +300,7 @@ def _groups(
         moved = tokens.join(to, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
         # Tokens whose nodes are all connected have nothing more to tell, nor have nodes that all later hubs come before.
         open_tokens = moved.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
+        open_tokens = scratch.write(open_tokens, f"open-{step}")
         tokens = scratch.write(moved.where(draw >= low).join(open_tokens, "token"), f"tokens-{step}")
 
     if labels is None:
