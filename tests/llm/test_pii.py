@@ -77,6 +77,37 @@ def test_what_fails_its_rules_stays(text):
     assert replaced(text) == (text, {})
 
 
+@pytest.mark.parametrize("zero", ["\u0660", "\u06f0", "\u0966", "\uff10"], ids=["arabic-indic", "persian", "devanagari", "full width"])
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [
+        ("phone", "+49 30 1234 567"), ("phone", "(743) 555-3824"), ("card", "4111 1111 1111 1111"), ("ip", "129.38.82.176"), ("ip", "1.2.3.4"),
+        ("ssn", "123-45-6789"), ("date", "2021-02-28"), ("date", "3.12.2021"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("email", "und.34@mail7.example.com"),
+    ],
+)
+def test_digits_of_other_scripts(zero, kind, value):
+    script = str.maketrans("0123456789", "".join(chr(ord(zero) + i) for i in range(10)))
+    before, after = "\u0967 é ", ", \u0668"
+    text, counts = replaced(before + value.translate(script) + after)
+    assert counts == {kind: 1}
+    # The same pseudonym as in 0-9, in the digits of the text; what is no value keeps its own.
+    plain = replaced(value)[0]
+    assert plain != value and text == before + plain.translate(script) + after
+    assert replaced(text, back=True) == (before + replaced(plain, back=True)[0].translate(script) + after, {kind: 1})
+
+
+def test_digits_of_several_scripts_in_a_number():
+    value = "+49 \u0663\u0660 \u0967234 567"
+    text, counts = replaced(value)
+    assert counts == {"phone": 1} and replaced(text, back=True)[0] == value
+
+
+@pytest.mark.parametrize(("value", "bound"), [(1 << 40, 1000), (1000, 1000), (-1, 1000), (1, 1), (5, 0)])
+def test_values_out_of_bounds_are_an_error(value, bound):
+    with pytest.raises(ValueError, match="not below"):
+        Feistel(KEY).permute(value, bound, "t")
+
+
 def test_equal_values_stay_linked_and_different_ones_apart():
     cards = [f"4{i:014d}" for i in range(300)]
     cards = [c + str(luhn(c)) for c in cards]

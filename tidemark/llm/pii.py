@@ -4,7 +4,8 @@ A value is found by its form, checked by its rules (issuer digit and Luhn's sum
 addresses and social security numbers, the calendar for dates), and mapped to another value of the same form that
 passes the same rules. The map is a permutation of all values of the form, so equal values get equal pseudonyms in all
 documents, different values different ones, and the key's holder can undo it. Separators stay where they are: a number
-with and without spaces gets the same digits. What fails its rules is left alone.
+with and without spaces gets the same digits. So does a number in the decimal digits of another script, which it keeps.
+What fails its rules is left alone.
 
 The permutation is a balanced Feistel network on bit strings, walked along its cycle until the result is in the range
 of the form. Each text is handled by itself, so there is no shuffle.
@@ -35,6 +36,7 @@ FORMS = re.compile(
     r"|(?P<card>(?<!\d)(?<!\d[.-])(?:\d{13,19}|\d{4}([ -])\d{4}\9\d{4}\9\d{4}|\d{4}([ -])\d{6}\10\d{5})(?!\d))"
     r"|(?P<phone>(?<![\w+(])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?!\d))"
 )
+OTHER_DIGIT = re.compile(r"[^\D0-9]")  # a decimal digit that is not 0-9
 SPECIAL_DATES = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()
 
 
@@ -65,6 +67,8 @@ class Feistel:
 
     def permute(self, value: int, bound: int, tweak: str, back: bool = False) -> int:
         """The image of ``value`` among the numbers below ``bound``; ``tweak`` selects the permutation."""
+        if not 0 <= value < max(bound, 1):
+            raise ValueError(f"{value} is not below {bound}")  # its walk need not come back below the bound
         if bound < 2:
             return value
         size = ((bound - 1).bit_length() + 1) // 2
@@ -94,6 +98,17 @@ def _laid_out(like: str, symbols: str) -> str:
     return "".join(next(following) if c.isalnum() else c for c in like)
 
 
+def _in_script(like: str, text: str) -> str:
+    """``text`` with its runs of digits in the script of those of ``like``, place by place; the last one's beyond its end."""
+    runs = iter(re.findall(r"\d+", like))
+
+    def put(m: re.Match) -> str:
+        zeros = [ord(c) - int(c) for c in next(runs)]
+        return "".join(chr(zeros[min(i, len(zeros) - 1)] + int(c)) for i, c in enumerate(m[0]))
+
+    return re.sub(r"[0-9]+", put, text)
+
+
 def _in_radix(text: str, mapped: Callable[[int, int], int]) -> str:
     """Map a string of letters and digits, each place keeping its class."""
     value, bound, classes = 0, 1, []
@@ -196,16 +211,19 @@ class Pseudonyms:
 
     def text(self, text: str, counts: dict[str, int], kinds: frozenset[str]) -> str:
         """The text with all values replaced; ``counts`` is added to."""
+        # Digits of all scripts are read as 0-9, each in its place.
+        plain = text if text.isascii() else OTHER_DIGIT.sub(lambda m: str(int(m[0])), text)
 
-        def put(m: re.Match) -> str:
-            kind = m.lastgroup
+        parts, end = [], 0
+        for m in FORMS.finditer(plain):
+            kind, old = m.lastgroup, text[m.start() : m.end()]
             new = getattr(self, kind)(m[0]) if kind in kinds else None
             if new is None:
-                return m[0]
+                continue
             counts[kind] += 1
-            return new
-
-        return FORMS.sub(put, text)
+            parts += [text[end : m.start()], new if old == m[0] else _in_script(old, new)]
+            end = m.end()
+        return "".join([*parts, text[end:]])
 
 
 MAYBE = re.compile(r"\d[\d .()/-]{4,}|@")
