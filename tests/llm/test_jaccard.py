@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.llm.jaccard import near_dedup, near_groups
+from tidemark.llm.jaccard import link_counts, near_dedup, near_groups, near_links
 
 from .data import awkward, clashing, docs, prose, words
 
@@ -74,6 +74,56 @@ def test_a_large_family_needs_few_comparisons(spark, tmp_path):
     assert {g.component_id for g in got} == {0}
 
 
+def plain_links(rows, width, percent):
+    """Pairs of different word sequences that link, and each row's number of links, by trying all pairs."""
+    classes = {}
+    for r in rows:
+        found = tuple(w.translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})) for w in words(r[1]))
+        classes.setdefault(found, set()).add(r[:2])
+    classes.pop((), None)
+    keys = list(classes)
+    sets = [shingles(" ".join(k), width) for k in keys]
+    pairs, reached = [], {k: len(classes[k]) - 1 for k in keys}
+    least = {k: min(((i is None, i or 0) for i, _ in classes[k])) for k in keys}
+    for i, a in enumerate(keys):
+        for j, b in enumerate(keys[:i]):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                reached[a] += len(classes[b])
+                reached[b] += len(classes[a])
+                ends = sorted((*least[k], len(classes[k])) for k in (a, b))
+                pairs.append((*[None if none else x for none, x, _ in ends], *[n for _, _, n in ends]))
+    counts = []
+    for r in rows:
+        found = tuple(w.translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})) for w in words(r[1]))
+        counts.append((r[0], len(shingles(r[1], width)), reached.get(found, 0)))
+    return sorted(pairs, key=repr), sorted(counts, key=repr)
+
+
+def check_links(table, rows, width=3, percent=90, **how):
+    pairs, counts = plain_links(rows, width, percent)
+    assert sorted([tuple(g) for g in near_links(table, width=width, percent=percent, **how).collect()], key=repr) == pairs
+    assert sorted([tuple(g) for g in link_counts(table, width=width, percent=percent, **how).collect()], key=repr) == counts
+    return pairs
+
+
+def test_links_of_awkward_table(spark):
+    check_links(clashing(docs(spark), "row", "node", "a", "b"), awkward(), class_bits=10)
+    assert near_links(docs(spark, [])).count() == 0 and link_counts(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("matches", [1, 4])
+def test_all_links_of_a_family_are_found(spark, matches):
+    """Each near copy links with each, some are there several times, and all are connected after a few comparisons."""
+    base = prose(1, 200, 5000).split()
+    rows = []
+    for i in range(40):
+        text = list(base)
+        text[i * 5] = f"own{i}"
+        rows += [(100 * i + k, " ".join(text), None, None, None) for k in range(1 + i % 3)]
+    pairs = check_links(docs(spark, [*rows, rows[0]]), [*rows, rows[0]], most_matches=matches, class_bits=8)
+    assert len(pairs) == 40 * 39 // 2
+
+
 def test_dedup_keeps_the_smallest_and_all_columns(spark):
     table = clashing(docs(spark), "row", "first")
     out = near_dedup(table)

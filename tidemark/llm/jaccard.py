@@ -7,8 +7,8 @@ size. Each document estimates from them what looking up and verifying candidates
 whose rare shingles are rare takes a short prefix and one match, one made of frequent passages a longer prefix and
 correspondingly more matches before a pair is verified.
 
-Only groups are wanted, not all pairs, so pairs already known to be connected are never looked at. Documents with equal
-word sequences are one node. Nodes become *hubs* in rounds, in the order of a random number, few in the first round and
+For groups not all pairs are wanted, so pairs already known to be connected are never looked at; ``near_links`` and
+``link_counts`` look at all pairs. Documents with equal word sequences are one node. Nodes become *hubs* in rounds, in the order of a random number, few in the first round and
 ``GROWTH`` times as many in each next one. In a round all nodes are compared with the round's hubs, where they share
 enough of the hub's prefix and are not connected to it yet. A family of n near copies meets a first hub when it expects
 a few of them; that links most of it, after about n comparisons instead of n * n. Each pair that shares enough is
@@ -190,6 +190,10 @@ def _verified(width: int, percent: int):
     return run
 
 
+def _draw():
+    return F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53)
+
+
 def _candidates(tokens: DataFrame, draw, low: float, high: float, percent: int) -> DataFrame:
     """Pairs (a, b, comp_a, comp_b) of a hub of this round and a later node that may link and are not connected."""
     hubs = tokens.where((draw >= low) & (draw < high) & (F.col("level") <= F.col("matches"))).select(
@@ -226,22 +230,17 @@ def _row_hash(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def _groups(
-    docs: DataFrame,
-    id_col: str,
-    text_col: str,
-    width: int,
-    percent: int,
-    most_matches: int = MOST_MATCHES,
-    growth: int = GROWTH,
-    class_bits: int = CLASS_BITS,
-) -> DataFrame:
-    """Rows (row, id, n, first): ``first`` is the smallest (none, id, row) of the document's group."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    id_type = docs.schema[id_col].dataType.simpleString()
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(_row_hash(id_col, text_col).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
+    return docs.select(_row_hash(id_col, text_col).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
+
+
+def _shared(
+    scratch: Scratch, texts: DataFrame, width: int, percent: int, most_matches: int, class_bits: int
+) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Written tables of the rows, of the nodes, of the tokens that nodes share, and the nodes of the most frequent one."""
+    spark = texts.sparkSession
+    id_type = texts.schema["id"].dataType.simpleString()
 
     held = spark.sparkContext.broadcast(frequencies(texts, width, class_bits))  # 8 * 2 ** class_bits bytes
     found = texts.mapInArrow(
@@ -273,8 +272,25 @@ def _groups(
     tokens = tokens.join(nodes.select("node", "n", "matches", *SKETCHES), "node").withColumn("comp", F.col("node"))
     tokens = scratch.write(tokens, "tokens-0")
     scratch.drop("shared")
+    return found, nodes, tokens, longest
 
-    draw = F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53)
+
+def _groups(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    width: int,
+    percent: int,
+    most_matches: int = MOST_MATCHES,
+    growth: int = GROWTH,
+    class_bits: int = CLASS_BITS,
+) -> DataFrame:
+    """Rows (row, id, n, first): ``first`` is the smallest (none, id, row) of the document's group."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    texts = _texts(docs, id_col, text_col)
+    found, nodes, tokens, longest = _shared(scratch, texts, width, percent, most_matches, class_bits)
+
+    draw = _draw()
     labels, low, step = None, 0.0, 0
     while longest > 1 and low < 1.0:
         high = 2.0 * growth**step / longest
@@ -340,3 +356,62 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = docs.withColumn("__row_key", _row_hash(id_col, text_col))
     marked = marked.join(kept, "__row_key", "left_semi").dropDuplicates(["__row_key"])
     return marked.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _all_links(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    width: int,
+    percent: int,
+    most_matches: int = MOST_MATCHES,
+    class_bits: int = CLASS_BITS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables of the rows, of the nodes with their number of ``copies``, and of all linked pairs (a, b) of nodes."""
+    scratch = Scratch(docs.sparkSession, "links")
+    texts = _texts(docs, id_col, text_col)
+    found, nodes, tokens, _ = _shared(scratch, texts, width, percent, most_matches, class_bits)
+    # All nodes are hubs of one round, and none is connected yet, so no pair is left out.
+    pairs = scratch.write(_candidates(tokens, _draw(), 0.0, 1.1, percent), "pairs")
+    links = scratch.write(_links(texts, nodes, pairs, width, percent), "links")
+    scratch.drop("pairs", "tokens-0")
+    sizes = found.where("n > 0").select("one", "two", "n", "row").distinct().groupBy("one", "two", "n").agg(F.count(F.lit(1)).alias("copies"))
+    nodes = scratch.write(nodes.select("node", "one", "two", "n", F.col("least.id").alias("id")).join(sizes, ["one", "two", "n"]), "sized")
+    return found, nodes, links
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, **how) -> DataFrame:
+    """All links between documents of different words, also within a group. One row per pair of word sequences that link.
+
+    Links, words and shingles are those of ``near_groups``. Columns: ``a`` and ``b``, the smallest identifiers of the
+    documents with the one and the other sequence (null where all are), and ``copies_a`` and ``copies_b``, their numbers
+    of documents: a row stands for ``copies_a * copies_b`` links. ``a`` is not greater than ``b``. Documents with equal
+    words link with each other too and are not listed; ``link_counts`` counts them. Repeated rows are one document.
+    """
+    with shuffles_removed(docs.sparkSession):
+        _, nodes, links = _all_links(docs, id_col, text_col, width, percent, **how)
+    sides = [nodes.select(F.col("node").alias(s), F.struct(F.col("id").isNull().alias("none"), "id", "copies").alias(f"side_{s}")) for s in "ab"]
+    both = links.join(sides[0], "a").join(sides[1], "b")
+    low, high = F.least("side_a", "side_b"), F.greatest("side_a", "side_b")
+    return both.select(
+        low["id"].alias("a"), high["id"].alias("b"), low["copies"].alias("copies_a"), high["copies"].alias("copies_b")
+    )
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, **how) -> DataFrame:
+    """The number of documents that each one links with. One row per input row: identifier, ``n_shingles``, ``n_links``.
+
+    Links are those of ``near_groups``, those between documents with equal words included, which are counted by their
+    number and not compared. Repeated rows are one document with one result each; a document without words has no link.
+    """
+    with shuffles_removed(docs.sparkSession):
+        found, nodes, links = _all_links(docs, id_col, text_col, width, percent, **how)
+    ends = links.unionAll(links.select("b", "a")).toDF("node", "other")
+    others = nodes.select(F.col("node").alias("other"), F.col("copies").alias("reached"))
+    reached = ends.join(others, "other").groupBy("node").agg(F.sum("reached").alias("reached"))
+    counted = nodes.join(reached, "node", "left").select(
+        "one", "two", "n", (F.col("copies") - 1 + F.coalesce("reached", F.lit(0))).alias("n_links")
+    )
+    return found.join(counted, ["one", "two", "n"], "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
