@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm.jaccard import link_counts, near_dedup, near_groups, near_links
+from tidemark.llm.jaccard import _added, frequencies, link_counts, near_dedup, near_groups, near_links
 
 from .data import awkward, clashing, docs, prose, words
 
@@ -106,6 +108,22 @@ def check_links(table, rows, width=3, percent=90, **how):
     return pairs
 
 
+def test_counts_of_classes_are_added_in_groups_of_few_tasks(spark):
+    """With many input tasks no group of a sum holds a row of each."""
+    def counts(rows):
+        return {(r.block, r.part): np.frombuffer(r.counts, np.uint32 if r.bytes == 4 else np.int64).tolist() for r in rows.collect()}
+
+    made = [(b, 4, bytearray(np.array([p, b + 1], np.uint32).tobytes()), p) for p in range(40) for b in range(2)]
+    rows = spark.createDataFrame(made, "block int, bytes int, counts binary, part int")
+    once = _added(rows, 3)
+    assert counts(once) == {(b, p): [sum(range(8 * p, 8 * p + 8)), 8 * (b + 1)] for b in range(2) for p in range(5)}
+    assert counts(_added(once, 3)) == {(b, 0): [sum(range(40)), 40 * (b + 1)] for b in range(2)}
+
+    table = docs(spark).select(F.col("text")).where("text IS NOT NULL")
+    few, many = frequencies(table.coalesce(1), 3, 10), frequencies(table.repartition(40), 3, 10)
+    assert few.sum() > 0 and (few == many).all()
+
+
 def test_links_of_awkward_table(spark):
     check_links(clashing(docs(spark), "row", "node", "a", "b"), awkward(), class_bits=10)
     assert near_links(docs(spark, [])).count() == 0 and link_counts(docs(spark, [])).count() == 0

@@ -38,6 +38,8 @@ MOST_MATCHES = 4
 VERIFY_COST = 20
 CLASS_BITS = 20
 BLOCK_BITS = 14
+FAN_BITS = 8
+ADDED_TIMES = 3  # levels of sums, for up to 2 ** 24 tasks
 GROWTH = 16
 SKETCH = 256
 LANES = SKETCH // 64
@@ -71,10 +73,25 @@ class Shingles:
         return one, mix(_spans(self.hashes, first[:-1], first[1:], _OTHER_BASE) + n)
 
 
+def _added(rows: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
+    """Rows (block, bytes, counts, part), each block once in a part, added up over ``2 ** fan_bits`` parts that follow."""
+
+    def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(
+            np.frombuffer(raw, np.uint32 if size == 4 else np.uint64).astype(np.int64)
+            for size, raw in zip(group["bytes"], group["counts"], strict=True)
+        )
+        return pd.DataFrame({"block": [key[0]], "bytes": [8], "counts": [total.tobytes()], "part": [key[1]]})
+
+    parts = rows.withColumn("part", F.shiftright("part", fan_bits))
+    return parts.groupBy("block", "part").applyInPandas(add, "block int, bytes int, counts binary, part int")
+
+
 def frequencies(texts: DataFrame, width: int, class_bits: int) -> np.ndarray:
     """Number of shingles in each of ``2 ** class_bits`` hash classes, over all texts.
 
-    A task sends the counts of its classes in blocks; blocks are added up in Spark. The result's size is fixed.
+    A task sends the counts of its classes in blocks; blocks are added up in Spark, those of up to ``2 ** FAN_BITS`` tasks
+    at a time, so that no group grows with the number of tasks. The result's size is fixed.
     """
     block_bits = min(BLOCK_BITS, class_bits)
     blocks = 1 << (class_bits - block_bits)
@@ -92,16 +109,14 @@ def frequencies(texts: DataFrame, width: int, class_bits: int) -> np.ndarray:
             ["block", "bytes", "counts"],
         )
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << block_bits, np.int64)
-        for size, raw in zip(group["bytes"], group["counts"], strict=True):
-            total += np.frombuffer(raw, np.uint32 if size == 4 else np.uint64).astype(np.int64)
-        return pd.DataFrame({"block": group["block"].iloc[:1], "counts": [total.tobytes()]})
-
     counted = texts.select("text").mapInArrow(count, "block int, bytes int, counts binary")
     out = np.zeros((blocks, 1 << block_bits), np.int64)
-    for row in counted.groupBy("block").applyInPandas(add, "block int, counts binary").collect():
-        out[row["block"]] = np.frombuffer(row["counts"], np.int64)
+    added = counted.withColumn("part", F.spark_partition_id())
+    for _ in range(ADDED_TIMES):
+        added = _added(added)
+    # One row per block, as there are fewer tasks than the levels hold.
+    for row in added.collect():
+        out[row["block"]] += np.frombuffer(row["counts"], np.int64)
     return out.ravel()
 
 
