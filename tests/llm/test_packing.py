@@ -56,6 +56,18 @@ def test_texts_of_sequences(spark):
         assert held[g.bin_id][g.offset : g.offset + g.words] == words(rows[g.doc_id][1])[g.start : g.start + g.words]
 
 
+def test_texts_where_rows_share_an_identifier_or_have_none(spark):
+    """A cut copy beside whole ones, as of ``mixing.mixed``, other texts under one identifier, and null identifiers."""
+    whole = prose(1, 90)
+    made = [(1, whole), (1, whole), (1, " ".join(whole.split()[:20])), (1, prose(2, 40)), (None, prose(3, 70)), (None, prose(4, 15)), (2, None)]
+    table = docs(spark, [(*r, None, None, None) for r in made])
+    packed = pack(table, lengths=(32, 64))
+    found = texts(table, packed).collect()
+    assert sorted(w for r in found for w in r.words.split(" ")) == sorted(w for _, t in made for w in words(t))
+    held = {r.bin_id: r.words.split(" ") for r in found}
+    assert all(len(held[g.bin_id]) == g.filled for g in packed.where("bin_id IS NOT NULL").collect())
+
+
 def test_joint_lengths_cost_no_more_than_any_one(spark):
     rng = random.Random(4)
     lengths = (64, 128, 256)

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -87,6 +87,10 @@ def _pack_group(lengths: tuple[int, ...], overhead: int):
     return run
 
 
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -98,8 +102,9 @@ def pack(
     """Place every word of every document in a sequence. One row per piece.
 
     Columns: the identifier, ``piece`` (from 0), ``start`` and ``words`` (the piece's words in the document), ``bin_id``,
-    ``capacity`` (the sequence's length), ``offset`` of the piece in it, and ``filled`` (words in the sequence). Pieces
-    of a document are all of the longest length but the last. Documents without words (null and empty texts) are in no
+    ``capacity`` (the sequence's length), ``offset`` of the piece in it, ``filled`` (words in the sequence), and
+    ``text_key``, a hash of the text that with the identifier names the document to ``texts``. Pieces of a document are
+    all of the longest length but the last. Documents without words (null and empty texts) are in no
     sequence and give a row with 0 words and null sequence. Repeated rows are packed each for itself. An empty table
     gives an empty result. Other columns are not read.
     """
@@ -108,7 +113,10 @@ def pack(
         raise ValueError("lengths must be positive")
     scratch = Scratch(docs.sparkSession, "packing")
     rows = scratch.write(
-        docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row")),
+        docs.select(
+            F.col(id_col).alias("id"), _text_key(text_col).alias("text_key"), word_count(F.col(text_col)).alias("size"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
         "rows",
     )
     longest = lengths[-1]
@@ -129,22 +137,25 @@ def pack(
         _pack_group(lengths, overhead),
         "row long, piece long, start long, words long, bin_id long, capacity long, offset long, filled long",
     )
-    out = rows.select("id", "row").join(placed, "row", "left")
+    out = rows.select("id", "text_key", "row").join(placed, "row", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("piece", F.lit(0).cast("long")).alias("piece"),
         F.coalesce("start", F.lit(0).cast("long")).alias("start"),
         F.coalesce("words", F.lit(0).cast("long")).alias("words"),
-        "bin_id", "capacity", "offset", "filled",
+        "bin_id", "capacity", "offset", "filled", "text_key",
     )
 
 
 def texts(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The sequences' words for packed rows: one row per sequence with ``words`` joined by one space, in order."""
+    """The sequences' words for packed rows: one row per sequence with ``words`` joined by one space, in order.
+
+    A piece is cut from the document with its identifier and text, also where the identifier is null or others share it.
+    """
     words = F.expr(f"regexp_extract_all(cast(`{text_col}` as string), '[^\\\\x20\\\\x09-\\\\x0D]+', 0)")
-    held = packed.where("bin_id IS NOT NULL").join(
-        docs.select(F.col(id_col), words.alias("__words")).dropDuplicates([id_col]), id_col
-    )
+    whole = docs.select(F.col(id_col).alias("__id"), _text_key(text_col).alias("__key"), words.alias("__words")).dropDuplicates(["__id", "__key"])
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
+    held = packed.where("bin_id IS NOT NULL").join(whole, same)
     part = F.array_join(F.slice("__words", (F.col("start") + 1).cast("int"), F.col("words").cast("int")), " ")
     return (
         held.groupBy("bin_id", "capacity")
