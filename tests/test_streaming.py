@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import streams
 from tidemark.session import shared_dir
 from tidemark.sources.readers import read_parquet_stream, read_text_events
 from tidemark.sources.snapshots import SnapshotTable
@@ -175,3 +176,13 @@ def test_online_rows(spark, texts):
     rows = E.online_rows(features, "rider", "rider_id", "event_ts", F.lit(timedelta(hours=24))).collect()
     assert rows[0].expires_at - rows[0].updated_at == timedelta(days=1)
     assert json.loads(rows[0].features)["hour_of_day"] in (8, 9)
+
+
+def test_rows_without_a_time_enter_a_batch(spark, tmp_path):
+    at = [None, *(T0 + i * HOUR for i in range(9)), None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(at)], "event_id long, ts timestamp")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    stream = streams._parts(spark, str(tmp_path), "events", "ts")
+    query = stream.writeStream.format("memory").queryName("untimed").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.event_id for r in spark.table("untimed").collect()) == list(range(11))

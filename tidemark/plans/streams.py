@@ -38,11 +38,14 @@ STATE = 8
 
 
 def _parts(spark: SparkSession, folder: str, name: str, ts: str, again: bool = False) -> DataFrame:
-    """A table as a stream of ``BATCHES`` parts in the order of ``ts``; the first part arrives ``again`` at the end."""
+    """A table as a stream of ``BATCHES`` parts in the order of ``ts``; the first part arrives ``again`` at the end.
+
+    Rows without a time are in the first part.
+    """
     rows = table(spark, folder, name)
     axis = F.unix_micros(F.col(ts).cast("timestamp"))
     cuts = rows.agg(F.approx_percentile(axis, [i / BATCHES for i in range(1, BATCHES)])).first()[0] or [0] * (BATCHES - 1)
-    part = sum(((axis > cut).cast("int") for cut in cuts), F.lit(0))
+    part = F.coalesce(sum(((axis > cut).cast("int") for cut in cuts), F.lit(0)), F.lit(0))
     root = shared_dir(spark, name)
     for number in [*range(BATCHES), *([0] if again else [])]:
         rows.where(part == number).repartition(FILES).write.mode("append").parquet(root)
