@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality import HALF, Layout, Network, Settings, held_out, score, train, training_bytes
+from tidemark.llm.quality import HALF, Layout, Network, Settings, _cut, held_out, score, train, training_bytes
 
 from .data import awkward, clashing, docs, prose
 
@@ -76,6 +76,15 @@ def test_training_bytes_are_bounded_and_spread():
     assert training_bytes(None, 8192) == b"" and training_bytes("kurz", 8192) == b"kurz"
 
 
+def test_long_texts_are_cut_before_they_meet_in_a_task(spark):
+    """What the one task that trains is sent is bounded in bytes, and is what it learned from before."""
+    texts = ["short", None, "x" * 300_000 + "y" * 300_000, prose(1, 50_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("label", F.lit(1))
+    got = {r.id: bytes(r.raw) for r in _cut(rows, 8192).collect()}
+    assert got == {i: training_bytes(t, 8192) for i, t in enumerate(texts)}
+    assert max(map(len, got.values())) <= 8192
+
+
 def labelled(spark, n=400):
     rows, marks = [], []
     for i in range(n):

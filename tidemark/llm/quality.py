@@ -211,6 +211,16 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _cut(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows (id, label, raw): of each text its training bytes, cut where it is read."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part[["id", "label"]].assign(raw=[training_bytes(t, limit) for t in part["text"]])
+
+    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, label int, raw binary")
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", settings: Settings | None = None
 ) -> bytes | None:
@@ -238,12 +248,11 @@ def train(
     def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sample = pd.concat(parts).sort_values("id", kind="stable")
         if len(sample):
-            texts = [training_bytes(t, settings.train_bytes) for t in sample["text"]]
             network = Network(settings)
-            network.train(texts, sample["label"].to_numpy(np.float32), settings)
+            network.train([bytes(raw) for raw in sample["raw"]], sample["label"].to_numpy(np.float32), settings)
             yield pd.DataFrame({"model": [network.dumps()]})
 
-    found = rows.repartition(1).mapInPandas(fit, "model binary").collect()
+    found = _cut(rows, settings.train_bytes).repartition(1).mapInPandas(fit, "model binary").collect()
     return bytes(found[0]["model"]) if found else None
 
 
