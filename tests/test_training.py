@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.ml import search, training
+from tidemark.plans.training import MODEL_QUERIES
 
 
 def rows(spark, n=400):
@@ -58,3 +61,15 @@ def test_search(spark):
     best = search.best_trial(trials).first()
     assert best.metrics["loss"] == pytest.approx(45 * min(d["rate"] for d in drawn[:5]))
     assert search.best_trial(trials, mode="max").first().trial != best.trial
+
+
+def test_price_model_returns_its_own_results(spark):
+    """The predictions themselves, for the table's price, and metrics that are those of the predictions."""
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    got = MODEL_QUERIES["gbt_predictions"](spark, folder).toPandas()
+    off = got["prediction"] - got["l_extendedprice"]
+    assert len(got) and off.notna().all() and got["prediction"].nunique() > 10
+    metrics = MODEL_QUERIES["gbt_metrics"](spark, folder).first()
+    assert metrics.rmse == pytest.approx((off**2).mean() ** 0.5) and metrics.mae == pytest.approx(off.abs().mean())
+    # No mean but their own has a smaller error than the standard deviation.
+    assert metrics.mean_rmse == pytest.approx(got["l_extendedprice"].std(ddof=0), rel=0.05)

@@ -60,11 +60,11 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _trained(spark: SparkSession, folder: str) -> tuple[TrainedTrees, DataFrame, DataFrame]:
+def _trained(spark: SparkSession, folder: str, label: str = "charge") -> tuple[TrainedTrees, DataFrame, DataFrame]:
     """The model as it is deployed: depth 8, up to 200 rounds, ended by validation. Training and test rows with it."""
     train, test = split(_lines(spark, folder), F.col("l_orderkey"))
     fit, validation = split(train, F.col("l_orderkey"), seed=7)
-    return BoostedTrees(INPUTS, "charge").fit(fit, validation), train, test
+    return BoostedTrees(INPUTS, label).fit(fit, validation), train, test
 
 
 def gbt_train_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -173,6 +173,58 @@ BATCH_SCORING_SQL = f"""
                  + 0.5::DOUBLE * coalesce(value, 0), 5) AS prediction
     FROM orders LEFT JOIN l ON o_custkey = user_id"""
 
+
+# The models' own results, for the price that the table holds. They have no SQL form; the queries above check what has one.
+PRICE = "l_extendedprice"
+
+
+def gbt_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every test row with its price and the prediction of it."""
+    model, _, test = _trained(spark, folder, PRICE)
+    return model.predict(test).select("l_orderkey", "l_linenumber", PRICE, "prediction")
+
+
+def gbt_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """The metrics of the price's model on the test rows, beside the error of predicting the training mean."""
+    model, train, test = _trained(spark, folder, PRICE)
+    mean = train.agg(F.avg(PRICE).alias("mean"))
+    # One row on either side.
+    off = F.col(PRICE) - F.col("mean")
+    by_mean = test.join(F.broadcast(mean)).agg(F.sqrt(F.avg(off * off)).alias("mean_rmse"))
+    return model.evaluate(test).join(F.broadcast(by_mean))
+
+
+def gbt_importances(spark: SparkSession, folder: str) -> DataFrame:
+    """The features of the price's model with their importance."""
+    model, _, test = _trained(spark, folder, PRICE)
+    return model.importance(test)
+
+
+def random_search_trials(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty trials over step size and depth, up to 200 rounds each: their parameters and errors, the best one marked."""
+    train, test = split(_lines(spark, folder), F.col("l_orderkey"))
+    fit_rows, validation = split(train, F.col("l_orderkey"), seed=7)
+
+    def fit(params: dict[str, object]) -> dict[str, float]:
+        spec = BoostedTrees(INPUTS, PRICE, max_depth=params["max_depth"], step_size=params["step_size"])
+        found = spec.fit(fit_rows, validation).evaluate(test).first()
+        return {"loss": found["rmse"], "mae": found["mae"]}
+
+    trials = random_search(spark, fit, {"step_size": log_uniform(0.01, 0.3), "max_depth": choice(range(4, 9))})
+    best = best_trial(trials, "loss").select("trial", F.lit(True).alias("best"))
+    return trials.join(F.broadcast(best), "trial", "left").select(
+        "trial", F.to_json("params").alias("params"), F.col("metrics")["loss"].alias("loss"), F.col("metrics")["mae"].alias("mae"),
+        F.coalesce("best", F.lit(False)).alias("best"),
+    )
+
+
+MODEL_QUERIES = {
+    "gbt_predictions": gbt_predictions,
+    "gbt_metrics": gbt_metrics,
+    "gbt_importances": gbt_importances,
+    "random_search_trials": random_search_trials,
+}
+
 QUERIES = {
     "training_set": training_set,
     "train_split": train_split,
