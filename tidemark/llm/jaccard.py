@@ -8,11 +8,12 @@ whose rare shingles are rare takes a short prefix and one match, one made of fre
 correspondingly more matches before a pair is verified.
 
 For groups not all pairs are wanted, so pairs already known to be connected are never looked at; ``near_links`` and
-``link_counts`` look at all pairs. Documents with equal word sequences are one node. Nodes become *hubs* in rounds, in the order of a random number, few in the first round and
-``GROWTH`` times as many in each next one. In a round all nodes are compared with the round's hubs, where they share
-enough of the hub's prefix and are not connected to it yet. A family of n near copies meets a first hub when it expects
-a few of them; that links most of it, after about n comparisons instead of n * n. Each pair that shares enough is
-compared when the first of the two becomes a hub unless it is connected by then, so no link between groups is lost.
+``link_counts`` look at all pairs. Documents with equal word sequences are one node. Nodes become *hubs* in rounds, in
+the order of a random number, few in the first round and ``GROWTH`` times as many in each next one. In a round all nodes
+are compared with the round's hubs, where they share enough of the hub's prefix and are not connected to it yet. A
+family of n near copies meets a first hub when it expects a few of them; that links most of it, after about n
+comparisons instead of n * n. Each pair that shares enough is compared when the first of the two becomes a hub unless it
+is connected by then, so no link between groups is lost.
 
 Before a pair leaves the join its *parity sketches* are compared: every shingle flips one of ``SKETCH`` bits, so the bits
 in which two sketches differ are no more than the shingles that only one of the sets has. A pair with more such bits than
