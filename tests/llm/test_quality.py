@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality import HALF, Layout, Network, Settings, _cut, held_out, score, train, training_bytes
+from tidemark.llm.quality import CHUNK, HALF, HOP, SPAN, Layout, Network, Sample, Settings, held_out, runs_of, score, train
 
 from .data import awkward, clashing, docs, prose
 
@@ -69,20 +69,58 @@ def test_gradients_match_differences():
             assert grads[name][at] == pytest.approx((up - down) / (2 * step), abs=2e-5)
 
 
-def test_training_bytes_are_bounded_and_spread():
-    text = "".join(chr(97 + i // 5000) for i in range(100_000))
-    raw = training_bytes(text, 8192)
-    assert len(raw) <= 8192 and raw[:1] == b"a" and raw[-1:] == text[-1].encode()
-    assert training_bytes(None, 8192) == b"" and training_bytes("kurz", 8192) == b"kurz"
+def plain_score(n, text):
+    """The network written with loops: chunk by chunk, segment by segment."""
+    v = {k: x.astype(float) for k, x in n.values.items()}
+    halves = max(1, -(-(len(text) + (SPAN - 1) * HOP) // HALF))
+    padded = list(text) + [0] * (halves * HALF - len(text))
+    pooled = []
+    for half in range(halves):
+        best = np.zeros(v["filters"].shape[2])
+        for start in range(half * HALF, (half + 1) * HALF, HOP):
+            chunk = padded[start : start + CHUNK]
+            if len(chunk) < CHUNK:
+                continue
+            sums = v["filter_bias"].copy()
+            for i in range(SPAN):
+                sums += np.concatenate([v["bytes"][c] for c in chunk[i * HOP : (i + 1) * HOP]]) @ v["filters"][i]
+            best = np.maximum(best, sums)
+        pooled.append(best)
+    segments = [np.maximum(a, b) for a, b in zip(pooled, pooled[1:], strict=False)] or pooled
+    hidden = np.max([np.maximum(s @ v["hidden"] + v["hidden_bias"], 0) for s in segments], axis=0)
+    return 1 / (1 + np.exp(-(hidden @ v["out"] + v["out_bias"][0])))
+
+
+@pytest.mark.parametrize("size", [0, 1, 15, 16, 51, 52, 53, 63, 64, 65, 128, 5_000, 100_000])
+def test_scores_match_the_plain_network(size):
+    n = network()
+    n.values["filter_bias"] += 0.05
+    text = bytes(np.random.default_rng(size).integers(1, 256, size).astype(np.uint8))
+    assert float(n.score(*flat([text]))[0]) == pytest.approx(plain_score(n, text), abs=1e-5)
+
+
+def test_sample_holds_whole_texts():
+    sample = Sample(100)
+    for text, label in (("x" * 60, 1), ("y" * 50, 0), (None, 1), ("z" * 40, 0), ("", 1), ("w", 1)):
+        sample.add(text, label)
+    assert sample.texts == [b"x" * 60, b"", b"z" * 40, b""] and sample.labels == [1, 1, 0, 1]
+
+
+def test_long_texts_of_a_batch_are_taken_in_turn():
+    assert runs_of([], 10) == [] and runs_of([3, 4, 50, 1, 2, 9], 10) == [(0, 2), (2, 3), (3, 5), (5, 6)]
+    texts = [bytes(np.random.default_rng(i).integers(32, 120, 200 + 90 * i).astype(np.uint8)) for i in range(12)]
+    labels = np.array([i % 2 for i in range(12)], np.float32)
+    whole, parts = network(), network()
+    whole.train(texts, labels, Settings(epochs=2, batch=12, step_bytes=10**9))
+    parts.train(texts, labels, Settings(epochs=2, batch=12, step_bytes=700))
+    assert all(np.allclose(whole.values[k], parts.values[k], atol=1e-4) for k in whole.values)
 
 
-def test_long_texts_are_cut_before_they_meet_in_a_task(spark):
-    """What the one task that trains is sent is bounded in bytes, and is what it learned from before."""
-    texts = ["short", None, "x" * 300_000 + "y" * 300_000, prose(1, 50_000)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("label", F.lit(1))
-    got = {r.id: bytes(r.raw) for r in _cut(rows, 8192).collect()}
-    assert got == {i: training_bytes(t, 8192) for i, t in enumerate(texts)}
-    assert max(map(len, got.values())) <= 8192
+def test_labels_without_a_document_use_up_nothing(spark):
+    table, labels = labelled(spark, 60)
+    strangers = spark.range(10**6, 10**6 + 5000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    few = Settings(train_docs=60, filters=8, hidden=6, epochs=1)
+    assert train(table, labels.unionAll(strangers), settings=few) == train(table, labels, settings=few)
 
 
 def labelled(spark, n=400):
@@ -125,5 +163,7 @@ def test_awkward_rows_and_missing_labels(spark):
     empty = {r.score for r in rows if not r.text}
     assert len(empty) == 1
     assert train(table, labels.where("doc_id IS NULL"), settings=SMALL) is None
+    assert train(table, labels.where("doc_id > 500"), settings=SMALL) is None
+    assert train(docs(spark, []), labels, settings=SMALL) is None
     assert {r.score for r in score(table, None).collect()} == {0.5}
     assert score(docs(spark, []), model).count() == 0

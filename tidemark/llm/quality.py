@@ -5,9 +5,9 @@ document; their responses are max-pooled over overlapping segments of ``2 * HALF
 notice which responses a segment has and lacks (junk that repeats itself lacks most), max-pooled over the document, and
 combined into one probability. There is no length limit: a document is a run of as many chunks as it needs.
 
-The network is trained in one task on a bounded sample of labelled documents (``Settings.train_docs`` documents of at most
-``Settings.train_bytes`` bytes each, spread evenly over longer ones). Junk is rarer than text and counts
-``Settings.junk_weight`` times, which puts unsure documents in the middle of the scale. Scoring is a map over all whole documents without a
+The network is trained in one task on a bounded sample of whole labelled documents: at most ``Settings.train_docs`` of
+them with at most ``Settings.sample_bytes`` bytes together. Junk is rarer than text and counts ``Settings.junk_weight``
+times, which puts unsure documents in the middle of the scale. Scoring is a map over all whole documents without a
 shuffle; the model of some thousand numbers travels with the task.
 """
 
@@ -36,7 +36,8 @@ PAD = 0
 @dataclass(frozen=True)
 class Settings:
     train_docs: int = 5000
-    train_bytes: int = 8_192
+    sample_bytes: int = 20_000_000
+    step_bytes: int = 500_000
     width: int = 8
     filters: int = 32
     hidden: int = 24
@@ -113,13 +114,13 @@ class Network:
         logit = self.forward(Layout(data, at))["logit"].astype(np.float64)
         return np.round(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 6)
 
-    def gradients(self, layout: Layout, labels: np.ndarray, junk_weight: float = 1.0) -> dict[str, np.ndarray]:
-        """Of the mean log loss, in which a row of label 0 counts ``junk_weight`` times.
+    def gradients(self, layout: Layout, labels: np.ndarray, junk_weight: float = 1.0, rows: int | None = None) -> dict[str, np.ndarray]:
+        """Of the mean log loss over ``rows`` rows, these alone by default; a row of label 0 counts ``junk_weight`` times.
 
         Max-pooling passes a gradient to the place the maximum came from.
         """
         v, s = self.values, self.forward(layout)
-        n, width = len(labels), v["bytes"].shape[1]
+        n, width = rows or len(labels), v["bytes"].shape[1]
         weight = np.where(labels > 0.5, 1.0, junk_weight) / n
         d_logit = ((1 / (1 + np.exp(-np.clip(s["logit"], -30, 30))) - labels) * weight).astype(np.float32)
         out = {"out": s["docs"].T @ d_logit, "out_bias": d_logit.sum(keepdims=True)}
@@ -173,8 +174,13 @@ class Network:
                 # Another alignment of text and chunks each time.
                 cuts = rng.integers(0, settings.jitter + 1, len(chosen))
                 parts = [np.frombuffer(texts[i], np.uint8)[c if len(texts[i]) > 4 * c else 0 :] for i, c in zip(chosen, cuts, strict=True)]
-                at = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
-                grads = self.gradients(Layout(np.concatenate(parts), at), labels[chosen], settings.junk_weight)
+                # Long texts are taken one after the other, so that memory holds ``step_bytes`` or one text.
+                grads: dict[str, np.ndarray] = {}
+                for a, b in runs_of([len(x) for x in parts], settings.step_bytes):
+                    at = np.concatenate(([0], np.cumsum([len(x) for x in parts[a:b]])))
+                    layout = Layout(np.concatenate(parts[a:b]), at)
+                    for k, x in self.gradients(layout, labels[chosen[a:b]], settings.junk_weight, len(chosen)).items():
+                        grads[k] = grads[k] + x if k in grads else x
                 step += 1
                 rate = settings.rate * min(1.0, step / 20) * (1 - step / (steps + 1))
                 for k, x in self.values.items():
@@ -196,29 +202,36 @@ class Network:
         return made
 
 
-def training_bytes(text: str | None, limit: int) -> bytes:
-    """The bytes of a text; of a longer one, runs of a segment's size spread evenly over it."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    if len(raw) <= limit:
-        return raw
-    size = 8 * HALF
-    runs = max(1, limit // size)
-    return b"".join(raw[int(a) : int(a) + size] for a in np.linspace(0, len(raw) - size, runs))
+def runs_of(sizes: list[int], limit: int) -> list[tuple[int, int]]:
+    """Runs (first, last + 1) of neighbours whose sizes add up to ``limit`` at most, or of one that is larger."""
+    out, first, total = [], 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and total + size > limit:
+            out.append((first, i))
+            first, total = i, 0
+        total += size
+    return [*out, (first, len(sizes))] if sizes else []
 
 
-def held_out(id_column: Column) -> Column:
-    """The fold that is never learned from."""
-    return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+class Sample:
+    """Whole texts with their labels, in the order they come in, as long as they fit into ``limit`` bytes."""
 
+    def __init__(self, limit: int) -> None:
+        self.left = limit
+        self.texts: list[bytes] = []
+        self.labels: list[int] = []
 
-def _cut(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows (id, label, raw): of each text its training bytes, cut where it is read."""
+    def add(self, text: str | None, label: int) -> None:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if len(raw) <= self.left:
+            self.left -= len(raw)
+            self.texts.append(raw)
+            self.labels.append(label)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part[["id", "label"]].assign(raw=[training_bytes(t, limit) for t in part["text"]])
 
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, label int, raw binary")
+def held_out(id_column: Column) -> Column:
+    """The fold that is never learned from."""
+    return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def train(
@@ -226,33 +239,38 @@ def train(
 ) -> bytes | None:
     """Train on labelled documents outside the held-out fold; None if there are none.
 
-    The sample is the ``train_docs`` labels that come first in the order of a hash of the identifier.
+    The sample is bounded: of the labels that belong to a document, the ``train_docs`` that come first in the order of a
+    hash of the identifier, and of those, in that order, each whose whole text fits into what is left of
+    ``sample_bytes``. Labels that are null, neither 0 nor 1, or of documents that are not in the table, and null
+    identifiers, take no part. A label given twice counts as 1 if one of them is; of texts that share an identifier the
+    smallest is learned from; null texts count as empty.
     """
     settings = settings or Settings()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    order = [F.xxhash64("id", F.lit(settings.seed)), F.col("id")]
     chosen = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
         .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
+        .join(texts.select("id"), "id", "left_semi")
         .groupBy("id")
         .agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("id", F.lit(settings.seed)), "id")
+        .orderBy(*order)
         .limit(settings.train_docs)
     )
     # The sample has train_docs rows at most, whatever the size of the tables.
-    rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .join(F.broadcast(chosen), "id")
-        .groupBy("id", "label")
-        .agg(F.min("text").alias("text"))
-    )
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample = pd.concat(parts).sort_values("id", kind="stable")
-        if len(sample):
+        sample = Sample(settings.sample_bytes)
+        for part in parts:
+            for text, label in zip(part["text"], part["label"], strict=True):
+                sample.add(text, label)
+        if sample.texts:
             network = Network(settings)
-            network.train([bytes(raw) for raw in sample["raw"]], sample["label"].to_numpy(np.float32), settings)
+            network.train(sample.texts, np.array(sample.labels, np.float32), settings)
             yield pd.DataFrame({"model": [network.dumps()]})
 
-    found = _cut(rows, settings.train_bytes).repartition(1).mapInPandas(fit, "model binary").collect()
+    found = rows.repartition(1).sortWithinPartitions(*order).select("text", "label").mapInPandas(fit, "model binary").collect()
     return bytes(found[0]["model"]) if found else None
 
 
