@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, mixing, packing, pii, quality, substring, topk, urls, warc
+from . import exact, jaccard, mixing, packing, pii, quality, runs, substring, topk, urls, warc
+from .common import WORD
 
 WORDS_SQL = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
@@ -193,6 +194,37 @@ OP10_SQL = """
     FROM f"""
 
 
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) of which about one in ten repeats a stretch of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)))
+    found = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), words.alias("words"))
+    found = found.withColumn("n", F.size("words").cast("long"))
+    found = found.withColumn("a", F.col("g") % F.greatest("n", F.lit(1)))
+    found = found.withColumn("p", 1 + F.expr("(n - a) div (3 + g % 8)"))
+    root = F.expr("slice(words, int(a) + 1, int(p))")
+    times = F.expr("int((n - a) div p) + 1")
+    repeated = F.slice(F.concat(F.expr("slice(words, 1, int(a))"), F.flatten(F.array_repeat(root, times))), F.lit(1), F.col("n").cast("int"))
+    return found.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.periodic_runs(_with_repeats(_table(spark, folder, "documents")))
+    # Runs come by start, then period, so the first of equal ones stays.
+    best = F.reduce(
+        "runs",
+        F.expr("CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>)"),
+        lambda best, run: F.when(best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best),
+    )
+    lines = F.transform("runs", lambda run: F.concat_ws(",", run["start"].cast("string"), run["length"].cast("string"), run["period"].cast("string")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -204,9 +236,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_warc": op10_warc,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-# The others have no SQL form: they train, permute by key, pack greedily, or iterate to balance.
+# The others have no SQL form: they train, permute by key, pack greedily, iterate to balance, or look for runs.
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
     "op4_url_filters": OP4_SQL,
