@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, mixing, packing, pii, quality, runs, substring, topk, urls, warc
+from . import collocation, exact, jaccard, mixing, packing, pii, quality, runs, substring, topk, urls, warc
 from .common import WORD
 
 WORDS_SQL = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -194,6 +194,33 @@ OP10_SQL = """
     FROM f"""
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocation.collocations(_table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                      unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+    totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+    at AS (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS size) WHERE len(words) >= size),
+    f AS MATERIALIZED (
+        SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM at GROUP BY ALL HAVING count(*) >= 30),
+    c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
+    cuts AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+    scored AS (
+        SELECT c.lang, c.size, c.phrase, c.a, c.k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+        FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.k], ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.k + 1:], ' ')),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    parts AS (SELECT c.lang, c.a, array_to_string(c.words[i:i + n - 1], ' ') AS phrase
+              FROM c, (SELECT unnest(range(2, 4)) AS n), (SELECT unnest(range(1, 4)) AS i) WHERE n < c.size AND i + n - 1 <= c.size),
+    longer AS (SELECT lang, phrase, max(a) AS most FROM parts GROUP BY ALL),
+    alone AS (SELECT s.* FROM lowest s LEFT JOIN longer g USING (lang, phrase) WHERE g.most IS NULL OR 100 * g.most::HUGEINT < 80 * s.a::HUGEINT)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+    FROM alone JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
+
 def _with_repeats(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) of which about one in ten repeats a stretch of its words to its end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -236,6 +263,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -247,4 +275,5 @@ ORACLE: dict[str, str] = {
     "op7_exact_topk": OP7_SQL,
     "op9_ngram_join": OP9_SQL,
     "op10_warc": OP10_SQL,
+    "op11_collocations": OP11_SQL,
 }
