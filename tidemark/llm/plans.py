@@ -203,9 +203,9 @@ OP11_SQL = r"""
                       unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
     w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
     totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
-    at AS (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS size) WHERE len(words) >= size),
+    places AS (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS size) WHERE len(words) >= size),
     f AS MATERIALIZED (
-        SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM at GROUP BY ALL HAVING count(*) >= 30),
+        SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 30),
     c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
     cuts AS (SELECT *, unnest(range(1, size)) AS k FROM c),
     scored AS (
