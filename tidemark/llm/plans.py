@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocation, exact, jaccard, mixing, packing, pii, quality, runs, substring, topk, urls, warc
+from . import collocation, exact, hyperminhash, jaccard, mixing, packing, pii, quality, runs, substring, topk, urls, warc
 from .common import WORD
 
 WORDS_SQL = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -221,6 +221,25 @@ OP11_SQL = r"""
     FROM alone JOIN totals USING (lang) QUALIFY rank <= 2000"""
 
 
+def op12_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperminhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+OP12_SQL = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+    s AS MATERIALIZED (
+        SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
+        UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4),
+    sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS MATERIALIZED (
+        SELECT a, b FROM both_have JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+    reach AS (SELECT doc_id AS node, doc_id AS least FROM documents UNION SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.node),
+    found AS (SELECT node AS doc_id, min(least) AS component_id FROM reach GROUP BY node)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM documents JOIN found USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+
 def _with_repeats(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) of which about one in ten repeats a stretch of its words to its end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -264,6 +283,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_warc": op10_warc,
     "op11_collocations": op11_collocations,
+    "op12_minhash_dedup": op12_minhash_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -276,4 +296,5 @@ ORACLE: dict[str, str] = {
     "op9_ngram_join": OP9_SQL,
     "op10_warc": OP10_SQL,
     "op11_collocations": OP11_SQL,
+    "op12_minhash_dedup": OP12_SQL,
 }
