@@ -70,7 +70,7 @@ def texts(seed, n, langs=("en", "fr", None, "und")):
 def test_matches_plain_version(spark, seed, longest, least, percent, bits):
     rows = texts(seed, 150) + awkward()
     table = clashing(docs(spark, rows), "part", "words", "prefix", "n").repartition(7)
-    got = collocations(table, longest=longest, least=least, subsumed_percent=percent, class_bits=bits, segments=3)
+    got = collocations(table, longest=longest, least=least, subsumed_percent=percent, class_bits=bits, segments=3, hot=40)
     want = plain(rows, longest, least, percent=percent)
     assert rows_of(got) == want and len(want) > 10
 
@@ -98,12 +98,12 @@ def test_pieces_and_words():
     assert names == ["a", "b", "c", "d", "e", "f", "g", "a", "b"]
     assert both.joined.tolist() == [True, False, True, True, False, True, False, True, False]
     assert both.words[0] != both.words[7]
-    found = [[both.texts_of(first, 0, size).to_pylist() for _, _, _, first in [x]][0] for size, x in enumerate(both.grown([], 3), 1)]
+    found = [[both.texts_of(first, 0, size).to_pylist() for _, _, first, _ in [x]][0] for size, x in enumerate(both.grown([], 3), 1)]
     assert sorted(found[1]) == ["a b", "a b", "c d", "d e", "f g"] and found[2] == ["c d e"]
 
 
 def test_counts_of_classes_stop_at_the_least():
-    classes, counts = _combined(np.array([5, 3, 5, 5]), np.array([20, 1, 9, 7], np.uint8), 30)
+    classes, counts = _combined(np.array([5, 3, 5, 5]), np.array([20, 1, 9, 7], np.uint32), 30)
     assert classes.tolist() == [3, 5] and counts.tolist() == [1, 30]
     bitmap = np.zeros(2, np.uint8)
     bitmap[1] = 0b100
@@ -112,8 +112,8 @@ def test_counts_of_classes_stop_at_the_least():
 
 def test_stripes_merge_elementwise_across_batches():
     """Stripes of one key that lie in several batches, or fill more than one."""
-    entries = pa.table({"lang": ["en"] * 5, "size": pa.array([1] * 5, pa.int32()), "prefix": ["a", "a", "a", "b", "a"], "next": ["x", None, "y", "x", "z"], "n": [3, 9, 2, 1, 1]})
-    made = _stripes(entries, 1)
+    entries = pa.table({"lang": ["en"] * 5, "size": pa.array([1] * 5, pa.int32()), "prefix": ["a", "a", "a", "b", "a"], "segment": pa.array([0] * 5, pa.int32()), "next": ["x", None, "y", "x", "z"], "n": [3, 9, 2, 1, 1]})
+    made = _stripes(entries)
     assert {(r["prefix"], r["total"], tuple(sorted(zip(r["words"], r["counts"], strict=True)))) for r in made.to_pylist()} == {
         ("a", 9, (("x", 3), ("y", 2), ("z", 1))), ("b", 0, (("x", 1),)),
     }

@@ -3,8 +3,8 @@
 A *stripe* belongs to a prefix of one to ``LONGEST - 1`` words and holds, for each word that follows it, how often. One
 structure gives all that is needed: its entries are the extensions of the prefix with their counts, its total is the count
 of a single word, and its largest entry is what can subsume the prefix. Every task makes the stripes of its texts and adds
-equal ones up as it goes; stripes are then merged elementwise in Spark, those of up to ``2 ** FAN_BITS`` tasks at a time,
-and split into ``SEGMENTS`` by the following word, so that no group grows with the size of the corpus.
+equal ones up as it goes; stripes are then merged elementwise in Spark, those of up to ``2 ** FAN_BITS`` tasks at a time.
+Stripes of prefixes that occur ``HOT`` times or more are split into ``SEGMENTS`` by the following word.
 
 A phrase can be frequent only if its parts are. Before stripes are made, the phrases of each length are counted, length by
 length, in hash classes, in which different phrases may share a class, and only phrases of classes with enough occurrences
@@ -32,11 +32,15 @@ FACTOR = 2_000_000
 SUBSUMED_PERCENT = 80
 
 FAN_BITS = 8
-SEGMENTS = 16
+SEGMENTS = 64
+HOT = 1 << 16
+HOT_BITS = 20
 LEAST_BITS, MOST_BITS = 16, 28
 BLOCK_BITS = 16
 BYTES_A_CLASS = 32
 BUFFERED = 1 << 21
+BUFFERED_ENTRIES = 1 << 19
+BATCH_ROWS = 4096
 TOP_GROUP = 200_000
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _LANG_STEP = 0xA0761D6478BD642F | 1
@@ -78,12 +82,15 @@ class Phrases:
         self.hash_of = mix(_hashes(words)[self.word_of] + _hashes(self.langs.dictionary)[self.lang_of] * np.uint64(_LANG_STEP))
 
     def grown(self, maybe: list[np.ndarray], to: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For lengths 1 to ``to``: (places, number of each place's phrase, hashes and first place of each phrase).
+        """For lengths 1 to ``to``: number of each place's phrase, then hashes, first places and prefixes of the phrases.
+
+        A prefix is the number of a phrase of the length before.
 
         Phrases are those of classes marked in ``maybe`` as far as there is one for the length, and of such parts.
         """
         places, numbers = np.arange(len(self.words)), self.words
         hashes, first = self.hash_of, _first_places(numbers, len(self.hash_of))
+        heads = np.zeros(len(hashes), np.int64)
         for size in range(1, to + 1):
             if size > 1:
                 # A longer phrase is made of two that overlap in all but the first and the last word.
@@ -95,15 +102,16 @@ class Phrases:
                 places, numbers = places[following], numbers[following]
                 last = self.words[places + size - 1]
                 made, first, numbers = np.unique(numbers * len(self.hash_of) + last, return_index=True, return_inverse=True)
-                hashes = mix(hashes[made // max(len(self.hash_of), 1)] * np.uint64(_NEXT_STEP) + self.hash_of[made % max(len(self.hash_of), 1)])
+                heads, last = np.divmod(made, max(len(self.hash_of), 1))
+                hashes = mix(hashes[heads] * np.uint64(_NEXT_STEP) + self.hash_of[last])
                 first = places[first]
             if size <= len(maybe):
                 likely = marked(maybe[size - 1], hashes)
                 new = np.cumsum(likely) - 1
                 kept = likely[numbers]
                 places, numbers = places[kept], new[numbers[kept]]
-                hashes, first = hashes[likely], first[likely]
-            yield places, numbers, hashes, first
+                hashes, first, heads = hashes[likely], first[likely], heads[likely]
+            yield numbers, hashes, first, heads
 
     def texts_of(self, first: np.ndarray, start: int, size: int) -> pa.Array:
         """The words ``start`` to ``start + size`` of the phrases that begin at the places ``first``, joined by spaces."""
@@ -141,18 +149,13 @@ def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 # --- Counts in hash classes -----------------------------------------------------------------------------------------
 
 
-def _kind(least: int) -> type:
-    """Counts up to ``least``, and the sum of two, as numbers of this type."""
-    return np.uint8 if least < 128 else np.uint32
-
-
-def _combined(classes: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _combined(classes: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(classes, kind="stable")
     classes, counts = classes[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1]))) if len(classes) else np.zeros(0, np.int64)
     if not len(first):
         return classes, counts
-    return classes[first], np.minimum(np.add.reduceat(counts, first, dtype=np.int64), least).astype(counts.dtype)
+    return classes[first], np.minimum(np.add.reduceat(counts, first, dtype=np.int64), most).astype(np.uint32)
 
 
 def _blocks(classes: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -169,8 +172,8 @@ def _blocks(classes: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatc
     )
 
 
-def _count_classes(size: int, bits: int, least: int, held):
-    """Rows (block, offsets, counts): how often each class has phrases of ``size`` words, up to ``least``."""
+def _count_classes(size: int, bits: int, most: int, held):
+    """Rows (block, offsets, counts): how often each class has phrases of ``size`` words, up to ``most``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe = held.value
@@ -178,97 +181,104 @@ def _count_classes(size: int, bits: int, least: int, held):
         for batch in batches:
             for first, last, data, at in slices(batch.column("text")):
                 phrases = Phrases(data, at, batch.column("lang").slice(first, last - first))
-                for _, numbers, hashes, _ in phrases.grown(maybe, size):
+                for numbers, hashes, _, _ in phrases.grown(maybe, size):
                     pass
-                found = np.minimum(np.bincount(numbers, minlength=len(hashes)), least).astype(_kind(least))
+                found = np.minimum(np.bincount(numbers, minlength=len(hashes)), most).astype(np.uint32)
                 waiting.append((class_of(hashes, bits), found))
                 if sum(len(c) for c, _ in waiting) > BUFFERED:
-                    waiting = [_combined(*map(np.concatenate, zip(*waiting, strict=True)), least)]
+                    waiting = [_combined(*map(np.concatenate, zip(*waiting, strict=True)), most)]
                     if len(waiting[0][0]) > BUFFERED // 2:
                         yield _blocks(*waiting.pop(), bits)
         if waiting:
-            yield _blocks(*_combined(*map(np.concatenate, zip(*waiting, strict=True)), least), bits)
+            yield _blocks(*_combined(*map(np.concatenate, zip(*waiting, strict=True)), most), bits)
 
     return run
 
 
-def _add_classes(bits: int, least: int):
+def _add_classes(bits: int, most: int):
     width = min(bits, BLOCK_BITS)
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << width, _kind(least))
+        total = np.zeros(1 << width, np.uint32)
         for offsets, counts in zip(rows["offsets"], rows["counts"], strict=True):
             at = np.frombuffer(offsets, np.uint16)
-            total[at] = np.minimum(total[at] + np.frombuffer(counts, total.dtype), least)
+            total[at] = np.minimum(total[at] + np.frombuffer(counts, np.uint32), most)
         at = np.flatnonzero(total)
         return pd.DataFrame({"block": [key[0]], "offsets": [at.astype(np.uint16).tobytes()], "counts": [total[at].tobytes()], "part": [key[1]]})
 
     return add
 
 
-def likely_classes(texts: DataFrame, size: int, bits: int, least: int, maybe: list[np.ndarray]) -> np.ndarray:
-    """A bit for each class of phrases of ``size`` words: whether it has at least ``least`` occurrences in all texts."""
+def likely_classes(texts: DataFrame, size: int, bits: int, least: int, hot: int, maybe: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A bit for each class of phrases of ``size`` words: whether it has ``least`` occurrences in all texts, or ``hot``.
+
+    The bits of hot ones are for ``2 ** HOT_BITS`` coarser classes at most.
+    """
     held = texts.sparkSession.sparkContext.broadcast(maybe)
-    rows = texts.mapInArrow(_count_classes(size, bits, least, held), "block int, offsets binary, counts binary")
+    most = max(least, hot)
+    rows = texts.mapInArrow(_count_classes(size, bits, most, held), "block int, offsets binary, counts binary")
     rows = rows.withColumn("part", F.spark_partition_id())
-    add = _add_classes(bits, least)
+    add = _add_classes(bits, most)
     # Groups hold blocks of up to 2 ** FAN_BITS tasks; as many levels as lead from 2 ** 24 tasks to one row a block.
     for _ in range(3):
         rows = rows.withColumn("part", F.shiftright("part", FAN_BITS))
         rows = rows.groupBy("block", "part").applyInPandas(add, "block int, offsets binary, counts binary, part int")
     width = min(bits, BLOCK_BITS)
+    coarser = 1 << max(0, bits - HOT_BITS)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            packed = []
+            likely, often = [], []
             for offsets, counts in zip(batch["offsets"], batch["counts"], strict=True):
-                enough = np.zeros(1 << width, bool)
-                enough[np.frombuffer(offsets, np.uint16)] = np.frombuffer(counts, _kind(least)) >= least
-                packed.append(np.packbits(enough, bitorder="little").tobytes())
-            yield pd.DataFrame({"block": batch["block"], "bits": packed})
+                total = np.zeros(1 << width, np.uint32)
+                total[np.frombuffer(offsets, np.uint16)] = np.frombuffer(counts, np.uint32)
+                likely.append(np.packbits(total >= least, bitorder="little").tobytes())
+                often.append(np.packbits((total >= hot).reshape(-1, coarser).any(axis=1), bitorder="little").tobytes())
+            yield pd.DataFrame({"block": batch["block"], "likely": likely, "often": often})
 
-    out = np.zeros(max(1, 1 << bits >> 3), np.uint8)
+    marks = [np.zeros(1 << bits >> 3, np.uint8), np.zeros(1 << bits >> 3 >> max(0, bits - HOT_BITS), np.uint8)]
     # 2 ** bits bits in all, whatever the number of phrases.
-    for row in rows.mapInPandas(pack, "block int, bits binary").collect():
-        found = np.frombuffer(row["bits"], np.uint8)
-        out[row["block"] * len(found) : (row["block"] + 1) * len(found)] = found
+    for row in rows.mapInPandas(pack, "block int, likely binary, often binary").collect():
+        for mark, raw in zip(marks, (row["likely"], row["often"]), strict=True):
+            mark[row["block"] * len(raw) : (row["block"] + 1) * len(raw)] = np.frombuffer(raw, np.uint8)
     held.destroy()
-    return out
+    return marks[0], marks[1]
 
 
 # --- Stripes --------------------------------------------------------------------------------------------------------
 
 STRIPE = "lang string, size int, prefix string, segment int, part int, total long, words array<string>, counts array<long>"
 KEY = ["lang", "size", "prefix", "segment"]
+ENTRY = ["lang", "size", "prefix", "segment", "next", "n"]
 
 
 def _added(entries: pa.Table) -> pa.Table:
-    """Entries (lang, size, prefix, next, n) with equal ones added up."""
-    found = entries.group_by(["lang", "size", "prefix", "next"]).aggregate([("n", "sum")])
-    return found.rename_columns({"n_sum": "n"}).select(["lang", "size", "prefix", "next", "n"])
+    """Entries with equal ones added up."""
+    found = entries.group_by(ENTRY[:-1]).aggregate([("n", "sum")])
+    return found.rename_columns({"n_sum": "n"}).select(ENTRY)
 
 
 def _codes(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
-def _stripes(entries: pa.Table, segments: int) -> pa.Table:
+def _stripes(entries: pa.Table) -> pa.Table:
     """Stripes from entries that differ; an entry without a next word is the prefix's total."""
     following = entries.column("next").combine_chunks()
     has_next = np.asarray(following.is_valid().to_numpy(zero_copy_only=False), bool)
-    segment = (_hashes(following.fill_null("")) % np.uint64(segments)).astype(np.int64) * has_next
+    segment = entries.column("segment").to_numpy().astype(np.int64)
     counts = entries.column("n").to_numpy()
     sizes = entries.column("size").to_numpy().astype(np.int64)
     prefix = _codes(entries.column("prefix"))
     key = (_codes(entries.column("lang")) * (sizes.max(initial=0) + 1) + sizes) * (prefix.max(initial=0) + 1) + prefix
     order = np.lexsort((segment, key))
-    key, listed = key[order] * segments + segment[order], has_next[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    key, segment, listed = key[order], segment[order], has_next[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (segment[1:] != segment[:-1]))))
     offsets = pa.array(np.concatenate(([0], np.cumsum(listed)))[np.append(first, len(key))].astype(np.int32))
     totals = np.add.reduceat(np.where(listed, 0, counts[order]), first) if len(first) else np.zeros(0, np.int64)
     out = entries.select(["lang", "size", "prefix"]).take(pa.array(order[first]))
     columns = {
-        "segment": pa.array(segment[order][first].astype(np.int32)),
+        "segment": pa.array(segment[first].astype(np.int32)),
         "total": pa.array(totals.astype(np.int64)),
         "words": pa.ListArray.from_arrays(offsets, following.take(pa.array(order[listed]))),
         "counts": pa.ListArray.from_arrays(offsets, pa.array(counts[order[listed]].astype(np.int64))),
@@ -278,40 +288,47 @@ def _stripes(entries: pa.Table, segments: int) -> pa.Table:
     return out
 
 
-def _entries(phrases: Phrases, maybe: list[np.ndarray], longest: int) -> pa.Table:
-    """Entries (lang, size, prefix, next, n) of a run of texts.
+def _entries(phrases: Phrases, maybe: list[np.ndarray], often: list[np.ndarray], longest: int, segments: int) -> pa.Table:
+    """Entries (lang, size, prefix, segment, next, n) of a run of texts.
 
     Next is null where n is the prefix's total: of single words, and of the empty prefix, whose total is all words.
     """
     langs = phrases.langs.dictionary.cast(pa.string())
     all_words = np.bincount(phrases.lang_of[phrases.words], minlength=len(langs))
-    blank = [pa.array(np.zeros(len(langs), np.int32)), pa.array([""] * len(langs), pa.string()), pa.nulls(len(langs), pa.string())]
-    names = ["lang", "size", "prefix", "next", "n"]
-    parts = [pa.table([langs, *blank, pa.array(all_words.astype(np.int64))], names)]
-    for size, (_, numbers, hashes, first) in enumerate(phrases.grown(maybe, longest), 1):
+    none = pa.array(np.zeros(len(langs), np.int32))
+    blank = [none, pa.array([""] * len(langs), pa.string()), none, pa.nulls(len(langs), pa.string())]
+    parts = [pa.table([langs, *blank, pa.array(all_words.astype(np.int64))], ENTRY)]
+    hot = np.zeros(0, bool)
+    for size, (numbers, hashes, first, heads) in enumerate(phrases.grown(maybe, longest), 1):
         n = np.bincount(numbers, minlength=len(hashes))
         lang = langs.take(pa.array(phrases.lang_of[phrases.words[first]]))
         prefix_size = max(1, size - 1)
-        following = phrases.texts_of(first, size - 1, 1) if size > 1 else pa.nulls(len(first), pa.string())
-        columns = [lang, pa.array(np.full(len(first), prefix_size, np.int32)), phrases.texts_of(first, 0, prefix_size), following, pa.array(n.astype(np.int64))]
-        parts.append(pa.table(columns, names))
+        if size == 1:
+            following, segment = pa.nulls(len(first), pa.string()), np.zeros(len(first), np.int32)
+        else:
+            following = phrases.texts_of(first, size - 1, 1)
+            last = phrases.hash_of[phrases.words[first + size - 1]]
+            segment = np.where(hot[heads], last % np.uint64(segments), np.uint64(0)).astype(np.int32)
+        hot = marked(often[size - 1], hashes)
+        columns = [pa.array(np.full(len(first), prefix_size, np.int32)), phrases.texts_of(first, 0, prefix_size), pa.array(segment)]
+        parts.append(pa.table([lang, *columns, following, pa.array(n.astype(np.int64))], ENTRY))
     return pa.concat_tables(parts)
 
 
 def _make_stripes(longest: int, segments: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = held.value
+        maybe, often = held.value
         waiting: list[pa.Table] = []
         for batch in batches:
             for first, last, data, at in slices(batch.column("text")):
                 phrases = Phrases(data, at, batch.column("lang").slice(first, last - first))
-                waiting.append(_entries(phrases, maybe, longest))
-                if sum(t.num_rows for t in waiting) > BUFFERED // 2:
+                waiting.append(_entries(phrases, maybe, often, longest, segments))
+                if sum(t.num_rows for t in waiting) > BUFFERED_ENTRIES:
                     waiting = [_added(pa.concat_tables(waiting))]
-                    if waiting[0].num_rows > BUFFERED // 4:
-                        yield from _stripes(waiting.pop(), segments).to_batches()
+                    if waiting[0].num_rows > BUFFERED_ENTRIES // 2:
+                        yield from _stripes(waiting.pop()).to_batches(BATCH_ROWS)
         if waiting:
-            yield from _stripes(_added(pa.concat_tables(waiting)), segments).to_batches()
+            yield from _stripes(_added(pa.concat_tables(waiting))).to_batches(BATCH_ROWS)
 
     return run
 
@@ -368,12 +385,15 @@ def _merged(rows: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     yield from pa.Table.from_arrays(arrays, schema=schema).to_batches()
 
 
-def stripes(scratch: Scratch, texts: DataFrame, longest: int, least: int, bits: int, segments: int = SEGMENTS) -> DataFrame:
+def stripes(scratch: Scratch, texts: DataFrame, longest: int, least: int, bits: int, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
     """A written table of merged stripes of texts (lang, text): one row for each prefix and segment of following words."""
     maybe: list[np.ndarray] = []
+    often: list[np.ndarray] = []
     for size in range(1, longest + 1):
-        maybe.append(likely_classes(texts, size, bits, least, maybe))
-    held = texts.sparkSession.sparkContext.broadcast(maybe)
+        likely, frequent = likely_classes(texts, size, bits, least, hot, maybe)
+        maybe.append(likely)
+        often.append(frequent)
+    held = texts.sparkSession.sparkContext.broadcast((maybe, often))
     plain = STRIPE.replace("part int, ", "")
     rows = texts.mapInArrow(_make_stripes(longest, segments, held), plain)
     names = [f.split(" ")[0] for f in STRIPE.split(", ")]
@@ -424,6 +444,7 @@ def collocations(
     subsumed_percent: int = SUBSUMED_PERCENT,
     class_bits: int | None = None,
     segments: int = SEGMENTS,
+    hot: int = HOT,
     group_rows: int = TOP_GROUP,
 ) -> DataFrame:
     """The ``kept`` best phrases of each language: lang, rank, phrase, a, l, r, n, score.
@@ -438,7 +459,7 @@ def collocations(
 
     A null language counts as ``und``; null and empty texts have no words. Repeated rows count as often as they are
     there, whatever their identifiers, which are not read. An empty table gives an empty result. Other columns are not
-    read. ``class_bits`` sets the number of hash classes, which the result does not depend on.
+    read. The result does not depend on ``class_bits``, ``segments``, ``hot`` and ``group_rows``.
     """
     scratch = Scratch(docs.sparkSession, "collocations")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
@@ -448,7 +469,7 @@ def collocations(
         if class_bits is None:
             size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
             class_bits = min(MOST_BITS, max(LEAST_BITS, int(size // BYTES_A_CLASS).bit_length()))
-        merged = stripes(scratch, texts, longest, least, class_bits, segments)
+        merged = stripes(scratch, texts, longest, least, class_bits, segments, hot)
         return _best(scratch, merged, longest, least, kept, subsumed_percent, group_rows)
 
 
