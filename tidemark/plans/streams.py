@@ -7,9 +7,10 @@ part of every query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.asof import latest
@@ -19,6 +20,7 @@ from ..sources.readers import read_parquet_stream
 from ..sources.snapshots import SnapshotTable
 from ..streaming import counters, sinks
 from ..streaming import events as E
+from ..streaming.profiles import driver_features, keyed_state, rider_features
 from .serving import KINDS_SQL, event_records
 from .tables import (
     PREDICTIONS_SQL,
@@ -56,12 +58,32 @@ def _events(spark: SparkSession, folder: str, again: bool = False) -> DataFrame:
     return _parts(spark, folder, "events", "ts", again).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as JSON text; those with a large value arrive cut short."""
+def _as_text(rows: DataFrame) -> DataFrame:
+    """Events as JSON text; those with a large value are cut short."""
     value = F.to_json("record")
     broken = F.col("value") > 100
     cut = value.substr(F.lit(1), F.length(value) - 5)
-    return event_records(_events(spark, folder)).select(F.when(broken, cut).otherwise(value).alias("value"))
+    return event_records(rows).select(F.when(broken, cut).otherwise(value).alias("value"))
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return _as_text(_events(spark, folder))
+
+
+def _with_restart(spark: SparkSession, folder: str, root: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``make`` gives for a stream of event texts; the query ends before the last part arrives and starts again."""
+    rows = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    axis = F.unix_micros("ts")
+    cuts = rows.agg(F.approx_percentile(axis, [i / (BATCHES + 1) for i in range(1, BATCHES + 1)])).first()[0] or [0] * BATCHES
+    part = F.coalesce(sum(((axis > cut).cast("int") for cut in cuts), F.lit(0)), F.lit(0))
+    source = f"{root}/source"
+    with keyed_state(spark):
+        for arrived in (range(BATCHES), [BATCHES]):
+            for number in arrived:
+                rows.where(part == number).repartition(FILES).write.mode("append").parquet(source)
+            stream = read_parquet_stream(spark, source, rows.schema, max_files=FILES)
+            sinks.run_to_files(make(E.parse(_as_text(stream))), root, partitions=STATE)
+    return spark.read.parquet(f"{root}/data")
 
 
 DAYS = (1, 7, 30)
@@ -233,6 +255,81 @@ EVENT_FEATURES_SQL = f"""
     FROM events WHERE value <= 100 AND event_type IN ('click', 'view', 'purchase')"""
 
 
+# Ratings and answers to requests are not in the given events: some get one from their number.
+def _number() -> Column:
+    return F.col("event.event_id").cast("bigint")
+
+
+def _rating() -> Column:
+    return F.when(_number() % 4 == 0, 3 + (_number() % 8) * 0.25)
+
+
+RATING_SQL = "CASE WHEN event_id % 4 = 0 THEN 3 + (event_id % 8) * 0.25 END"
+
+
+def stream_rider_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Every rider event with its rider's trips and rating until then, from state kept over micro-batches and a restart."""
+    root = shared_dir(spark, "riders")
+    found = _with_restart(spark, folder, root, lambda parsed: rider_features(parsed, rating=_rating()))
+    return found.select(
+        "event_id", "rider_id", "hour_of_day", "day_of_week", "is_peak_hour", "is_weekend", F.round("pickup_lat", 8).alias("pickup_lat"),
+        F.round("trip_distance_km", 5).alias("trip_distance_km"), "rider_trips_7d", "rider_trips_30d",
+        F.round("rider_avg_rating", 8).alias("rider_avg_rating"), text_time("previous_ts").alias("previous_ts"),
+    )
+
+
+def _before_sql(key: str, counted: str, days: int) -> str:
+    """Earlier rows of a key for which ``counted`` is 1, of the last ``days`` days, the row's own day included."""
+    return f"""(sum({counted}) OVER ({key} ORDER BY ts, event_id::VARCHAR ROWS UNBOUNDED PRECEDING) - {counted}
+                - coalesce(sum({counted}) OVER ({key} ORDER BY ts::DATE RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL {days} DAYS PRECEDING), 0))"""
+
+
+RIDER_FEATURES_SQL = f"""
+    WITH c AS (SELECT *, 1 AS trip, CASE WHEN event_type = 'click' THEN {RATING_SQL} END AS rating, event_type = 'click' AS wanted
+               FROM events WHERE value <= 100 AND event_type IN ('click', 'purchase')),
+    k AS (SELECT *, {_before_sql("PARTITION BY user_id", "trip", 7)}::BIGINT AS rider_trips_7d,
+                 {_before_sql("PARTITION BY user_id", "trip", 30)}::BIGINT AS rider_trips_30d,
+                 coalesce(avg(rating) OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4.5) AS rated
+          FROM c)
+    SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS rider_id, hour(ts)::INT AS hour_of_day, (isodow(ts) - 1)::INT AS day_of_week,
+           (hour(ts) IN (7, 8, 9, 17, 18, 19))::INT AS is_peak_hour, (isodow(ts) >= 6)::INT AS is_weekend,
+           round({sql_latitude("user_id")}, 8) AS pickup_lat,
+           CASE WHEN user_id % 3 > 0 THEN round({EVENT_KM_SQL}, 5) END AS trip_distance_km, rider_trips_7d, rider_trips_30d,
+           round(rated, 8) AS rider_avg_rating,
+           strftime(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR), {SQL_TIME}) AS previous_ts
+    FROM k WHERE wanted"""
+
+
+def stream_driver_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Every driver event with its driver's trips, acceptance rate and rating until then; every third is a request refused."""
+    root = shared_dir(spark, "drivers")
+    found = _with_restart(
+        spark, folder, root, lambda parsed: driver_features(parsed, _number() % 5 > 0, _number() % 3 > 0, rating=_rating())
+    )
+    return found.select(
+        "event_id", "driver_id", "driver_status", "vehicle_type", "hour_of_day", "day_of_week", F.round("current_lat", 8).alias("current_lat"),
+        "driver_trips_today", "driver_trips_7d", F.round("driver_acceptance_rate_7d", 8).alias("driver_acceptance_rate_7d"),
+        F.round("driver_avg_rating", 8).alias("driver_avg_rating"),
+    )
+
+
+DRIVER_FEATURES_SQL = f"""
+    WITH c AS (SELECT *, user_id % 20 AS driver, event_type = 'view' AS wanted, (event_type = 'purchase')::INT AS trip,
+                      (event_type = 'view' AND event_id % 5 > 0)::INT AS asked, (event_type = 'view' AND event_id % 5 > 0 AND event_id % 3 > 0)::INT AS taken,
+                      CASE WHEN event_type = 'view' THEN {RATING_SQL} END AS rating
+               FROM events WHERE value <= 100 AND event_type IN ('view', 'purchase')),
+    k AS (SELECT *, {_before_sql("PARTITION BY driver", "trip", 1)}::BIGINT AS driver_trips_today,
+                 {_before_sql("PARTITION BY driver", "trip", 7)}::BIGINT AS driver_trips_7d,
+                 {_before_sql("PARTITION BY driver", "asked", 7)} AS asked_7d, {_before_sql("PARTITION BY driver", "taken", 7)} AS taken_7d,
+                 coalesce(avg(rating) OVER (PARTITION BY driver ORDER BY ts, event_id::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4.5) AS rated
+          FROM c)
+    SELECT event_id::VARCHAR AS event_id, driver::VARCHAR AS driver_id, 'available' AS driver_status, 'sedan' AS vehicle_type,
+           hour(ts)::INT AS hour_of_day, (isodow(ts) - 1)::INT AS day_of_week, round({sql_latitude("user_id")}, 8) AS current_lat,
+           driver_trips_today, driver_trips_7d,
+           CASE WHEN asked_7d > 0 THEN round(taken_7d / asked_7d::DOUBLE, 8) ELSE 0 END AS driver_acceptance_rate_7d, round(rated, 8) AS driver_avg_rating
+    FROM k WHERE wanted"""
+
+
 def stream_trip_counters(spark: SparkSession, folder: str) -> DataFrame:
     """Daily trips of the rider and the driver of every ended trip."""
     root = shared_dir(spark, "trips")
@@ -332,6 +429,8 @@ QUERIES = {
     "stream_trip_pairs": stream_trip_pairs,
     "stream_dead_letter": stream_dead_letter,
     "stream_event_features": stream_event_features,
+    "stream_rider_features": stream_rider_features,
+    "stream_driver_features": stream_driver_features,
     "stream_trip_counters": stream_trip_counters,
     "stream_online_store": stream_online_store,
     "stream_running_count": stream_running_count,
@@ -346,6 +445,8 @@ ORACLE = {
     "stream_trip_pairs": TRIP_PAIRS_SQL,
     "stream_dead_letter": DEAD_LETTER_SQL,
     "stream_event_features": EVENT_FEATURES_SQL,
+    "stream_rider_features": RIDER_FEATURES_SQL,
+    "stream_driver_features": DRIVER_FEATURES_SQL,
     "stream_trip_counters": TRIP_COUNTERS_SQL,
     "stream_online_store": ONLINE_STORE_SQL,
     "stream_running_count": """

@@ -68,8 +68,8 @@ def _base(parsed: DataFrame, route: str) -> DataFrame:
     return good(parsed).where(F.col("route") == route)
 
 
-def rider_event_features(parsed: DataFrame) -> DataFrame:
-    """Calendar, pickup and distance of rider events; no destination gives a null distance."""
+def rider_event_features(parsed: DataFrame, *more: Column) -> DataFrame:
+    """Calendar, pickup and distance of rider events; no destination gives a null distance. ``more`` columns follow."""
     e = F.col("event")
     distance = haversine_km(e.latitude, e.longitude, e.destination_lat, e.destination_lng)
     return _base(parsed, "rider").select(
@@ -81,10 +81,11 @@ def rider_event_features(parsed: DataFrame) -> DataFrame:
         e.longitude.alias("pickup_lng"),
         distance.alias("trip_distance_km"),
         F.coalesce(e.rider_rating, F.lit(4.5)).alias("rider_rating"),
+        *more,
     )
 
 
-def driver_event_features(parsed: DataFrame) -> DataFrame:
+def driver_event_features(parsed: DataFrame, *more: Column) -> DataFrame:
     e = F.col("event")
     return _base(parsed, "driver").select(
         e.event_id.alias("event_id"),
@@ -97,6 +98,7 @@ def driver_event_features(parsed: DataFrame) -> DataFrame:
         F.hour("event_ts").alias("hour_of_day"),
         day_of_week(F.col("event_ts")).alias("day_of_week"),
         F.coalesce(e.driver_rating, F.lit(4.5)).alias("driver_rating"),
+        *more,
     )
 
 
