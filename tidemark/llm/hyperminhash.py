@@ -11,7 +11,10 @@ bands as registers allow, and ``rows`` is the largest number for which a pair at
 of ``MISSED`` at most. From the last bit of each register the similarity of a pair is estimated where it is found: two
 different minima agree in a bit by chance in one case of two, so of ``m`` agreeing bits of ``k`` the similarity is
 ``(m - k / 2) / (k / 2)``. A pair is dropped there only if its estimate is ``DEVIATIONS`` standard deviations below the
-limit. What is left is verified on the sets of the whole texts.
+limit. A family of copies may lie just below the limit, where an estimate cannot tell: every shingle also flips one of
+``PARITY`` bits, so the bits in which two documents differ are no more than the shingles that only one of them has, and a
+pair with more of them than a link allows is dropped too, for certain. What is left is verified on the sets of the whole
+texts.
 
 Pairs within a group of copies are not all looked at: documents of equal words are one node, nodes become *centres* in
 rounds, ``GROWTH`` times as many in each as before, and in each round only pairs of a centre and a node that no earlier
@@ -42,8 +45,11 @@ DEVIATIONS = 7
 GROWTH = 16
 BORROWINGS = 256
 TEXTS_AT_ONCE = 2048
+PARITY = 1024
 WORDS_OF_BITS = BUCKETS // 64
 BITS = [f"b{i}" for i in range(WORDS_OF_BITS)]
+PARITIES = [f"p{i}" for i in range(PARITY // 64)]
+SKETCH = [*BITS, *PARITIES]
 _BUCKET_BITS = BUCKETS.bit_length() - 1
 _SEED = 0x589965CC75374CC3
 
@@ -105,7 +111,7 @@ def registers(numbers: np.ndarray) -> np.ndarray:
 
 
 def _sketches(width: int, rows: int):
-    """Rows (row, id, one, two, n, b0.., bands): digests of the words, size of the set, last bits, hash of each band."""
+    """Rows (row, id, one, two, n, b0.., p0.., bands): digests of the words, size of the set, last bits, parities, hash of each band."""
     bands = BUCKETS // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +132,8 @@ def _sketches(width: int, rows: int):
                     parts.append(registers(minima(values[a:b], owner[a:b] - some, several)))
                 kept = np.concatenate(parts)
                 last_bits = np.packbits((kept & 1).astype(np.uint8), axis=1).view(np.int64)
+                flipped = np.bincount(owner * PARITY + (values & np.uint64(PARITY - 1)).astype(np.int64), minlength=found.texts * PARITY) & 1
+                parity = np.packbits(flipped.astype(np.uint8).reshape(-1, PARITY), axis=1).view(np.int64)
                 banded = kept[:, : bands * rows].reshape(found.texts, bands, rows).astype(np.uint64)
                 hashed = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(_SEED), (found.texts, bands)).copy()
                 for i in range(rows):
@@ -137,10 +145,11 @@ def _sketches(width: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row")[row], batch.column("id")[row], pa.array(signed(one)), pa.array(signed(two)), pa.array(n.astype(np.int64)),
-                        *[pa.array(np.ascontiguousarray(last_bits[:, i])) for i in range(WORDS_OF_BITS)],
+                        *[pa.array(np.ascontiguousarray(last_bits[:, i])) for i in range(len(BITS))],
+                        *[pa.array(np.ascontiguousarray(parity[:, i])) for i in range(len(PARITIES))],
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(flat))),
                     ],
-                    ["row", "id", "one", "two", "n", *BITS, "bands"],
+                    ["row", "id", "one", "two", "n", *SKETCH, "bands"],
                 )
 
     return run
@@ -156,12 +165,15 @@ def _candidates(tokens: DataFrame, draw: Column, low: float, high: float, percen
     """Pairs (a, b, comp_a, comp_b) of a centre of this round and a later node that agree in a band, may link, and are not connected."""
     centres = tokens.where((draw >= low) & (draw < high)).select(
         "token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), draw.alias("draw_a"),
-        *[F.col(c).alias(f"{c}_a") for c in BITS],
+        *[F.col(c).alias(f"{c}_a") for c in SKETCH],
     )
     later = (draw > F.col("draw_a")) | ((draw == F.col("draw_a")) & (F.col("node") > F.col("a")))
     sizes = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
     differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in BITS)
     near = differ <= BUCKETS - least_agreeing(percent)
+    # With I shared of n and m shingles, 100 I >= percent (n + m - I); n + m - 2 I are in one set only.
+    apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_a"))) for c in PARITIES)
+    near &= (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_a"))
     found = tokens.where(draw >= low).join(centres, "token").where(later & sizes & (F.col("comp") != F.col("comp_a")) & near)
     return found.select("a", F.col("node").alias("b"), "comp_a", F.col("comp").alias("comp_b")).distinct()
 
@@ -185,13 +197,13 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(_row_digest(id_col, text_col).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    kinds = ", ".join(f"{c} long" for c in BITS)
+    kinds = ", ".join(f"{c} long" for c in SKETCH)
     found = texts.mapInArrow(_sketches(width, rows_of_band(percent)), f"row string, id {id_type}, one long, two long, n long, {kinds}, bands array<long>")
     found = scratch.write(found, "sketches")
 
     # Documents with equal words are one node, known by its row number in a written table.
     least = row_key(F.col("id").isNull().alias("none"), "id", "row")
-    same = [*BITS, "bands"]
+    same = [*SKETCH, "bands"]
     nodes = found.where("n > 0").groupBy("one", "two", "n").agg(F.min(least).alias("least"), *[F.min(c).alias(c) for c in same])
     nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "one", "two", "n", "least", F.col("least.row").alias("row"), *same)
     nodes = scratch.write(nodes, "nodes")
@@ -204,7 +216,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     repeated = scratch.write(repeated, "repeated")
     most = repeated.agg(F.max("nodes")).first()[0] or 0
     tokens = scratch.write(tokens.join(repeated.select("token"), "token"), "shared")
-    tokens = tokens.join(nodes.select("node", "n", *BITS), "node").withColumn("comp", F.col("node"))
+    tokens = tokens.join(nodes.select("node", "n", *SKETCH), "node").withColumn("comp", F.col("node"))
     tokens = scratch.write(tokens, "tokens-0")
     scratch.drop("shared", "repeated")
 
