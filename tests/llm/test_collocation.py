@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.collocation import Phrases, _combined, _merge_stripes, _stripes, collocations, marked, top_per_group
+from tidemark.llm.collocation import Entries, Phrases, _combined, _merge_stripes, collocations, marked, top_per_group
 from tidemark.llm.common import Scratch
 
 from .data import awkward, clashing, docs
@@ -98,7 +98,7 @@ def test_pieces_and_words():
     assert names == ["a", "b", "c", "d", "e", "f", "g", "a", "b"]
     assert both.joined.tolist() == [True, False, True, True, False, True, False, True, False]
     assert both.words[0] != both.words[7]
-    found = [[both.texts_of(first, 0, size).to_pylist() for _, _, first, _ in [x]][0] for size, x in enumerate(both.grown([], 3), 1)]
+    found = [[" ".join(names[int(f) + i] for i in range(size)) for f in first] for size, (_, _, first) in enumerate(both.grown([], 3), 1)]
     assert sorted(found[1]) == ["a b", "a b", "c d", "d e", "f g"] and found[2] == ["c d e"]
 
 
@@ -112,18 +112,25 @@ def test_counts_of_classes_stop_at_the_least():
 
 def test_stripes_merge_elementwise_across_batches():
     """Stripes of one key that lie in several batches, or fill more than one."""
-    entries = pa.table({"lang": ["en"] * 5, "size": pa.array([1] * 5, pa.int32()), "prefix": ["a", "a", "a", "b", "a"], "segment": pa.array([0] * 5, pa.int32()), "next": ["x", None, "y", "x", "z"], "n": [3, 9, 2, 1, 1]})
-    made = _stripes(entries)
-    assert {(r["prefix"], r["total"], tuple(sorted(zip(r["words"], r["counts"], strict=True)))) for r in made.to_pylist()} == {
-        ("a", 9, (("x", 3), ("y", 2), ("z", 1))), ("b", 0, (("x", 1),)),
+    raw = b"a x. a x. a x. a y. a y. a z. a. a. a. b x"
+    entries = Entries(2)
+    for _ in range(2):
+        entries.add(Phrases(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), pa.array(["en gb"])), [])
+        entries.combine()
+    made = pa.Table.from_batches(list(entries.stripes([np.zeros(8, np.uint8)] * 2, 4)))
+    assert {(r["lang"], r["prefix"], r["total"], tuple(sorted(zip(r["words"], r["counts"], strict=True)))) for r in made.to_pylist()} == {
+        ("en gb", "a", 18, (("x", 6), ("y", 4), ("z", 2))), ("en gb", "b", 2, (("x", 2),)), ("en gb", "x", 8, ()), ("en gb", "y", 4, ()), ("en gb", "z", 2, ()),
     }
+    split = pa.Table.from_batches(list(entries.stripes([np.full(8, 255, np.uint8)] * 2, 64))).to_pylist()
+    assert len([r for r in split if r["prefix"] == "a"]) > 1 and sum(r["total"] for r in split) == 34
+    made = made.sort_by("prefix").slice(0, 2)
     made = made.append_column("part", pa.array([0] * made.num_rows, pa.int32())).sort_by("prefix")
     a, b = made.slice(0, 1).to_batches()[0], made.slice(1).to_batches()[0]
     for order in ([a, a, a, b, b], [a, b], [pa.Table.from_batches([a, a, b]).combine_chunks().to_batches()[0], b]):
         got = pa.Table.from_batches(list(_merge_stripes(iter(order)))).to_pylist()
         times = sum(x.column("prefix").to_pylist().count("a") for x in order)
-        assert [(r["prefix"], r["total"]) for r in got] == [("a", 9 * times), ("b", 0)]
-        assert dict(zip(got[0]["words"], got[0]["counts"], strict=True)) == {"x": 3 * times, "y": 2 * times, "z": times}
+        assert [(r["prefix"], r["total"]) for r in got] == [("a", 18 * times), ("b", 2 * sum(x.column("prefix").to_pylist().count("b") for x in order))]
+        assert dict(zip(got[0]["words"], got[0]["counts"], strict=True)) == {"x": 6 * times, "y": 4 * times, "z": 2 * times}
 
 
 def test_empty_tables(spark):

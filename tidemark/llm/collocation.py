@@ -15,6 +15,7 @@ matter are those of the stripes, by the words themselves. A corpus too large for
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ LEAST_BITS, MOST_BITS = 16, 28
 BLOCK_BITS = 16
 BYTES_A_CLASS = 32
 BUFFERED = 1 << 21
-BUFFERED_ENTRIES = 1 << 19
+BUFFERED_ENTRIES = 3 << 19
 BATCH_ROWS = 4096
 TOP_GROUP = 200_000
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -81,16 +82,13 @@ class Phrases:
         self.dictionary = words
         self.hash_of = mix(_hashes(words)[self.word_of] + _hashes(self.langs.dictionary)[self.lang_of] * np.uint64(_LANG_STEP))
 
-    def grown(self, maybe: list[np.ndarray], to: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For lengths 1 to ``to``: number of each place's phrase, then hashes, first places and prefixes of the phrases.
-
-        A prefix is the number of a phrase of the length before.
+    def grown(self, maybe: list[np.ndarray], to: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For lengths 1 to ``to``: number of each place's phrase, then hashes and first places of the phrases.
 
         Phrases are those of classes marked in ``maybe`` as far as there is one for the length, and of such parts.
         """
         places, numbers = np.arange(len(self.words)), self.words
         hashes, first = self.hash_of, _first_places(numbers, len(self.hash_of))
-        heads = np.zeros(len(hashes), np.int64)
         for size in range(1, to + 1):
             if size > 1:
                 # A longer phrase is made of two that overlap in all but the first and the last word.
@@ -103,20 +101,20 @@ class Phrases:
                 last = self.words[places + size - 1]
                 made, first, numbers = np.unique(numbers * len(self.hash_of) + last, return_index=True, return_inverse=True)
                 heads, last = np.divmod(made, max(len(self.hash_of), 1))
-                hashes = mix(hashes[heads] * np.uint64(_NEXT_STEP) + self.hash_of[last])
+                hashes = _extended(hashes[heads], self.hash_of[last])
                 first = places[first]
             if size <= len(maybe):
                 likely = marked(maybe[size - 1], hashes)
                 new = np.cumsum(likely) - 1
                 kept = likely[numbers]
                 places, numbers = places[kept], new[numbers[kept]]
-                hashes, first, heads = hashes[likely], first[likely], heads[likely]
-            yield numbers, hashes, first, heads
+                hashes, first = hashes[likely], first[likely]
+            yield numbers, hashes, first
+
 
-    def texts_of(self, first: np.ndarray, start: int, size: int) -> pa.Array:
-        """The words ``start`` to ``start + size`` of the phrases that begin at the places ``first``, joined by spaces."""
-        parts = [self.dictionary.take(pa.array(self.word_of[self.words[first + i]])) for i in range(start, start + size)]
-        return pa.compute.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string())
+def _extended(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases that go on with one more word."""
+    return mix(hashes * np.uint64(_NEXT_STEP) + words)
 
 
 def _first_places(numbers: np.ndarray, n: int) -> np.ndarray:
@@ -181,7 +179,7 @@ def _count_classes(size: int, bits: int, most: int, held):
         for batch in batches:
             for first, last, data, at in slices(batch.column("text")):
                 phrases = Phrases(data, at, batch.column("lang").slice(first, last - first))
-                for numbers, hashes, _, _ in phrases.grown(maybe, size):
+                for numbers, hashes, _ in phrases.grown(maybe, size):
                     pass
                 found = np.minimum(np.bincount(numbers, minlength=len(hashes)), most).astype(np.uint32)
                 waiting.append((class_of(hashes, bits), found))
@@ -249,86 +247,125 @@ def likely_classes(texts: DataFrame, size: int, bits: int, least: int, hot: int,
 
 STRIPE = "lang string, size int, prefix string, segment int, part int, total long, words array<string>, counts array<long>"
 KEY = ["lang", "size", "prefix", "segment"]
-ENTRY = ["lang", "size", "prefix", "segment", "next", "n"]
-
-
-def _added(entries: pa.Table) -> pa.Table:
-    """Entries with equal ones added up."""
-    found = entries.group_by(ENTRY[:-1]).aggregate([("n", "sum")])
-    return found.rename_columns({"n_sum": "n"}).select(ENTRY)
-
-
-def _codes(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
-
-
-def _stripes(entries: pa.Table) -> pa.Table:
-    """Stripes from entries that differ; an entry without a next word is the prefix's total."""
-    following = entries.column("next").combine_chunks()
-    has_next = np.asarray(following.is_valid().to_numpy(zero_copy_only=False), bool)
-    segment = entries.column("segment").to_numpy().astype(np.int64)
-    counts = entries.column("n").to_numpy()
-    sizes = entries.column("size").to_numpy().astype(np.int64)
-    prefix = _codes(entries.column("prefix"))
-    key = (_codes(entries.column("lang")) * (sizes.max(initial=0) + 1) + sizes) * (prefix.max(initial=0) + 1) + prefix
-    order = np.lexsort((segment, key))
-    key, segment, listed = key[order], segment[order], has_next[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (segment[1:] != segment[:-1]))))
-    offsets = pa.array(np.concatenate(([0], np.cumsum(listed)))[np.append(first, len(key))].astype(np.int32))
-    totals = np.add.reduceat(np.where(listed, 0, counts[order]), first) if len(first) else np.zeros(0, np.int64)
-    out = entries.select(["lang", "size", "prefix"]).take(pa.array(order[first]))
-    columns = {
-        "segment": pa.array(segment[first].astype(np.int32)),
-        "total": pa.array(totals.astype(np.int64)),
-        "words": pa.ListArray.from_arrays(offsets, following.take(pa.array(order[listed]))),
-        "counts": pa.ListArray.from_arrays(offsets, pa.array(counts[order[listed]].astype(np.int64))),
-    }
-    for name, column in columns.items():
-        out = out.append_column(name, column)
-    return out
 
 
-def _entries(phrases: Phrases, maybe: list[np.ndarray], often: list[np.ndarray], longest: int, segments: int) -> pa.Table:
-    """Entries (lang, size, prefix, segment, next, n) of a run of texts.
-
-    Next is null where n is the prefix's total: of single words, and of the empty prefix, whose total is all words.
-    """
-    langs = phrases.langs.dictionary.cast(pa.string())
-    all_words = np.bincount(phrases.lang_of[phrases.words], minlength=len(langs))
-    none = pa.array(np.zeros(len(langs), np.int32))
-    blank = [none, pa.array([""] * len(langs), pa.string()), none, pa.nulls(len(langs), pa.string())]
-    parts = [pa.table([langs, *blank, pa.array(all_words.astype(np.int64))], ENTRY)]
-    hot = np.zeros(0, bool)
-    for size, (numbers, hashes, first, heads) in enumerate(phrases.grown(maybe, longest), 1):
-        n = np.bincount(numbers, minlength=len(hashes))
-        lang = langs.take(pa.array(phrases.lang_of[phrases.words[first]]))
-        prefix_size = max(1, size - 1)
-        if size == 1:
-            following, segment = pa.nulls(len(first), pa.string()), np.zeros(len(first), np.int32)
-        else:
-            following = phrases.texts_of(first, size - 1, 1)
-            last = phrases.hash_of[phrases.words[first + size - 1]]
-            segment = np.where(hot[heads], last % np.uint64(segments), np.uint64(0)).astype(np.int32)
-        hot = marked(often[size - 1], hashes)
-        columns = [pa.array(np.full(len(first), prefix_size, np.int32)), phrases.texts_of(first, 0, prefix_size), pa.array(segment)]
-        parts.append(pa.table([lang, *columns, following, pa.array(n.astype(np.int64))], ENTRY))
-    return pa.concat_tables(parts)
+class Entries:
+    """Counted phrases of a task: rows of word numbers, -1 after the last word, and how often each occurred."""
+
+    def __init__(self, longest: int) -> None:
+        self.longest = longest
+        self.number_of: dict[str, int] = {}
+        self.hashes: list[np.ndarray] = []
+        self.parts: list[np.ndarray] = []
+        self.rows = 0
+
+    def add(self, phrases: Phrases, maybe: list[np.ndarray]) -> None:
+        number = np.full(len(phrases.kinds), -1, np.int64)
+        for size, (numbers, hashes, first) in enumerate(phrases.grown(maybe, self.longest), 1):
+            if size == 1:
+                kinds = phrases.words[first]
+                langs = phrases.langs.dictionary.cast(pa.large_string()).take(pa.array(phrases.lang_of[kinds]))
+                # A word has no space, so the first one in front of it ends it.
+                names = pa.compute.binary_join_element_wise(phrases.dictionary.take(pa.array(phrases.word_of[kinds])), langs, pa.scalar(" ", pa.large_string()))
+                known = len(self.number_of)
+                number[kinds] = [self.number_of.setdefault(name, len(self.number_of)) for name in names.to_pylist()]
+                fresh = number[kinds] >= known
+                self.hashes.append(phrases.hash_of[kinds][fresh][np.argsort(number[kinds][fresh])])
+            row = np.full((len(first), self.longest + 1), -1, np.int32)
+            for i in range(size):
+                row[:, i] = number[phrases.words[first + i]]
+            row[:, -1] = np.bincount(numbers, minlength=len(hashes))
+            self.parts.append(row)
+            self.rows += len(row)
+        if self.rows > BUFFERED_ENTRIES:
+            self.combine()
+
+    def combine(self) -> None:
+        """Add up equal phrases. Counts stay far below 2 ** 31 between two calls of :meth:`stripes`."""
+        rows = np.concatenate(self.parts) if self.parts else np.zeros((0, self.longest + 1), np.int32)
+        rows = rows[np.lexsort(rows[:, -2::-1].T)]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(rows)), bool), (rows[1:, :-1] != rows[:-1, :-1]).any(axis=1))))
+        if len(first):
+            counts = np.add.reduceat(rows[:, -1].astype(np.int64), first)
+            rows = rows[first]
+            rows[:, -1] = counts
+        self.parts, self.rows = [rows], len(rows)
+
+    @property
+    def full(self) -> bool:
+        return self.rows > BUFFERED_ENTRIES // 2 or len(self.number_of) > BUFFERED_ENTRIES // 2
+
+    def stripes(self, often: list[np.ndarray], segments: int) -> Iterator[pa.RecordBatch]:
+        """What was counted, as stripes; an entry without a next word is the prefix's total."""
+        self.combine()
+        rows, counts = self.parts[0][:, :-1], self.parts[0][:, -1].astype(np.int64)
+        sizes = (rows >= 0).sum(axis=1)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *self.hashes])
+        spelled = [name.split(" ", 1) for name in self.number_of]
+        words, langs = pa.array([w for w, _ in spelled], pa.string()), pa.array([lang for _, lang in spelled], pa.string())
+        # The next word is the last one of a phrase of two or more; a prefix keeps its place before the others.
+        prefix_size = np.maximum(sizes - 1, 1)
+        last = np.where(sizes > 1, rows[np.arange(len(rows)), sizes - 1], -1)
+        prefix = rows.copy()
+        prefix[np.arange(len(rows)), np.where(sizes > 1, sizes - 1, 1 % rows.shape[1])] = -1
+        segment = np.zeros(len(rows), np.int64)
+        for size in range(2, self.longest + 1):
+            at = np.flatnonzero(sizes == size)
+            hashed = hashes[prefix[at, 0]]
+            for i in range(1, size - 1):
+                hashed = _extended(hashed, hashes[prefix[at, i]])
+            segment[at] = np.where(marked(often[size - 2], hashed), hashes[last[at]] % np.uint64(segments), np.uint64(0)).astype(np.int64)
+        order = np.lexsort((last, segment, *prefix.T[::-1]))
+        prefix, segment, last, counts, prefix_size = prefix[order], segment[order], last[order], counts[order], prefix_size[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (prefix[1:] != prefix[:-1]).any(axis=1) | (segment[1:] != segment[:-1])
+        first = np.append(np.flatnonzero(new), len(rows))
+        for a in range(0, len(first) - 1, BATCH_ROWS):
+            begins = first[a : a + BATCH_ROWS + 1]
+            some = slice(begins[0], begins[-1])
+            begins = begins[:-1]
+            listed = last[some] >= 0
+            offsets = np.concatenate(([0], np.cumsum(listed)))[np.append(begins - some.start, some.stop - some.start)]
+            joined = pa.compute.binary_join(
+                pa.ListArray.from_arrays(
+                    pa.array(np.concatenate(([0], np.cumsum(prefix_size[begins]))).astype(np.int32)), words.take(pa.array(prefix[begins][prefix[begins] >= 0]))
+                ),
+                " ",
+            )
+            lists = [words.take(pa.array(last[some][listed])), pa.array(counts[some][listed])]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    langs.take(pa.array(prefix[begins, 0])), pa.array(prefix_size[begins].astype(np.int32)), joined, pa.array(segment[begins].astype(np.int32)),
+                    pa.array(np.add.reduceat(np.where(listed, 0, counts[some]), begins - some.start)),
+                    *[pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), x) for x in lists],
+                ],
+                ["lang", "size", "prefix", "segment", "total", "words", "counts"],
+            )
+
+
+def _all_words(totals: dict[str, int]) -> pa.RecordBatch:
+    """Stripes of the empty prefix: the number of words of each language."""
+    none, blank = pa.array([0] * len(totals), pa.int32()), pa.ListArray.from_arrays(pa.array([0] * (len(totals) + 1), pa.int32()), pa.array([], pa.string()))
+    counts = pa.ListArray.from_arrays(pa.array([0] * (len(totals) + 1), pa.int32()), pa.array([], pa.int64()))
+    columns = [pa.array(list(totals), pa.string()), none, pa.array([""] * len(totals), pa.string()), none, pa.array(list(totals.values()), pa.int64())]
+    return pa.RecordBatch.from_arrays([*columns, blank, counts], ["lang", "size", "prefix", "segment", "total", "words", "counts"])
 
 
 def _make_stripes(longest: int, segments: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe, often = held.value
-        waiting: list[pa.Table] = []
+        entries, totals = Entries(longest), Counter()
         for batch in batches:
             for first, last, data, at in slices(batch.column("text")):
                 phrases = Phrases(data, at, batch.column("lang").slice(first, last - first))
-                waiting.append(_entries(phrases, maybe, often, longest, segments))
-                if sum(t.num_rows for t in waiting) > BUFFERED_ENTRIES:
-                    waiting = [_added(pa.concat_tables(waiting))]
-                    if waiting[0].num_rows > BUFFERED_ENTRIES // 2:
-                        yield from _stripes(waiting.pop()).to_batches(BATCH_ROWS)
-        if waiting:
-            yield from _stripes(_added(pa.concat_tables(waiting))).to_batches(BATCH_ROWS)
+                found = np.bincount(phrases.lang_of[phrases.words], minlength=len(phrases.langs.dictionary))
+                totals.update(dict(zip(phrases.langs.dictionary.to_pylist(), found.tolist(), strict=True)))
+                entries.add(phrases, maybe)
+                if entries.full:
+                    yield from entries.stripes(often, segments)
+                    entries = Entries(longest)
+        yield from entries.stripes(often, segments)
+        yield _all_words(totals)
 
     return run
 
