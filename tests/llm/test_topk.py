@@ -3,10 +3,11 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.topk import top_k
+from tidemark.llm.topk import Lists, top_k
 
 from .data import clashing
 
@@ -65,3 +66,45 @@ def test_scores_beyond_64_bits_are_clamped(spark):
 
 def test_empty_table(spark):
     assert top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def shares(rows, k=20):
+    """The share of pairs that is scored, after a check of all results."""
+    rng = np.random.default_rng(9)
+    ids = rng.permutation(len(rows))
+    lists = Lists(ids, rows)
+    queries = np.arange(0, len(rows), 40)
+    found = lists.best(rows[queries], ids[queries], k)
+    for q, (got, scores) in zip(queries, found, strict=True):
+        all_scores = rows @ rows[q]
+        want = sorted((-s, i) for s, i in zip(all_scores.tolist(), ids.tolist(), strict=True) if i != ids[q])[:k]
+        assert [(-s, i) for i, s in zip(got.tolist(), scores.tolist(), strict=True)] == want
+    return lists.scored / lists.pairs
+
+
+def test_rows_scored_with_even_and_uneven_variance():
+    """Lists end early where vectors vary along few directions, whichever these are, and not where all are alike."""
+    rng = np.random.default_rng(4)
+    even = rng.normal(0, 1, (4000, 32))
+    uneven = even * 0.6 ** np.arange(32)
+    turn = np.linalg.qr(rng.normal(0, 1, (32, 32)))[0]
+    assert shares(np.floor(64 * even).astype(np.int64)) > 0.9
+    assert shares(np.floor(64 * uneven).astype(np.int64)) < 0.5
+    assert shares(np.floor(64 * uneven @ turn).astype(np.int64)) < 0.5
+
+
+def test_ties_at_the_bound():
+    """Many rows tie with the k-th one, of which some lie deep in all lists."""
+    rng = np.random.default_rng(5)
+    rows = rng.integers(-1, 2, (3000, 6)) * 50
+    shares(rows, 7)
+    rows[:, 1:] = 0
+    shares(rows, 30)
+
+
+def test_floors_of_the_first_shard_lose_nothing(spark):
+    """Long vectors in one shard, short ones in others, which some queries need not visit."""
+    data = [(i, [x * (8 if i % 3 == 0 else 0.4) for x in v]) for i, v in rows(300, 5, 8)] + [(i, [0.01, 0.0, 0.0, 0.0, -0.01]) for i in range(300, 400)]
+    for k in (3, 390):
+        got = top_k(spark.createDataFrame(data, SCHEMA), F.col("vec_id") % 20 == 0, k, shard_rows=40, query_rows=6)
+        assert sorted(tuple(r) for r in got.collect()) == plain(data, k, 20)
