@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import distribution as D
+from ..operators import sketches
 from ..operators.drift import (
     detailed_report,
     drift_summary,
@@ -13,6 +14,7 @@ from ..operators.drift import (
     prediction_drift,
     retraining_requests,
 )
+from ..session import shared_dir
 from .tables import events, table
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -310,7 +312,97 @@ NO_REFERENCE_SQL = """
           UNION ALL SELECT 'no current', 'No current data', m, NULL, s, NULL FROM m)
     SELECT *, false AS drift_detected, NULL::DOUBLE AS drift_score, NULL::DOUBLE AS p_value FROM r"""
 
+SKETCHED = ["value", "user_id", "k"]
+CHANGE = "2024-01-21"
+
+
+def _measured(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with three numbers, of which one rises and one is missing now and then."""
+    rows = events(spark, folder)
+    later = F.col("ts") >= F.lit(CHANGE).cast("timestamp")
+    return rows.select(
+        "ts",
+        later.alias("later"),
+        F.when(later, F.col("value") * 1.5).otherwise(F.col("value")).alias("value"),
+        F.when(F.col("event_type") != "error", F.col("user_id")).alias("user_id"),
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+    )
+
+
+def _sketch_table(spark: SparkSession, folder: str) -> str:
+    """A table of daily sketches, of which the last days are written again."""
+    root = shared_dir(spark, "sketches")
+    made = sketches.daily_sketches(_measured(spark, folder), "ts", SKETCHED)
+    sketches.write_sketches(made, root)
+    sketches.write_sketches(made.where(F.col("ds") >= F.lit("2024-01-29").cast("date")), root)
+    return root
+
+
+def _day(text: str) -> Column:
+    return F.lit(text).cast("date")
+
+
+def drift_from_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Drift of two windows of days from sketches; the exact statistic of the rows, and whether it is within the error stated."""
+    root = _sketch_table(spark, folder)
+    reference = sketches.window(spark, root, _day("2024-01-01"), _day("2024-01-20"))
+    current = sketches.window(spark, root, _day(CHANGE), _day("2024-12-31"))
+    found = sketches.sketched_drift(reference, current)
+    rows = _measured(spark, folder)
+    counts = D.side_counts(rows.where("NOT later"), rows.where("later"), SKETCHED)
+    exact = D.ks_statistic(counts).select("feature", F.col("ks").alias("exact"))
+    return found.join(exact, "feature").select(
+        "feature", "ref_rows", "cur_rows", F.round("exact", 8).alias("exact"),
+        (F.abs(F.col("ks") - F.col("exact")) <= F.col("ks_error")).alias("within_error"), (F.col("ks_error") < 0.02).alias("small_error"), "drift",
+    )
+
+
+DRIFT_FROM_SKETCHES_SQL = f"""
+    WITH m AS (SELECT ts >= TIMESTAMP '{CHANGE}' AS cur, value * CASE WHEN ts >= TIMESTAMP '{CHANGE}' THEN 1.5::DOUBLE ELSE 1 END AS value,
+                      CASE WHEN event_type <> 'error' THEN user_id END AS user_id, (props->>'$.k')::INT AS k FROM events),
+    long AS (SELECT 'value' AS feature, value, cur FROM m UNION ALL SELECT 'user_id', user_id, cur FROM m WHERE user_id IS NOT NULL
+             UNION ALL SELECT 'k', k, cur FROM m WHERE k IS NOT NULL),
+    n AS (SELECT feature, count(*) FILTER (NOT cur) AS ref_rows, count(*) FILTER (cur) AS cur_rows FROM long GROUP BY feature),
+    cdf AS (SELECT feature, sum((NOT cur)::INT) OVER w AS r, sum(cur::INT) OVER w AS c FROM long
+            WINDOW w AS (PARTITION BY feature ORDER BY value)),
+    ks AS (SELECT feature, any_value(ref_rows) AS ref_rows, any_value(cur_rows) AS cur_rows,
+                  max(abs(r / ref_rows::DOUBLE - c / cur_rows::DOUBLE)) AS ks FROM cdf JOIN n USING (feature) GROUP BY feature)
+    SELECT feature, ref_rows, cur_rows, round(ks, 8) AS exact, true AS within_error, true AS small_error,
+           CASE WHEN ks > 0.1 THEN 'yes' ELSE 'no' END AS drift FROM ks"""
+
+
+def profile_from_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """A profile of ten days from sketches; quartiles and distinct counts are compared with those of the rows."""
+    root = _sketch_table(spark, folder)
+    found = sketches.sketched_profile(sketches.window(spark, root, _day("2024-01-15"), _day("2024-01-24")))
+    rows = _measured(spark, folder).where(F.to_date("ts").between(_day("2024-01-15"), _day("2024-01-24")))
+    values = D.long_form(rows, SKETCHED, False).where(F.col("value").isNotNull())
+    at = F.array(*[F.struct((F.col("value") < F.col("quantiles")[i]).alias("below"), (F.col("value") <= F.col("quantiles")[i]).alias("upto")) for i in range(3)])
+    ranks = values.join(F.broadcast(found), "feature").withColumn("at", at)
+    near = F.lit(True)
+    for i, p in enumerate((0.25, 0.5, 0.75)):
+        near &= (F.avg(F.col("at")[i]["below"].cast("int")) - F.first("rank_error") <= p) & (F.avg(F.col("at")[i]["upto"].cast("int")) + F.first("rank_error") >= p)
+    checked = ranks.groupBy("feature").agg(near.alias("quartiles_within_error"), F.count_distinct("value").alias("unique_count"))
+    distinct = F.abs(F.col("estimate") - F.col("unique_count")) <= F.col("unique_error") * F.col("unique_count")
+    return found.withColumnRenamed("unique_count", "estimate").join(checked, "feature").select(
+        "feature", "rows", F.round("missing_pct", 6).alias("missing_pct"), F.round("mean", 6).alias("mean"), "min", "max", "unique_count",
+        distinct.alias("unique_within_error"), "quartiles_within_error",
+    )
+
+
+PROFILE_FROM_SKETCHES_SQL = f"""
+    WITH m AS (SELECT value * CASE WHEN ts >= TIMESTAMP '{CHANGE}' THEN 1.5::DOUBLE ELSE 1 END AS value,
+                      CASE WHEN event_type <> 'error' THEN user_id END AS user_id, (props->>'$.k')::INT AS k FROM events
+               WHERE ts::DATE BETWEEN DATE '2024-01-15' AND DATE '2024-01-24'),
+    long AS (SELECT 'value' AS feature, value FROM m UNION ALL SELECT 'user_id', user_id FROM m UNION ALL SELECT 'k', k FROM m)
+    SELECT feature, count(value) AS rows, round(100 * (count(*) - count(value)) / count(*)::DOUBLE, 6) AS missing_pct, round(avg(value), 6) AS mean,
+           min(value)::DOUBLE AS min, max(value)::DOUBLE AS max, count(DISTINCT value) AS unique_count, true AS unique_within_error, true AS quartiles_within_error
+    FROM long GROUP BY feature"""
+
+
 QUERIES = {
+    "drift_from_sketches": drift_from_sketches,
+    "profile_from_sketches": profile_from_sketches,
     "drift_all_columns": drift_all_columns,
     "prediction_drift_no_reference": prediction_drift_no_reference,
     "drift_ks": drift_ks,
@@ -326,6 +418,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "drift_from_sketches": DRIFT_FROM_SKETCHES_SQL,
+    "profile_from_sketches": PROFILE_FROM_SKETCHES_SQL,
     "drift_all_columns": ALL_COLUMNS_SQL,
     "prediction_drift_no_reference": NO_REFERENCE_SQL,
     "drift_ks": f"WITH {KS_SQL} SELECT feature, round(ks, 8) AS ks, ref_rows, cur_rows FROM ks",
