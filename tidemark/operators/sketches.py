@@ -140,6 +140,6 @@ def sketched_drift(
     return found.withColumns(
         {
             "drift": F.when(F.col("ks").isNull(), "no").otherwise(doubt),
-            "psi_band": band(F.col("psi"), [(0.1, "moderate"), (0.2, "significant")], "none"),
+            "psi_band": F.coalesce(band(F.col("psi"), [(0.1, "moderate"), (0.2, "significant")], "none"), F.lit("none")),
         }
     )
