@@ -232,23 +232,28 @@ def _candidates(tokens: DataFrame, draw, low: float, high: float, percent: int)
     )
 
 
-def _links(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(scratch: Scratch, texts: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) that link, by the whole texts of both."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = wanted.join(nodes.select("node", "row"), "node").select("node", "row")
+    rows = scratch.write(wanted.join(nodes.select("node", "row"), "node").select("node", "row"), f"wanted-{name}")
     held = texts.select("row", "text").join(join_hint(rows), "row").dropDuplicates(["node"]).select("node", "text")
+    # Texts and pairs are written first: only a join of two plain tables is split where a hub is hot.
+    held = scratch.write(held, f"texts-{name}")
     a = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(b, "b").join(a, "a").mapInArrow(_verified(width, percent), "a long, b long")
+    half = scratch.write(pairs.select("a", "b").join(b, "b"), f"half-{name}")
+    return half.join(a, "a").mapInArrow(_verified(width, percent), "a long, b long")
 
 
-def _row_hash(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+def _row_digest(id_col: str, text_col: str):
+    """What tells rows apart: the identifier and 128 bits of the text's SHA-256."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.concat_ws(":", F.col(id_col).isNull().cast("string"), F.col(id_col).cast("string"), F.substring(F.sha2(text, 256), 1, 32))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(_row_hash(id_col, text_col).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
+    return docs.select(_row_digest(id_col, text_col).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
 
 
 def _shared(
@@ -261,7 +266,7 @@ def _shared(
     held = spark.sparkContext.broadcast(frequencies(texts, width, class_bits))  # 8 * 2 ** class_bits bytes
     found = texts.mapInArrow(
         _prefix_rows(width, percent, most_matches, held),
-        f"row long, id {id_type}, one long, two long, n long, matches int, base long, {', '.join(f'{c} long' for c in SKETCHES)}, prefix array<long>",
+        f"row string, id {id_type}, one long, two long, n long, matches int, base long, {', '.join(f'{c} long' for c in SKETCHES)}, prefix array<long>",
     )
     found = scratch.write(found, "documents")
 
@@ -312,9 +317,9 @@ def _groups(
         high = 2.0 * growth**step / longest
         high = high if high < 0.5 else 1.1
         pairs = scratch.write(_candidates(tokens, draw, low, high, percent), f"pairs-{step}")
-        links = _links(texts, nodes, pairs, width, percent)
+        links = _links(scratch, texts, nodes, pairs, width, percent, str(step))
         links = scratch.write(links.join(pairs, ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), f"links-{step}")
-        scratch.drop(f"pairs-{step}")
+        scratch.drop(f"pairs-{step}", f"wanted-{step}", f"texts-{step}", f"half-{step}")
         low, step = high, step + 1
         if links.isEmpty():
             continue
@@ -369,7 +374,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with shuffles_removed(docs.sparkSession):
         found = _groups(docs, id_col, text_col, width, percent, **how)
     kept = found.where(F.col("row") == F.col("first.row")).select(F.col("row").alias("__row_key"))
-    marked = docs.withColumn("__row_key", _row_hash(id_col, text_col))
+    marked = docs.withColumn("__row_key", _row_digest(id_col, text_col))
     marked = marked.join(kept, "__row_key", "left_semi").dropDuplicates(["__row_key"])
     return marked.select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -389,8 +394,8 @@ def _all_links(
     found, nodes, tokens, _ = _shared(scratch, texts, width, percent, most_matches, class_bits)
     # All nodes are hubs of one round, and none is connected yet, so no pair is left out.
     pairs = scratch.write(_candidates(tokens, _draw(), 0.0, 1.1, percent), "pairs")
-    links = scratch.write(_links(texts, nodes, pairs, width, percent), "links")
-    scratch.drop("pairs", "tokens-0")
+    links = scratch.write(_links(scratch, texts, nodes, pairs, width, percent, "all"), "links")
+    scratch.drop("pairs", "tokens-0", "wanted-all", "texts-all", "half-all")
     sizes = found.where("n > 0").select("one", "two", "n", "row").distinct().groupBy("one", "two", "n").agg(F.count(F.lit(1)).alias("copies"))
     nodes = scratch.write(nodes.select("node", "one", "two", "n", F.col("least.id").alias("id")).join(sizes, ["one", "two", "n"]), "sized")
     return found, nodes, links
