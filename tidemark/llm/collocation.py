@@ -1,10 +1,11 @@
 """Collocations by the stripes pattern: phrases that occur more often than their parts let expect.
 
-A *stripe* belongs to a prefix of one to ``LONGEST - 1`` words and holds, for each word that follows it, how often. One
-structure gives all that is needed: its entries are the extensions of the prefix with their counts, its total is the count
-of a single word, and its largest entry is what can subsume the prefix. Every task makes the stripes of its texts and adds
-equal ones up as it goes; stripes are then merged elementwise in Spark, those of up to ``2 ** FAN_BITS`` tasks at a time.
-Stripes of prefixes that occur ``HOT`` times or more are split into ``SEGMENTS`` by the following word.
+A *stripe* belongs to a prefix, the first word, and counts for each continuation of up to ``LONGEST - 1`` words how often it
+follows. One structure gives all that is needed: its entries are the counts of all phrases that begin with the word, those
+of an entry's beginnings are the totals of longer prefixes, its total is the count of the word itself, and an entry one word
+longer is what can subsume a phrase. Every task makes the stripes of its texts and adds equal ones up as it goes; stripes are
+then merged elementwise in Spark, those of up to ``2 ** FAN_BITS`` tasks at a time. Stripes of words that occur ``HOT``
+times or more are split into ``SEGMENTS`` by the word that follows.
 
 A phrase can be frequent only if its parts are. Before stripes are made, the phrases of each length are counted, length by
 length, in hash classes, in which different phrases may share a class, and only phrases of classes with enough occurrences
@@ -34,7 +35,7 @@ SUBSUMED_PERCENT = 80
 
 FAN_BITS = 8
 SEGMENTS = 64
-HOT = 1 << 16
+HOT = 1 << 20
 HOT_BITS = 20
 LEAST_BITS, MOST_BITS = 16, 28
 BLOCK_BITS = 16
@@ -245,8 +246,16 @@ def likely_classes(texts: DataFrame, size: int, bits: int, least: int, hot: int,
 
 # --- Stripes --------------------------------------------------------------------------------------------------------
 
-STRIPE = "lang string, size int, prefix string, segment int, part int, total long, words array<string>, counts array<long>"
-KEY = ["lang", "size", "prefix", "segment"]
+# Continuations, and how often each occurs, in text form with a line for each: no word holds a line's end.
+STRIPE = "lang string, prefix string, segment int, part int, total long, words string, counts string"
+KEY = ["lang", "prefix", "segment"]
+FIELDS = [f.split(" ")[0] for f in STRIPE.split(", ")]
+
+
+def _lines(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    """Values between offsets as lines of one text; null where there is none."""
+    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values.cast(pa.string()))
+    return pa.compute.if_else(pa.array(np.diff(offsets) > 0), pa.compute.binary_join(lists, "\n"), pa.scalar(None, pa.string()))
 
 
 class Entries:
@@ -295,60 +304,49 @@ class Entries:
     def full(self) -> bool:
         return self.rows > BUFFERED_ENTRIES // 2 or len(self.number_of) > BUFFERED_ENTRIES // 2
 
-    def stripes(self, often: list[np.ndarray], segments: int) -> Iterator[pa.RecordBatch]:
-        """What was counted, as stripes; an entry without a next word is the prefix's total."""
+    def stripes(self, often: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
+        """What was counted, as stripes; ``often`` marks the classes of hot words."""
         self.combine()
         rows, counts = self.parts[0][:, :-1], self.parts[0][:, -1].astype(np.int64)
-        sizes = (rows >= 0).sum(axis=1)
         hashes = np.concatenate([np.zeros(0, np.uint64), *self.hashes])
         spelled = [name.split(" ", 1) for name in self.number_of]
         words, langs = pa.array([w for w, _ in spelled], pa.string()), pa.array([lang for _, lang in spelled], pa.string())
-        # The next word is the last one of a phrase of two or more; a prefix keeps its place before the others.
-        prefix_size = np.maximum(sizes - 1, 1)
-        last = np.where(sizes > 1, rows[np.arange(len(rows)), sizes - 1], -1)
-        prefix = rows.copy()
-        prefix[np.arange(len(rows)), np.where(sizes > 1, sizes - 1, 1 % rows.shape[1])] = -1
-        segment = np.zeros(len(rows), np.int64)
-        for size in range(2, self.longest + 1):
-            at = np.flatnonzero(sizes == size)
-            hashed = hashes[prefix[at, 0]]
-            for i in range(1, size - 1):
-                hashed = _extended(hashed, hashes[prefix[at, i]])
-            segment[at] = np.where(marked(often[size - 2], hashed), hashes[last[at]] % np.uint64(segments), np.uint64(0)).astype(np.int64)
-        order = np.lexsort((last, segment, *prefix.T[::-1]))
-        prefix, segment, last, counts, prefix_size = prefix[order], segment[order], last[order], counts[order], prefix_size[order]
+        # Rows are in the order of their words; those of a hot word are put in the order of their segments.
+        split = marked(often, hashes)[rows[:, 0]] & (rows[:, 1] >= 0)
+        segment = np.where(split, hashes[rows[:, 1]] % np.uint64(segments), np.uint64(0)).astype(np.int64)
+        order = np.lexsort((segment, rows[:, 0]))
+        rows, counts, segment = rows[order], counts[order], segment[order]
         new = np.ones(len(rows), bool)
-        new[1:] = (prefix[1:] != prefix[:-1]).any(axis=1) | (segment[1:] != segment[:-1])
+        new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (segment[1:] != segment[:-1])
         first = np.append(np.flatnonzero(new), len(rows))
         for a in range(0, len(first) - 1, BATCH_ROWS):
             begins = first[a : a + BATCH_ROWS + 1]
             some = slice(begins[0], begins[-1])
             begins = begins[:-1]
-            listed = last[some] >= 0
-            offsets = np.concatenate(([0], np.cumsum(listed)))[np.append(begins - some.start, some.stop - some.start)]
-            joined = pa.compute.binary_join(
-                pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(prefix_size[begins]))).astype(np.int32)), words.take(pa.array(prefix[begins][prefix[begins] >= 0]))
-                ),
-                " ",
-            )
-            lists = [words.take(pa.array(last[some][listed])), pa.array(counts[some][listed])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    langs.take(pa.array(prefix[begins, 0])), pa.array(prefix_size[begins].astype(np.int32)), joined, pa.array(segment[begins].astype(np.int32)),
-                    pa.array(np.add.reduceat(np.where(listed, 0, counts[some]), begins - some.start)),
-                    *[pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), x) for x in lists],
-                ],
-                ["lang", "size", "prefix", "segment", "total", "words", "counts"],
+            follows = rows[some, 1:]
+            longer = follows[:, 0] >= 0
+            taken = np.cumsum(np.concatenate(([0], longer)))
+            offsets = taken[np.append(begins - some.start, some.stop - some.start)]
+            inside = follows[longer]
+            bounds = np.concatenate(([0], np.cumsum((inside >= 0).sum(axis=1)))).astype(np.int32)
+            paths = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(bounds), words.take(pa.array(inside[inside >= 0]))), " ")
+            totals = np.add.reduceat(np.where(longer, 0, counts[some]), begins - some.start)
+            yield _batch(
+                langs.take(pa.array(rows[begins, 0])), words.take(pa.array(rows[begins, 0])), segment[begins], totals,
+                _lines(offsets, paths), _lines(offsets, pa.array(counts[some][longer])),
             )
 
 
+def _batch(langs: pa.Array, prefixes: pa.Array, segment: np.ndarray, totals: np.ndarray, words: pa.Array, counts: pa.Array) -> pa.RecordBatch:
+    columns = [langs, prefixes, pa.array(segment.astype(np.int32)), pa.array(totals.astype(np.int64)), words, counts]
+    return pa.RecordBatch.from_arrays(columns, [f for f in FIELDS if f != "part"])
+
+
 def _all_words(totals: dict[str, int]) -> pa.RecordBatch:
     """Stripes of the empty prefix: the number of words of each language."""
-    none, blank = pa.array([0] * len(totals), pa.int32()), pa.ListArray.from_arrays(pa.array([0] * (len(totals) + 1), pa.int32()), pa.array([], pa.string()))
-    counts = pa.ListArray.from_arrays(pa.array([0] * (len(totals) + 1), pa.int32()), pa.array([], pa.int64()))
-    columns = [pa.array(list(totals), pa.string()), none, pa.array([""] * len(totals), pa.string()), none, pa.array(list(totals.values()), pa.int64())]
-    return pa.RecordBatch.from_arrays([*columns, blank, counts], ["lang", "size", "prefix", "segment", "total", "words", "counts"])
+    n = len(totals)
+    none = pa.nulls(n, pa.string())
+    return _batch(pa.array(list(totals), pa.string()), pa.array([""] * n, pa.string()), np.zeros(n), np.array(list(totals.values()), np.int64), none, none)
 
 
 def _make_stripes(longest: int, segments: int, held):
@@ -364,7 +362,8 @@ def _make_stripes(longest: int, segments: int, held):
                 if entries.full:
                     yield from entries.stripes(often, segments)
                     entries = Entries(longest)
-        yield from entries.stripes(often, segments)
+        if entries.rows:
+            yield from entries.stripes(often, segments)
         yield _all_words(totals)
 
     return run
@@ -395,7 +394,6 @@ def _merge_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _merged(rows: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     n = rows.num_rows
-    words, counts = rows.column("words").combine_chunks(), rows.column("counts").combine_chunks()
     changed = np.zeros(n, bool)
     changed[:1] = True
     for name in [*KEY, "part"]:
@@ -403,19 +401,18 @@ def _merged(rows: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         if n > 1:
             changed[1:] |= pa.compute.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
     first = np.flatnonzero(changed)
-    group = np.cumsum(changed) - 1
-    lengths = pa.compute.list_value_length(words).to_numpy(zero_copy_only=False)
-    entries = pa.table({"group": np.repeat(group, lengths), "word": words.flatten(), "n": counts.flatten()})
+    lists = {c: pa.compute.split_pattern(rows.column(c).combine_chunks(), "\n") for c in ("words", "counts")}
+    lengths = pa.compute.fill_null(pa.compute.list_value_length(lists["words"]), 0).to_numpy(zero_copy_only=False)
+    group = np.repeat(np.cumsum(changed) - 1, lengths)
+    entries = pa.table({"group": group, "word": lists["words"].flatten(), "n": lists["counts"].flatten().cast(pa.int64())})
     entries = entries.group_by(["group", "word"]).aggregate([("n", "sum")])
     order = np.argsort(entries.column("group").to_numpy(), kind="stable")
-    of = entries.column("group").to_numpy()[order]
-    offsets = pa.array(np.searchsorted(of, np.arange(len(first) + 1)).astype(np.int32))
-    taken = pa.array(order)
+    offsets = np.searchsorted(entries.column("group").to_numpy()[order], np.arange(len(first) + 1))
     out = rows.take(pa.array(first))
     columns = {
         "total": pa.array(np.add.reduceat(rows.column("total").to_numpy(), first)),
-        "words": pa.ListArray.from_arrays(offsets, entries.column("word").combine_chunks().take(taken)),
-        "counts": pa.ListArray.from_arrays(offsets, entries.column("n_sum").combine_chunks().take(taken)),
+        "words": _lines(offsets, entries.column("word").combine_chunks().take(pa.array(order))),
+        "counts": _lines(offsets, entries.column("n_sum").combine_chunks().take(pa.array(order))),
     }
     arrays = [columns.get(f.name, out.column(f.name)) for f in schema]
     arrays = [(a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a).cast(f.type) for a, f in zip(arrays, schema, strict=True)]
@@ -425,24 +422,21 @@ def _merged(rows: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 def stripes(scratch: Scratch, texts: DataFrame, longest: int, least: int, bits: int, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
     """A written table of merged stripes of texts (lang, text): one row for each prefix and segment of following words."""
     maybe: list[np.ndarray] = []
-    often: list[np.ndarray] = []
     for size in range(1, longest + 1):
         likely, frequent = likely_classes(texts, size, bits, least, hot, maybe)
         maybe.append(likely)
-        often.append(frequent)
+        often = frequent if size == 1 else often
     held = texts.sparkSession.sparkContext.broadcast((maybe, often))
-    plain = STRIPE.replace("part int, ", "")
-    rows = texts.mapInArrow(_make_stripes(longest, segments, held), plain)
-    names = [f.split(" ")[0] for f in STRIPE.split(", ")]
-    rows = scratch.write(rows.withColumn("part", F.spark_partition_id()).select(*names), "stripes-0")
+    rows = texts.mapInArrow(_make_stripes(longest, segments, held), STRIPE.replace("part int, ", ""))
+    rows = rows.withColumn("part", F.spark_partition_id()).select(*FIELDS)
     level, most = 0, None
     while most is None or most > 0:
-        level += 1
         rows = rows.withColumn("part", F.shiftright("part", FAN_BITS))
         rows = rows.repartition(*KEY, "part").sortWithinPartitions(*KEY, "part").mapInArrow(_merge_stripes, STRIPE)
         rows = scratch.write(rows, f"stripes-{level}")
         scratch.drop(f"stripes-{level - 1}")
         most = rows.agg(F.max("part")).first()[0] or 0
+        level += 1
     held.destroy()
     return rows
 
@@ -511,21 +505,23 @@ def collocations(
 
 
 def _best(scratch: Scratch, merged: DataFrame, longest: int, least: int, kept: int, subsumed_percent: int, group_rows: int) -> DataFrame:
-    word_counts = merged.where("size = 1").groupBy("lang", "prefix").agg(F.sum("total").alias("f"))
     empty = F.array().cast("array<bigint>")
-    known = word_counts.where(F.col("f") >= least).select("lang", F.col("prefix").alias("phrase"), "f", empty.alias("lefts"), empty.alias("rights"))
-    known = scratch.write(known, "words")
-    entries = merged.select("lang", "size", "prefix", F.explode(F.arrays_zip("words", "counts")).alias("e"))
-    grams = entries.where(F.col("e.counts") >= least).select(
-        "lang", (F.col("size") + 1).alias("size"), "prefix", F.concat_ws(" ", "prefix", "e.words").alias("phrase"), F.col("e.counts").alias("f")
-    )
-    # The words but the first; written first, as only a join of two plain tables is split where a key is hot.
-    grams = scratch.write(grams.withColumn("tail", F.expr("substring(phrase, instr(phrase, ' ') + 1)")), "grams")
-    # What can subsume a phrase is the largest entry of its stripe, or a phrase that ends with it.
-    entry = F.when(F.array_max("counts") >= least, F.array_max("counts"))
-    right = merged.select("lang", F.col("prefix").alias("phrase"), entry.alias("m")).where("m IS NOT NULL")
-    longer = right.unionAll(grams.select("lang", F.col("tail").alias("phrase"), F.col("f").alias("m")))
-    longer = scratch.write(longer.groupBy("lang", "phrase").agg(F.max("m").alias("longer")), "longer")
+    words = merged.where("prefix <> ''").groupBy("lang", "prefix").agg(F.sum("total").alias("f")).where(F.col("f") >= least)
+    known = scratch.write(words.select("lang", F.col("prefix").alias("phrase"), "f", empty.alias("lefts"), empty.alias("rights")), "words")
+    listed = F.arrays_zip(F.split("words", "\n").alias("path"), F.split("counts", "\n").cast("array<bigint>").alias("f"))
+    entries = merged.where("words IS NOT NULL").select("lang", "prefix", F.explode(listed).alias("e")).where(F.col("e.f") >= least)
+    entries = entries.select("lang", F.concat_ws(" ", "prefix", "e.path").alias("phrase"), "e.f")
+    # Each with its words but the last and but the first; written first, as only a join of two plain tables is split where a key is hot.
+    size = F.size(F.split("phrase", " "))
+    grams = entries.select(
+        "lang", size.alias("size"), "phrase", "f",
+        F.expr("substring_index(phrase, ' ', size(split(phrase, ' ')) - 1)").alias("prefix"),
+        F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("tail"),
+    )
+    grams = scratch.write(grams, "grams")
+    # What can subsume a phrase is one that goes on with one more word, or begins with one more.
+    ends = [grams.where("size > 2").select("lang", F.col(c).alias("phrase"), "f") for c in ("prefix", "tail")]
+    longer = scratch.write(ends[0].unionAll(ends[1]).groupBy("lang", "phrase").agg(F.max("f").alias("longer")), "longer")
 
     candidates = None
     for size in range(2, longest + 1):
@@ -546,5 +542,5 @@ def _best(scratch: Scratch, merged: DataFrame, longest: int, least: int, kept: i
     found = found.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     top = top_per_group(scratch, found, "lang", order, kept, "candidates", group_rows)
-    n = merged.where("size = 0").groupBy("lang").agg(F.sum("total").alias("n"))
+    n = merged.where("prefix = ''").groupBy("lang").agg(F.sum("total").alias("n"))
     return top.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
