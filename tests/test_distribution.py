@@ -158,3 +158,30 @@ def test_prediction_drift(spark):
     assert same.p_value == pytest.approx(1.0)
     none = drift.prediction_drift(None, column(spark, a), "x", "eta").collect()[0]
     assert (none.drift_detected, none.message) == (False, "No reference data")
+
+
+@pytest.mark.parametrize(("n", "m"), [(1, 1), (3, 5), (4, 4), (7, 2), (6, 9)])
+def test_exact_p_value_counts_all_orders(spark, n, m):
+    """Against all ways in which two samples can lie among each other."""
+    from itertools import combinations
+    from math import comb
+
+    found = {}
+    for places in combinations(range(n + m), n):
+        i = j = 0
+        worst = 0
+        for k in range(n + m):
+            i, j = (i + 1, j) if k in places else (i, j + 1)
+            worst = max(worst, abs(i * m - j * n))
+        found[worst] = found.get(worst, 0) + 1
+    rows = [(h / (n * m), n, m, sum(c for w, c in found.items() if w >= h) / comb(n + m, n)) for h in [0, *found]]
+    df = spark.createDataFrame(rows, "ks double, n long, m long, want double")
+    for r in df.select("want", D.ks_exact_p_value(F.col("ks"), F.col("n"), F.col("m")).alias("p")).collect():
+        assert r.p == pytest.approx(r.want, abs=1e-12)
+
+
+def test_exact_p_value_gives_way_to_the_series(spark):
+    df = spark.createDataFrame([(0.2, 40, 50), (0.05, 900, 800)], "ks double, n long, m long")
+    args = [F.col(c) for c in ("ks", "n", "m")]
+    small, large = df.select(D.ks_exact_p_value(*args, 10_000).alias("p"), D.ks_p_value(*args).alias("q")).collect()
+    assert large.p == large.q and small.p != small.q and small.p == pytest.approx(small.q, abs=0.1)

@@ -202,3 +202,40 @@ def test_approval_events_and_all_metrics(spark):
     with pytest.raises(ValueError):
         G.approval_event("shipped", F.lit("i"), F.lit(T0), F.lit("u"))
     assert G.compare_runs(runs(spark)).columns == ["run_id", "run_name", "start_time", "accuracy", "loss"]
+
+
+def test_latency_percentiles(spark):
+    log = spark.createDataFrame([("a", float(x)) for x in range(101)] + [("b", 7.0), ("b", None), ("c", None)], "model_name string, latency_ms double")
+    got = {r.model_name: (r.p50, r.p95, r.p99) for r in M.latency_percentiles(log).collect()}
+    assert got == {"a": (50.0, 95.0, 99.0), "b": (7.0, 7.0, 7.0)}
+    rows = M.latency_histogram(log, [50], percents=[25]).collect()
+    assert {(r.model_name, r.le, r.n, r.p25) for r in rows} == {
+        ("a", 50.0, 51, 25.0), ("a", None, 101, 25.0), ("b", 50.0, 1, 7.0), ("b", None, 1, 7.0), ("c", 50.0, 0, None), ("c", None, 0, None)
+    }
+
+
+def test_rollout_decisions(spark):
+    """Steps of an hour; each model's requests by key, all of which are in the canary's arm at the last step."""
+    start = datetime(2024, 1, 1)
+
+    def decide(rows, hours, **limits):
+        log = spark.createDataFrame(
+            [("m", i, start + timedelta(minutes=t), status, latency) for i, (t, status, latency) in enumerate(rows)],
+            "model_name string, key long, ts timestamp, status string, latency_ms double",
+        )
+        now = F.lit(start + timedelta(hours=hours))
+        found = M.rollout_decision(log, "key", F.lit(start), timedelta(hours=1), now, steps=(100, 100, 100), min_requests=2, **limits).first()
+        return (found.decision, found.step, found.traffic, found.reason)
+
+    well = [(t, "success", 10.0) for t in range(0, 180, 10)]
+    assert decide(well, 0.5) == ("advance", 100, 100, "waiting")
+    assert decide(well, 1) == ("advance", 100, 100, "healthy")
+    assert decide(well, 3) == ("promote", 100, 100, "healthy")
+    assert decide(well[:7], 3) == ("hold", 100, 100, "too few requests")
+    assert decide(well[:1], 3) == ("hold", 100, 0, "too few requests")
+    failing = [(t, "error" if t >= 60 else s, x) for t, s, x in well]
+    assert decide(failing, 1) == ("advance", 100, 100, "healthy") and decide(failing, 3) == ("roll_back", 100, 0, "errors")
+    assert decide(well, 3, max_latency_ms=5.0) == ("roll_back", 100, 0, "latency")
+    # What is served before the start and after the last step says nothing, and later steps do not mend an earlier one.
+    assert decide([(-5, "error", 1.0), (500, "error", 1.0), *well], 9) == ("promote", 100, 100, "healthy")
+    assert decide([(t, "error" if t < 60 else s, x) for t, s, x in well], 3) == ("roll_back", 100, 0, "errors")

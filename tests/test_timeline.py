@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.features.batch import preferred_type_as_of
 from tidemark.operators.asof import asof_join, latest, lookup
 from tidemark.operators.timeline import SLOT, find_hot_keys, next_in_time, row_numbers, with_slots
 from tidemark.operators.trailing import Trailing, trailing
@@ -179,3 +180,17 @@ def test_hot_keys_are_few_and_optional(spark):
     assert not find_hot_keys(df, ["k"], F.col("at"))
     assert not find_hot_keys(df, ["k"], F.col("at"), share=0.2, floor=10)
     assert find_hot_keys(df, ["k"], F.col("at"), share=0.05, floor=10).rows == 10
+
+
+def test_preferred_type_as_of_each_trip(spark, heat):
+    """Against counting all earlier trips; ties by name, trips without a type count for none."""
+    rng = random.Random(9)
+    data = [(k, t, rng.choice(["suv", "sedan", "van", None]), i) for k, t, _, _, i in make_events(6)]
+    df = spark.createDataFrame(data, "k string, ts timestamp, kind string, id long")
+    for include_current in (False, True):
+        got = preferred_type_as_of(df, "k", "kind", "ts", ["id"], include_current, hot_for(df, heat)).collect()
+        assert len(got) == len(data)
+        for row in got:
+            seen = [r[2] for r in data if r[0] == row.k and r[2] and ((r[1], r[3]) < (row.ts, row.id) or include_current and r[3] == row.id)]
+            best = min(((-seen.count(x), x) for x in set(seen)), default=(0, None))
+            assert (row.preferred_type, row.preferred_trips) == (best[1], -best[0])

@@ -16,7 +16,7 @@ from ..functions.calendar import calendar_columns, day_of_week
 from ..functions.geo import haversine_km
 from ..functions.pricing import surge_quote
 from ..operators.asof import asof_join
-from ..operators.timeline import HotKeys, next_in_time
+from ..operators.timeline import HotKeys, find_hot_keys, next_in_time, row_numbers, running_totals, with_slots
 from ..operators.trailing import Trailing, trailing
 
 WEEK = timedelta(days=7)
@@ -126,6 +126,36 @@ def preferred_type(
     )
 
 
+def preferred_type_as_of(
+    trips: DataFrame,
+    key: str,
+    kind: str,
+    ts: str,
+    tie: Sequence[str],
+    include_current: bool = False,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """Add to each trip the most frequent type among its key's earlier trips, ties by name, and its number of trips.
+
+    A type's counts go up one by one, so the running number of a trip within its
+    key and type says when the type has reached a count. The type that is ahead at
+    any time is the least by (count downwards, name) of all trips so far: a
+    running minimum, which hot keys carry from slot to slot. Trips without a type
+    count for none. ``tie`` tells trips of one time apart.
+    """
+    axis = F.unix_micros(F.col(ts).cast("timestamp"))
+    if hot is None:
+        hot = find_hot_keys(trips, [key], axis)
+    numbered = row_numbers(trips, [key, kind], ts, tie, "__number")
+    slotted = with_slots(numbered, [key], axis, hot)
+    order = [F.col(ts).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in tie]]
+    reached = F.when(F.col(kind).isNotNull(), F.struct((-F.col("__number")).alias("n"), F.col(kind).alias("kind")))
+    found = running_totals(slotted, [key], order, {"__ahead": reached}, bool(hot), combine=F.min, before=not include_current)
+    return found.select(
+        *trips.columns, F.col("__ahead.kind").alias("preferred_type"), F.coalesce(-F.col("__ahead.n"), F.lit(0)).alias("preferred_trips")
+    )
+
+
 def trip_features(
     trips: DataFrame,
     riders: DataFrame,

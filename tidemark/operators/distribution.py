@@ -25,6 +25,7 @@ from .timeline import running_totals
 CUTS = 512
 ONE_TASK = 1_000_000
 FLOOR = 0.001
+EXACT_PRODUCT = 1_000_000
 CATEGORICAL_BELOW = 10
 EPSILON = 1e-10
 
@@ -184,6 +185,34 @@ def ks_p_value(statistic: Column, ref_rows: Column, cur_rows: Column, terms: int
     return F.when(x < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series)))
 
 
+def ks_exact_p_value(statistic: Column, ref_rows: Column, cur_rows: Column, most_product: int = EXACT_PRODUCT) -> Column:
+    """p-value of a two-sample statistic: exact for small samples, the series beyond ``most_product`` pairs of rows.
+
+    Two samples of n and m rows without drift are a random path of n steps to the right and m up. The statistic stays
+    below d if the path stays where ``|i / n - j / m| < d``. The chance of that is summed up step by step: the chance of
+    being at each place, which needs no large numbers. One expression per row, of n * (n + m) terms.
+    """
+    n, m = ref_rows.cast("bigint"), cur_rows.cast("bigint")
+    # Differences are whole multiples of 1 / (n m).
+    limit = F.round(statistic * n * m).cast("bigint")
+    places = F.sequence(F.lit(0).cast("bigint"), n)
+
+    def step(chances: Column, s: Column) -> Column:
+        left = (n + m - s + 1).cast("double")
+
+        def at(i: Column) -> Column:
+            j = s - i
+            came = F.coalesce(F.get(chances, (i - 1).cast("int")), F.lit(0.0)) * (n - i + 1) + F.get(chances, i.cast("int")) * (m - j + 1)
+            return F.when((j >= 0) & (j <= m) & (F.abs(i * m - j * n) < limit), came / left).otherwise(F.lit(0.0))
+
+        return F.transform(places, at)
+
+    start = F.transform(places, lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    inside = F.get(F.reduce(F.sequence(F.lit(1).cast("bigint"), n + m), start, step), n.cast("int"))
+    exact = F.when(limit <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - inside))
+    return F.when(n * m <= most_product, exact).otherwise(ks_p_value(statistic, ref_rows, cur_rows))
+
+
 def _shares(counts: DataFrame) -> DataFrame:
     return (
         counts.join(F.broadcast(side_totals(counts)), "feature")

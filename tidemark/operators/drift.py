@@ -15,6 +15,7 @@ from .distribution import (
     is_comparable,
     is_large,
     is_whole,
+    ks_exact_p_value,
     ks_p_value,
     ks_statistic,
     present,
@@ -134,17 +135,21 @@ def prediction_drift(
     column: str,
     model_name: str,
     threshold: float = PREDICTION_THRESHOLD,
+    exact_up_to: int = 0,
 ) -> DataFrame:
     """One row: statistic, p-value, means and population deviations of both sides, and a message if it has none.
 
-    NaN counts as missing. Where a side is absent or has no values there is no
+    The p-value is the asymptotic one; up to ``exact_up_to`` pairs of rows of the two sides it is exact. NaN counts as missing. Where a side is absent or has no values there is no
     statistic and no drift, and the message says which.
     """
+    p_value = ks_exact_p_value(F.col("ks"), F.col("ref_rows"), F.col("cur_rows"), exact_up_to) if exact_up_to else ks_p_value(
+        F.col("ks"), F.col("ref_rows"), F.col("cur_rows")
+    )
     measured = [
         F.lit(model_name).alias("model_name"),
         F.coalesce(F.col("ks") > threshold, F.lit(False)).alias("drift_detected"),
         F.col("ks").alias("drift_score"),
-        F.when(F.col("ks").isNotNull(), ks_p_value(F.col("ks"), F.col("ref_rows"), F.col("cur_rows"))).alias("p_value"),
+        F.when(F.col("ks").isNotNull(), p_value).alias("p_value"),
         "reference_mean",
         "current_mean",
         "reference_std",

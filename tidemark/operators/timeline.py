@@ -15,7 +15,7 @@ no more than ``SMALL_KEYS`` rows; beyond that it is joined like any other table.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,33 +125,39 @@ def running_totals(
     totals: Mapping[str, Column],
     hot: bool,
     slot: str = SLOT,
+    combine: Callable[[str], Column] = F.sum,
+    before: bool = False,
 ) -> DataFrame:
     """Add running sums along each key's order; rows of equal order share a sum.
 
     ``rows`` carry their slot. Null terms count as nothing and an empty sum is
-    null. Slots must increase along the order.
+    null. Slots must increase along the order. ``combine`` may be another
+    aggregate that combines its own results, such as ``F.min``. With ``before``
+    a row's own term and those after it are left out; then the order must be total.
     """
     terms = {f"__term_{name}": term for name, term in totals.items()}
     rows = rows.withColumns(terms)
     if not hot:
         along = Window.partitionBy(*keys).orderBy(*order)
-        return rows.withColumns({name: F.sum(f"__term_{name}").over(along) for name in totals}).drop(*terms)
+        along = along.rowsBetween(Window.unboundedPreceding, -1) if before else along
+        return rows.withColumns({name: combine(f"__term_{name}").over(along) for name in totals}).drop(*terms)
 
     per_slot = (
-        rows.where(F.col(slot).isNotNull()).groupBy(*keys, slot).agg(*[F.sum(name).alias(name) for name in terms])
+        rows.where(F.col(slot).isNotNull()).groupBy(*keys, slot).agg(*[combine(name).alias(name) for name in terms])
     )
     # One row per slot of a hot key: small whatever the size of the key.
-    before = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_slot.select(
         *keys,
         slot,
-        *[F.sum(name).over(before).cast(rows.schema[name].dataType).alias(name) for name in terms],
+        *[combine(name).over(earlier).cast(rows.schema[name].dataType).alias(name) for name in terms],
         F.lit(CARRY_ORDER).alias("__carry"),
     )
     rows = rows.withColumn("__carry", F.lit(0)).unionByName(carry, allowMissingColumns=True)
     along = Window.partitionBy(*keys, slot).orderBy("__carry", *order)
+    along = along.rowsBetween(Window.unboundedPreceding, -1) if before else along
     return (
-        rows.withColumns({name: F.sum(f"__term_{name}").over(along) for name in totals})
+        rows.withColumns({name: combine(f"__term_{name}").over(along) for name in totals})
         .where(F.col("__carry") == 0)
         .drop("__carry", *terms)
     )

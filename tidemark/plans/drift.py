@@ -312,6 +312,39 @@ NO_REFERENCE_SQL = """
           UNION ALL SELECT 'no current', 'No current data', m, NULL, s, NULL FROM m)
     SELECT *, false AS drift_detected, NULL::DOUBLE AS drift_score, NULL::DOUBLE AS p_value FROM r"""
 
+def prediction_drift_small(spark: SparkSession, folder: str) -> DataFrame:
+    """Mornings against afternoons of each day: samples small enough for the exact p-value."""
+    rows = events(spark, folder).select(
+        F.date_format("ts", "yyyy-MM-dd").alias("feature"),
+        F.when(F.hour("ts") < 12, F.col("value")).otherwise(F.col("value") * 1.2).alias("value"),
+        (F.hour("ts") < 12).alias("early"),
+    )
+    counts = rows.groupBy("feature", "value").agg(F.count_if("early").alias("n_ref"), F.count_if(~F.col("early")).alias("n_cur"))
+    found = D.ks_statistic(counts)
+    exact = D.ks_exact_p_value(F.col("ks"), F.col("ref_rows"), F.col("cur_rows"))
+    return found.select(F.col("feature").alias("day"), "ref_rows", "cur_rows", F.round("ks", 8).alias("ks"), F.round(exact, 8).alias("p_value"))
+
+
+PREDICTION_SMALL_SQL = """
+    WITH RECURSIVE e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, hour(ts) < 12 AS early,
+                                CASE WHEN hour(ts) < 12 THEN value ELSE value * 1.2::DOUBLE END AS value FROM events),
+    size AS (SELECT day, count(*) FILTER (early) AS n, count(*) FILTER (NOT early) AS m FROM e GROUP BY day),
+    cdf AS (SELECT day, sum(early::INT) OVER w AS r, sum((NOT early)::INT) OVER w AS c FROM e WINDOW w AS (PARTITION BY day ORDER BY value)),
+    d AS (SELECT day, n, m, max(abs(r * m - c * n))::BIGINT AS h FROM cdf JOIN size USING (day) WHERE n > 0 AND m > 0 GROUP BY ALL),
+    walk AS (
+        SELECT day, n, m, h, 0::BIGINT AS s, 0::BIGINT AS i, 1::DOUBLE AS p FROM d WHERE n * m <= 1000000
+        UNION ALL
+        SELECT day, n, m, h, s + 1, i + step, sum(p * CASE step WHEN 1 THEN n - i ELSE m - (s - i) END / (n + m - s)::DOUBLE)
+        FROM walk, (SELECT unnest([0, 1]) AS step)
+        WHERE s < n + m AND i + step <= n AND s + 1 - i - step <= m AND abs((i + step) * m - (s + 1 - i - step) * n) < h
+        GROUP BY day, n, m, h, s, i + step),
+    inside AS (SELECT day, p FROM walk WHERE s = n + m),
+    x AS (SELECT *, h / (n * m)::DOUBLE AS ks FROM d),
+    series AS (SELECT day, 2 * sum((-1) ** (k - 1) * exp(-2 * k * k * ks * ks * (n * m / (n + m)::DOUBLE))) AS q FROM x, generate_series(1, 100) g(k) GROUP BY day)
+    SELECT day, n AS ref_rows, m AS cur_rows, round(ks, 8) AS ks,
+           round(CASE WHEN n * m > 1000000 THEN greatest(0, least(1, q)) ELSE greatest(0, 1 - coalesce(p, 0)) END, 8) AS p_value
+    FROM x LEFT JOIN inside USING (day) JOIN series USING (day)"""
+
 SKETCHED = ["value", "user_id", "k"]
 CHANGE = "2024-01-21"
 
@@ -401,6 +434,7 @@ PROFILE_FROM_SKETCHES_SQL = f"""
 
 
 QUERIES = {
+    "prediction_drift_small": prediction_drift_small,
     "drift_from_sketches": drift_from_sketches,
     "profile_from_sketches": profile_from_sketches,
     "drift_all_columns": drift_all_columns,
@@ -418,6 +452,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "prediction_drift_small": PREDICTION_SMALL_SQL,
     "drift_from_sketches": DRIFT_FROM_SKETCHES_SQL,
     "profile_from_sketches": PROFILE_FROM_SKETCHES_SQL,
     "drift_all_columns": ALL_COLUMNS_SQL,

@@ -13,6 +13,7 @@ from ..features.batch import (
     driver_features,
     hours_online,
     preferred_type,
+    preferred_type_as_of,
     rider_features,
     trip_features,
     trip_features_at_start,
@@ -137,6 +138,20 @@ def rider_preferred_type(spark: SparkSession, folder: str) -> DataFrame:
     return preferred_type(rides(spark, folder), "rider_id", "event_type", "event_timestamp", cutoff)
 
 
+def preferred_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The preferred type as of each event; an event of some kinds has no type."""
+    trips = events(spark, folder).select("event_id", "user_id", "ts", F.when(F.col("event_type") != "error", F.col("event_type")).alias("kind"))
+    return preferred_type_as_of(trips, "user_id", "kind", "ts", ["event_id"]).select("event_id", "preferred_type", "preferred_trips")
+
+
+PREFERRED_AS_OF_SQL = """
+    WITH counts AS (
+        SELECT a.event_id, b.event_type, count(*) AS n FROM events a JOIN events b
+            ON a.user_id = b.user_id AND (b.ts < a.ts OR (b.ts = a.ts AND b.event_id < a.event_id)) AND b.event_type <> 'error'
+        GROUP BY ALL),
+    best AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY n DESC, event_type) = 1)
+    SELECT e.event_id, b.event_type AS preferred_type, coalesce(n, 0) AS preferred_trips FROM events e LEFT JOIN best b USING (event_id)"""
+
 RIDER_PREFERRED_SQL = """
     SELECT rider_id, preferred_type, trips
     FROM (SELECT user_id AS rider_id, event_type AS preferred_type, count(*) AS trips,
@@ -474,6 +489,7 @@ QUERIES = {
     "rider_rates": rider_rates,
     "rider_counts_before": rider_counts_before,
     "rider_preferred_type": rider_preferred_type,
+    "preferred_type_as_of": preferred_as_of,
     "driver_features_daily": driver_features_daily,
     "driver_hours_online": driver_hours_online,
     "trip_features": trip_features_query,
@@ -496,6 +512,7 @@ ORACLE = {
     "rider_rates": RIDER_RATES_SQL,
     "rider_counts_before": RIDER_COUNTS_BEFORE_SQL,
     "rider_preferred_type": RIDER_PREFERRED_SQL,
+    "preferred_type_as_of": PREFERRED_AS_OF_SQL,
     "driver_features_daily": DRIVER_FEATURES_SQL,
     "driver_hours_online": HOURS_ONLINE_SQL,
     "trip_features": TRIP_FEATURES_SQL,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..operators.monitoring import (
     health_windows,
     latency_histogram,
     prediction_counts,
+    rollout_decision,
 )
 from ..operators.timeline import row_numbers
 from ..schemas import ANY_EVENT
@@ -146,20 +149,22 @@ UNION_ROUTES_SQL = f"""
 
 
 def latency(spark: SparkSession, folder: str) -> DataFrame:
-    rows = latency_histogram(predictions(spark, folder), [10, 50, 100, 250])
+    rows = latency_histogram(predictions(spark, folder), [10, 50, 100, 250], percents=(50, 95, 99))
     return rows.select(
         "model_name",
         F.coalesce(F.col("le").cast("int").cast("string"), F.lit("+Inf")).alias("le"),
         "n",
         F.round("latency_sum", 4).alias("latency_sum"),
         "latency_count",
+        *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")],
     )
 
 
 LATENCY_SQL = f"""
     WITH log AS ({PREDICTIONS_SQL}), b AS (SELECT unnest([10, 50, 100, 250, NULL]) AS le)
     SELECT model_name, coalesce(le::VARCHAR, '+Inf') AS le, count(*) FILTER (le IS NULL OR latency_ms <= le) AS n,
-           round(sum(latency_ms), 4) AS latency_sum, count(*) AS latency_count
+           round(sum(latency_ms), 4) AS latency_sum, count(*) AS latency_count,
+           round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99
     FROM log, b GROUP BY model_name, le"""
 
 
@@ -212,6 +217,36 @@ CANARY_SQL = f"""
     FROM log, steps GROUP BY ALL"""
 
 
+def canary_decision(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten models, each rolled out in steps of five days; what has become of each after eighteen."""
+    log = predictions(spark, folder).withColumn("model_name", F.concat(F.lit("m"), F.col("request_key") % 10))
+    found = rollout_decision(
+        log, "request_key", F.lit("2024-01-02").cast("timestamp"), timedelta(days=5), F.lit("2024-01-20").cast("timestamp"),
+        min_requests=5, max_error_rate=0.25, max_latency_ms=60.0,
+    )
+    return found.select("model_name", "decision", "step", "traffic", "reason")
+
+
+CANARY_DECISION_SQL = f"""
+    WITH log AS (SELECT 'm' || (request_key % 10) AS model_name, request_key, latency_ms, status,
+                        floor(epoch(ts - TIMESTAMP '2024-01-02') / 432000)::INT AS step
+                 FROM ({PREDICTIONS_SQL}) WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-20'),
+    steps AS (SELECT * FROM (VALUES (0, 10, 0), (1, 25, 10), (2, 50, 25), (3, 100, 50)) v(step, percent, before)),
+    grid AS (SELECT * FROM (SELECT DISTINCT model_name FROM log), steps),
+    measured AS (SELECT model_name, step, count(*) AS requests, count(*) FILTER (status = 'error') AS errors, avg(latency_ms) AS latency
+                 FROM log JOIN steps USING (step) WHERE {sql_bucket("request_key")} < percent GROUP BY ALL),
+    judged AS (
+        SELECT g.model_name, g.step, g.percent, g.before,
+               CASE WHEN g.step = 3 THEN 'waiting' WHEN coalesce(requests, 0) < 5 THEN 'too few requests' WHEN errors / requests::DOUBLE > 0.25 THEN 'errors'
+                    WHEN latency > 60 THEN 'latency' ELSE 'healthy' END AS reason
+        FROM grid g LEFT JOIN measured m USING (model_name, step)),
+    first_bad AS (SELECT * FROM judged WHERE reason <> 'healthy' QUALIFY row_number() OVER (PARTITION BY model_name ORDER BY step) = 1)
+    SELECT model_name, CASE reason WHEN 'waiting' THEN 'advance' WHEN 'too few requests' THEN 'hold' ELSE 'roll_back' END AS decision, percent AS step,
+           CASE reason WHEN 'waiting' THEN percent WHEN 'too few requests' THEN before ELSE 0 END AS traffic,
+           CASE WHEN reason = 'waiting' AND step > 0 THEN 'healthy' ELSE reason END AS reason
+    FROM first_bad"""
+
+
 def prediction_log_append(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions of two models appended to the log, each batch twice; what has not expired is read."""
     root = shared_dir(spark, "predictions")
@@ -289,6 +324,7 @@ QUERIES = {
     "health_windows": windows,
     "canary_assign": canary_assign,
     "canary_health": canary_steps,
+    "canary_decision": canary_decision,
     "prediction_log_append": prediction_log_append,
     "eval_metrics": eval_metrics,
     "model_gate": model_gate,
@@ -309,6 +345,7 @@ ORACLE = {
     "canary_assign": f"""
         SELECT event_id, CASE WHEN {sql_bucket("user_id")} < 25 THEN 'canary' ELSE 'stable' END AS arm FROM events""",
     "canary_health": CANARY_SQL,
+    "canary_decision": CANARY_DECISION_SQL,
     "prediction_log_append": PREDICTION_LOG_SQL,
     "eval_metrics": f"""
         SELECT l_returnflag, "rows", {ROUNDED_SQL} FROM ({_metrics_sql("l_returnflag")})""",

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..features.store import ETA_PREDICTION, historical_features, slice_to_load
 from ..functions import haversine_km
-from ..ml.search import best_trial, choice, log_uniform, random_search
+from ..ml.grouped import fit_linear, linear_models, predict_linear, score_groups, train_groups
+from ..ml.rounds import Boosted, round_errors, with_stop
+from ..ml.search import Options, Range, best_trial, choice, log_uniform, random_search, successive_halving
 from ..ml.training import ETA_FEATURES, BoostedTrees, TrainedTrees, predict_with, prepare, split, validate_model
 from ..operators.asof import lookup
 from . import store
@@ -145,6 +147,27 @@ def random_search_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def group_regression(spark: SparkSession, folder: str) -> DataFrame:
+    """Price by quantity for each flag and status: least squares, the larger groups from sums, and their errors."""
+    keys, inputs = ["l_returnflag", "l_linestatus"], ["l_quantity"]
+    rows = table(spark, folder, "lineitem").select(*keys, "l_orderkey", "l_linenumber", *inputs, "l_extendedprice")
+    fit = fit_linear(inputs, "l_extendedprice")
+    models = train_groups(rows, keys, [*inputs, "l_extendedprice"], fit, linear_models(keys, inputs, "l_extendedprice"), most_rows=15_000)
+    found = score_groups(rows, models, keys, inputs, predict_linear)
+    errors = found.groupBy(*keys).agg(F.avg(F.abs(F.col("l_extendedprice") - F.col("prediction"))).alias("mae"), F.count("prediction").alias("scored"))
+    coefficient = F.from_json(F.col("model").cast("string"), "array<double>")
+    shown = models.select(*keys, "rows", F.round(coefficient[0], 4).alias("intercept"), F.round(coefficient[1], 6).alias("slope"))
+    return shown.join(errors, keys).select(*keys, "rows", "intercept", "slope", F.round("mae", 4).alias("mae"), "scored")
+
+
+GROUP_REGRESSION_SQL = """
+    WITH m AS (SELECT l_returnflag, l_linestatus, count(*) AS "rows", regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b
+               FROM lineitem GROUP BY ALL)
+    SELECT l_returnflag, l_linestatus, any_value("rows") AS "rows", round(any_value(a), 4) AS intercept, round(any_value(b), 6) AS slope,
+           round(avg(abs(l_extendedprice - (a + b * l_quantity))), 4) AS mae, count(*) AS scored
+    FROM lineitem JOIN m USING (l_returnflag, l_linestatus) GROUP BY ALL"""
+
+
 def batch_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Every order as a request: latest rider features, trip distance, and a user's own model."""
     view = store._event_view(spark, folder)
@@ -218,7 +241,36 @@ def random_search_trials(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def gbt_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The price model's error on the validation rows after each of 100 rounds, and where patience ends it."""
+    train, _ = split(_lines(spark, folder), F.col("l_orderkey"))
+    fit_rows, validation = split(train, F.col("l_orderkey"), seed=7)
+    trained = BoostedTrees(INPUTS, PRICE, max_depth=5, rounds=100).fit(fit_rows)
+    return with_stop(round_errors(trained, validation))
+
+
+def search_halving(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight trials for ten rounds, the better half of them for twenty, and so on to eighty: losses, and which are kept."""
+    train, _ = split(_lines(spark, folder), F.col("l_orderkey"))
+    fit_rows, validation = split(train, F.col("l_orderkey"), seed=7)
+    fit_rows, validation = fit_rows.persist(), validation.persist()
+
+    def go_on(params: dict[str, object], before: object | None, more: int) -> tuple[Boosted, float]:
+        fresh = Boosted(BoostedTrees(INPUTS, PRICE, max_depth=params["max_depth"], step_size=params["step_size"]))
+        found = (before or fresh).go_on(fit_rows, more)
+        return found, found.error(validation)
+
+    try:
+        trials = successive_halving(spark, go_on, {"step_size": Range(0.01, 0.3), "max_depth": Options((3, 4, 5, 6))}, samples=8)
+    finally:
+        fit_rows.unpersist()
+        validation.unpersist()
+    return trials.withColumn("params", F.to_json("params"))
+
+
 MODEL_QUERIES = {
+    "gbt_rounds": gbt_rounds,
+    "search_halving": search_halving,
     "gbt_predictions": gbt_predictions,
     "gbt_metrics": gbt_metrics,
     "gbt_importances": gbt_importances,
@@ -232,6 +284,7 @@ QUERIES = {
     "gbt_evaluate": gbt_evaluate,
     "feature_importance": feature_importance,
     "random_search": random_search_query,
+    "group_regression": group_regression,
     "batch_scoring": batch_scoring,
 }
 
@@ -244,5 +297,6 @@ ORACLE = {
     "train_split": f"""
         SELECT o_orderkey, CASE WHEN {sql_bucket("o_orderkey", 100, "42")} < 20 THEN 'test' ELSE 'train' END AS side
         FROM orders""",
+    "group_regression": GROUP_REGRESSION_SQL,
     "batch_scoring": BATCH_SCORING_SQL,
 }
