@@ -35,8 +35,8 @@ from ..operators.distribution import value_counts
 from ..operators.quality import between, not_null
 from ..operators.trailing import Trailing, trailing
 from ..session import shared_dir
-from ..sources.readers import daily_extract, read_day
-from ..sources.writers import append_days, write_days
+from ..sources.readers import daily_extract, driver_extract, read_day
+from ..sources.writers import append_days, write_csv, write_days
 from .tables import (
     SQL_TIME,
     drives,
@@ -403,6 +403,37 @@ def daily_extract_query(spark: SparkSession, folder: str) -> DataFrame:
     return daily_extract(table(spark, folder, "orders"), columns, "o_orderdate", DAY)
 
 
+def driver_extract_day(spark: SparkSession, folder: str) -> DataFrame:
+    """A day's driver rows with the declared columns, from line items as driver activity."""
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("driver_id"),
+        F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+        latitude("l_suppkey").alias("latitude"),
+        longitude("l_suppkey").alias("longitude"),
+        F.col("l_linestatus").alias("status"),
+        F.lit("sedan").alias("vehicle_type"),
+        F.col("l_quantity").alias("avg_rating"),
+        F.col("l_discount").alias("acceptance_rate"),
+        F.col("l_orderkey").alias("not_extracted"),
+    )
+    found = driver_extract(rows, DAY)
+    return found.withColumns({"timestamp": text_time("timestamp"), "latitude": F.round("latitude", 8), "longitude": F.round("longitude", 8)})
+
+
+DRIVER_EXTRACT_SQL = f"""
+    SELECT l_suppkey AS driver_id, strftime(l_shipdate::TIMESTAMP, {SQL_TIME}) AS timestamp, round({sql_latitude("l_suppkey")}, 8) AS latitude,
+           round({sql_longitude("l_suppkey")}, 8) AS longitude, l_linestatus AS status, 'sedan' AS vehicle_type, l_quantity AS avg_rating,
+           l_discount AS acceptance_rate
+    FROM lineitem WHERE l_shipdate >= TIMESTAMP '{DAY}' AND l_shipdate < TIMESTAMP '{DAY}' + INTERVAL 1 DAY"""
+
+
+def type_counts_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of event types, written as text with a header and read back."""
+    path = shared_dir(spark, "csv")
+    write_csv(events(spark, folder).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), path)
+    return spark.read.option("header", True).schema("event_type string, n bigint").csv(path)
+
+
 def features_daily_overwrite(spark: SparkSession, folder: str) -> DataFrame:
     """Order features written by month, one month written again, and read back."""
     root = shared_dir(spark, "daily")
@@ -497,6 +528,8 @@ QUERIES = {
     "surge_quote": surge_quotes,
     "calendar_features": calendar_features,
     "categorical_encode": categorical_encode,
+    "driver_extract_day": driver_extract_day,
+    "type_counts_csv": type_counts_csv,
     "daily_extract": daily_extract_query,
     "features_daily_overwrite": features_daily_overwrite,
     "daily_job": daily_job,
@@ -520,6 +553,8 @@ ORACLE = {
     "surge_quote": SURGE_SQL,
     "calendar_features": CALENDAR_SQL,
     "categorical_encode": CATEGORICAL_SQL,
+    "driver_extract_day": DRIVER_EXTRACT_SQL,
+    "type_counts_csv": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "daily_extract": f"""
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders
         WHERE o_orderdate::DATE = DATE '{DAY}'""",

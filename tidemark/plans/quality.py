@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.distribution import profile
 from ..operators.quality import (
@@ -17,6 +18,7 @@ from ..operators.quality import (
     orphans,
     row_count,
     rule,
+    schema_differences,
     valid_coordinates,
 )
 from .tables import latitude, longitude, table
@@ -119,13 +121,36 @@ def profile_stats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# What the events are held against: some columns are as expected, others of another type, missing or more.
+EXPECTED = {"event_id": "bigint", "ts": "string", "user_id": "int", "event_type": "string", "value": "double", "device": "string"}
+
+
+def schema_compliance(spark: SparkSession, folder: str) -> DataFrame:
+    """Differences between the events' columns and those expected, beside the rows they concern."""
+    events = table(spark, folder, "events")
+    expected = T.StructType([T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in EXPECTED.items()])
+    rows = events.agg(F.count(F.lit(1)).alias("rows"))
+    # One row on the right.
+    return schema_differences(events, expected).join(F.broadcast(rows))
+
+
+SCHEMA_SQL = f"""
+    WITH have AS (SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+                         WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS type FROM (DESCRIBE events)),
+    want AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{t}')" for n, t in EXPECTED.items())}) v(name, type))
+    SELECT coalesce(w.name, h.name) AS "column", CASE WHEN h.name IS NULL THEN 'missing' WHEN w.name IS NULL THEN 'extra' ELSE 'type' END AS problem,
+           w.type AS expected, h.type AS actual, (SELECT count(*) FROM events) AS "rows"
+    FROM want w FULL JOIN have h USING (name) WHERE w.type IS DISTINCT FROM h.type"""
+
 QUERIES = {
+    "schema_compliance": schema_compliance,
     "dq_report": dq_report,
     "dq_referential": dq_referential,
     "profile_stats": profile_stats,
 }
 
 ORACLE = {
+    "schema_compliance": SCHEMA_SQL,
     "dq_report": DQ_REPORT_SQL,
     "dq_referential": DQ_REFERENTIAL_SQL,
     "profile_stats": _profile_sql(PROFILED, ["l_returnflag", "l_linestatus"]),

@@ -13,11 +13,13 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.events import topic_of
 from ..operators.asof import latest
 from ..operators.monitoring import health_windows
 from ..session import shared_dir
 from ..sources.readers import read_parquet_stream
 from ..sources.snapshots import SnapshotTable
+from ..sources.topics import append_messages, find_records, read_topic_log
 from ..streaming import counters, sinks
 from ..streaming import events as E
 from ..streaming.profiles import driver_features, keyed_state, rider_features
@@ -25,6 +27,7 @@ from .serving import KINDS_SQL, event_records
 from .tables import (
     PREDICTIONS_SQL,
     SQL_TIME,
+    sql_bucket,
     sql_haversine,
     sql_latitude,
     sql_longitude,
@@ -204,6 +207,63 @@ DEAD_LETTER_SQL = """
     FROM events WHERE value > 100 OR event_type IN ('error', 'signup')"""
 
 
+def stream_dead_letter_origin(spark: SparkSession, folder: str) -> DataFrame:
+    """Broken and unhandled records with their topic, partition and offset, found again in the log by these.
+
+    Events arrive in batches of ten days; the last one arrives, and the one before arrives again, when the query has
+    ended once.
+    """
+    root = shared_dir(spark, "origin")
+    records = event_records(table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    value = F.to_json("record")
+    cut = value.substr(F.lit(1), F.length(value) - 5)
+    messages = records.select(
+        topic_of(F.col("record.event_type")).alias("topic"), F.col("user_id").cast("string").alias("key"),
+        F.when(F.col("value") > 100, cut).otherwise(value).alias("value"), "ts", "event_id", F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)).alias("part"),
+    )
+    for arrived in ([0, 1], [1, 2]):
+        for part in arrived:
+            append_messages(messages.where(F.col("part") == part), f"{root}/log", part, "ts", ["event_id"], partitions=4)
+        parsed = E.parse(read_topic_log(spark, f"{root}/log", max_files=FILES))
+        sinks.run_to_files(E.dead_letters(parsed), root, partitions=STATE)
+    letters = spark.read.parquet(f"{root}/data")
+    found = find_records(spark, f"{root}/log", letters)
+    return letters.drop("value").join(found, ["topic", "partition", "offset"]).select(
+        "problem", "topic", "partition", "offset", F.col("key").alias("user_id"), F.regexp_extract("value", '"event_id":"([0-9]+)"', 1).alias("event_id")
+    )
+
+
+DEAD_LETTER_ORIGIN_SQL = f"""
+    WITH e AS (SELECT *, split_part({KINDS_SQL}, '.', 1) || '.events' AS topic, {sql_bucket("user_id", 4)}::INT AS "partition"
+               FROM events WHERE event_type <> 'error'),
+    n AS (SELECT *, row_number() OVER (PARTITION BY topic, "partition" ORDER BY least((day(ts) - 1) // 10, 2), ts, event_id) - 1 AS "offset" FROM e)
+    SELECT CASE WHEN value > 100 THEN 'broken' ELSE 'unhandled' END AS problem, topic, "partition", "offset", user_id::VARCHAR AS user_id,
+           event_id::VARCHAR AS event_id
+    FROM n WHERE value > 100 OR event_type = 'signup'"""
+
+
+def stream_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Records and failures of a running query, added up over its micro-batches, beside what its sink holds."""
+    root = shared_dir(spark, "progress")
+    log = sinks.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        parsed = sinks.observe_outcomes(E.parse(_texts(spark, folder)))
+        query = sinks.run_to_files(E.dead_letters(parsed), root, partitions=STATE)
+        totals = log.totals(str(query.id), "events", timeout=60)
+    finally:
+        spark.streams.removeListener(log)
+    rows = spark.createDataFrame([(totals["total"], totals["errors"])], "total bigint, errors bigint")
+    letters = spark.read.parquet(f"{root}/data").agg(F.count(F.lit(1)).alias("dead_letters"))
+    # One row each.
+    return rows.join(F.broadcast(letters))
+
+
+PROGRESS_SQL = """
+    SELECT count(*) AS total, count(*) FILTER (bad) AS errors, count(*) FILTER (bad) AS dead_letters
+    FROM (SELECT value > 100 OR event_type IN ('error', 'signup') AS bad FROM events)"""
+
+
 def stream_event_features(spark: SparkSession, folder: str) -> DataFrame:
     """One parsed stream, a table of features per route."""
     root = shared_dir(spark, "routes")
@@ -428,6 +488,8 @@ QUERIES = {
     "stream_dedup_latest": stream_dedup_latest,
     "stream_trip_pairs": stream_trip_pairs,
     "stream_dead_letter": stream_dead_letter,
+    "stream_dead_letter_origin": stream_dead_letter_origin,
+    "stream_progress": stream_progress,
     "stream_event_features": stream_event_features,
     "stream_rider_features": stream_rider_features,
     "stream_driver_features": stream_driver_features,
@@ -444,6 +506,8 @@ ORACLE = {
     "stream_dedup_latest": DEDUP_SQL,
     "stream_trip_pairs": TRIP_PAIRS_SQL,
     "stream_dead_letter": DEAD_LETTER_SQL,
+    "stream_dead_letter_origin": DEAD_LETTER_ORIGIN_SQL,
+    "stream_progress": PROGRESS_SQL,
     "stream_event_features": EVENT_FEATURES_SQL,
     "stream_rider_features": RIDER_FEATURES_SQL,
     "stream_driver_features": DRIVER_FEATURES_SQL,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -174,10 +175,25 @@ def run_running_counts(
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps the latest progress of each query: rows, rates, late rows, observed metrics."""
+    """Keeps the latest progress of each query: rows, rates, late rows, observed metrics, and these added up."""
 
     def __init__(self) -> None:
         self.latest: dict[str, dict] = {}
+        self.observed: dict[tuple[str, str], dict[int, dict[str, int]]] = {}
+        self.ended: set[str] = set()
+
+    def totals(self, query: str, name: str, timeout: float = 30) -> dict[str, int]:
+        """Observed counts over all micro-batches of a query that has ended; progress comes in some time after."""
+        deadline = time.monotonic() + timeout
+        while query not in self.ended and time.monotonic() < deadline:
+            time.sleep(0.05)
+        if query not in self.ended:
+            raise TimeoutError(f"the end of {query} has not been seen")
+        out: dict[str, int] = {}
+        for counts in self.observed.get((query, name), {}).values():
+            for metric, n in counts.items():
+                out[metric] = out.get(metric, 0) + n
+        return out
 
     def onQueryStarted(self, event) -> None:
         self.latest.setdefault(str(event.id), {})
@@ -191,12 +207,16 @@ class ProgressLog(StreamingQueryListener):
             "late_rows": sum(op.get("numRowsDroppedByWatermark", 0) for op in progress.get("stateOperators", [])),
             "observed": progress.get("observedMetrics", {}),
         }
+        # A micro-batch may be reported again, without rows, when nothing is left.
+        if progress.get("numInputRows", 0):
+            for name, counts in progress.get("observedMetrics", {}).items():
+                self.observed.setdefault((str(event.progress.id), name), {})[progress["batchId"]] = counts
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        self.ended.add(str(event.id))
 
 
 def observe_outcomes(parsed: DataFrame, name: str = "events") -> DataFrame:
