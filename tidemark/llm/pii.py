@@ -13,7 +13,9 @@ of the form. Each text is handled by itself, so there is no shuffle.
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import ipaddress
 import re
@@ -124,6 +126,14 @@ def _in_radix(text: str, mapped: Callable[[int, int], int]) -> str:
     return "".join(reversed(out))
 
 
+@functools.cache
+def _days_written(month: str, day: str) -> list[int]:
+    """The days whose month and day are below ten (``one`` digit, or ``zero`` and a digit) or have ``two`` digits."""
+    low, high = SPECIAL_DATES
+    dates = map(datetime.date.fromordinal, range(low, high))
+    return [d.toordinal() for d in dates if (d.month >= 10) == (month == "two") and (d.day >= 10) == (day == "two")]
+
+
 class Pseudonyms:
     """Pseudonyms of single values; each method returns None for what fails the rules of its kind."""
 
@@ -193,7 +203,8 @@ class Pseudonyms:
         except ValueError:
             return None
         if not padded:
-            return self._plain_date(ordinal, a, b, c, mark, year_first, swapped)
+            wide = (b, c) if year_first else (a, b) if swapped else (b, a)
+            return self._plain_date(ordinal, wide, mark, year_first, swapped)
         new = datetime.date.fromordinal(low + self.feistel.permute(ordinal - low, high - low, "date", self.back))
         return self._written(new, mark, year_first, swapped, 2, 2)
 
@@ -203,11 +214,13 @@ class Pseudonyms:
         parts = (f"{d.year}", month, day) if year_first else (month, day, f"{d.year}") if swapped else (day, month, f"{d.year}")
         return mark.join(parts)
 
-    def _plain_date(self, ordinal: int, a: str, b: str, c: str, mark: str, year_first: bool, swapped: bool) -> str:
-        """Without leading zeros widths vary with the value, so the date is mapped as such."""
-        low, high = SPECIAL_DATES
-        new = datetime.date.fromordinal(low + self.feistel.permute(ordinal - low, high - low, "date", self.back))
-        return self._written(new, mark, year_first, swapped, 1, 1)
+    def _plain_date(self, ordinal: int, wide: tuple[str, str], mark: str, year_first: bool, swapped: bool) -> str:
+        """Where month or day is one digit, widths say something about the value: the date stays among those written alike."""
+        form = tuple("one" if len(w) == 1 else "zero" if w[0] == "0" else "two" for w in wide)
+        days = _days_written(*form)
+        place = self.feistel.permute(bisect.bisect_left(days, ordinal), len(days), f"date {form[0]} {form[1]}", self.back)
+        new = datetime.date.fromordinal(days[place])
+        return self._written(new, mark, year_first, swapped, *(1 if f == "one" else 2 for f in form))
 
     def text(self, text: str, counts: dict[str, int], kinds: frozenset[str]) -> str:
         """The text with all values replaced; ``counts`` is added to."""
@@ -226,7 +239,8 @@ class Pseudonyms:
         return "".join([*parts, text[end:]])
 
 
-MAYBE = re.compile(r"\d[\d .()/-]{4,}|@")
+# Part of every form: a text without any of these has no value. An account number may have letters only after its first four.
+MAYBE = re.compile(r"\d[\d .()/-]{4,}|@|[A-Z]{2}\d\d")
 
 
 def pseudonymise(
