@@ -91,3 +91,55 @@ def test_hand_made_archive():
 
 def test_empty_table(spark):
     assert archive(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_damaged_files_give_what_can_be_read(spark, tmp_path):
+    """Cut and broken files, plain and compressed, beside whole ones; no file ends the reading of others."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "p" * 150 + str(i)) for i in range(60)], PAGES)
+    write_arc(pages.coalesce(1), str(tmp_path / "arc"), "page_id", "url", "html", F.timestamp_seconds(F.lit(0)), F.lit("-"), 1)
+    (whole,) = [f.read_bytes() for f in (tmp_path / "arc").glob("*.gz")]
+    raw = gzip.decompress(whole)
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    middle = raw.index(b"http://x/30 ")
+    files = {
+        "whole.gz": whole,
+        "cut.gz": whole[: len(whole) // 2],
+        "broken.gz": whole[: len(whole) // 2] + b"\xff" * 40 + whole[len(whole) // 2 + 40 :],
+        "cut.arc": raw[: middle + 90],
+        "noise.arc": raw[:middle] + b"some noise\nmore of it\n" + raw[middle:],
+        "none.arc": b"this is no archive at all",
+        "number.arc": b"filedesc://x 0.0.0.0 20200101 text/plain many\nabc\n",
+        "two.gz": gzip.compress(raw[:middle]) + gzip.compress(raw[middle:]),
+    }
+    for name, content in files.items():
+        (bad / name).write_bytes(content)
+    got = read_arc(spark, str(bad)).collect()
+    damaged = {r.uri: r.mime for r in got if r.kind == "damaged"}
+    assert set(damaged) == set(files) - {"whole.gz", "two.gz"}
+    assert "ends within compressed" in damaged["cut.gz"] and "no version block" in damaged["number.arc"] and "no header" in damaged["noise.arc"]
+    read = [r for r in got if r.kind != "damaged"]
+    assert {r.id for r in read if r.id} == {str(i) for i in range(60)} and len(read) >= 3 * 60 + 31
+    convert(spark, str(bad), str(tmp_path / "warc"))
+    back = read_warc(spark, str(tmp_path / "warc")).collect()
+    assert len(back) == len(read) and not [r for r in back if r.kind == "damaged"]
+
+
+def test_a_warc_record_that_does_not_match_its_digest(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "p" * 150 + str(i)) for i in range(5)], PAGES)
+    write_arc(pages.coalesce(1), str(tmp_path / "arc"), "page_id", "url", "html", F.timestamp_seconds(F.lit(0)), F.lit("-"), 2)
+    convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    (raw,) = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "warc").glob("*.gz")]
+    (tmp_path / "bad").mkdir()
+    at = raw.index(b"p" * 150 + b"3")
+    (tmp_path / "bad" / "x.warc").write_bytes(raw[:at] + b"q" + raw[at + 1 :])
+    got = read_warc(spark, str(tmp_path / "bad")).collect()
+    assert sorted(r.id for r in got if r.kind != "damaged") == ["0", "1", "2", "4"]
+    assert [r.mime for r in got if r.kind == "damaged"][0].endswith("does not match its digest")
+
+
+def test_many_copies_of_a_payload_do_not_meet(spark, tmp_path):
+    """Payloads are joined by record, not by digest."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", LONG) for i in range(300)], PAGES).repartition(4)
+    got = archive(pages).collect()
+    assert {(r.record_type, r.refers_to) for r in got if r.page_id > 0} == {("revisit", 0)} and len(got) == 300

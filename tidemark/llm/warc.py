@@ -12,10 +12,10 @@ the right by the number of fields of its version, so spaces in an address of a p
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key
+from .common import Scratch, join_hint, row_key
 
 FILE_BYTES = 32 << 20
 OUT_ROWS = 256
@@ -41,6 +41,11 @@ HTTP_BLOCK = "application/http; msgtype=response"
 ID_HEADER = "X-Record-Id"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard's name space for addresses
 
+GZIP = b"\x1f\x8b"
+UNPACK_BYTES = 1 << 16
+MOST_SAID = 5
+DAMAGED = "damaged"
+NEEDED = {"warc-record-id", "warc-date", "warc-payload-digest"}
 RECORD = (
     "uri string, record_id string, ip string, date string, mime string, status string, kind string, "
     "digest string, payload_bytes long, http binary, payload binary, id string, refers_to string"
@@ -101,19 +106,42 @@ def write_arc(
 # --- Reading --------------------------------------------------------------------------------------------------------
 
 
-def _plain(content: bytes) -> bytes:
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-
-
-def arc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
+def _plain(content: bytes, problems: list[str]) -> bytes:
+    """The content of a file, unpacked as far as it can be; what stops that is added to ``problems``."""
+    if content[:2] != GZIP:
+        return content
+    parts = []
+    while content[:2] == GZIP:
+        unpack = zlib.decompressobj(31)
+        rest = memoryview(content)
+        try:
+            while len(rest) and not unpack.eof:
+                parts.append(unpack.decompress(rest[:UNPACK_BYTES]))
+                rest = rest[UNPACK_BYTES:]
+        except zlib.error as error:
+            problems.append(f"compressed data is broken: {error}")
+            break
+        if not unpack.eof:
+            problems.append("the file ends within compressed data")
+            break
+        # Another member may follow.
+        content = unpack.unused_data + bytes(rest)
+    return b"".join(parts)
+
+
+def arc_records(content: bytes, problems: list[str] | None = None) -> Iterator[tuple[dict[str, str], bytes, int]]:
     """Header fields by name, block and offset of each record after the version block.
 
-    A line that is no header of the file's version is skipped; a block that the file ends within is cut there.
+    A line that is no header of the file's version is skipped; a block that the file ends within is cut there. Both, and
+    a file without a version block, are added to ``problems``.
     """
+    problems = [] if problems is None else problems
     at = content.find(b"\n") + 1
-    if not at:
+    declared = content[:at].strip().rsplit(b" ", 1)[-1]
+    if not declared.isdigit():
+        problems.append("there is no version block")
         return
-    length = int(content[:at].rsplit(b" ", 1)[1])
+    length = int(declared)
     about = content[at : at + length].split(b"\n")
     names = about[1].decode().split(" ") if len(about) > 1 else []
     at += length
@@ -123,9 +151,13 @@ def arc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
         values = content[at:end].decode("utf-8", "replace").rsplit(" ", len(names) - 1)
         fields = dict(zip(names, values, strict=False))
         if len(values) == len(names) and values[-1].isdigit() and re.fullmatch(r"\d{8,14}", fields["Archive-date"]):
+            if end + 1 + int(values[-1]) > len(content):
+                problems.append(f"the file ends within the record at {at}")
             yield fields, content[end + 1 : end + 1 + int(values[-1])], at
             at = end + 1 + int(values[-1])
         else:
+            if content[at:end].strip():
+                problems.append(f"no header at {at}")
             at = end + 1
 
 
@@ -143,8 +175,17 @@ def _fields(head: bytes) -> dict[str, str]:
     return {name.strip().lower(): value.strip() for name, _, value in pairs if name.strip()}
 
 
+def _damaged(name: str, problems: list[str]) -> Iterator[tuple]:
+    """A row for a file that could not be read in full: its name, and the first problems and their number."""
+    if problems:
+        said = "; ".join(problems[:MOST_SAID]) + (f"; {len(problems) - MOST_SAID} more" if len(problems) > MOST_SAID else "")
+        empty = hashlib.sha256(b"").hexdigest()
+        yield (name, str(uuid.uuid5(NAMESPACE, f"{name} damaged")), None, None, said, None, DAMAGED, empty, 0, None, None, None, None)
+
+
 def _from_arc(name: str, content: bytes, whole: bool) -> Iterator[tuple]:
-    for fields, block, at in arc_records(_plain(content)):
+    problems: list[str] = []
+    for fields, block, at in arc_records(_plain(content, problems), problems):
         head, payload, http = _http(block)
         uri = fields["URL"]
         date = fields["Archive-date"].ljust(14, "0")
@@ -164,24 +205,29 @@ def _from_arc(name: str, content: bytes, whole: bool) -> Iterator[tuple]:
             http.get(ID_HEADER.lower()),
             None,
         )
+    yield from _damaged(name, problems)
 
 
 def _from_warc(name: str, content: bytes, whole: bool) -> Iterator[tuple]:
-    content, at = _plain(content), 0
+    problems: list[str] = []
+    content, at = _plain(content, problems), 0
     while 0 <= (at := content.find(WARC_VERSION.encode(), at)):
         end = content.find(b"\r\n\r\n", at) + 4
-        if end < 4:
-            return
-        fields = _fields(content[at:end])
+        fields = _fields(content[at:end]) if end >= 4 else {}
+        kind = fields.get("warc-type")
+        if kind is None or not fields.get("content-length", "").isdigit() or (kind != "warcinfo" and not fields.keys() >= NEEDED):
+            problems.append(f"no header at {at}")
+            at += len(WARC_VERSION)
+            continue
         block = content[end : end + int(fields["content-length"])]
-        at = end + len(block)
-        kind = fields["warc-type"]
+        start, at = at, end + len(block)
         if kind == "warcinfo":
             continue
         head, payload, http = _http(block)
         digest = fields["warc-payload-digest"].removeprefix("sha256:")
         if kind != "revisit" and hashlib.sha256(payload).hexdigest() != digest:
-            raise ValueError(f"{name}: the payload of {fields['warc-record-id']} does not match its digest")
+            problems.append(f"the payload of the record at {start} does not match its digest")
+            continue
         yield (
             fields.get("warc-target-uri"),
             fields["warc-record-id"].removeprefix("<urn:uuid:").rstrip(">"),
@@ -191,12 +237,13 @@ def _from_warc(name: str, content: bytes, whole: bool) -> Iterator[tuple]:
             None,
             kind,
             digest,
-            int(http["content-length"]) if kind == "revisit" else len(payload),
+            int(http.get("content-length", "0")) if kind == "revisit" else len(payload),
             head if whole else None,
             payload if whole else None,
             http.get(ID_HEADER.lower()),
             fields.get("warc-refers-to", "").removeprefix("<urn:uuid:").rstrip(">") or None,
         )
+    yield from _damaged(name, problems)
 
 
 def _read(spark: SparkSession, path: str, parse, whole: bool) -> DataFrame:
@@ -223,12 +270,19 @@ def _read(spark: SparkSession, path: str, parse, whole: bool) -> DataFrame:
 
 
 def read_arc(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """The records of ARC files, as WARC will describe them; without heads and payloads unless ``whole``."""
+    """The records of ARC files, as WARC will describe them; without heads and payloads unless ``whole``.
+
+    A file that cannot be read in full gives what can be read and a row of kind ``damaged`` with its name as ``uri`` and
+    what is wrong as ``mime``. A file is read whole, which Spark does up to 2 gigabytes.
+    """
     return _read(spark, path, _from_arc, whole)
 
 
 def read_warc(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """The records of WARC files but their descriptions; digests of payloads are checked."""
+    """The records of WARC files but their descriptions; damaged files as in :func:`read_arc`.
+
+    A record whose payload does not match its digest is one that cannot be read.
+    """
     return _read(spark, path, _from_warc, whole)
 
 
@@ -277,20 +331,23 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, id_type: str = "
     """Convert ARC files to WARC files.
 
     Of records with equal payloads of at least ``least`` bytes, the one with the smallest identifier stays whole (null
-    last; of equal identifiers one); the others become revisit records without payload that refer to it.
+    last; of equal identifiers one); the others become revisit records without payload that refer to it. What becomes
+    of a record is decided without payloads, so that many copies of one payload never meet; a record's fate is then
+    looked up by its own identifier. Of damaged files all is converted that can be read.
     """
     number = F.col("id").try_cast(id_type)
     rank = row_key(number.isNull().alias("unknown"), number.alias("id"), "record_id", "uri", "date")
+    scratch = Scratch(spark, "revisits")
     seen = read_arc(spark, arc_path, whole=False).where((F.col("payload_bytes") >= least) & (F.col("kind") == "response"))
-    first = (
-        seen.groupBy("digest", "payload_bytes")
-        .agg(F.min(rank).alias("original"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
-    records = read_arc(spark, arc_path).join(first, ["digest", "payload_bytes"], "left")
-    own = F.col("original.record_id") == F.col("record_id")
-    records = records.withColumn("original", F.when((F.col("kind") == "response") & ~own, F.col("original")))
+    # Written first: only a join of two plain tables is split where a payload is hot.
+    seen = scratch.write(seen.select("digest", "payload_bytes", "record_id", rank.alias("rank")), "seen")
+    first = seen.groupBy("digest", "payload_bytes").agg(F.min("rank").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = scratch.write(first.drop("n"), "first")
+    revisits = seen.join(first, ["digest", "payload_bytes"]).where(F.col("original.record_id") != F.col("record_id")).select("record_id", "original")
+    revisits = scratch.write(revisits, "revisits")
+    records = read_arc(spark, arc_path).where(F.col("kind") != DAMAGED).join(join_hint(revisits), "record_id", "left")
+    # A revisit's payload goes no further.
+    records = records.withColumn("payload", F.when(F.col("original").isNull(), F.col("payload")))
     lines = records.mapInArrow(_warc_rows, "value binary")
     lines.select(F.col("value").cast("string")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(warc_path)
 
@@ -313,6 +370,9 @@ def archive(
     convert(spark, scratch.path("arc"), scratch.path("warc"), kind)
     scratch.drop("arc")
     records = scratch.write(read_warc(spark, scratch.path("warc"), whole=False).drop("http", "payload"), "records")
+    damaged = records.where(F.col("kind") == DAMAGED).first()
+    if damaged:
+        raise RuntimeError(f"{damaged['uri']} was not read back: {damaged['mime']}")
     revisited = records.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("record_id")).distinct()
     names = records.join(revisited, "record_id", "left_semi")
     names = names.select(F.col("record_id").alias("refers_to"), F.col("id").alias("original"))
