@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.features.batch import preferred_type_as_of
-from tidemark.operators.asof import asof_join, latest, lookup
-from tidemark.operators.timeline import SLOT, find_hot_keys, next_in_time, row_numbers, with_slots
+from tidemark.operators.asof import asof_join, asof_join_by_instant, latest, lookup
+from tidemark.operators.timeline import SLOT, find_hot_keys, next_in_time, row_numbers, row_numbers_in_ranges, with_slots
 from tidemark.operators.trailing import Trailing, trailing
 
 START = datetime(2024, 1, 1)
@@ -194,3 +194,31 @@ def test_preferred_type_as_of_each_trip(spark, heat):
             seen = [r[2] for r in data if r[0] == row.k and r[2] and ((r[1], r[3]) < (row.ts, row.id) or include_current and r[3] == row.id)]
             best = min(((-seen.count(x), x) for x in set(seen)), default=(0, None))
             assert (row.preferred_type, row.preferred_trips) == (best[1], -best[0])
+
+
+def test_one_instant_of_one_key_is_cut(spark):
+    """A bulk load: all rows of a key at one time, in slots that its ties are cut into."""
+    rng = random.Random(3)
+    data = [("a" if i % 4 else rng.choice("bc"), START, i) for i in range(500)] + [("a", None, 1000 + i) for i in range(20)]
+    data += [(None, START, 2000 + i) for i in range(9)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "k string, ts timestamp, id long").repartition(5)
+    got = row_numbers_in_ranges(df, ["k"], "ts", ["id"], slot_rows=30).collect()
+    assert len(got) == len(data)
+    for key in ("a", "b", "c", None):
+        own = sorted(((t is not None, t or START, i) for k, t, i in data if k == key))
+        assert [r.id for r in sorted((r for r in got if r.k == key), key=lambda r: r.row_number)] == [i for _, _, i in own]
+        assert sorted(r.row_number for r in got if r.k == key) == list(range(1, len(own) + 1))
+
+
+def test_asof_by_instant_is_the_same_join(spark):
+    labels = [(k, START + timedelta(hours=h % 3), i) for i, (k, h) in enumerate((k, h) for k in ("a", "a", "a", "b", None) for h in range(40))]
+    labels += [("a", None, 999)]
+    features = make_events(7, 80)
+    left = spark.createDataFrame(labels, "k string, ts timestamp, id long")
+    right = spark.createDataFrame(features, "k string, fts timestamp, f double, ok boolean, created long")
+    how = dict(ttl=timedelta(days=9), created="created", feature_ts_as="seen_at")
+    args = (left, right, ["k"], "ts", "fts", ["f", "created"])
+    want, got = asof_join(*args, **how), asof_join_by_instant(*args, **how)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

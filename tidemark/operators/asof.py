@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .timeline import SLOT, HotKeys, find_hot_keys, with_slots
 
 
@@ -108,6 +109,33 @@ def asof_join(
     )
 
 
+def asof_join_by_instant(
+    labels: DataFrame,
+    features: DataFrame,
+    keys: Sequence[str],
+    label_ts: str,
+    feature_ts: str,
+    columns: Sequence[str],
+    **how,
+) -> DataFrame:
+    """:func:`asof_join` where many labels share a key and an instant, as after a bulk load.
+
+    All labels of a key and instant see the same feature row, which is looked up once for each; labels that share one
+    are then joined with it. That join has one row per key and instant on its other side, so adaptive execution can cut
+    a hot instant into as many tasks as it takes.
+    """
+    instants = labels.select(*keys, label_ts).distinct()
+    found = asof_join(instants, features, keys, label_ts, feature_ts, columns, **how)
+    extra = [c for c in found.columns if c not in (*keys, label_ts)]
+    renamed = found.select(*[F.col(c).alias(f"__i_{c}") for c in (*keys, label_ts)], *extra)
+    # Written first, so that the join is one of plain tables, which is what can be cut.
+    path = shared_dir(labels.sparkSession, "instants")
+    renamed.write.parquet(path)
+    known = labels.sparkSession.read.schema(renamed.schema).parquet(path)
+    same = [F.col(c).eqNullSafe(F.col(f"__i_{c}")) for c in (*keys, label_ts)]
+    return labels.join(known, same, "left").select(*labels.columns, *extra)
+
+
 def latest(
     df: DataFrame,
     keys: Sequence[str],

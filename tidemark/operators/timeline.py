@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import edges_below
+from ..session import shared_dir
 
 HOT_ROWS = 1_000_000
 SMALL_KEYS = 10_000
@@ -49,6 +50,13 @@ def _same_key(keys: Sequence[str], prefix: str) -> list[Column]:
     return [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys]
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The table written below the shared folder and read again, which cuts its lineage."""
+    path = shared_dir(df.sparkSession, "keys")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def find_hot_keys(
     df: DataFrame,
     keys: Sequence[str],
@@ -79,7 +87,7 @@ def find_hot_keys(
     if small:
         held, number, kinds = spark.createDataFrame(found, hot.schema), len(found), sorted({r["__bits"] for r in found})
     else:
-        held = hot.checkpoint()
+        held = _written(hot)
         number, kinds = held.count(), sorted(r[0] for r in held.select("__bits").distinct().collect())
     renamed = held.select(*[F.col(k).alias(f"__h_{k}") for k in keys], "__to", "__bits")
     places = F.array(*[(F.col("__axis") + F.lit(s)).cast("bigint") for s in shifts])
@@ -96,7 +104,7 @@ def find_hot_keys(
         .agg(F.coalesce(*cuts).alias("__edges"))
         .withColumn("__edges", F.array_sort(F.array_distinct("__edges")))
     )
-    table = spark.createDataFrame(edges.collect(), edges.schema) if small else edges.checkpoint()
+    table = spark.createDataFrame(edges.collect(), edges.schema) if small else _written(edges)
     return HotKeys(table, number, 1 << max(kinds))
 
 
@@ -180,6 +188,31 @@ def row_numbers(
     return running_totals(slotted, keys, order, {name: F.lit(1).cast("bigint")}, bool(hot)).drop(SLOT)
 
 
+def row_numbers_in_ranges(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    tie: Sequence[str],
+    name: str = "row_number",
+    slot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Like :func:`row_numbers`, where one key may have more rows at one instant than a task should order.
+
+    All rows are put in ranges of key, time and ``tie`` together, about ``slot_rows`` to a range, so that the rows of an
+    instant, say of a bulk load, are cut between ties. The ranges are written, as they would else be drawn anew by each
+    use; each is a slot, and hands its count on.
+    """
+    spark = df.sparkSession
+    order = [F.col(c).asc_nulls_first() for c in (*keys, ts, *tie)]
+    slots = max(1, -(-df.count() // slot_rows))
+    ranged = df.repartitionByRange(slots, *order).withColumn(SLOT, F.spark_partition_id().cast("bigint"))
+    path = shared_dir(spark, "ranges")
+    ranged.write.parquet(path)
+    rows = spark.read.schema(ranged.schema).parquet(path)
+    along = [F.col(ts).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in tie]]
+    return running_totals(rows, keys, along, {name: F.lit(1).cast("bigint")}, True).drop(SLOT)
+
+
 def next_in_time(
     df: DataFrame,
     keys: Sequence[str],

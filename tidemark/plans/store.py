@@ -23,7 +23,8 @@ from ..features.store import (
     slice_to_load,
 )
 from ..functions import haversine_km
-from ..operators.asof import asof_join, latest, lookup
+from ..operators.asof import asof_join, asof_join_by_instant, latest, lookup
+from ..operators.timeline import row_numbers_in_ranges
 from ..operators.timeline import HotKeys, find_hot_keys
 from ..session import shared_dir
 from ..sources.snapshots import SnapshotTable
@@ -272,6 +273,24 @@ ONLINE_SERVICE_SQL = f"""
     FROM orders"""
 
 
+def pit_one_instant(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels that were all loaded at one instant, most of them of one key: numbered, and with their key's newest event."""
+    rows = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    key = F.when(F.col("user_id") % 5 == 0, F.col("user_id")).otherwise(F.lit(0)).alias("key")
+    labels = rows.select("event_id", key, F.lit("2024-01-16").cast("timestamp").alias("loaded"))
+    numbered = row_numbers_in_ranges(labels, ["key"], "loaded", ["event_id"], slot_rows=2_000)
+    found = asof_join_by_instant(numbered, rows.select(key, "ts", "value", F.col("event_id").alias("newest")), ["key"], "loaded", "ts", ["newest", "value"])
+    return found.select("event_id", "key", "row_number", "newest", "value")
+
+
+PIT_ONE_INSTANT_SQL = """
+    WITH e AS (SELECT *, CASE WHEN user_id % 5 = 0 THEN user_id ELSE 0 END AS key FROM events),
+    f AS (SELECT key, event_id AS newest, value FROM e WHERE ts <= TIMESTAMP '2024-01-16'
+          QUALIFY row_number() OVER (PARTITION BY key ORDER BY e.ts DESC, event_id DESC) = 1)
+    SELECT event_id, key, row_number() OVER (PARTITION BY key ORDER BY event_id) AS row_number, newest, f.value
+    FROM e LEFT JOIN f USING (key)"""
+
+
 def _online_table(spark: SparkSession, root: str) -> SnapshotTable:
     return SnapshotTable(spark, root, ("user_id",), ("ts", "event_id"))
 
@@ -328,6 +347,7 @@ QUERIES = {
     "pit_join_single": pit_join_single,
     "pit_join_service": pit_join_service,
     "pit_join_fraud": pit_join_fraud,
+    "pit_one_instant": pit_one_instant,
     "online_latest": online_latest,
     "online_lookup": online_lookup,
     "online_service": online_service,
@@ -337,6 +357,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "pit_one_instant": PIT_ONE_INSTANT_SQL,
     "pit_join_single": PIT_SINGLE_SQL,
     "pit_join_service": PIT_SERVICE_SQL,
     "pit_join_fraud": PIT_FRAUD_SQL,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import date, timedelta
 
@@ -38,15 +39,24 @@ def write_days(
 
 
 def replace_days(spark: SparkSession, staged: str, root: str, days: Sequence[date], partition: str = "ds") -> None:
-    """Publish days written aside: each named day becomes what ``staged`` has of it, which may be nothing."""
+    """Publish days written aside: each named day becomes what ``staged`` has of it, which may be nothing.
+
+    A day that is there is moved aside, below a name that readers do not see, and deleted only when the new one is in its
+    place: a driver that is lost in between leaves both, and the next call puts the new one there.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(path(root))
     for day in days:
         source, target = path(f"{staged}/{partition}={day}"), path(f"{root}/{partition}={day}")
-        files.delete(target, True)
+        aside = path(f"{root}/_{partition}={day}-{uuid.uuid4().hex}")
+        moved = files.exists(target) and files.rename(target, aside)
         if files.exists(source) and not files.rename(source, target):
+            if moved:
+                files.rename(aside, target)
             raise RuntimeError(f"{source} could not be moved to {target}")
+        if moved:
+            files.delete(aside, True)
 
 
 def append_days(df: DataFrame, root: str, partition: str = "ds") -> None:
