@@ -94,3 +94,31 @@ def test_empty_table(spark):
     assert pack(docs(spark, [])).count() == 0
     with pytest.raises(ValueError, match="positive"):
         pack(docs(spark, []), lengths=())
+
+
+def naive_best_fit(sizes, lengths, longest, overhead):
+    """Look at every open bin for every piece: the least room that fits, the bin last changed among equal ones."""
+    bins, where = [], []  # of each bin: length, words in it, when it was changed
+    for step, size in enumerate(sizes):
+        fitting = [(length - used, -changed, i) for i, (length, used, changed) in enumerate(bins) if length - used >= size]
+        if fitting:
+            i = min(fitting)[2]
+        else:
+            left = sum(sizes[step:])
+            allowed = [c for c in lengths if size <= c <= longest] or [min(c for c in lengths if c >= size)]
+            cost = {c: (c + overhead) / max(1, min(c, left)) for c in allowed}
+            bins.append([min(allowed, key=lambda c: (cost[c], c)), 0, step])
+            i = len(bins) - 1
+        bins[i][1:] = [bins[i][1] + size, step]
+        where.append(i)
+    return where, [min(c for c in lengths if c >= used) for _, used, _ in bins]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_best_fit_matches_a_scan_of_all_bins(seed):
+    rng = random.Random(seed)
+    lengths = tuple(sorted(rng.sample(range(1, 60), rng.randrange(1, 5))))
+    sizes = sorted((rng.randrange(1, lengths[-1] + 1) for _ in range(rng.randrange(120))), reverse=True)
+    overhead = rng.choice([0, 3, 16])
+    for longest in lengths:
+        assert best_fit(sizes, lengths, longest, overhead) == naive_best_fit(sizes, lengths, longest, overhead)
