@@ -237,11 +237,14 @@ class SnapshotTable:
             return 0
         return len(pieces) if len(pieces) <= self.most_deltas else 1
 
-    def _written(self, folder: str) -> dict[int, Piece]:
-        rows = self.spark.read.schema(f"{HASH} long, {BUCKET} int").parquet(f"{self.root}/data/{folder}")
+    def _pieces(self, rows: DataFrame, folder: str) -> dict[int, Piece]:
+        """What rows with their hash and bucket make in each bucket: one row per bucket."""
         found = rows.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("rows"), F.min(HASH).alias("low"), F.max(HASH).alias("high"))
         return {r[BUCKET]: Piece(folder, r["rows"], r["low"], r["high"]) for r in found.collect()}
 
+    def _written(self, folder: str) -> dict[int, Piece]:
+        return self._pieces(self.spark.read.schema(f"{HASH} long, {BUCKET} int").parquet(f"{self.root}/data/{folder}"), folder)
+
     def compact(self) -> bool:
         """Write all buckets with deltas anew; False if there are none. The table's rows and writers stay as they are."""
         last = self.last_commit()
@@ -273,13 +276,13 @@ class SnapshotTable:
         # The batch is needed twice, to see which buckets it touches and to write it.
         newest = newest.persist()
         try:
-            touched = {r[BUCKET]: r["count"] for r in newest.groupBy(BUCKET).count().collect()}
+            touched = self._pieces(newest, "")
             layout = {} if last is None else dict(last.layout)
             schema = batch.schema if last is None else last.schema
             following = 1 if last is None else last.number + 1
             if touched:
                 # What each bucket keeps of its pieces; the others are merged with the batch into a new one.
-                kept = {b: self._kept(layout.get(b, ()), rows) for b, rows in touched.items()}
+                kept = {b: self._kept(layout.get(b, ()), new.rows) for b, new in touched.items()}
                 merged = [(b, p) for b, n in kept.items() for p in layout.get(b, ())[n:]]
                 rows = newest
                 if merged:
@@ -289,7 +292,9 @@ class SnapshotTable:
                 # Each bucket is written by one task, in the order of the hash.
                 rows = rows.repartition(min(self.buckets, len(touched)), BUCKET).sortWithinPartitions(BUCKET, HASH)
                 rows.write.partitionBy(BUCKET).parquet(f"{self.root}/data/{folder}")
-                layout |= {b: (*layout.get(b, ())[: kept[b]], piece) for b, piece in self._written(folder).items()}
+                # What is written as it came is known; what was merged is counted where it lies.
+                written = self._written(folder) if merged else {b: replace(new, folder=folder) for b, new in touched.items()}
+                layout |= {b: (*layout.get(b, ())[: kept[b]], piece) for b, piece in written.items()}
                 known = [*schema.fields, *[f for f in rows.drop(BUCKET, HASH).schema.fields if f.name not in schema.names]]
                 schema = T.StructType([T.StructField(f.name, f.dataType) for f in known])
             elif number is None:
