@@ -1,7 +1,7 @@
 """Profiles and drift from sketches that are kept per day and merged, so that a window's rows are not read again.
 
-A sketch row per day and feature holds counts, sum, extremes, a quantile sketch and a distinct sketch, some ten kilobytes
-whatever the day's number of rows. Each task adds its rows to sketches before the shuffle, so a large day is no large task.
+A sketch row per day and feature holds counts, sum, extremes, a quantile sketch and a distinct sketch, up to some sixty
+kilobytes whatever the day's number of rows. Each task adds its rows to sketches before the shuffle, so a large day is no large task.
 A window is the merge of its days' rows. What sketches say is approximate; every such value comes with its error: that of
 ranks holds with a confidence of 99 %, that of distinct counts is three standard errors. The exact way is in
 :mod:`distribution` and :mod:`drift`.
