@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +23,7 @@ from ..functions.values import (
 )
 from ..operators.evaluation import regression_metrics
 from ..session import shared_dir
-
-VECTOR = "__features"
+from .cells import LABEL, SPREAD, VECTOR, WEIGHT, Bins, Cells, Held
 
 # The model inputs in order.
 ETA_FEATURES = (
@@ -66,13 +64,12 @@ def split(df: DataFrame, key: Column, test_percent: int = 20, seed: int = 42) ->
     return df.where(~in_test), df.where(in_test)
 
 
-def with_vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=VECTOR, handleInvalid="keep").transform(df)
-
-
 @dataclass(frozen=True)
 class BoostedTrees:
-    """Parameters of a regression; training stops early when validation stops improving."""
+    """Parameters of a regression; training stops early when validation stops improving.
+
+    Trees are trained on the cells of the rows, see :mod:`.cells`: a round's cost does not grow with the rows.
+    """
 
     features: tuple[str, ...]
     label: str
@@ -84,18 +81,36 @@ class BoostedTrees:
     tolerance: float = 0.01
     seed: int = 42
 
-    def fit(self, train: DataFrame, validation: DataFrame | None = None) -> TrainedTrees:
-        context = train.sparkSession.sparkContext
+    def cells(self, train: DataFrame, bins: Bins | None = None) -> Cells:
+        """The rows as :meth:`fit` takes them, to be kept where several fits use them."""
+        return Cells.of(train, self.features, self.label, bins, sampled=self.subsample < 1)
+
+    def fit(self, train: DataFrame | Cells, validation: DataFrame | Cells | None = None) -> TrainedTrees:
+        made = []
+        if isinstance(train, DataFrame):
+            train = self.cells(train).persist()
+            made.append(train)
+        if isinstance(validation, DataFrame):
+            validation = Cells.of(validation, self.features, self.label, train.bins).persist()
+            made.append(validation)
+        try:
+            return self._fit(train, validation)
+        finally:
+            for cells in made:
+                cells.unpersist()
+
+    def _fit(self, train: Cells, validation: Cells | None) -> TrainedTrees:
+        context = train.rows.sparkSession.sparkContext
         if not context.getCheckpointDir():
             # Many rounds would else grow the lineage without end.
-            context.setCheckpointDir(shared_dir(train.sparkSession, "trees"))
-        columns = [*self.features, self.label]
-        rows = train.select(*columns).withColumn("__validation", F.lit(False))
+            context.setCheckpointDir(shared_dir(train.rows.sparkSession, "trees"))
+        rows = train.rows.drop(SPREAD).withColumn("__validation", F.lit(False))
         if validation is not None:
-            rows = rows.unionByName(validation.select(*columns).withColumn("__validation", F.lit(True)))
+            rows = rows.unionByName(validation.points().withColumn("__validation", F.lit(True)))
         estimator = GBTRegressor(
             featuresCol=VECTOR,
-            labelCol=self.label,
+            labelCol=LABEL,
+            weightCol=WEIGHT,
             maxDepth=self.max_depth,
             stepSize=self.step_size,
             maxIter=self.rounds,
@@ -107,21 +122,28 @@ class BoostedTrees:
         )
         if validation is not None:
             estimator = estimator.setValidationIndicatorCol("__validation")
-        return TrainedTrees(self, estimator.fit(with_vector(rows, self.features)))
+        return TrainedTrees(self, estimator.fit(rows), train.bins)
 
 
 @dataclass(frozen=True)
 class TrainedTrees:
     spec: BoostedTrees
     model: GBTRegressionModel
+    bins: Bins
 
     def predict(self, df: DataFrame, column: str = "prediction") -> DataFrame:
-        return (
-            self.model.setPredictionCol(column).transform(with_vector(df, self.spec.features)).drop(VECTOR)
-        )
-
-    def evaluate(self, df: DataFrame) -> DataFrame:
-        return regression_metrics(self.predict(df), self.spec.label, "prediction")
+        return self.predict_vectors(self.bins.with_vector(df), column).drop(VECTOR)
+
+    def predict_vectors(self, df: DataFrame, column: str = "prediction") -> DataFrame:
+        """Predictions for rows that have the vector of their ranges."""
+        return self.model.setPredictionCol(column).transform(df)
+
+    def evaluate(self, df: DataFrame | Held) -> DataFrame:
+        if isinstance(df, Held):
+            predicted = df.rows.join(self.predict_vectors(df.cells).drop(VECTOR), self.bins.names)
+        else:
+            predicted = self.predict(df)
+        return regression_metrics(predicted, self.spec.label, "prediction")
 
     def importance(self, df: DataFrame, top: int | None = None) -> DataFrame:
         """Features by importance, greatest first. One row per feature."""

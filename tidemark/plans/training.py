@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..features.store import ETA_PREDICTION, historical_features, slice_to_load
 from ..functions import haversine_km
+from ..functions.ids import stable_bucket
+from ..ml.cells import Cells, Held
 from ..ml.grouped import fit_linear, linear_models, predict_linear, score_groups, train_groups
 from ..ml.rounds import Boosted, round_errors, with_stop
-from ..ml.search import Options, Range, best_trial, choice, log_uniform, random_search, successive_halving
+from ..ml.search import Options, Range, Sampler, best_trial, choice, log_uniform, random_search, successive_halving
 from ..ml.training import ETA_FEATURES, BoostedTrees, TrainedTrees, predict_with, prepare, split, validate_model
 from ..operators.asof import lookup
 from . import store
@@ -62,11 +64,16 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _in_validation() -> Column:
+    """The rows that ``split`` takes from the training rows with seed 7."""
+    return stable_bucket(F.col("l_orderkey"), 100, "7") < 20
+
+
 def _trained(spark: SparkSession, folder: str, label: str = "charge") -> tuple[TrainedTrees, DataFrame, DataFrame]:
     """The model as it is deployed: depth 8, up to 200 rounds, ended by validation. Training and test rows with it."""
     train, test = split(_lines(spark, folder), F.col("l_orderkey"))
-    fit, validation = split(train, F.col("l_orderkey"), seed=7)
-    return BoostedTrees(INPUTS, label).fit(fit, validation), train, test
+    with Cells.of_sides(train, INPUTS, label, _in_validation()) as (cells, checked):
+        return BoostedTrees(INPUTS, label).fit(cells, checked), train, test
 
 
 def gbt_train_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,18 +129,20 @@ IMPORTANCE_SQL = """
 
 
 def _search(spark: SparkSession, folder: str) -> DataFrame:
+    space = {"step_size": log_uniform(0.05, 0.5), "max_depth": choice([3, 4, 5, 6]), "rounds": choice([10, 20, 30])}
+    return _trials(spark, folder, "charge", space)
+
+
+def _trials(spark: SparkSession, folder: str, label: str, space: dict[str, Sampler]) -> DataFrame:
+    """A random search over models of ``label``; the trials share the cells of the rows they train on and are held to."""
     train, test = split(_lines(spark, folder), F.col("l_orderkey"))
-    fit_rows, validation = split(train, F.col("l_orderkey"), seed=7)
+    with Cells.of_sides(train, INPUTS, label, _in_validation()) as (cells, checked), Held.of(test, label, cells.bins) as held:
 
-    def fit(params: dict[str, object]) -> dict[str, float]:
-        spec = BoostedTrees(
-            INPUTS, "charge", max_depth=params["max_depth"], step_size=params["step_size"], rounds=params["rounds"]
-        )
-        found = spec.fit(fit_rows, validation).evaluate(test).first()
-        return {"loss": found["rmse"], "mae": found["mae"]}
+        def fit(params: dict[str, object]) -> dict[str, float]:
+            found = BoostedTrees(INPUTS, label, **params).fit(cells, checked).evaluate(held).first()
+            return {"loss": found["rmse"], "mae": found["mae"]}
 
-    space = {"step_size": log_uniform(0.05, 0.5), "max_depth": choice([3, 4, 5, 6]), "rounds": choice([10, 20, 30])}
-    return random_search(spark, fit, space)
+        return random_search(spark, fit, space)
 
 
 def random_search_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -225,15 +234,7 @@ def gbt_importances(spark: SparkSession, folder: str) -> DataFrame:
 
 def random_search_trials(spark: SparkSession, folder: str) -> DataFrame:
     """Twenty trials over step size and depth, up to 200 rounds each: their parameters and errors, the best one marked."""
-    train, test = split(_lines(spark, folder), F.col("l_orderkey"))
-    fit_rows, validation = split(train, F.col("l_orderkey"), seed=7)
-
-    def fit(params: dict[str, object]) -> dict[str, float]:
-        spec = BoostedTrees(INPUTS, PRICE, max_depth=params["max_depth"], step_size=params["step_size"])
-        found = spec.fit(fit_rows, validation).evaluate(test).first()
-        return {"loss": found["rmse"], "mae": found["mae"]}
-
-    trials = random_search(spark, fit, {"step_size": log_uniform(0.01, 0.3), "max_depth": choice(range(4, 9))})
+    trials = _trials(spark, folder, PRICE, {"step_size": log_uniform(0.01, 0.3), "max_depth": choice(range(4, 9))})
     best = best_trial(trials, "loss").select("trial", F.lit(True).alias("best"))
     return trials.join(F.broadcast(best), "trial", "left").select(
         "trial", F.to_json("params").alias("params"), F.col("metrics")["loss"].alias("loss"), F.col("metrics")["mae"].alias("mae"),
@@ -244,27 +245,22 @@ def random_search_trials(spark: SparkSession, folder: str) -> DataFrame:
 def gbt_rounds(spark: SparkSession, folder: str) -> DataFrame:
     """The price model's error on the validation rows after each of 100 rounds, and where patience ends it."""
     train, _ = split(_lines(spark, folder), F.col("l_orderkey"))
-    fit_rows, validation = split(train, F.col("l_orderkey"), seed=7)
-    trained = BoostedTrees(INPUTS, PRICE, max_depth=5, rounds=100).fit(fit_rows)
-    return with_stop(round_errors(trained, validation))
+    with Cells.of_sides(train, INPUTS, PRICE, _in_validation()) as (cells, checked):
+        trained = BoostedTrees(INPUTS, PRICE, max_depth=5, rounds=100).fit(cells)
+        return with_stop(round_errors(trained, checked))
 
 
 def search_halving(spark: SparkSession, folder: str) -> DataFrame:
     """Eight trials for ten rounds, the better half of them for twenty, and so on to eighty: losses, and which are kept."""
     train, _ = split(_lines(spark, folder), F.col("l_orderkey"))
-    fit_rows, validation = split(train, F.col("l_orderkey"), seed=7)
-    fit_rows, validation = fit_rows.persist(), validation.persist()
+    with Cells.of_sides(train, INPUTS, PRICE, _in_validation()) as (cells, checked):
 
-    def go_on(params: dict[str, object], before: object | None, more: int) -> tuple[Boosted, float]:
-        fresh = Boosted(BoostedTrees(INPUTS, PRICE, max_depth=params["max_depth"], step_size=params["step_size"]))
-        found = (before or fresh).go_on(fit_rows, more)
-        return found, found.error(validation)
+        def go_on(params: dict[str, object], before: object | None, more: int) -> tuple[Boosted, float]:
+            fresh = Boosted(BoostedTrees(INPUTS, PRICE, max_depth=params["max_depth"], step_size=params["step_size"]))
+            found = (before or fresh).go_on(cells, more)
+            return found, found.error(checked)
 
-    try:
         trials = successive_halving(spark, go_on, {"step_size": Range(0.01, 0.3), "max_depth": Options((3, 4, 5, 6))}, samples=8)
-    finally:
-        fit_rows.unpersist()
-        validation.unpersist()
     return trials.withColumn("params", F.to_json("params"))
 
 
