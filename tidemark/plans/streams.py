@@ -7,6 +7,7 @@ part of every query.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -36,10 +37,24 @@ from .tables import (
 )
 
 
-# Micro-batches per query, files of a micro-batch, and state partitions sized for the given tables.
+# Micro-batches per query, and the least files of a micro-batch and state partitions; larger tables have more of both.
 BATCHES = 3
 FILES = 2
 STATE = 8
+# Rows of a file and of a state partition in a micro-batch, and the most state partitions, each a store of its own.
+FILE_ROWS = 250_000
+STATE_ROWS = 100_000
+MOST_STATE = 256
+
+
+def _files(rows: int) -> int:
+    """Files of each micro-batch of a table, all read at once, so that no task's share grows with the table."""
+    return max(FILES, math.ceil(rows / BATCHES / FILE_ROWS))
+
+
+def _state(*tables: DataFrame) -> int:
+    """State partitions for queries over these tables."""
+    return min(MOST_STATE, max(STATE, math.ceil(sum(rows.count() for rows in tables) / BATCHES / STATE_ROWS)))
 
 
 def _parts(spark: SparkSession, folder: str, name: str, ts: str, again: bool = False) -> DataFrame:
@@ -49,12 +64,13 @@ def _parts(spark: SparkSession, folder: str, name: str, ts: str, again: bool = F
     """
     rows = table(spark, folder, name)
     axis = F.unix_micros(F.col(ts).cast("timestamp"))
-    cuts = rows.agg(F.approx_percentile(axis, [i / BATCHES for i in range(1, BATCHES)])).first()[0] or [0] * (BATCHES - 1)
+    found = rows.agg(F.approx_percentile(axis, [i / BATCHES for i in range(1, BATCHES)]), F.count(F.lit(1))).first()
+    cuts, files = found[0] or [0] * (BATCHES - 1), _files(found[1])
     part = F.coalesce(sum(((axis > cut).cast("int") for cut in cuts), F.lit(0)), F.lit(0))
     root = shared_dir(spark, name)
     for number in [*range(BATCHES), *([0] if again else [])]:
-        rows.where(part == number).repartition(FILES).write.mode("append").parquet(root)
-    return read_parquet_stream(spark, root, rows.schema, max_files=FILES)
+        rows.where(part == number).repartition(files).write.mode("append").parquet(root)
+    return read_parquet_stream(spark, root, rows.schema, max_files=files)
 
 
 def _events(spark: SparkSession, folder: str, again: bool = False) -> DataFrame:
@@ -77,15 +93,17 @@ def _with_restart(spark: SparkSession, folder: str, root: str, make: Callable[[D
     """What ``make`` gives for a stream of event texts; the query ends before the last part arrives and starts again."""
     rows = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     axis = F.unix_micros("ts")
-    cuts = rows.agg(F.approx_percentile(axis, [i / (BATCHES + 1) for i in range(1, BATCHES + 1)])).first()[0] or [0] * BATCHES
+    found = rows.agg(F.approx_percentile(axis, [i / (BATCHES + 1) for i in range(1, BATCHES + 1)]), F.count(F.lit(1))).first()
+    cuts, files = found[0] or [0] * BATCHES, _files(found[1])
+    state = _state(rows)
     part = F.coalesce(sum(((axis > cut).cast("int") for cut in cuts), F.lit(0)), F.lit(0))
     source = f"{root}/source"
     with keyed_state(spark):
         for arrived in (range(BATCHES), [BATCHES]):
             for number in arrived:
-                rows.where(part == number).repartition(FILES).write.mode("append").parquet(source)
-            stream = read_parquet_stream(spark, source, rows.schema, max_files=FILES)
-            sinks.run_to_files(make(E.parse(_as_text(stream))), root, partitions=STATE)
+                rows.where(part == number).repartition(files).write.mode("append").parquet(source)
+            stream = read_parquet_stream(spark, source, rows.schema, max_files=files)
+            sinks.run_to_files(make(E.parse(_as_text(stream))), root, partitions=state)
     return spark.read.parquet(f"{root}/data")
 
 
@@ -97,7 +115,7 @@ def stream_rider_counts(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "sliding")
     counts = counters.daily_counts(_events(spark, folder), ["user_id"], "ts")
     target = SnapshotTable(spark, f"{root}/table", ("user_id", "day"), ("batch",))
-    sinks.run_versioned_upserts(counts, target, root, partitions=STATE)
+    sinks.run_versioned_upserts(counts, target, root, partitions=_state(table(spark, folder, "events")))
     daily = target.read().select("user_id", "day", "n")
     rows = [
         counters.windows_of_days(daily, ["user_id"], days).withColumn("days", F.lit(days)) for days in DAYS
@@ -123,7 +141,7 @@ def stream_gap_counter(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "gaps")
     target = SnapshotTable(spark, f"{root}/table", ("user_id", "session_start"), ("batch",))
     rows = _events(spark, folder).select("user_id", "ts")
-    sinks.run_sessions(rows, target, root, ["user_id"], "ts", "1 day", partitions=STATE)
+    sinks.run_sessions(rows, target, root, ["user_id"], "ts", "1 day", partitions=_state(table(spark, folder, "events")))
     return target.read().where("n > 0").select(
         "user_id", text_time("session_start").alias("session_start"), text_time("session_end").alias("session_end"), "n"
     )
@@ -158,7 +176,7 @@ def stream_dedup_latest(spark: SparkSession, folder: str) -> DataFrame:
         finally:
             batch.unpersist()
 
-    sinks.run_batches(single, root, handle, partitions=STATE)
+    sinks.run_batches(single, root, handle, partitions=_state(table(spark, folder, "events")))
     return newest.read().join(counted.read(), "user_id").select(
         "user_id", text_time("ts").alias("ts"), "event_id", "event_type", "seen",
         text_time(F.col("ts") + F.expr("INTERVAL 24 HOURS")).alias("expires_at"),
@@ -181,7 +199,7 @@ def stream_trip_pairs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_orderkey").alias("trip_id"), F.col("l_shipdate").cast("timestamp").alias("ended_at"), "l_linenumber"
     )
     pairs = counters.match_trips(starts, ends, "trip_id", "started_at", "ended_at", "120 DAYS")
-    sinks.run_to_files(pairs, root, partitions=STATE)
+    sinks.run_to_files(pairs, root, partitions=_state(table(spark, folder, "orders"), table(spark, folder, "lineitem")))
     days = F.datediff("ended_at", "started_at").cast("bigint")
     return spark.read.parquet(f"{root}/data").select("trip_id", "l_linenumber", "o_totalprice", days.alias("days"))
 
@@ -196,7 +214,7 @@ def stream_dead_letter(spark: SparkSession, folder: str) -> DataFrame:
     """Records that cannot be processed, with the reason."""
     root = shared_dir(spark, "dead")
     parsed = sinks.observe_outcomes(E.parse(_texts(spark, folder)))
-    sinks.run_to_files(E.dead_letters(parsed), root, partitions=STATE)
+    sinks.run_to_files(E.dead_letters(parsed), root, partitions=_state(table(spark, folder, "events")))
     letters = spark.read.parquet(f"{root}/data")
     return letters.select("problem", F.regexp_extract("value", '"event_id":"([0-9]+)"', 1).alias("event_id"))
 
@@ -249,7 +267,7 @@ def stream_progress(spark: SparkSession, folder: str) -> DataFrame:
     spark.streams.addListener(log)
     try:
         parsed = sinks.observe_outcomes(E.parse(_texts(spark, folder)))
-        query = sinks.run_to_files(E.dead_letters(parsed), root, partitions=STATE)
+        query = sinks.run_to_files(E.dead_letters(parsed), root, partitions=_state(table(spark, folder, "events")))
         totals = log.totals(str(query.id), "events", timeout=60)
     finally:
         spark.streams.removeListener(log)
@@ -282,7 +300,7 @@ def stream_event_features(spark: SparkSession, folder: str) -> DataFrame:
         finally:
             batch.unpersist()
 
-    sinks.run_batches(parsed, root, handle, partitions=STATE)
+    sinks.run_batches(parsed, root, handle, partitions=_state(table(spark, folder, "events")))
     riders, drivers, trips = (spark.read.parquet(f"{root}/{route}") for route in views)
     riders = riders.select(
         F.lit("rider").alias("route"), "event_id", "hour_of_day", "is_peak_hour", "trip_distance_km", "rider_rating"
@@ -397,7 +415,7 @@ def stream_trip_counters(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["entity_type", "entity_id"]
     counts = counters.daily_counts(ended, keys, "event_ts")
     target = SnapshotTable(spark, f"{root}/table", (*keys, "day"), ("batch",))
-    sinks.run_versioned_upserts(counts, target, root, partitions=STATE)
+    sinks.run_versioned_upserts(counts, target, root, partitions=_state(table(spark, folder, "events")))
     return target.read().select(*keys, text_time("day").alias("window_start"), "n")
 
 
@@ -415,7 +433,7 @@ def stream_online_store(spark: SparkSession, folder: str) -> DataFrame:
     features = E.rider_event_features(E.parse(_texts(spark, folder)))
     rows = E.online_rows(features, "rider", "rider_id", "event_ts", F.lit(timedelta(hours=24)))
     target = SnapshotTable(spark, f"{root}/table", ("entity_type", "entity_id"), ("updated_at", "features"))
-    sinks.run_upserts(rows, target, root, partitions=STATE)
+    sinks.run_upserts(rows, target, root, partitions=_state(table(spark, folder, "events")))
     return target.read().select(
         "entity_type",
         "entity_id",
@@ -439,7 +457,7 @@ def stream_running_count(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "running")
     state = SnapshotTable(spark, f"{root}/state", ("user_id",), ("n",))
     rows = _events(spark, folder).select("event_id", "user_id", "ts")
-    out = sinks.run_running_counts(rows, state, root, ["user_id"], "ts", ["event_id"], partitions=STATE)
+    out = sinks.run_running_counts(rows, state, root, ["user_id"], "ts", ["event_id"], partitions=_state(table(spark, folder, "events")))
     totals = state.read().select("user_id", F.col("n").alias("total"))
     return spark.read.parquet(out).join(totals, "user_id").select("event_id", "user_id", "running_count", "total")
 
@@ -455,7 +473,7 @@ def stream_health(spark: SparkSession, folder: str) -> DataFrame:
     )
     measured = health_windows(log.withWatermark("ts", E.WATERMARK), max_latency_ms=150.0)
     target = SnapshotTable(spark, f"{root}/table", ("window_start", "model_name"), ("batch",))
-    sinks.run_versioned_upserts(measured, target, root, partitions=STATE)
+    sinks.run_versioned_upserts(measured, target, root, partitions=_state(table(spark, folder, "events")))
     return target.read().select(
         text_time("window_start").alias("window_start"),
         "model_name",
@@ -478,7 +496,7 @@ def stream_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     root = shared_dir(spark, "outcomes")
     counts = E.outcome_counts(E.parse(_texts(spark, folder)))
     target = SnapshotTable(spark, f"{root}/table", ("route", "outcome"), ("batch",))
-    sinks.run_versioned_upserts(counts, target, root, partitions=STATE)
+    sinks.run_versioned_upserts(counts, target, root, partitions=_state(table(spark, folder, "events")))
     return target.read().select("outcome", "n").groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
