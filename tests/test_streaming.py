@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans import streams
-from tidemark.session import shared_dir
+from tidemark.session import path_exists, shared_dir
 from tidemark.sources.readers import read_parquet_stream, read_text_events
 from tidemark.sources.snapshots import SnapshotTable
 from tidemark.streaming import counters, sinks
@@ -186,3 +187,61 @@ def test_rows_without_a_time_enter_a_batch(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("untimed").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.event_id for r in spark.table("untimed").collect()) == list(range(11))
+
+
+def run_pairs(spark, name, starts, ends, in_files):
+    """Pairs of micro-batches of starts and ends, one of each at a time, and the progress of the query."""
+    root, left = stream_of(spark, f"{name}-starts", starts, "trip_id string, s timestamp, fare long")
+    _, right = stream_of(spark, f"{name}-ends", ends, "trip_id string, e timestamp, n long")
+    log = []
+    handle = sinks.run_batches
+
+    def kept(*args, **kwargs):
+        log.append(handle(*args, **kwargs))
+        return log[-1]
+
+    if in_files:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(sinks, "run_batches", kept)
+            sinks.run_trip_pairs(left, right, root, "trip_id", "s", "e", "5 DAYS", partitions=3)
+    else:
+        log.append(sinks.run_to_files(counters.match_trips(left, right, "trip_id", "s", "e", "5 DAYS"), root, partitions=3))
+    rows = spark.read.parquet(f"{root}/data")
+    return root, sorted((r.trip_id, r.s, r.fare, r.e, r.n) for r in rows.collect()), log[0].recentProgress
+
+
+def test_trip_pairs_in_files_are_those_of_the_streams(spark):
+    """Ends before their start, late rows of both kinds, repeats that are held and that are forgotten, no key or time."""
+    rng = random.Random(7)
+    day, starts, ends = timedelta(days=1), [], []
+    for number in range(5):
+        base = T0 + 4 * number * day
+        ids = rng.sample(range(40), 30)
+        starts.append([(f"t{i}", base + rng.randrange(-200, 96) * HOUR, 100 * number + i) for i in ids] + [(None, base, 0), (f"x{number}", None, 0)])
+        ends.append([(f"t{rng.randrange(40)}", base + rng.randrange(-200, 200) * HOUR, 1000 * number + i) for i in range(60)] + [(None, base, 0), ("t1", None, 0)])
+    _, want, _ = run_pairs(spark, "joined", starts, ends, False)
+    root, found, progress = run_pairs(spark, "kept", starts, ends, True)
+    assert found == want and len(found) > 40
+    # No row goes through a state store, each is read once, and what no later row can match is let go.
+    assert [p.stateOperators for p in progress if p.numInputRows] == [[]] * 5
+    assert [p.numInputRows for p in progress if p.numInputRows] == [len(s) + len(e) for s, e in zip(starts, ends, strict=True)]
+    marks = spark.read.parquet(f"{root}/state/batch=4/marks").first()
+    assert marks.late_rows > 0 and spark.read.parquet(f"{root}/state/batch=4/open_ends").count() < 180
+    assert not path_exists(spark, f"{root}/state/batch=2")
+
+
+def test_trip_pairs_query_keeps_no_row_in_a_state_store(spark, tmp_path):
+    spark.createDataFrame([(i, T0 + i * HOUR, 1.0) for i in range(9)], "o_orderkey long, o_orderdate timestamp, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i % 9, T0 + i * 9 * HOUR, i) for i in range(18)], "l_orderkey long, l_shipdate timestamp, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    log = sinks.ProgressLog()
+    stored = []
+    log.onQueryProgress = lambda event: stored.append(len(event.progress.stateOperators))
+    spark.streams.addListener(log)
+    try:
+        assert streams.stream_trip_pairs(spark, str(tmp_path)).count() == 18
+        deadline = time.time() + 20
+        while time.time() < deadline and len(stored) < 3:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(log)
+    assert stored and not any(stored)

@@ -198,10 +198,10 @@ def stream_trip_pairs(spark: SparkSession, folder: str) -> DataFrame:
     ends = _parts(spark, folder, "lineitem", "l_shipdate").select(
         F.col("l_orderkey").alias("trip_id"), F.col("l_shipdate").cast("timestamp").alias("ended_at"), "l_linenumber"
     )
-    pairs = counters.match_trips(starts, ends, "trip_id", "started_at", "ended_at", "120 DAYS")
-    sinks.run_to_files(pairs, root, partitions=_state(table(spark, folder, "orders"), table(spark, folder, "lineitem")))
+    state = _state(table(spark, folder, "orders"), table(spark, folder, "lineitem"))
+    pairs = sinks.run_trip_pairs(starts, ends, root, "trip_id", "started_at", "ended_at", "120 DAYS", partitions=state)
     days = F.datediff("ended_at", "started_at").cast("bigint")
-    return spark.read.parquet(f"{root}/data").select("trip_id", "l_linenumber", "o_totalprice", days.alias("days"))
+    return spark.read.parquet(pairs).select("trip_id", "l_linenumber", "o_totalprice", days.alias("days"))
 
 
 TRIP_PAIRS_SQL = """

@@ -109,6 +109,13 @@ def merge_sessions(new: DataFrame, known: DataFrame | None, keys: Sequence[str])
     return merged.unionByName(gone.select(merged.columns))
 
 
+def first_starts(starts: DataFrame, key: str, start_ts: str, delay: str = WATERMARK, held: DataFrame | None = None) -> DataFrame:
+    """Starts without repeats of a trip, among themselves and of the trips in ``held``."""
+    first = starts.withWatermark(start_ts, delay)
+    first = first.dropDuplicatesWithinWatermark([key]) if starts.isStreaming else first.dropDuplicates([key])
+    return first if held is None else first.join(held.select(key), key, "left_anti")
+
+
 def match_trips(
     starts: DataFrame,
     ends: DataFrame,
@@ -118,6 +125,7 @@ def match_trips(
     within: str,
     delay: str = WATERMARK,
     salts: int = 1,
+    known: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Ends joined with the start of the same trip at most ``within`` before.
 
@@ -125,16 +133,27 @@ def match_trips(
     row per end. The time bound lets a stream forget starts that can no longer be
     matched. Where one trip may have very many ends, they can be spread over
     ``salts`` groups, each with a copy of the start.
+
+    ``known`` are the starts and ends kept of earlier micro-batches: those of this
+    one, whose starts :func:`first_starts` has been through, are matched with them
+    and with each other. See ``sinks.run_trip_pairs``.
     """
-    first = starts.withWatermark(start_ts, delay)
-    first = first.dropDuplicatesWithinWatermark([key]) if starts.isStreaming else first.dropDuplicates([key])
-    left = first.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("s")
+    if known is None:
+        left, right = first_starts(starts, key, start_ts, delay), ends.withWatermark(end_ts, delay)
+    else:
+        left, right = (
+            new.withColumn("__new", F.lit(True)).unionByName(old.select(new.columns).withColumn("__new", F.lit(False)))
+            for new, old in zip((starts, ends), known, strict=True)
+        )
+    left = left.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("s")
     spread = F.pmod(F.xxhash64(*ends.columns), F.lit(salts)).cast("int")
-    right = ends.withWatermark(end_ts, delay).withColumn("__salt", spread).alias("e")
+    right = right.withColumn("__salt", spread).alias("e")
     same = (F.col(f"s.{key}") == F.col(f"e.{key}")) & (F.col("s.__salt") == F.col("e.__salt"))
     bound = (F.col(f"e.{end_ts}") >= F.col(f"s.{start_ts}")) & (
         F.col(f"e.{end_ts}") <= F.col(f"s.{start_ts}") + F.expr(f"INTERVAL {within}")
     )
+    if known is not None:
+        bound = bound & (F.col("s.__new") | F.col("e.__new"))
     joined = left.join(right, same & bound)
     return joined.select(
         *[F.col(f"s.{c}") for c in starts.columns], *[F.col(f"e.{c}") for c in ends.columns if c != key]

@@ -7,13 +7,15 @@ import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from ..sources.snapshots import SnapshotTable
-from .counters import gap_counts, merge_sessions, running_counts
+from .counters import first_starts, gap_counts, match_trips, merge_sessions, running_counts
+from .events import WATERMARK
 
 _STARTS = threading.Lock()
 
@@ -174,6 +176,88 @@ def run_running_counts(
     return f"{root}/events"
 
 
+def run_trip_pairs(
+    starts: DataFrame,
+    ends: DataFrame,
+    root: str,
+    key: str,
+    start_ts: str,
+    end_ts: str,
+    within: str,
+    delay: str = WATERMARK,
+    salts: int = 1,
+    partitions: int | None = None,
+    every: str | None = None,
+) -> str:
+    """Write the pairs of :func:`match_trips`, a folder per micro-batch, and return the folder of these.
+
+    What a join of streams keeps row by row in a state store is kept in files here: starts and ends that may still be
+    matched are read, joined with those of a micro-batch, and written again, in as many tasks as ``partitions`` says. That
+    suits micro-batches that are not small beside what is kept; for others write ``match_trips`` of the streams.
+
+    Rows count, are late and are forgotten as they are there. The watermark of a micro-batch is ``delay`` before the newest
+    start or newest end of earlier ones, whichever is older. Rows not after the watermark of the micro-batch before are
+    late: they are dropped, and counted in ``state/batch=N/marks``. A start blocks repeats until the watermark has passed
+    it by ``delay``. A micro-batch that is repeated reads what the one before kept, and replaces its own.
+    """
+    sides, times = (starts, ends), (start_ts, end_ts)
+    length = starts.sparkSession.sql(f"SELECT TIMESTAMP_NTZ'1970-01-01' + INTERVAL {delay}").first()[0] - datetime(1970, 1, 1)
+    micros = length // timedelta(microseconds=1)
+    own = [F.struct(*rows.columns) for rows in sides]
+    none = [F.lit(None).cast(rows.select(one.alias("r")).schema["r"].dataType) for rows, one in zip(sides, own, strict=True)]
+    both = starts.select(own[0].alias("start"), none[1].alias("end"), F.lit(False).alias("ended")).unionByName(
+        ends.select(none[0].alias("start"), own[1].alias("end"), F.lit(True).alias("ended"))
+    )
+
+    def after(ts: Column | str, mark: int | None) -> Column:
+        return F.lit(True) if mark is None else F.unix_micros(ts) > mark
+
+    def handle(batch: DataFrame, number: int) -> None:
+        session, here, before = batch.sparkSession, f"{root}/state/batch={number}", f"{root}/state/batch={number - 1}"
+
+        def keep(rows: DataFrame, name: str) -> DataFrame:
+            rows.write.mode("overwrite").parquet(f"{here}/{name}")
+            return session.read.schema(rows.schema).parquet(f"{here}/{name}")
+
+        held = session.read.parquet(f"{before}/marks").first() if number else None
+        passed, earlier = (held.mark, (held.last_start, held.last_end)) if held else (None, (None, None))
+        batch.write.mode("overwrite").partitionBy("ended").parquet(f"{here}/arrived")
+        read = session.read.schema(batch.schema).parquet(f"{here}/arrived")
+        arrived = read.where(~F.col("ended")).select("start.*"), read.where("ended").select("end.*")
+        late = [~after(ts, passed) for ts in times]
+
+        # The newest times so far, and the watermark that follows from those of earlier micro-batches.
+        seen = [rows.agg(F.max(F.unix_micros(ts)), F.count_if(gone)).first() for rows, ts, gone in zip(arrived, times, late, strict=True)]
+        newest = [max((t for t in (now[0], then) if t is not None), default=None) for now, then in zip(seen, earlier, strict=True)]
+        mark = None if None in earlier else max([min(earlier) // 1000 * 1000 - micros, *([] if passed is None else [passed])])
+
+        # A row without a time is not late, and as old as can be when it is kept.
+        timed = [rows.where(F.col(key).isNotNull() & ~F.coalesce(gone, F.lit(False))) for rows, gone in zip(arrived, late, strict=True)]
+        blocks = F.lit(True) if passed is None else F.coalesce(F.unix_micros(start_ts), F.lit(0)) + micros > passed
+        open_start = blocks | after(F.col(start_ts) + F.expr(f"INTERVAL {within}"), passed)
+        kept = [rows.limit(0) for rows in timed]
+        if number:
+            old = session.read.schema(batch.schema).parquet(f"{before}/arrived").where("ended").select("end.*")
+            first = session.read.schema(starts.schema).parquet(f"{before}/first", f"{before}/open_starts")
+            old = old.unionByName(session.read.schema(ends.schema).parquet(f"{before}/open_ends"))
+            kept = [first.where(open_start), old.where(after(end_ts, passed))]
+        known = keep(kept[0], "open_starts"), keep(kept[1], "open_ends")
+        # Written first: which of several repeats is kept must not change between its uses.
+        first = keep(first_starts(timed[0], key, start_ts, delay, known[0].where(blocks)), "first")
+        pairs = match_trips(first, timed[1], key, start_ts, end_ts, within, delay, salts, known)
+        pairs.write.mode("overwrite").parquet(f"{root}/data/batch={number}")
+        marks = [(*newest, mark, sum(now[1] for now in seen))]
+        session.createDataFrame(marks, "last_start bigint, last_end bigint, mark bigint, late_rows bigint").coalesce(1).write.mode(
+            "overwrite"
+        ).parquet(f"{here}/marks")
+        if number > 1:
+            gone = session._jvm.org.apache.hadoop.fs.Path(f"{root}/state/batch={number - 2}")
+            gone.getFileSystem(session._jsc.hadoopConfiguration()).delete(gone, True)
+
+    run_batches(both, root, handle, partitions=partitions, every=every)
+    return f"{root}/data"
+
+
 class ProgressLog(StreamingQueryListener):
     """Keeps the latest progress of each query: rows, rates, late rows, observed metrics, and these added up."""
 
