@@ -45,6 +45,9 @@ STATE = 8
 FILE_ROWS = 250_000
 STATE_ROWS = 100_000
 MOST_STATE = 256
+# Rows of a group of keys in a micro-batch, and the least groups.
+GROUP_ROWS = 20_000
+GROUPS = 64
 
 
 def _files(rows: int) -> int:
@@ -57,6 +60,11 @@ def _state(*tables: DataFrame) -> int:
     return min(MOST_STATE, max(STATE, math.ceil(sum(rows.count() for rows in tables) / BATCHES / STATE_ROWS)))
 
 
+def _groups(rows: DataFrame) -> int:
+    """Groups of keys whose state is read and written at once, for queries over this table."""
+    return max(GROUPS, math.ceil(rows.count() / BATCHES / GROUP_ROWS))
+
+
 def _parts(spark: SparkSession, folder: str, name: str, ts: str, again: bool = False) -> DataFrame:
     """A table as a stream of ``BATCHES`` parts in the order of ``ts``; the first part arrives ``again`` at the end.
 
@@ -348,7 +356,8 @@ RATING_SQL = "CASE WHEN event_id % 4 = 0 THEN 3 + (event_id % 8) * 0.25 END"
 def stream_rider_features(spark: SparkSession, folder: str) -> DataFrame:
     """Every rider event with its rider's trips and rating until then, from state kept over micro-batches and a restart."""
     root = shared_dir(spark, "riders")
-    found = _with_restart(spark, folder, root, lambda parsed: rider_features(parsed, rating=_rating()))
+    groups = _groups(table(spark, folder, "events"))
+    found = _with_restart(spark, folder, root, lambda parsed: rider_features(parsed, rating=_rating(), groups=groups))
     return found.select(
         "event_id", "rider_id", "hour_of_day", "day_of_week", "is_peak_hour", "is_weekend", F.round("pickup_lat", 8).alias("pickup_lat"),
         F.round("trip_distance_km", 5).alias("trip_distance_km"), "rider_trips_7d", "rider_trips_30d",
@@ -381,8 +390,9 @@ RIDER_FEATURES_SQL = f"""
 def stream_driver_features(spark: SparkSession, folder: str) -> DataFrame:
     """Every driver event with its driver's trips, acceptance rate and rating until then; every third is a request refused."""
     root = shared_dir(spark, "drivers")
+    groups = _groups(table(spark, folder, "events"))
     found = _with_restart(
-        spark, folder, root, lambda parsed: driver_features(parsed, _number() % 5 > 0, _number() % 3 > 0, rating=_rating())
+        spark, folder, root, lambda parsed: driver_features(parsed, _number() % 5 > 0, _number() % 3 > 0, rating=_rating(), groups=groups)
     )
     return found.select(
         "event_id", "driver_id", "driver_status", "vehicle_type", "hour_of_day", "day_of_week", F.round("current_lat", 8).alias("current_lat"),

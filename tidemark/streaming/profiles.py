@@ -1,16 +1,18 @@
-"""Counts, rates and ratings of an entity as of each of its events, from arbitrary state kept per key.
+"""Counts, rates and ratings of an entity as of each of its events, from arbitrary state kept per group of keys.
 
-The state of a key is one value: a ring of counts per UTC day, as long as the longest window plus ``late_days``, and the sum
-and number of its ratings. A micro-batch costs a key one read and one write of it, whatever its number of events, and
-events are numbered by sums over arrays. A second value, the time of the newest event, is forgotten after ``newest_ttl``
-by the state store itself. State lives in RocksDB, so the number of keys is not bound by memory.
+The state of a key is a ring of counts per UTC day, as long as the longest window plus ``late_days``, the sum and number of
+its ratings, and the time of its newest event, forgotten after ``newest_ttl``. Keys are dealt by hash into ``groups``, and
+the state of a group is one value: a micro-batch costs a group one read and one write of it, whatever its number of keys and
+events, and the events of all its keys are numbered by sums over arrays. State lives in RocksDB, so the number of keys is
+not bound by memory; choose ``groups`` so that a group has thousands of keys, not millions: the checkpoint keeps it.
 
-The events that one key has in one micro-batch meet in one task; bound them by the source's limit per trigger
-(``max_files``, ``maxOffsetsPerTrigger``): a million events of a key take some hundred megabytes there.
+The events that one group has in one micro-batch meet in one task; bound them by the source's limit per trigger
+(``max_files``, ``maxOffsetsPerTrigger``): a million events of a group take some hundred megabytes there.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -35,7 +37,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 COUNTS = ("trips", "accepted", "requests")
 DEFAULT_RATING = 4.5
 DAY_MS = 86_400_000
-RING = "days array<int>, trips array<bigint>, accepted array<bigint>, requests array<bigint>, rating_sum double, rating_n bigint"
+NAMES = ("names", "keys", "days", "counts", "rating_sum", "rating_n", "ring_at", "newest", "newest_at")
+STATE = ", ".join(f"{name} binary" for name in NAMES)
+GROUPS = 256
+NEVER = np.iinfo(np.int64).min  # in place of a time: there is none
 
 
 @dataclass(frozen=True)
@@ -50,87 +55,161 @@ class Profile:
     newest_ttl_ms: int | None = DAY_MS
 
 
+def _longer(values: np.ndarray, n: int, fill: float = 0) -> np.ndarray:
+    return np.concatenate([values, np.full(max(0, n - len(values)), fill, values.dtype)])
+
+
 @dataclass
 class Ring:
-    """A key's counts per day, days ascending, and its ratings."""
+    """Counts per key and day, in the order of both, and the ratings of each key. Keys are numbers from 0."""
 
+    keys: np.ndarray
     days: np.ndarray
     counts: np.ndarray  # a row per name in COUNTS
-    rating_sum: float
-    rating_n: int
+    rating_sum: np.ndarray  # a number per key
+    rating_n: np.ndarray
 
     @classmethod
     def of(cls, held: tuple | None) -> Ring:
         if held is None:
-            return cls(np.zeros(0, np.int64), np.zeros((len(COUNTS), 0), np.int64), 0.0, 0)
-        return cls(np.array(held[0], np.int64), np.array([held[i] for i in range(1, 4)], np.int64).reshape(len(COUNTS), -1), held[4], held[5])
+            return cls(*[np.zeros(0, np.int64) for _ in range(2)], np.zeros((len(COUNTS), 0), np.int64), np.zeros(0), np.zeros(0, np.int64))
+        keys, days, counts, rating_sum, rating_n = (
+            np.frombuffer(value, kind) for value, kind in zip(held, ("<i4", "<i4", "<i8", "<f8", "<i8"), strict=True)
+        )
+        return cls(keys.astype(np.int64), days.astype(np.int64), counts.reshape(len(COUNTS), -1), rating_sum, rating_n)
 
     def value(self) -> tuple:
-        return ([int(d) for d in self.days], *[[int(n) for n in row] for row in self.counts], float(self.rating_sum), int(self.rating_n))
+        held = (self.keys, "<i4"), (self.days, "<i4"), (self.counts, "<i8"), (self.rating_sum, "<f8"), (self.rating_n, "<i8")
+        return tuple(values.astype(kind).tobytes() for values, kind in held)
+
+    def without(self, gone: np.ndarray) -> Ring:
+        """Without what is known of the keys that ``gone`` marks; the others keep their numbers."""
+        kept = ~gone[self.keys]
+        return Ring(self.keys[kept], self.days[kept], self.counts[:, kept], np.where(gone, 0.0, self.rating_sum), np.where(gone, 0, self.rating_n))
 
-    def apply(self, day: np.ndarray, counts: np.ndarray, rating: np.ndarray, profile: Profile) -> dict[str, np.ndarray]:
-        """Columns for events in the order of their time, which are counted; the ring goes on after them.
+    def apply(
+        self, day: np.ndarray, counts: np.ndarray, rating: np.ndarray, profile: Profile, key: np.ndarray | None = None
+    ) -> dict[str, np.ndarray]:
+        """Columns for events in the order of their ``key`` (all of one without) and time; the ring goes on after them.
 
         An event sees what came before it: earlier batches, and earlier events of its own.
         """
-        late = day < self.days[-1] - profile.late_days if len(self.days) else np.zeros(len(day), bool)
+        key = np.zeros(len(day), np.int64) if key is None else key
+        n_keys = max(len(self.rating_sum), int(key[-1]) + 1 if len(key) else 0)
+        held_sum, held_n = _longer(self.rating_sum, n_keys), _longer(self.rating_n, n_keys)
+        # A key's days as one range of numbers, with room for the longest window before the first day.
+        all_days = np.concatenate([self.days, day])
+        first = (int(all_days.min()) if len(all_days) else 0) - max(profile.days)
+        span = (int(all_days.max()) if len(all_days) else 0) - first + 1
+        known_at, at = self.keys * span + self.days - first, key * span + day - first
+
+        newest = np.full(n_keys, np.iinfo(np.int64).min // 2)
+        newest[self.keys] = self.days  # the last of a key's days
+        late = day < newest[key] - profile.late_days
         counted = np.where(late, 0, counts)
         before = np.concatenate([np.zeros((len(COUNTS), 1), np.int64), np.cumsum(self.counts, axis=1)], axis=1)
         sums = np.concatenate([np.zeros((len(COUNTS), 1), np.int64), np.cumsum(counted, axis=1)], axis=1)
         seen = np.arange(len(day)) + int(profile.include_current)
         out: dict[str, np.ndarray] = {}
         for days in profile.days:
-            known = before[:, np.searchsorted(self.days, day, "right")] - before[:, np.searchsorted(self.days, day - days, "right")]
-            own = sums[:, seen] - sums[:, np.searchsorted(day, day - days, "right")]
+            known = before[:, np.searchsorted(known_at, at, "right")] - before[:, np.searchsorted(known_at, at - days, "right")]
+            own = sums[:, seen] - sums[:, np.searchsorted(at, at - days, "right")]
             trips, accepted, requests = known + own
             out[f"trips_{days}d"] = np.where(late, np.nan, trips)
             rate = np.divide(accepted, requests, out=np.zeros(len(day)), where=requests > 0)
             out[f"acceptance_rate_{days}d"] = np.where(late, np.nan, rate)
         given = ~np.isnan(rating) & ~late
-        total = np.concatenate(([0.0], np.cumsum(np.where(given, rating, 0.0))))
-        n = np.concatenate(([0], np.cumsum(given)))
-        ratings = self.rating_n + n[seen]
+        rated = np.where(given, rating, 0.0)
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        total, n = np.zeros(len(day)), np.zeros(len(day), np.int64)
+        rating_sum, rating_n = held_sum.copy(), held_n.copy()
+        # Key by key, so that no key's ratings round those of another.
+        for start, end in zip(starts, [*starts[1:], len(day)], strict=True):
+            of, here = key[start], slice(start, end)
+            until, number = np.cumsum(rated[here]), np.cumsum(given[here])
+            if profile.include_current:
+                total[here], n[here] = until, number
+            else:
+                total[start + 1 : end], n[start + 1 : end] = until[:-1], number[:-1]
+            rating_sum[of] += until[-1]
+            rating_n[of] += number[-1]
+        ratings = held_n[key] + n
         average = np.full(len(day), profile.default_rating)
-        np.divide(self.rating_sum + total[seen], ratings, out=average, where=ratings > 0)
+        np.divide(held_sum[key] + total, ratings, out=average, where=ratings > 0)
         out["avg_rating"] = average
 
-        days, place = np.unique(np.concatenate([self.days, day[~late]]), return_inverse=True)
-        merged = np.zeros((len(COUNTS), len(days)), np.int64)
+        places, place = np.unique(np.concatenate([known_at, at[~late]]), return_inverse=True)
+        merged = np.zeros((len(COUNTS), len(places)), np.int64)
         for row, (old, new) in enumerate(zip(self.counts, counted[:, ~late], strict=True)):
             np.add.at(merged[row], place, np.concatenate([old, new]))
-        kept = days > (days[-1] if len(days) else 0) - max(profile.days) - profile.late_days
-        self.days, self.counts = days[kept], merged[:, kept]
-        self.rating_sum += float(total[-1])
-        self.rating_n += int(n[-1])
+        keys, days = places // span, places % span + first
+        newest[keys] = days
+        kept = days > newest[keys] - max(profile.days) - profile.late_days
+        self.keys, self.days, self.counts = keys[kept], days[kept], merged[:, kept]
+        self.rating_sum, self.rating_n = rating_sum, rating_n
         return out
 
 
 class _Processor(StatefulProcessor):
-    def __init__(self, profile: Profile, columns: list[str], tie: str) -> None:
-        self.profile, self.columns, self.tie = profile, columns, tie
+    def __init__(self, profile: Profile, columns: list[str], keys: list[str], tie: str) -> None:
+        self.profile, self.columns, self.keys, self.tie = profile, columns, keys, tie
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getValueState("ring", RING, self.profile.ring_ttl_ms)
-        self.newest = handle.getValueState("newest", "at bigint", self.profile.newest_ttl_ms)
+        ttls = (self.profile.ring_ttl_ms, self.profile.newest_ttl_ms)
+        self.state = handle.getValueState("group", STATE, None if None in ttls else max(ttls))
+
+    def _held(self, now: int) -> tuple[list[tuple], Ring, np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of the group, their ring and when it was written, their newest event and when that was written."""
+        held = self.state.get()
+        if held is None:
+            return [], Ring.of(None), *[np.zeros(0, np.int64) for _ in range(3)]
+        names, ring = pickle.loads(held[0]), Ring.of(tuple(held[1:6]))
+        ring_at, newest, newest_at = (np.frombuffer(value, "<i8") for value in held[6:])
+        lost, old = (
+            np.zeros(len(names), bool) if ttl is None else (at == NEVER) | (at + ttl <= now)
+            for at, ttl in ((ring_at, self.profile.ring_ttl_ms), (newest_at, self.profile.newest_ttl_ms))
+        )
+        return names, ring.without(lost), np.where(lost, NEVER, ring_at), np.where(old, NEVER, newest), np.where(old, NEVER, newest_at)
+
+    def _keep(self, names: list[tuple], ring: Ring, ring_at: np.ndarray, newest: np.ndarray, newest_at: np.ndarray) -> None:
+        there = (ring_at != NEVER) | (newest_at != NEVER)
+        number = np.cumsum(there) - 1
+        ring = Ring(number[ring.keys], ring.days, ring.counts, ring.rating_sum[there], ring.rating_n[there])
+        times = [values[there].astype("<i8").tobytes() for values in (ring_at, newest, newest_at)]
+        kept = [name for name, here in zip(names, there, strict=True) if here]
+        self.state.update((pickle.dumps(kept), *ring.value(), *times))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(rows, ignore_index=True).sort_values(["at__", self.tie], kind="stable", ignore_index=True)
-        ring = Ring.of(self.ring.get())
+        now = timerValues.getCurrentProcessingTimeInMs()
+        names, ring, ring_at, newest, newest_at = self._held(now)
+        found = pd.concat(rows, ignore_index=True)
+        # Each key by its number: the known ones first, as numbered before.
+        own = found[self.keys].drop_duplicates()
+        numbers = {name: number for number, name in enumerate(names)}
+        mine = [numbers.setdefault(tuple(None if v != v else v for v in name), len(numbers)) for name in zip(*[own[k].tolist() for k in self.keys], strict=True)]
+        codes = found.groupby(self.keys, sort=False, dropna=False).ngroup().to_numpy()
+        found["key__"] = np.array(mine, np.int64)[codes]
+        found = found.sort_values(["key__", "at__", self.tie], kind="stable", ignore_index=True)
+        names, n_keys, code = list(numbers), len(numbers), found["key__"].to_numpy(np.int64)
+        ring_at, newest, newest_at = (_longer(values, n_keys, NEVER) for values in (ring_at, newest, newest_at))
+
         counts = np.stack([found[f"{c}__"].to_numpy(np.int64) for c in COUNTS])
-        made = ring.apply(found["day__"].to_numpy(np.int64), counts, found["rating__"].to_numpy(float), self.profile)
-        self.ring.update(ring.value())
+        made = ring.apply(found["day__"].to_numpy(np.int64), counts, found["rating__"].to_numpy(float), self.profile, code)
+        ring_at[code] = now
 
         wanted = found["wanted__"].to_numpy(bool)
-        at = found["at__"].to_numpy(np.int64)[wanted]
-        last = self.newest.get()
-        previous = pd.array([None if last is None else last[0], *at[:-1]][: len(at)], "Int64")
-        if len(at):
-            self.newest.update((int(at[-1] if last is None else max(at[-1], last[0])),))
+        at, code = found["at__"].to_numpy(np.int64)[wanted], code[wanted]
+        first = np.diff(code, prepend=-1) != 0
+        previous = np.where(first, newest[code], np.roll(at, 1))
+        newest[code] = np.maximum(newest[code], at)  # the last of a key is its newest
+        newest_at[code] = now
+        self._keep(names, ring, ring_at, newest, newest_at)
+
         out = found.loc[wanted, self.columns].reset_index(drop=True)
         for name, values in made.items():
             column = pd.Series(values[wanted])
             out[name] = column.astype("Int64") if name.startswith("trips") else column.where(column.notna(), None)
-        out["previous_at"] = previous
+        out["previous_at"] = pd.Series(previous).astype("Int64").where(previous != NEVER, pd.NA)
         yield out
 
     def close(self) -> None:
@@ -155,7 +234,9 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
-def with_profile(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, profile: Profile | None = None) -> DataFrame:
+def with_profile(
+    rows: DataFrame, keys: Sequence[str], ts: str, tie: str, profile: Profile | None = None, groups: int = GROUPS
+) -> DataFrame:
     """Add to each wanted row of a stream what its key had done before.
 
     ``rows`` has, besides its own columns, what a row counts for: ``trips``, ``accepted`` and ``requests`` (null: 0), a
@@ -167,6 +248,7 @@ def with_profile(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, profil
     Events of a micro-batch count in the order of ``ts``, then ``tie``; an event that comes in a later micro-batch than
     younger ones counts for those that come after it. One whose day lies more than ``late_days`` before its key's newest
     is not counted and gets nulls. Rows without a key or a time are dropped. Start the query within :func:`keyed_state`.
+    Keys share state in ``groups``, a number that the checkpoint keeps.
     """
     profile = profile or Profile()
     extra = {*COUNTS, "rating", "wanted"}
@@ -179,13 +261,14 @@ def with_profile(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, profil
         *[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(f"{c}__") for c in COUNTS],
         F.col("rating").cast("double").alias("rating__"),
         F.coalesce(F.col("wanted"), F.lit(False)).alias("wanted__"),
+        F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("group__"),
     )
     schema = T.StructType(list(own))
     for days in profile.days:
         schema = schema.add(f"trips_{days}d", "long").add(f"acceptance_rate_{days}d", "double")
     schema = schema.add("avg_rating", "double").add("previous_at", "long")
-    processor = _Processor(profile, [f.name for f in own], tie)
-    found = prepared.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime")
+    processor = _Processor(profile, [f.name for f in own], list(keys), tie)
+    found = prepared.groupBy("group__").transformWithStateInPandas(processor, schema, "Append", "ProcessingTime")
     return found.withColumn("previous_ts", F.timestamp_micros("previous_at")).drop("previous_at")
 
 
@@ -197,7 +280,9 @@ def _trip_ends(parsed: DataFrame, entity: str) -> DataFrame:
     )
 
 
-def rider_features(parsed: DataFrame, rating: Column | None = None, profile: Profile | None = None) -> DataFrame:
+def rider_features(
+    parsed: DataFrame, rating: Column | None = None, profile: Profile | None = None, groups: int = GROUPS
+) -> DataFrame:
     """Rider events with calendar, pickup, distance, and their rider's trips of 7 and 30 days and rating until then.
 
     A rider's request and the end of a trip each count as a trip, a request only for later events.
@@ -206,7 +291,7 @@ def rider_features(parsed: DataFrame, rating: Column | None = None, profile: Pro
     own = E.rider_event_features(parsed, rating.cast("double").alias("rating"))
     rows = own.withColumns({"trips": F.lit(1), "wanted": F.lit(True)}).unionByName(_trip_ends(parsed, "rider_id"), allowMissingColumns=True)
     rows = rows.withColumns({"accepted": F.lit(0), "requests": F.lit(0)}).drop("rider_rating")
-    found = with_profile(rows, ["rider_id"], "event_ts", "event_id", profile)
+    found = with_profile(rows, ["rider_id"], "event_ts", "event_id", profile, groups)
     renamed = {"trips_7d": "rider_trips_7d", "trips_30d": "rider_trips_30d", "avg_rating": "rider_avg_rating"}
     return found.withColumnsRenamed(renamed).drop(*[c for c in found.columns if c.startswith(("trips_", "acceptance_")) and c not in renamed])
 
@@ -217,6 +302,7 @@ def driver_features(
     accepted: Column | None = None,
     rating: Column | None = None,
     profile: Profile | None = None,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """Driver events with status, place and calendar, and their driver's trips, acceptance rate and rating until then.
 
@@ -235,7 +321,7 @@ def driver_features(
         rating.cast("double").alias("rating"),
     )
     rows = own.withColumns({"trips": F.lit(0), "wanted": F.lit(True)}).unionByName(_trip_ends(parsed, "driver_id"), allowMissingColumns=True)
-    found = with_profile(rows.drop("driver_rating"), ["driver_id"], "event_ts", "event_id", profile)
+    found = with_profile(rows.drop("driver_rating"), ["driver_id"], "event_ts", "event_id", profile, groups)
     renamed = {
         "trips_1d": "driver_trips_today",
         "trips_7d": "driver_trips_7d",
