@@ -3,8 +3,9 @@
 The state of a key is a ring of counts per UTC day, as long as the longest window plus ``late_days``, the sum and number of
 its ratings, and the time of its newest event, forgotten after ``newest_ttl``. Keys are dealt by hash into ``groups``, and
 the state of a group is one value: a micro-batch costs a group one read and one write of it, whatever its number of keys and
-events, and the events of all its keys are numbered by sums over arrays. State lives in RocksDB, so the number of keys is
-not bound by memory; choose ``groups`` so that a group has thousands of keys, not millions: the checkpoint keeps it.
+events, and the events of all its keys are numbered by sums over arrays. Few keys of a group cost as much as all, so small
+micro-batches want more groups. State lives in RocksDB, so the number of keys is not bound by memory; a group's state is held
+in memory by a task, so choose ``groups`` for thousands of keys in each, not millions: the checkpoint keeps it.
 
 The events that one group has in one micro-batch meet in one task; bound them by the source's limit per trigger
 (``max_files``, ``maxOffsetsPerTrigger``): a million events of a group take some hundred megabytes there.
